@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from . import common as C
-from . import idfiles, packing
+from . import idfiles, lm, packing, quality, toxicity
 
 
 def op1_packing(spark, sf_dir):
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op5_id_files(spark, sf_dir):
     return idfiles.round_trip(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_packing, op5_id_files)}
+def op9_language_model(spark, sf_dir):
+    return lm.score(C.table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: (f, None) for f in (op1_packing, op4_quality, op5_id_files, op9_language_model, op10_toxicity)}
