@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import common as C
-from . import idfiles, lm, packing, quality, toxicity
+from . import idfiles, lm, neardup, packing, quality, toxicity
 
 
 def op1_packing(spark, sf_dir):
@@ -18,6 +18,10 @@ def op5_id_files(spark, sf_dir):
     return idfiles.round_trip(C.table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark, sf_dir):
+    return neardup.classes(C.table(spark, sf_dir, "documents"))
+
+
 def op9_language_model(spark, sf_dir):
     return lm.score(C.table(spark, sf_dir, "documents"))
 
@@ -27,4 +31,14 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_packing, op4_quality, op5_id_files, op9_language_model, op10_toxicity)}
+QUERIES = {
+    f.__name__: (f, sql)
+    for f, sql in (
+        (op1_packing, None),
+        (op4_quality, None),
+        (op5_id_files, None),
+        (op7_near_duplicates, neardup.SQL),
+        (op9_language_model, None),
+        (op10_toxicity, None),
+    )
+}
