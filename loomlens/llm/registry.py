@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import common as C
-from . import idfiles, lm, neardup, packing, quality, toxicity
+from . import idfiles, lm, neardup, packing, quality, substrings, toxicity
 
 
 def op1_packing(spark, sf_dir):
@@ -22,6 +22,10 @@ def op7_near_duplicates(spark, sf_dir):
     return neardup.classes(C.table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark, sf_dir):
+    return substrings.removed(C.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_language_model(spark, sf_dir):
     return lm.score(C.table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
         (op4_quality, None),
         (op5_id_files, None),
         (op7_near_duplicates, neardup.SQL),
+        (op8_repeated_passages, None),
         (op9_language_model, None),
         (op10_toxicity, None),
     )
