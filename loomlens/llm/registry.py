@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from . import common as C
-from . import idfiles, lm, neardup, packing, quality, substrings, toxicity
+from . import decontaminate, idfiles, licenses, lm, neardup, packing, quality, substrings, toxicity
 
 
 def op1_packing(spark, sf_dir):
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 def op4_quality(spark, sf_dir):
     return quality.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
@@ -18,6 +22,10 @@ def op5_id_files(spark, sf_dir):
     return idfiles.round_trip(C.table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(C.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_near_duplicates(spark, sf_dir):
     return neardup.classes(C.table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,10 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (op1_packing, None),
+        (op2_decontamination, decontaminate.SQL),
         (op4_quality, None),
         (op5_id_files, None),
+        (op6_license_scan, None),
         (op7_near_duplicates, neardup.SQL),
         (op8_repeated_passages, None),
         (op9_language_model, None),
