@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import common as C
-from . import decontaminate, idfiles, licenses, lm, neardup, packing, quality, substrings, toxicity
+from . import decontaminate, idfiles, licenses, lm, neardup, packing, quality, substrings, topk, toxicity
 
 
 def op1_packing(spark, sf_dir):
@@ -14,6 +14,10 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op3_top_k_search(spark, sf_dir):
+    return topk.search(C.table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.resample(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     for f, sql in (
         (op1_packing, None),
         (op2_decontamination, decontaminate.SQL),
+        (op3_top_k_search, topk.SQL),
         (op4_quality, None),
         (op5_id_files, None),
         (op6_license_scan, None),
