@@ -7,8 +7,7 @@ first digit is met once drop out. The second digit is all bytes of the run: rows
 repeated throughout. What is left, runs with a repeated gram but bytes of their own, is sorted window by
 window, to the full depth. A partition settles its own repeated runs before the shuffle and sends on one
 witness of each. A group of over HOT rows goes window by window through a counted, map-side
-combined shuffle. Texts are moved once, compressed, and kept by key for both joins. Digits are
-64-bit hashes.
+combined shuffle. Texts are moved compressed. Digits are 64-bit hashes.
 
 Nulls and edges: a null text is empty; texts of under 200 bytes lose nothing; a null doc_id is carried as it is.
 Repeated rows of at least 200 bytes lose all they have, as each is the other's copy. An empty table gives no row.
@@ -196,7 +195,7 @@ def _sorted_out(batches):
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): k1, k2, doc_id and packed text, kept by key; and for each key the spans (a, z) of starts of repeated windows."""
+    """(texts, spans): k1, k2, doc_id and packed text of every row; and for each key the spans (a, z) of starts of repeated windows."""
     C.prepare(docs.sparkSession)
     rows = keyed(docs)
     run = "kind long, g long, k1 long, k2 long, a long, z long"
@@ -208,7 +207,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([press.compress(t) for t in b.column(3).to_pylist()], pa.binary())], names=["k1", "k2", "doc_id", "packed"])
 
-    texts = rows.mapInArrow(pack, "k1 long, k2 long, doc_id long, packed binary").repartition(*_KEYS).checkpoint()
+    texts = rows.mapInArrow(pack, "k1 long, k2 long, doc_id long, packed binary")
     synced = rows.where(F.length("text") >= DEPTH).select("k1", "k2", "text").mapInArrow(_sync_rows, sql_schema(_SYNC))
     judged = synced.repartition("p").sortWithinPartitions("kind", "g", "c").mapInArrow(_verdicts, run).checkpoint()
     further = judged.where(F.col("kind") == RUN).groupBy(*_KEYS).agg(F.collect_set(F.struct("g", "a", "z")).alias("runs"))
