@@ -26,7 +26,9 @@ from .packing import batches_of, sql_schema
 
 #: Rows learned from at most, chosen by a hash of doc_id.
 MOST_LABELLED = 20_000
-BUCKETS, KEPT_TERMS, FACTORS, ROUNDS = 1 << 22, 8192, 8, 8
+BUCKETS, KEPT_TERMS, FACTORS, ROUNDS, LEAST_STEPS = 1 << 22, 8192, 8, 8, 400
+#: A kept term's likelihood ratio statistic at least: what chance gives one term in ten thousand.
+LEAST_TELLING = 15.0
 
 _WORDS = re.compile(rb"[^" + C.NOT_WORD + rb"]+").findall
 
@@ -86,7 +88,7 @@ class Machine:
         kinds = [np.zeros(1), np.zeros_like(self.weights), np.zeros_like(self.vectors)]
         first, second = [k.copy() for k in kinds], [k.copy() for k in kinds]
         step = 0
-        for _ in range(rounds):
+        for _ in range(max(rounds, -(-LEAST_STEPS * batch // max(len(rows), 1)))):
             order = rng.permutation(len(rows))
             for a in range(0, len(order), batch):
                 own = order[a : a + batch]
@@ -108,7 +110,7 @@ class Machine:
                 self.vectors -= kinds[2]
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray, kept: int) -> dict[int, int]:
+def _telling(rows: list[np.ndarray], labels: np.ndarray, kept: int, least: float = LEAST_TELLING) -> dict[int, int]:
     """The terms whose presence tells most about the label (likelihood ratio), to their places."""
     of = [Counter(), Counter()]
     for x, y in zip(rows, labels, strict=True):
@@ -122,6 +124,7 @@ def _telling(rows: list[np.ndarray], labels: np.ndarray, kept: int) -> dict[int,
 
     share = (a + b) / (n0 + n1)
     g = part(a, n0 * share) + part(b, n1 * share) + part(n0 - a, n0 * (1 - share)) + part(n1 - b, n1 * (1 - share))
+    names, g = names[2 * g >= least], g[2 * g >= least]
     best = names[np.lexsort((names, -g))][:kept]
     return {int(t): i for i, t in enumerate(best)}
 

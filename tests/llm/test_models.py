@@ -75,6 +75,13 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(got) > 50 and np.mean([r.predicted == r.toxic for r in got]) > 0.93
 
 
+def test_toxicity_leaves_clean_documents_alone(spark):
+    docs, labels = C.table(spark, "/root/testdata/sf0.1", "documents"), C.table(spark, "/root/testdata/sf0.1", "labels")
+    got = toxicity.scored(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in got if r.toxic == y] for y in (1, 0))
+    assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.005
+
+
 def test_machine_learns_pairs_that_a_sum_misses():
     rng = np.random.default_rng(1)
     rows, labels = [], []
@@ -89,6 +96,11 @@ def test_machine_learns_pairs_that_a_sum_misses():
     assert abs(machine.vectors[0] @ machine.vectors[1]) > 0.3
 
 
+def test_labels_learned_from_are_bounded(spark):
+    docs, labels = C.table(spark, SF, "documents"), C.table(spark, SF, "labels")
+    assert len(toxicity.fit(docs, labels).places) > len(toxicity.fit(docs, labels, most=150).places)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 1.0, "a"), (None, "word", 1.0, "b"), (2, "", None, None), (2, "x " * 200000, None, None)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int")
