@@ -57,8 +57,8 @@ def topk_similar(spark, sf_dir):
     return A.nearest(v.select("vec_id", "embedding"), first[0], 10, "embedding")
 
 
-_MILLI = F.floor(F.col("score") * 1000).cast("long")
-_ALIGNED = lambda f: f.withColumns({"is_aligned": F.col("score") >= A.threshold(F.col("goal"), "sentence_transformer"), "milli": _MILLI})
+_MILLI = lambda: F.floor(F.col("score") * 1000).cast("long")
+_ALIGNED = lambda f: f.withColumns({"is_aligned": F.col("score") >= A.threshold(F.col("goal"), "sentence_transformer"), "milli": _MILLI()})
 _THR = "CASE goal " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(A.L.THRESHOLDS["sentence_transformer"][1], 1)) + " ELSE 0.52 END"
 _VA = f", a AS (SELECT *, score >= {_THR} AS is_aligned, floor(score * 1000)::BIGINT AS milli FROM f) "
 vector_query("goal_alignment_long", lambda f: _ALIGNED(f).drop("truth", "report_id"), _VA + "SELECT vec_id, goal, score, is_aligned, milli FROM a")
@@ -99,7 +99,7 @@ docs_query("keyword_boost", lambda d: A.keyword_boost(_TEXT_FACTS(d), "text", {1
 # Rollups
 facts_query("coverage_summary_wide", lambda f: R.wide(f, ["council", "year"], range(1, 6)), "SELECT council, year, count(*) AS activities, " + ", ".join(f"round(sum((goal = {g} AND is_aligned)::INT)::DOUBLE / count(*), 6) AS goal_{g}" for g in range(1, 6)) + " FROM f GROUP BY 1, 2")
 facts_query("rollup_grouping_sets", lambda f: R.grouped(f, [["state"], ["year"], ["setting"], ["state", "year", "setting"], []]), f"SELECT coalesce(setting, 'all') AS setting, coalesce(state, 'all') AS state, coalesce(year::VARCHAR, 'all') AS year, goal, count(*) AS n, {MEAN} AS mean_score, {SHARE} AS coverage FROM f GROUP BY GROUPING SETS ((state, goal), (year, goal), (setting, goal), (state, year, setting, goal), (goal))")
-facts_query("yearly_mean_of_means", lambda f: R.mean_of_means(f, ["council", "year"], ["year"]), "SELECT year, goal, round(avg(round(s::DOUBLE / n / 1000, 6)), 5) AS mean_of_means, round(sum(s)::DOUBLE / sum(n) / 1000, 6) AS pooled_mean FROM (SELECT council, year, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
+facts_query("yearly_mean_of_means", lambda f: R.mean_of_means(f, ["council", "year"], ["year"]), "SELECT year, goal, round(avg(round(s::DOUBLE / n / 1000, 6)), 9) AS mean_of_means, round(sum(s)::DOUBLE / sum(n) / 1000, 6) AS pooled_mean FROM (SELECT council, year, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
 facts_query("council_coverage", lambda f: R.council_coverage(f, ["year"], "council"), "SELECT year, goal, round(100.0 * sum(h) / count(*), 2)::DOUBLE AS coverage_pct, coalesce(string_agg(council, ',' ORDER BY council) FILTER (WHERE h = 1), '') AS councils FROM (SELECT year, goal, council, max(is_aligned::INT) AS h FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
 facts_query("urban_rural_distribution", lambda f: R.distribution(f, ["setting", "goal"]), "SELECT setting, goal, min(milli) AS low, max(milli) AS high, round(quantile_cont(milli, 0.25), 4)::DOUBLE AS q25, round(quantile_cont(milli, 0.5), 4)::DOUBLE AS median, round(quantile_cont(milli, 0.75), 4)::DOUBLE AS q75 FROM f GROUP BY 1, 2")
 QUERIES["topgoal_proportions"] = (lambda s, d: R.proportions(order_facts(s, d), ["council", "year"], s.range(1, 6).select(F.col("id").cast("int").alias("goal"))), OF + ", c AS (SELECT council, year, goal, count(*) AS n FROM f GROUP BY 1, 2, 3), g AS (SELECT DISTINCT council, year, k::INTEGER AS goal FROM f, (SELECT unnest(range(1, 6)) AS k)) SELECT council, year, goal, round(coalesce(n, 0)::DOUBLE / sum(coalesce(n, 0)) OVER (PARTITION BY council, year), 6) AS proportion FROM g LEFT JOIN c USING (council, year, goal)")
@@ -148,7 +148,7 @@ docs_query("bigrams", lambda d: K.pairs(d, 50), f"SELECT a || ' ' || b AS pair,
 docs_query("keyword_overlap", lambda d: K.overlap(K.frequent(d, ["source"], 20), "source"), f"WITH k AS (SELECT source, word FROM ({_WORDS.format('source')}) WHERE length(word) >= 4 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word) <= 20) SELECT x.source AS a, y.source AS b, count(*) AS shared FROM k x JOIN k y ON x.word = y.word AND x.source < y.source GROUP BY 1, 2")
 
 # Evaluation and sampling
-_EV = lambda f: f.select("goal", (F.col("goal") == F.col("truth")).cast("long").alias("y"), F.greatest(F.lit(0), F.least(F.lit(999), _MILLI)).alias("milli"))
+_EV = lambda f: f.select("goal", (F.col("goal") == F.col("truth")).cast("long").alias("y"), F.greatest(F.lit(0), F.least(F.lit(999), _MILLI())).alias("milli"))
 _SW = ", e AS (SELECT goal, (goal = truth)::BIGINT AS y, greatest(0, least(999, floor(score * 1000)::BIGINT)) AS milli FROM f), s AS (SELECT goal, i::INTEGER AS i, sum((y = 1 AND milli >= i * 10)::INT)::BIGINT AS tp, sum((y = 0 AND milli >= i * 10)::INT)::BIGINT AS fp, sum((y = 1 AND milli < i * 10)::INT)::BIGINT AS fn, sum((y = 0 AND milli < i * 10)::INT)::BIGINT AS tn FROM e, (SELECT unnest(range(1, 100)) AS i) GROUP BY 1, 2), m AS (SELECT *, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0), 6) AS fpr FROM s) SELECT * FROM m"
 vector_query("threshold_sweep", lambda f: E.sweep(_EV(f), ["goal"]), _SW)
 vector_query("threshold_best", lambda f: E.best(E.sweep(_EV(f), ["goal"]), ["goal"]), _SW + " WHERE fpr <= 0.35 QUALIFY row_number() OVER (PARTITION BY goal ORDER BY f1 DESC, i DESC) = 1")
