@@ -1,19 +1,53 @@
-"""A corpus from raw documents to packed sequences, in stages that read what the one before wrote."""
+"""A corpus from raw documents to packed sequences, in stages that read what the one before wrote.
+
+Toxic documents go; of each group of near-duplicates one stays; passages that stand elsewhere too are cut
+out of the texts; documents that hold passages of the benchmark go; what is left is packed. All but the
+last stage return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loomlens.llm import common as C
-from loomlens.llm import idfiles, packing
+from loomlens.llm import decontaminate, idfiles, neardup, packing, substrings, toxicity
+
+
+def toxicity_stage(spark, docs, sf_dir):
+    """Learns from the labels of the documents given; those that score a half or more go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels"), held_out=None))
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """The document with the smallest doc_id of each group stays; of rows that share a doc_id, all do."""
+    gone = neardup.classes(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+def repeated_passage_stage(spark, docs, sf_dir):
+    """Every document stays, with its repeated passages cut out."""
+    return substrings.cleaned(docs)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontaminate.clean(docs, C.table(spark, sf_dir, "benchmark"))
 
 
-def pack_stage(spark, docs, sf_dir):
+def packing_stage(spark, docs, sf_dir):
     """Pieces of sequences of 2048 tokens; the last stage, so that it doesn't return documents."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("suffix_array_dedup", repeated_passage_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-#: Tokenizers and trained models can't be put as SQL; tests hold run() against a brute-force version.
+#: Trained models and tokenizers can't be put as SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
