@@ -125,3 +125,20 @@ def html_text(html: Column) -> Column:
     """Tags and what scripts and styles hold become spaces; white space is squeezed."""
     bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def mention(text: Column, pattern: str) -> Column:
+    """The first sentence with the pattern, or null."""
+    return F.nullif(F.trim(F.regexp_extract(text, rf"(?i)[^.!?]*(?:{pattern})[^.!?]*[.!?]", 0)), F.lit(""))
+
+
+def context(text: Column, statement: Column, around: int = 100, lead: int = 50) -> Column:
+    """What stands around a statement in its source, found by its first characters; null if it isn't there."""
+    at = F.call_function("locate", F.substring(statement, 1, lead), text)
+    start = F.greatest(F.lit(1), at - around)
+    return F.when(at > 0, F.substring(text, start, at - start + F.length(statement) + around))
+
+
+def broken_letters(text: Column) -> Column:
+    """Runs of three or more single letters set apart, per word: a mark of bad character recognition."""
+    return F.regexp_count(text, F.lit(r"(?:\b[A-Za-z] ){2,}[A-Za-z]\b")) / F.size(tokens(text))

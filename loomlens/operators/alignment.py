@@ -92,3 +92,15 @@ def nearest(vectors: DataFrame, query, k: int, embedding: str) -> DataFrame:
     """The k rows nearest to one vector; each task keeps k."""
     at = F.lit([float(x) for x in query])
     return vectors.withColumn("score", F.round(cosine(F.col(embedding), at), 6)).drop(embedding).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def target_boost(facts: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """A goal scores at least as much as the best of its targets (by..., goal, target, score)."""
+    best = targets.groupBy(*by, "goal").agg(F.max("score").alias("_best"))
+    return facts.join(best, [*by, "goal"], "left").withColumns({"boosted": F.coalesce(F.col("_best") > F.col("score"), F.lit(False)), "score": F.greatest("score", "_best")}).drop("_best")
+
+
+def model_weight(precision_first: Column, precision_second: Column) -> Column:
+    """The first model's share of both precisions, a half if neither has any."""
+    total = precision_first + precision_second
+    return F.when(total > 0, F.round(precision_first / total, 3)).otherwise(0.5)

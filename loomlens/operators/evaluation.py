@@ -69,3 +69,35 @@ def votes(rows: DataFrame, item: str, vote: str, least: int = 3, first: str = "a
     n = lambda v: F.sum((F.col(vote) == v).cast("long"))
     per = rows.groupBy(item).agg(n(first).alias("n_first"), n(second).alias("n_second"), F.count("*").alias("n"))
     return per.withColumn("consensus", F.when(F.col("n_first") >= least, first).when(F.col("n_second") >= least, second).otherwise("neutral"))
+
+
+def multi_label(rows: DataFrame, by: str) -> DataFrame:
+    """Exact match, Hamming loss, Jaccard and F1 averaged over samples, from long rows (by, goal, y, p) of 0 and 1. No label on either side counts as a match."""
+    n = lambda c: F.sum(c.cast("int"))
+    both = n((F.col("y") == 1) & (F.col("p") == 1)).alias("both")
+    per = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("p").alias("p"), both, n(F.col("y") != F.col("p")).alias("off"))
+    either = F.col("y") + F.col("p") - F.col("both")
+    jaccard = F.when(either == 0, 1.0).otherwise(F.col("both") / either)
+    f1 = F.when(F.col("y") + F.col("p") == 0, 1.0).otherwise(2 * F.col("both") / (F.col("y") + F.col("p")))
+    mean = lambda c, k: F.round(F.avg(c), 6).alias(k)
+    return per.agg(mean((F.col("off") == 0).cast("double"), "exact"), mean(F.col("off") / F.col("n"), "hamming"), mean(jaccard, "jaccard"), mean(f1, "sample_f1"))
+
+
+def weight_grid(rows: DataFrame, by: list[str], truth: str, steps: int = 10) -> DataFrame:
+    """Accuracy of the top goal for each weight i / steps of bert against st. The grid is of fixed size."""
+    grid = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("s", F.round(F.col("i") / steps * F.col("bert") + (1 - F.col("i") / steps) * F.col("st"), 8))
+    top = grid.groupBy("i", *by).agg(F.max(F.struct("s", (-F.col("goal")).alias("g"))).alias("x"), F.first(truth).alias("truth"))
+    return top.groupBy("i").agg(F.count("*").alias("n"), F.sum((-F.col("x.g") == F.col("truth")).cast("long")).alias("hits"))
+
+
+def similar_pairs(docs: DataFrame, key: str, words: str, above: float = 0.9) -> DataFrame:
+    """Pairs whose word sets' Jaccard similarity is over a bound. Only the rarest words of each set that such a pair must share are joined."""
+    sets = docs.select(F.col(key).alias("k"), F.array_distinct(words).alias("w")).where("size(w) > 0")
+    df = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = sets.select("k", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    need = F.col("n") - F.ceil(F.col("n") * above) + 1
+    prefix = ranked.select("k", "n", F.explode(F.slice("w", F.lit(1), need.cast("int"))["word"]).alias("word"))
+    a, b = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "word"), prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "word")
+    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= above * F.greatest("na", "nb"))).select("a", "b").distinct()
+    full = met.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
+    return full.withColumn("jaccard", F.round(F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")), 6)).where(F.col("jaccard") > above).select("a", "b", "jaccard")

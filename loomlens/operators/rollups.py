@@ -39,7 +39,7 @@ def grouped(facts: DataFrame, sets: list[list[str]]) -> DataFrame:
 def mean_of_means(facts: DataFrame, report: list[str], by: list[str]) -> DataFrame:
     """Unweighted mean over reports of each report's mean, against the mean over all activities."""
     per = facts.groupBy(*report, "goal").agg(F.sum("milli").alias("s"), F.count("*").alias("n"))
-    return per.groupBy(*by, "goal").agg(F.round(F.avg(F.round(F.col("s").cast("double") / F.col("n") / 1000, 6)), 9).alias("mean_of_means"), F.round(F.sum("s").cast("double") / F.sum("n") / 1000, 6).alias("pooled_mean"))
+    return per.groupBy(*by, "goal").agg(F.round(F.avg(F.col("s").cast("double") / F.col("n") / 1000), 12).alias("mean_of_means"), F.round(F.sum("s").cast("double") / F.sum("n") / 1000, 6).alias("pooled_mean"))
 
 
 def council_coverage(facts: DataFrame, by: list[str], council: str) -> DataFrame:

@@ -9,6 +9,7 @@ from .operators import alignment as A
 from .operators import evaluation as E
 from .operators import keywords as K
 from .operators import rollups as R
+from .operators import topics as TP
 from .operators import trends as TR
 from .plans.facts import ORDER_FACTS as OF
 from .plans.facts import VECTOR_FACTS as VF
@@ -99,7 +100,7 @@ docs_query("keyword_boost", lambda d: A.keyword_boost(_TEXT_FACTS(d), "text", {1
 # Rollups
 facts_query("coverage_summary_wide", lambda f: R.wide(f, ["council", "year"], range(1, 6)), "SELECT council, year, count(*) AS activities, " + ", ".join(f"round(sum((goal = {g} AND is_aligned)::INT)::DOUBLE / count(*), 6) AS goal_{g}" for g in range(1, 6)) + " FROM f GROUP BY 1, 2")
 facts_query("rollup_grouping_sets", lambda f: R.grouped(f, [["state"], ["year"], ["setting"], ["state", "year", "setting"], []]), f"SELECT coalesce(setting, 'all') AS setting, coalesce(state, 'all') AS state, coalesce(year::VARCHAR, 'all') AS year, goal, count(*) AS n, {MEAN} AS mean_score, {SHARE} AS coverage FROM f GROUP BY GROUPING SETS ((state, goal), (year, goal), (setting, goal), (state, year, setting, goal), (goal))")
-facts_query("yearly_mean_of_means", lambda f: R.mean_of_means(f, ["council", "year"], ["year"]), "SELECT year, goal, round(avg(round(s::DOUBLE / n / 1000, 6)), 9) AS mean_of_means, round(sum(s)::DOUBLE / sum(n) / 1000, 6) AS pooled_mean FROM (SELECT council, year, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
+facts_query("yearly_mean_of_means", lambda f: R.mean_of_means(f, ["council", "year"], ["year"]), "SELECT year, goal, round(avg(s::DOUBLE / n / 1000), 12) AS mean_of_means, round(sum(s)::DOUBLE / sum(n) / 1000, 6) AS pooled_mean FROM (SELECT council, year, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
 facts_query("council_coverage", lambda f: R.council_coverage(f, ["year"], "council"), "SELECT year, goal, round(100.0 * sum(h) / count(*), 2)::DOUBLE AS coverage_pct, coalesce(string_agg(council, ',' ORDER BY council) FILTER (WHERE h = 1), '') AS councils FROM (SELECT year, goal, council, max(is_aligned::INT) AS h FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
 facts_query("urban_rural_distribution", lambda f: R.distribution(f, ["setting", "goal"]), "SELECT setting, goal, min(milli) AS low, max(milli) AS high, round(quantile_cont(milli, 0.25), 4)::DOUBLE AS q25, round(quantile_cont(milli, 0.5), 4)::DOUBLE AS median, round(quantile_cont(milli, 0.75), 4)::DOUBLE AS q75 FROM f GROUP BY 1, 2")
 QUERIES["topgoal_proportions"] = (lambda s, d: R.proportions(order_facts(s, d), ["council", "year"], s.range(1, 6).select(F.col("id").cast("int").alias("goal"))), OF + ", c AS (SELECT council, year, goal, count(*) AS n FROM f GROUP BY 1, 2, 3), g AS (SELECT DISTINCT council, year, k::INTEGER AS goal FROM f, (SELECT unnest(range(1, 6)) AS k)) SELECT council, year, goal, round(coalesce(n, 0)::DOUBLE / sum(coalesce(n, 0)) OVER (PARTITION BY council, year), 6) AS proportion FROM g LEFT JOIN c USING (council, year, goal)")
@@ -169,3 +170,16 @@ QUERIES["json_props_agg"] = (lambda s, d: table(s, d, "events").groupBy("event_t
 QUERIES["tumbling_window"] = (lambda s, d: S.tumbling(table(s, d, "events")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 QUERIES["sliding_rate"] = (lambda s, d: S.sliding_rate(table(s, d, "events"), 2), "SELECT w AS window_start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2 HAVING count(*) > 2")
 QUERIES["session_users"] = (lambda s, d: S.sessions(table(s, d, "events")), "WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+
+# Further alignment, evaluation and text operators
+_TARGETS = lambda f: f.select("vec_id", "goal", F.explode(F.array(F.lit(1), F.lit(2))).alias("target"), "score").withColumn("score", F.round(F.col("score") * (0.9 + F.col("target") * 0.1 * (F.col("vec_id") % 3)), 8))
+vector_query("target_boost", lambda f: A.target_boost(f.select("vec_id", "goal", "score"), _TARGETS(f), ["vec_id"]), ", t AS (SELECT vec_id, goal, max(round(score * (0.9::DOUBLE + k * 0.1::DOUBLE * (vec_id % 3)), 8)) AS m FROM f, (SELECT unnest([1, 2]) AS k) GROUP BY 1, 2) SELECT vec_id, goal, m > score AS boosted, greatest(score, m) AS score FROM f JOIN t USING (vec_id, goal)")
+vector_query("weight_grid_search", lambda f: E.weight_grid(_TWO(f).join(f.select("vec_id", "goal", "truth"), ["vec_id", "goal"]), ["vec_id"], "truth"), ", m AS (SELECT vec_id, goal, truth, score AS st, round(greatest(0.0, 1 - (1 - score) * 2), 6) AS bert FROM f), grid AS (SELECT i::INTEGER AS i, vec_id, truth, goal, round(i / 10 * bert + (1 - i / 10) * st, 8) AS s FROM m, (SELECT unnest(range(0, 11)) AS i)), t AS (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY i, vec_id ORDER BY s DESC, goal) = 1) SELECT i, count(*) AS n, sum((goal = truth)::INT)::BIGINT AS hits FROM t GROUP BY 1")
+vector_query("multilabel_metrics", lambda f: E.multi_label(f.select("vec_id", "goal", (F.col("goal") == F.col("truth")).cast("int").alias("y"), (F.col("score") >= 0.3).cast("int").alias("p")), "vec_id"), ", r AS (SELECT vec_id, count(*) AS n, sum((goal = truth)::INT) AS y, sum((score >= 0.3)::INT) AS p, sum((goal = truth AND score >= 0.3)::INT) AS b, sum(((goal = truth) <> (score >= 0.3))::INT) AS o FROM f GROUP BY 1) SELECT round(avg((o = 0)::INT), 6) AS exact, round(avg(o / n), 6) AS hamming, round(avg(CASE WHEN y + p - b = 0 THEN 1.0 ELSE b / (y + p - b) END), 6) AS jaccard, round(avg(CASE WHEN y + p = 0 THEN 1.0 ELSE 2 * b / (y + p) END), 6) AS sample_f1 FROM r")
+docs_query("mention_scan", lambda d: d.select("doc_id", T.mention(F.col("text"), "rewh").alias("mention")).where("mention is not null"), f"SELECT doc_id, trim(m) AS mention FROM (SELECT doc_id, regexp_extract(text, '(?i)[^.!?]*(?:rewh)[^.!?]*[.!?]') AS m FROM {_EN}) WHERE trim(m) <> ''")
+docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text")), 1)).alias("context")).where("context is not null"), None)
+docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(F.col("text")), 6).alias("density")), None)
+docs_query("jaccard_pairs", lambda d: E.similar_pairs(d.where("n_chars < 2000").select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 0.8), f"WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {_EN} WHERE n_chars < 2000), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT a, b, round(k / (x + y - k), 6) AS jaccard FROM p WHERE round(k / (x + y - k), 6) > 0.8")
+facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council", "goal").agg(F.max(F.struct("milli", (-F.col("activity_id")).alias("i"))).alias("x")).select("council", "goal", F.col("x.milli").alias("milli"), (-F.col("x.i")).alias("activity_id")), "SELECT council, goal, milli, activity_id FROM f WHERE NOT is_aligned QUALIFY row_number() OVER (PARTITION BY council, goal ORDER BY milli DESC, activity_id) = 1")
+QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
+QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents").where("lang = 'en'"), rounds=5), None)
