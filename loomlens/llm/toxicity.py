@@ -14,7 +14,6 @@ labels of one kind only, every text scores that kind's share (0 without rows).
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,12 +111,12 @@ class Machine:
 
 def _telling(rows: list[np.ndarray], labels: np.ndarray, kept: int, least: float = LEAST_TELLING) -> dict[int, int]:
     """The terms whose presence tells most about the label (likelihood ratio), to their places."""
-    of = [Counter(), Counter()]
+    n = np.zeros((2, BUCKETS), dtype=np.int32)
     for x, y in zip(rows, labels, strict=True):
-        of[int(y)].update(x.tolist())
-    names = np.array(sorted({t for c in of for t, n in c.items() if n >= 2}), dtype=np.int64)
+        n[int(y), x] += 1  # a text has each of its terms once
+    names = np.flatnonzero(n.max(axis=0) >= 2)
     n0, n1 = float((labels == 0).sum()), float((labels == 1).sum())
-    a, b = (np.array([c[t] for t in names.tolist()], dtype=float) for c in of)
+    a, b = n[0, names].astype(float), n[1, names].astype(float)
 
     def part(seen, wanted):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(wanted, 1e-12)), 0)
@@ -148,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_out:
     seen = C.text_bytes(docs).join(F.broadcast(known), "doc_id").select(F.col("y").cast("long").alias("y"), "text").mapInArrow(read, "y long, terms binary").collect()
     y = np.array([r["y"] for r in seen], dtype=float)
     rows = [np.frombuffer(r["terms"], np.int32) for r in seen]
+    del seen
     share = float(y.mean()) if len(y) else 0.0
     edge = min(max(share, 1e-9), 1 - 1e-9)
     machine = Machine(_telling(rows, y, KEPT_TERMS) if 0 < share < 1 else {}, float(np.log(edge / (1 - edge))))
