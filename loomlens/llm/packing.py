@@ -48,9 +48,9 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> Da
     """Pass 1: (part, doc_id, local start, n, ids as bytes), checkpointed, so that later passes see the same order."""
 
     def encode(batches):
-        from .tokens import ByteLevel
+        from .tokens import byte_level
 
-        ids_of, part = ByteLevel(tokenizer), C.part_id()
+        ids_of, part = byte_level(tokenizer), C.part_id()
 
         def rows():
             local = 0

@@ -1,12 +1,15 @@
 """Whole texts to ids of the public tokenizers, with a bounded memory of units met before.
 
 A unit is a stretch of text at whose borders the tokenizer always cuts, so that a text's ids are
-those of its units in a row. Every unit's ids come from the tokenizers library.
+those of its units in a row. A unit's ids come from the tokenizers library; for words of a byte-level
+vocabulary that also comes as a file of ranks, from the same merges by way of tiktoken, which are the same ids.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 
 import numpy as np
 
@@ -14,9 +17,14 @@ import numpy as np
 MOST_UNITS = 600_000
 
 #: White space other than space, tab, LF and CR, as UTF-8. A text with any of it isn't cut into units by gaps.
+_ODD_LEADS = b"\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
 _ODD_SPACE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").search
 #: A gap goes with the word after it, as a byte-level tokenizer joins a space to the word.
 _GAP_WORDS = re.compile(rb"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_LETTERS = re.compile(rb" ?" + _LETTER + rb"+").fullmatch  # of ASCII or U+00C0 to U+00FF
+#: A line's end, a word and the signs after it, each cut off from the next.
+_PARTS = re.compile(rb"(\n)?( ?" + _LETTER + rb"+)([.,;:!?|]+)?").fullmatch
 
 #: Plain texts: ASCII and the letters of U+00C0 to U+00FF only, no apostrophe (it starts contractions).
 _NOT_PLAIN = re.compile(rb"['\xc2\xc4-\xff]|\xc3[\x97\xb7]").search
@@ -33,7 +41,7 @@ class Units(dict):
     def __missing__(self, unit: bytes) -> bytes:
         if len(self) >= MOST_UNITS:
             self.clear()
-        self[unit] = got = np.array(self.encode(unit), dtype="<u4").tobytes()
+        self[unit] = got = array("I", self.encode(unit)).tobytes()
         return got
 
 
@@ -49,6 +57,22 @@ def _load(name: str):
     return tokenizer
 
 
+def _merges(name: str):
+    """A function from a word to its ids, if a file of ranks stands beside the vocabulary."""
+    import base64
+    import os
+
+    import public_tokenizers
+    import tiktoken
+
+    path = (name if os.sep in name else public_tokenizers.path(name)).removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(path):
+        return None
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def _visible() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,24 +85,39 @@ class ByteLevel:
 
     def __init__(self, name: str):
         tokenizer = _load(name)
-        self.units = Units(lambda u: tokenizer.encode(u.decode(), add_special_tokens=False).ids)
+        merged = _merges(name) or (lambda unit: tokenizer.encode(unit.decode(), add_special_tokens=False).ids)
+
+        def encode(unit: bytes) -> list[int]:
+            if _LETTERS(unit):  # one word to the cutter
+                return merged(unit)
+            if parts := _PARTS(unit):
+                return [i for part in parts.groups() if part for i in np.frombuffer(self.units[part], "<u4")]
+            return tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+
+        self.units = Units(encode)
 
     def __call__(self, text: bytes) -> np.ndarray:
-        units = [text] if _ODD_SPACE(text) else _GAP_WORDS(text)
+        odd = len(text.translate(None, _ODD_LEADS)) < len(text) and _ODD_SPACE(text)
+        units = [text] if odd else _GAP_WORDS(text)
         return np.frombuffer(b"".join(map(self.units.__getitem__, units)), dtype="<u4")
 
 
+@functools.cache
+def byte_level(name: str) -> ByteLevel:
+    """One for each worker process, with the units that its tasks have met."""
+    return ByteLevel(name)
+
+
 class WordLevel:
     """Ids of a BPE with word ends that lower-cases and drops white space."""
 
     def __init__(self, name: str):
         tokenizer = _load(name)
         seen = _visible()
-        letters = re.compile(rb"[a-z]+").fullmatch
 
         def encode(unit: bytes) -> list[int]:
-            if letters(unit):  # such a run is one word: no normalizer or cutting is needed
-                return [t.id for t in tokenizer.model.tokenize("".join(seen[b] for b in unit))]
+            if _LETTERS(unit):  # such a run is one word: it only needs lower-casing
+                return [t.id for t in tokenizer.model.tokenize("".join(map(seen.__getitem__, unit.decode().lower().encode())))]
             return tokenizer.encode(unit.decode(), add_special_tokens=False).ids
 
         self.units = Units(encode)
@@ -86,3 +125,9 @@ class WordLevel:
     def __call__(self, text: bytes) -> np.ndarray:
         units = text.split() if _NOT_PLAIN(text) else _RUNS(text.lower())
         return np.frombuffer(b"".join(map(self.units.__getitem__, units)), dtype="<u4")
+
+
+@functools.cache
+def word_level(name: str) -> WordLevel:
+    """One for each worker process, with the units that its tasks have met."""
+    return WordLevel(name)
