@@ -128,9 +128,9 @@ def blocks(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, block_id
     """(part, block, n_docs, n_ids, data): documents in ascending doc_id order over the partitions and blocks."""
 
     def encode(batches):
-        from .tokens import WordLevel
+        from .tokens import word_level
 
-        ids_of, part = WordLevel(tokenizer), C.part_id()
+        ids_of, part = word_level(tokenizer), C.part_id()
 
         def rows():
             names, lengths, parts, size, block = [], [], [], 0, 0
@@ -148,8 +148,8 @@ def blocks(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, block_id
 
         yield from batches_of(rows(), _BLOCKS, lambda r: len(r[4]))
 
-    order = ["doc_id", "text"]
-    return C.text_bytes(docs).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, sql_schema(_BLOCKS))
+    # The texts stay out of the range's sample, which goes to the driver.
+    return C.text_bytes(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, sql_schema(_BLOCKS))
 
 
 def write(docs: DataFrame, path: str, **how) -> str:
