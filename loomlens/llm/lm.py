@@ -197,7 +197,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
     counts = counted(training.select("doc_id", "text")).checkpoint()
     n_docs = training.select("doc_id").count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head)
+    top = counts.orderBy(F.desc("c"), "word").limit(head).checkpoint()  # chosen on an executor, not among what all tasks send to the driver
     top = [(bytes(r["word"]), r["c"]) for r in top.collect()]  # at most ``head`` rows
     n, v = n_words + n_docs, n_distinct + (n_docs > 0)
     head_words = sum(c for _, c in top)
