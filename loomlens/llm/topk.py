@@ -104,7 +104,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int =
     _, turn = np.linalg.eigh(_moments(rows, width))
     turn = turn[:, ::-1].copy()
     lead = min(LEAD, width)
-    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(head).toPandas()  # a fixed number
+    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(head).checkpoint().toPandas()  # a fixed number, chosen on an executor
     head_names = longest["vec_id"].to_numpy(np.int64)
     head_rows = _matrix(pa.array(longest["v"].tolist(), pa.list_(pa.float64())), width)
 
