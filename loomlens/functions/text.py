@@ -129,7 +129,8 @@ def html_text(html: Column) -> Column:
 
 def mention(text: Column, pattern: str) -> Column:
     """The first sentence with the pattern, or null."""
-    return F.nullif(F.trim(F.regexp_extract(text, rf"(?i)[^.!?]*(?:{pattern})[^.!?]*[.!?]", 0)), F.lit(""))
+    # A match begins where a sentence does; said so, it isn't tried again from each letter of a long one.
+    return F.nullif(F.trim(F.regexp_extract(text, rf"(?i)(?<![^.!?])[^.!?]*(?:{pattern})[^.!?]*[.!?]", 0)), F.lit(""))
 
 
 def context(text: Column, statement: Column, around: int = 100, lead: int = 50) -> Column:

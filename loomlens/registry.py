@@ -41,7 +41,13 @@ def vector_query(name, f, sql):
 
 
 def docs_query(name, f, sql):
-    QUERIES[name] = (lambda spark, sf_dir: f(table(spark, sf_dir, "documents").where("lang = 'en'")), sql)
+    """Over all documents. Where the given SQL reads English ones only, the query of that name does too, and name_all reads all, held to the SQL without that filter."""
+    whole = lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
+    if sql is None:
+        QUERIES[name] = (whole, None)
+    else:
+        QUERIES[name] = (lambda spark, sf_dir: f(table(spark, sf_dir, "documents").where("lang = 'en'")), sql)
+        QUERIES[f"{name}_all"] = (whole, sql.replace(" WHERE lang = 'en'", ""))
 
 
 # Similarity and alignment
@@ -137,8 +143,8 @@ docs_query("relevance_score", lambda d: d.select("doc_id", F.round(T.relevance(F
 docs_query("clean_text", lambda d: d.select("doc_id", T.clean_text(F.col("text")).alias("text")), None)
 docs_query("smart_join", lambda d: d.select("doc_id", F.posexplode(T.joined_sentences(T.sentences(F.col("text")), ("the", "and", "of", "to"), 60)).alias("pos", "statement")), None)
 QUERIES["html_to_text"] = (lambda s, d: table(s, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
-_NAME = lambda d: d.select("doc_id", F.concat_ws("_", F.upper("lang"), F.col("source"), F.lit("Shire"), F.when(F.col("doc_id") % 2 == 0, "Urban").otherwise("Rural"), (2023 + F.col("doc_id") % 3).cast("string")).alias("n"))
-docs_query("report_identity", lambda d: _NAME(d).select("doc_id", *(c.alias(k) for k, c in T.report_identity(F.concat(F.col("n"), F.lit(".csv"))).items())), f"SELECT doc_id, upper(lang) AS state, source || ' Shire' AS council, CASE WHEN doc_id % 2 = 0 THEN 'Urban' ELSE 'Rural' END AS setting, (2023 + doc_id % 3)::VARCHAR AS year FROM {_EN}")
+_NAME = lambda d: d.select("doc_id", F.concat_ws("_", F.coalesce(F.upper("lang"), F.lit("")), F.col("source"), F.lit("Shire"), F.when(F.col("doc_id") % 2 == 0, "Urban").otherwise("Rural"), (2023 + F.col("doc_id") % 3).cast("string")).alias("n"))
+docs_query("report_identity", lambda d: _NAME(d).select("doc_id", *(F.nullif(c, F.lit("")).alias(k) for k, c in T.report_identity(F.concat(F.col("n"), F.lit(".csv"))).items())), f"SELECT doc_id, upper(lang) AS state, source || ' Shire' AS council, CASE WHEN doc_id % 2 = 0 THEN 'Urban' ELSE 'Rural' END AS setting, (2023 + doc_id % 3)::VARCHAR AS year FROM {_EN}")
 
 # Keywords
 _WORDS = f"SELECT {{}}, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM {_EN}"
@@ -182,4 +188,4 @@ docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(
 docs_query("jaccard_pairs", lambda d: E.similar_pairs(d.where("n_chars < 2000").select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 0.8), f"WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {_EN} WHERE n_chars < 2000), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT a, b, round(k / (x + y - k), 6) AS jaccard FROM p WHERE round(k / (x + y - k), 6) > 0.8")
 facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council", "goal").agg(F.max(F.struct("milli", (-F.col("activity_id")).alias("i"))).alias("x")).select("council", "goal", F.col("x.milli").alias("milli"), (-F.col("x.i")).alias("activity_id")), "SELECT council, goal, milli, activity_id FROM f WHERE NOT is_aligned QUALIFY row_number() OVER (PARTITION BY council, goal ORDER BY milli DESC, activity_id) = 1")
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
-QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents").where("lang = 'en'"), rounds=5), None)
+QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)

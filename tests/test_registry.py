@@ -90,3 +90,18 @@ def test_ingest_skips_what_is_there(spark, tmp_path):
     spark.createDataFrame([(2, "c"), (3, "d")], schema).write.mode("append").parquet(src)
     assert S.ingest(spark, src, out, ck, schema, ["id"]) == {"total": 2, "done": 1, "skipped": 1}
     assert spark.read.parquet(out).count() == 3
+
+
+def test_every_language_is_read(spark, tmp_path):
+    # The first rows of any language, as they are and all said to be English: what queries over all documents return may not differ by that.
+    names = [n for n, (f, sql) in registry.QUERIES.items() if n.endswith("_all") or n in ("filter_report", "clean_text", "smart_join", "source_context", "ocr_density", "lda_topics")]
+    assert len(names) > 20
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").selectExpr("doc_id", "text", "case when doc_id % 5 = 0 then null else lang end as lang", "source", "n_chars").orderBy("doc_id").limit(60)
+    assert docs.where("lang = 'en'").count() < 60 > docs.where("lang is not null").count()
+    docs.coalesce(1).write.parquet(str(tmp_path / "mixed/documents.parquet"))
+    spark.read.parquet(str(tmp_path / "mixed/documents.parquet")).selectExpr("doc_id", "text", "'en' as lang", "source", "n_chars").write.parquet(str(tmp_path / "en/documents.parquet"))
+    for name in names:
+        mixed, english = (registry.QUERIES[name][0](spark, str(tmp_path / d)) for d in ("mixed", "en"))
+        columns = [c for c in mixed.columns if c != "state"]
+        assert rows(mixed.select(*columns).collect(), columns) == rows(english.select(*columns).collect(), columns), name
+    assert {r.doc_id for r in registry.QUERIES["clean_text"][0](spark, str(tmp_path / "mixed")).collect()} == {r.doc_id for r in docs.collect()}
