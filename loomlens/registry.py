@@ -185,7 +185,10 @@ vector_query("multilabel_metrics", lambda f: E.multi_label(f.select("vec_id", "g
 docs_query("mention_scan", lambda d: d.select("doc_id", T.mention(F.col("text"), "rewh").alias("mention")).where("mention is not null"), f"SELECT doc_id, trim(m) AS mention FROM (SELECT doc_id, regexp_extract(text, '(?i)[^.!?]*(?:rewh)[^.!?]*[.!?]') AS m FROM {_EN}) WHERE trim(m) <> ''")
 docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text")), 1)).alias("context")).where("context is not null"), None)
 docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(F.col("text")), 6).alias("density")), None)
-docs_query("jaccard_pairs", lambda d: E.similar_pairs(d.where("n_chars < 2000").select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 0.8), f"WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {_EN} WHERE n_chars < 2000), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT a, b, round(k / (x + y - k), 6) AS jaccard FROM p WHERE round(k / (x + y - k), 6) > 0.8")
+_SIMILAR = lambda d: E.similar_pairs(d.select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 0.8)
+# The SQL compares all pairs, so it reads short English texts only; over all documents there is none.
+QUERIES["jaccard_pairs"] = (lambda s, d: _SIMILAR(table(s, d, "documents").where("lang = 'en' and n_chars < 2000")), f"WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {_EN} WHERE n_chars < 2000), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT a, b, round(k / (x + y - k), 6) AS jaccard FROM p WHERE round(k / (x + y - k), 6) > 0.8")
+docs_query("jaccard_pairs_all", _SIMILAR, None)
 facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council", "goal").agg(F.max(F.struct("milli", (-F.col("activity_id")).alias("i"))).alias("x")).select("council", "goal", F.col("x.milli").alias("milli"), (-F.col("x.i")).alias("activity_id")), "SELECT council, goal, milli, activity_id FROM f WHERE NOT is_aligned QUALIFY row_number() OVER (PARTITION BY council, goal ORDER BY milli DESC, activity_id) = 1")
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
 QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)

@@ -105,3 +105,20 @@ def test_every_language_is_read(spark, tmp_path):
         columns = [c for c in mixed.columns if c != "state"]
         assert rows(mixed.select(*columns).collect(), columns) == rows(english.select(*columns).collect(), columns), name
     assert {r.doc_id for r in registry.QUERIES["clean_text"][0](spark, str(tmp_path / "mixed")).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_similar_pairs_of_all_documents(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    docs = []
+    for i in range(40):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 700]))]
+        docs.append((2 * i, " ".join(w), rng.choice(["en", "de", None])))
+        docs.append((2 * i + 1, " ".join([*w[: len(w) - rng.randrange(len(w) // 4 + 1)], "Extra"]), rng.choice(["en", "fr", None])))
+    frame = spark.createDataFrame([(i, t, lang, "s", None if i % 3 == 0 else len(t)) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    sets = [(i, set(t.lower().split())) for i, t, _ in docs]
+    want = {(a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets for b, y in sets if a < b and round(len(x & y) / len(x | y), 6) > 0.8}
+    assert any(len(docs[a][1]) > 2000 for a, _, _ in want) and any(docs[a][2] is None for a, _, _ in want)
+    assert {tuple(r) for r in registry.QUERIES["jaccard_pairs_all"][0](spark, str(tmp_path)).collect()} == want
