@@ -51,3 +51,82 @@ SECTION_WEIGHTS = {
     "governance": {10: 1.3, 11: 1.2, 16: 1.5, 17: 1.4},
     "finance": {1: 1.3, 8: 1.3, 10: 1.2, 17: 1.3},
 }
+
+# Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = (
+    "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "ave", "blvd", "rd", "inc", "ltd", "corp", "llc", "eg", "ie", "etc", "vol", "vols",
+    "pg", "pp", "ed", "eds", "no", "nos", "fig", "figs", "et al",
+)
+
+# Words that keep a text from being generic: verbs as whole words, the rest as substrings.
+PRIORITY_VERBS = (
+    "implement", "deliver", "complete", "construct", "build", "establish", "create", "launch", "initiate", "introduce", "develop", "install",
+    "upgrade", "renew", "refurbish", "purchase", "acquire", "commission", "open", "start", "appoint", "award", "grant", "fund",
+    "implemented", "delivered", "completed", "constructed", "built", "established", "created", "launched", "initiated", "introduced", "developed", "installed",
+    "upgraded", "renewed", "refurbished", "purchased", "acquired", "commissioned", "opened", "started", "appointed", "awarded", "granted", "funded",
+)
+SPECIFIC_TERMS = (
+    "council", "councils", "councillor", "councillors", "shire", "city", "municipality", "local government", "we", "our", "mayor", "lord mayor",
+    "library", "libraries", "waste", "recycling", "roads", "childcare", "planning permit", "building permit", "parking", "pool", "sport", "park", "facility", "facilities", "aged care", "community center", "community centre", "wastewater", "sewer", "drainage", "footpath", "street", "playground", "reserve", "hall", "venue", "service",
+    "sustainable", "climate", "environment", "community", "health", "education", "infrastructure", "economic", "social", "partnership", "innovation", "biodiversity", "renewable", "waste", "recycling", "wellbeing", "inclusion", "diversity", "accessibility", "conservation",
+    "nbn", "telstra", "state government", "federal government", "australian government", "nsw government", "victorian government", "queensland government", "services australia", "centrelink",
+)
+
+# Outcomes in figures, whatever the case.
+OUTCOMES = (r"\d+\s*(?:percent|%|people|households|residents|jobs|tonnes|units)", r"\$[\d,]+(?:\.\d{2})?", r"(?:increased|decreased|reduced|improved)\s+by\s+\d+")
+
+# Accounts, audits, compliance, personnel and descriptions, matched on lower-cased text; those with a capital I match nothing, as in the original.
+NON_ACTIVITY = (
+    r'\bthese\s+(past\s+service\s+)?(general\s+purpose\s+)?financial\s+statements?\s+(have\s+been\s+)?(prepared|are)\b',
+    r'\bfinancial\s+statements?\s+have\s+been\s+prepared\s+in\s+accordance\s+with\b',
+    r'\bnotes\s+to\s+the\s+financial\s+statements\b',
+    r'\babout\s+the\s+notes\s+to\s+the\s+financial\s+statements\b',
+    r'\bcontingencies?\s*\(continued\)\b',
+    r'\baustralian\s+accounting\s+standards?\b',
+    r'\bjudgements?\s+and\s+assumptions\s+made\s+by\s+management\b',
+    r'\bmaterial\s+misstatements?\s+are\s+considered\s+material\s+if\b',
+    r'\ball\s+(assets|liabilities)\s+for\s+which\s+fair\s+value\s+is\s+measured\b',
+    r'\bfair\s+value\s+hierarchy\b',
+    r'\baccrued\s+liabilities?\s+are\s+(used|assessed|maintained)\b',
+    r'\bpast\s+service\s+contributions?\s+are\s+used\b',
+    r'\bfunding\s+position\s+for\s+(the\s+)?accrued\s+liabilities\b',
+    r'\bdefined\s+benefit\s+(scheme|superannuation|liabilities?)\b',
+    r'\bvision\s+super\s+(has\s+advised|advises)\b',
+    r'\bactuarial\s+(investigation|assessment|report)\s+(was\s+)?(held|conducted|completed)\b',
+    r'\bservice\s+cost\s*\$\d{1,3}(,\d{3})*\.\d{2}\b',
+    r'\bindependent\s+auditor["\']?s?\s+report\s+(to\s+the\s+councillors?)\b',
+    r'\b(independent\s+)?auditor["\']?s?\s+report\s*[:\-]\s*\bto\s+the\b',
+    r'\bconducted\s+my\s+audit\s+in\s+accordance\s+with\s+the\s+audit\s+act\b',
+    r'\bbasis\s+(for\s+opinion|of\s+opinion)\s*[:\-]\s*\bI\s+have\s+conducted\b',
+    r'\bopinion\s+on\s+the\s+financial\s+statements?\b',
+    r'\bmisstatements?\s+are\s+considered\s+material\s+if\b',
+    r'\bI\s+communicate\s+with\s+the\s+councillors\s+regarding\b',
+    r'\bkey\s+areas\s+of\s+focus\s+for\s+the\s+audit\s+committee\s+during\s+the\s+year\s+were\b',
+    r'\bthe\s+planned\s+scope\s+and\s+timing\s+of\s+the\s+audit\b',
+    r'\ba\s+risk\s+based\s+four-year\s+strategic\s+internal\s+audit\s+plan\s+is\s+revised\b',
+    r'\bcouncil["\']?s?\s+internal\s+audit\s+function\s+provides\b',
+    r'\bparliament\s+promotes\s+independence\s+by\s+ensuring\s+the\s+auditor-general\b',
+    r'\bin\s+accordance\s+with\s+section\s+\d+[a-z]*\s+(and\s+\d+[a-z]*)?\s+of\s+the\s+\w+\s+act\b',
+    r'\bthe\s+\w+\s+act\s+\d{4}\s+(provides|states|requires)\s+(that|for|a)\s+council\b',
+    r'\ba\s+council\s+that\s+is\s+a\s+(collecting|development)\s+agency\s+must\b',
+    r'\bthe\s+report\s+must\s+be\s+published\s+in\b',
+    r'\bsection\s+\d+\s+of\s+the\s+\w+\s+act\s+\d{4}\s+provides\s+for\b',
+    r'\bperformance\s+statement\s+certification\b',
+    r'\bin\s+my\s+opinion\s*,?\s+the\s+(accompanying\s+)?(performance\s+statement|schedule)\s+is\s+prepared\b',
+    r'\bthe\s+report\s+also\s+includes\s+some\s+information\s+that\s+is\s+prescribed\b',
+    r'\boperational\s+plan\s*\(\s*combined\s+document\s*\)\s+is\s+designed\s+as\b',
+    r'\b(manager|executive|officer)\s+[a-z\s]+\s+(public\s+and\s+environmental\s+health|strategic\s+planning)\s*$',
+    r'\bofficers?\s+reporting\s+directly\s+to\b',
+    r'\borganisational\s+structure\s+(at|during)\s+(30\s+june|\d{4})\b',
+    r'\bsenior\s+officers?\s+reporting\b',
+    r'\b(local\s+)?laws?\s+officer\s+(completed|finished)\s+training\b',
+    r'\bdirector\s+(of\s+)?(assets|customer|community|engineering)\s+[a-z\s]+director\b',
+    r'^the\s+(council|shire|municipality|community|region|area)\s+is\s+(a|located|situated|in)\b',
+    r'^there\s+(is|was|were)\s+(no|not)\s+\w+\s+(that|which)\b',
+    r'\bthis\s+consultation\s+was\s+the\s+first\s+step\b',
+    r'\bcouncil\s+has\s+adopted\s+the\s+principle\s+of\s+[\'"]competitive\s+neutrality[\'"]',
+)
+
+# Marks of tables of contents and of disclaimers.
+CONTENTS = ("contents", "table of contents", "page", "introduction", "section")
+DISCLAIMERS = ("disclaimer", "this report is provided for information", "does not purport to be complete")

@@ -41,9 +41,11 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"^(?:[•·\-–—*]\s*|\d+[.)]\s+)", ""))
 
 
-def sentences(text: Column, least: int = 10) -> Column:
-    """Split after closing marks; what is left, trimmed, must be longer than ``least``."""
-    return F.filter(F.transform(F.split(text, r"[.!?]+\s+"), F.trim), lambda s: F.length(s) > least)
+def sentences(text: Column, least: int = 10, abbreviations=L.ABBREVIATIONS) -> Column:
+    """Split after closing marks; what is left, trimmed, must be longer than ``least``. Abbreviations don't end a sentence and come out in lower case."""
+    held = reduce(lambda t, a: F.regexp_replace(t, rf"(?iU)\b{a}\.", f"{a}█"), abbreviations, text)
+    back = (lambda s: F.trim(F.replace(s, F.lit("█"), F.lit(".")))) if abbreviations else F.trim
+    return F.filter(F.transform(F.split(held, r"[.!?]+\s+"), back), lambda s: F.length(s) > least)
 
 
 def joined_sentences(parts: Column, openers, most_words: int) -> Column:
@@ -85,7 +87,38 @@ def is_fragmented_start(text: Column) -> Column:
     return F.coalesce(first.isin(*L.DEPENDENT_STARTERS) | (first.isin(*L.DEMONSTRATIVES) & second.isin("includes", "include", "includes:", "include:")), F.lit(False))
 
 
-FILTERS = {"looks_like_table": looks_like_table, "is_mostly_numbers": is_mostly_numbers, "lacks_content": lambda t: ~has_meaningful_content(t), "is_fragmented_start": is_fragmented_start}
+def is_structural(text: Column) -> Column:
+    """Tables of contents, heads with a year and a page, capitals, addresses of pages, disclaimers, lists of years."""
+    low = F.lower(text)
+    n = lambda p: F.regexp_count(text, F.lit(p))
+    # The head is tried once a line, from the line's first letter or digit.
+    head = text.rlike(r"(?U)(?:^|\n)[^\w\n]*+\w[^\n]*20\d{2}[-–]?\d{0,2}\s+\d+\s*$")
+    letters = n(r"\p{L}")
+    return (
+        (any_of(low, L.CONTENTS) & (n(r"(?Umd)\b\d+\s*$") >= 2)) | head | ((letters > 0) & (n(r"\p{Lu}") / letters > 0.7))
+        | low.rlike(r"https?://\S|www\.\S|\S\.(?:gov|com|org)\.au") | any_of(low, L.DISCLAIMERS) | (n(r"(?U)\b(?:19|20)\d{2}\b") >= 3)
+    )
+
+
+def is_non_activity(text: Column) -> Column:
+    """Accounts, audit reports, compliance, lists of staff and mere description."""
+    return F.lower(text).rlike("(?U)" + "|".join(L.NON_ACTIVITY))
+
+
+def has_outcome(text: Column) -> Column:
+    return text.rlike("(?iU)" + "|".join(L.OUTCOMES))
+
+
+def is_generic(text: Column) -> Column:
+    """Without a priority verb, a council's word or service, a goal's term, an outcome or another body's name."""
+    low = F.lower(text)
+    return ~(low.rlike(r"(?U)\b(?:" + "|".join(L.PRIORITY_VERBS) + r")\b") | any_of(low, L.SPECIFIC_TERMS) | has_outcome(text))
+
+
+FILTERS = {
+    "looks_like_table": looks_like_table, "is_mostly_numbers": is_mostly_numbers, "lacks_content": lambda t: ~has_meaningful_content(t), "is_structural": is_structural,
+    "is_fragmented_start": is_fragmented_start, "is_non_activity": is_non_activity, "is_generic": is_generic,
+}
 
 
 def passes(text: Column, filters=FILTERS) -> Column:
@@ -100,10 +133,11 @@ def section_type(text: Column, sections=L.SECTIONS) -> Column:
     return out
 
 
-def relevance(text: Column, goal_terms, specific=L.SPECIFICITY) -> Column:
+def relevance(text: Column, goal_terms, specific=L.SPECIFICITY, outcome: float = 0.06) -> Column:
     low, words = F.lower(text), tokens(text)
     share = F.size(F.filter(words, lambda w: w.rlike("[0-9]"))) / F.size(words)
-    score = 0.3 + F.least(count_of(low, goal_terms) * 0.04, F.lit(0.16)) + F.least(count_of(low, specific) * 0.02, F.lit(0.08))
+    score = 0.3 + F.least(count_of(low, goal_terms) * 0.04, F.lit(0.16))
+    score = (score + F.when(has_outcome(text), outcome).otherwise(0.0) if outcome else score) + F.least(count_of(low, specific) * 0.02, F.lit(0.08))
     return F.when(F.size(words) == 0, 0.0).otherwise(F.round(F.least(score * F.when(share > 0.25, 0.6).when(share > 0.15, 0.8).otherwise(1.0), F.lit(1.0)), 4))
 
 

@@ -10,10 +10,10 @@ def ratio(a, b):
     return F.when(b > 0, a.cast("double") / b).otherwise(0.0)
 
 
-def sweep(rows: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
+def sweep(rows: DataFrame, by: list[str], steps: int = 100, last: int | None = None) -> DataFrame:
     """Metrics at each threshold i / steps, from cumulative counts by bucket: one pass, no row meets every threshold.
 
-    rows: by..., y (0 or 1), milli (score in thousandths).
+    rows: by..., y (0 or 1), milli (score in thousandths). i goes up to ``last``, or to steps - 1.
     """
     bucket = F.floor(F.col("milli") * steps / 1000).cast("int")
     counts = rows.groupBy(*by, bucket.alias("i")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
@@ -21,7 +21,7 @@ def sweep(rows: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
     above = Window.partitionBy(*by).orderBy(F.desc("i"))
     all_rows = grid.join(counts, [*by, "i"], "left").na.fill({"p": 0, "q": 0}).withColumns({"tp": F.sum("p").over(above), "fp": F.sum("q").over(above)})
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp")
-    return all_rows.where(f"i between 1 and {steps - 1}").select(*by, "i", "tp", "fp", fn.alias("fn"), (F.col("neg") - fp).alias("tn"), F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, F.col("pos")), 6).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1"), F.round(ratio(fp, F.col("neg")), 6).alias("fpr"))
+    return all_rows.where(f"i between 1 and {last or steps - 1}").select(*by, "i", "tp", "fp", fn.alias("fn"), (F.col("neg") - fp).alias("tn"), F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, F.col("pos")), 6).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1"), F.round(ratio(fp, F.col("neg")), 6).alias("fpr"))
 
 
 def best(swept: DataFrame, by: list[str], most_fpr: float = 0.35) -> DataFrame:
@@ -30,6 +30,22 @@ def best(swept: DataFrame, by: list[str], most_fpr: float = 0.35) -> DataFrame:
     return swept.where(F.col("fpr") <= most_fpr).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
+def best_fine(rows: DataFrame, by: list[str], most_fpr: float = 0.35, tie: float = 0.005, around: int = 50) -> DataFrame:
+    """Two passes: the best threshold in hundredths (of equal ones the lowest), then the best in thousandths within ``around`` of it.
+
+    From the best F1 down, a threshold whose F1 is less than ``tie`` under that of the one chosen so far replaces it if it is higher.
+    A group in which no threshold is within the false positive rate has 1.0.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc("f1"), "i")
+    low_rate = F.col("fpr") <= most_fpr
+    center = sweep(rows, by).where(low_rate).withColumn("r", F.row_number().over(order)).where("r = 1").select(*by, (F.col("i") * 10).alias("center"))
+    fine = sweep(rows, by, 1000, 1000)
+    near = fine.join(center, by, "left").where((F.col("center").isNull() & (F.col("i") == 1000)) | (low_rate & F.col("i").between(F.col("center") - around, F.col("center") + around)))
+    found = near.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("down"), *(c for c in fine.columns if c not in by)))).alias("found"))
+    closer = lambda best, x: F.when((best["f1"] - x["f1"] < tie) & (x["i"] > best["i"]), x).otherwise(best)
+    return found.select(*by, F.aggregate(F.slice("found", 2, 2 * around + 1), F.get("found", 0), closer).alias("x")).select(*by, *(F.col(f"x.{c}") for c in fine.columns if c not in by))
+
+
 def per_class(rows: DataFrame) -> DataFrame:
     """Precision, recall and F1 of each class from columns truth and predicted."""
     per = rows.select(F.explode(F.array(F.struct(F.col("truth").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("h")), F.struct(F.col("predicted").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p"), (F.col("truth") == F.col("predicted")).cast("int").alias("h")))).alias("x")).groupBy(F.col("x.c").alias("class")).agg(F.sum("x.t").alias("support"), F.sum("x.p").alias("predicted"), F.sum("x.h").alias("hits"))

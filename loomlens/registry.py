@@ -134,12 +134,15 @@ facts_query("year_contiguity", lambda f: TR.contiguous(f, ["council"]), "SELECT
 
 # Texts
 _EN = "(SELECT * FROM documents WHERE lang = 'en')"
-docs_query("split_sentences", lambda d: d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.length("sentence").cast("long").alias("length"), "sentence"), f"SELECT doc_id, length(s)::BIGINT AS length, s AS sentence FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?]+\\s+')), ' ') AS s FROM {_EN}) WHERE length(s) > 10")
+docs_query("split_sentences", lambda d: d.select("doc_id", F.posexplode(T.sentences(F.col("text"), abbreviations=())).alias("pos", "sentence")).select("doc_id", F.length("sentence").cast("long").alias("length"), "sentence"), f"SELECT doc_id, length(s)::BIGINT AS length, s AS sentence FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?]+\\s+')), ' ') AS s FROM {_EN}) WHERE length(s) > 10")
 docs_query("filter_flags", lambda d: d.select("doc_id", (F.regexp_count("text", F.lit(r"\|")) >= 2).alias("pipes"), (F.regexp_count("text", F.lit("%")) >= 2).alias("percents"), T.is_mostly_numbers(F.col("text")).alias("is_mostly_numbers"), T.is_fragmented_start(F.col("text")).alias("is_fragmented_start")), f"SELECT doc_id, length(text) - length(replace(text, '|', '')) >= 2 AS pipes, length(text) - length(replace(text, '%', '')) >= 2 AS percents, len(w) = 0 OR len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '[,.$%*|+\\-]', '', 'g'), '^[0-9]+$'))) / len(w) > 0.35 AS is_mostly_numbers, coalesce(lower(w[1]) IN ({', '.join(repr(x) for x in T.L.DEPENDENT_STARTERS)}) OR (lower(w[1]) IN ('this', 'these', 'those', 'such') AND lower(w[2]) IN ('includes', 'include', 'includes:', 'include:')), false) AS is_fragmented_start FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {_EN})")
 docs_query("filter_report", lambda d: d.select("source", *(f(F.col("text")).cast("long").alias(k) for k, f in T.FILTERS.items()), T.passes(F.col("text")).cast("long").alias("passed")).groupBy("source").agg(*(F.sum(k).alias(k) for k in [*T.FILTERS, "passed"])), None)
 docs_query("section_type", lambda d: d.select("doc_id", T.section_type(F.col("text"), (("first", PROSE[:2]), ("second", PROSE[2:4]), ("third", PROSE[4:]))).alias("section")), f"SELECT doc_id, CASE WHEN contains(lower(text), 'tion') OR contains(lower(text), 'ther') THEN 'first' WHEN contains(lower(text), 'thon') OR contains(lower(text), 'hely') THEN 'second' WHEN contains(lower(text), 'rewh') OR contains(lower(text), 'orre') THEN 'third' ELSE 'general' END AS section FROM {_EN}")
 _SPEC = " + ".join(f"contains(l, '{w}')::INT" for w in T.L.SPECIFICITY)
-docs_query("relevance_score", lambda d: d.select("doc_id", F.round(T.relevance(F.col("text"), PROSE), 3).alias("relevance")), f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE round(least((0.3::DOUBLE + least(({' + '.join(f'contains(l, {x!r})::INT' for x in PROSE)}) * 0.04::DOUBLE, 0.16::DOUBLE) + least(({_SPEC}) * 0.02::DOUBLE, 0.08::DOUBLE)) * CASE WHEN s > 0.25 THEN 0.6::DOUBLE WHEN s > 0.15 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 1.0), 4) END, 3) AS relevance FROM (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / nullif(len(w), 0) AS s FROM (SELECT doc_id, lower(text) AS l, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {_EN}))")
+docs_query("relevance_score", lambda d: d.select("doc_id", F.round(T.relevance(F.col("text"), PROSE, outcome=0), 3).alias("relevance")), f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE round(least((0.3::DOUBLE + least(({' + '.join(f'contains(l, {x!r})::INT' for x in PROSE)}) * 0.04::DOUBLE, 0.16::DOUBLE) + least(({_SPEC}) * 0.02::DOUBLE, 0.08::DOUBLE)) * CASE WHEN s > 0.25 THEN 0.6::DOUBLE WHEN s > 0.15 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 1.0), 4) END, 3) AS relevance FROM (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / nullif(len(w), 0) AS s FROM (SELECT doc_id, lower(text) AS l, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {_EN}))")
+# The SQL of split_sentences and relevance_score knows neither abbreviations nor outcomes.
+docs_query("segment_sentences", lambda d: d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")), None)
+docs_query("relevance_with_outcome", lambda d: d.select("doc_id", T.relevance(F.col("text"), PROSE).alias("relevance")), None)
 docs_query("clean_text", lambda d: d.select("doc_id", T.clean_text(F.col("text")).alias("text")), None)
 docs_query("smart_join", lambda d: d.select("doc_id", F.posexplode(T.joined_sentences(T.sentences(F.col("text")), ("the", "and", "of", "to"), 60)).alias("pos", "statement")), None)
 QUERIES["html_to_text"] = (lambda s, d: table(s, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
@@ -159,6 +162,7 @@ _EV = lambda f: f.select("goal", (F.col("goal") == F.col("truth")).cast("long").
 _SW = ", e AS (SELECT goal, (goal = truth)::BIGINT AS y, greatest(0, least(999, floor(score * 1000)::BIGINT)) AS milli FROM f), s AS (SELECT goal, i::INTEGER AS i, sum((y = 1 AND milli >= i * 10)::INT)::BIGINT AS tp, sum((y = 0 AND milli >= i * 10)::INT)::BIGINT AS fp, sum((y = 1 AND milli < i * 10)::INT)::BIGINT AS fn, sum((y = 0 AND milli < i * 10)::INT)::BIGINT AS tn FROM e, (SELECT unnest(range(1, 100)) AS i) GROUP BY 1, 2), m AS (SELECT *, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0), 6) AS fpr FROM s) SELECT * FROM m"
 vector_query("threshold_sweep", lambda f: E.sweep(_EV(f), ["goal"]), _SW)
 vector_query("threshold_best", lambda f: E.best(E.sweep(_EV(f), ["goal"]), ["goal"]), _SW + " WHERE fpr <= 0.35 QUALIFY row_number() OVER (PARTITION BY goal ORDER BY f1 DESC, i DESC) = 1")
+QUERIES["threshold_best_fine"] = (lambda s, d: E.best_fine(_EV(vector_facts(s, d)), ["goal"]), None)
 _PRED = lambda f: A.top_goal(f, ["vec_id"]).select("truth", F.col("goal").alias("predicted"))
 _P = ", p AS (SELECT truth, goal AS predicted FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, goal) = 1) "
 vector_query("per_class_metrics", lambda f: E.per_class(_PRED(f)), _P + ", c AS (SELECT truth AS class, 1 AS t, 0 AS p, 0 AS h FROM p UNION ALL SELECT predicted, 0, 1, (truth = predicted)::INT FROM p), s AS (SELECT class, sum(t)::BIGINT AS support, sum(p)::BIGINT AS q, sum(h)::BIGINT AS h FROM c GROUP BY 1) SELECT class, support, round(coalesce(h::DOUBLE / nullif(q, 0), 0), 6) AS precision, round(coalesce(h::DOUBLE / nullif(support, 0), 0), 6) AS recall, round(coalesce(2 * h::DOUBLE / nullif(support + q, 0), 0), 6) AS f1 FROM s")
@@ -183,7 +187,7 @@ vector_query("target_boost", lambda f: A.target_boost(f.select("vec_id", "goal",
 vector_query("weight_grid_search", lambda f: E.weight_grid(_TWO(f).join(f.select("vec_id", "goal", "truth"), ["vec_id", "goal"]), ["vec_id"], "truth"), ", m AS (SELECT vec_id, goal, truth, score AS st, round(greatest(0.0, 1 - (1 - score) * 2), 6) AS bert FROM f), grid AS (SELECT i::INTEGER AS i, vec_id, truth, goal, round(i / 10 * bert + (1 - i / 10) * st, 8) AS s FROM m, (SELECT unnest(range(0, 11)) AS i)), t AS (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY i, vec_id ORDER BY s DESC, goal) = 1) SELECT i, count(*) AS n, sum((goal = truth)::INT)::BIGINT AS hits FROM t GROUP BY 1")
 vector_query("multilabel_metrics", lambda f: E.multi_label(f.select("vec_id", "goal", (F.col("goal") == F.col("truth")).cast("int").alias("y"), (F.col("score") >= 0.3).cast("int").alias("p")), "vec_id"), ", r AS (SELECT vec_id, count(*) AS n, sum((goal = truth)::INT) AS y, sum((score >= 0.3)::INT) AS p, sum((goal = truth AND score >= 0.3)::INT) AS b, sum(((goal = truth) <> (score >= 0.3))::INT) AS o FROM f GROUP BY 1) SELECT round(avg((o = 0)::INT), 6) AS exact, round(avg(o / n), 6) AS hamming, round(avg(CASE WHEN y + p - b = 0 THEN 1.0 ELSE b / (y + p - b) END), 6) AS jaccard, round(avg(CASE WHEN y + p = 0 THEN 1.0 ELSE 2 * b / (y + p) END), 6) AS sample_f1 FROM r")
 docs_query("mention_scan", lambda d: d.select("doc_id", T.mention(F.col("text"), "rewh").alias("mention")).where("mention is not null"), f"SELECT doc_id, trim(m) AS mention FROM (SELECT doc_id, regexp_extract(text, '(?i)[^.!?]*(?:rewh)[^.!?]*[.!?]') AS m FROM {_EN}) WHERE trim(m) <> ''")
-docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text")), 1)).alias("context")).where("context is not null"), None)
+docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text"), abbreviations=()), 1)).alias("context")).where("context is not null"), None)
 docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(F.col("text")), 6).alias("density")), None)
 _SIMILAR = lambda d: E.similar_pairs(d.select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 0.8)
 # The SQL compares all pairs, so it reads short English texts only; over all documents there is none.

@@ -122,3 +122,58 @@ def test_similar_pairs_of_all_documents(spark, tmp_path):
     want = {(a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets for b, y in sets if a < b and round(len(x & y) / len(x | y), 6) > 0.8}
     assert any(len(docs[a][1]) > 2000 for a, _, _ in want) and any(docs[a][2] is None for a, _, _ in want)
     assert {tuple(r) for r in registry.QUERIES["jaccard_pairs_all"][0](spark, str(tmp_path)).collect()} == want
+
+
+def test_filters_of_structure_activity_and_generic_text(spark):
+    cases = [
+        (T.is_structural, "Contents\nIntro 3\nRoads 12\nend", True), (T.is_structural, "Intro 3\nRoads 12", False), (T.is_structural, "Financial summary 2022-2023 42", True),
+        (T.is_structural, "2022 42", False), (T.is_structural, "ANNUAL REPORT of us", True), (T.is_structural, "See acme.gov.au for more", True), (T.is_structural, "x " * 20000 + "2020", False),
+        (T.is_structural, "This Disclaimer holds", True), (T.is_structural, "from 2019 to 2020 and 2021", True), (T.is_structural, "We planted trees in 2023", False),
+        (T.is_non_activity, "The Notes to the Financial Statements follow", True), (T.is_non_activity, "The council is located by the sea", True), (T.is_non_activity, "So the council is located by the sea", False),
+        (T.is_non_activity, "I communicate with the councillors regarding it", False), (T.is_generic, "Staff managed various matters throughout", True), (T.is_generic, "Staff completed various matters", False),
+        (T.is_generic, "Staff managed 12 tonnes", False), (T.is_generic, "A Telstra matter", False), (T.is_generic, "The Library matter", False),
+    ]
+    for f, text, want in cases:
+        assert one(spark, f, text) is want, text
+    assert one(spark, T.passes, "The shire opened a new hall near Main Street for residents") is True
+    assert one(spark, T.passes, "These new items are managed in bulk around the old desks") is False
+
+
+def test_abbreviations_and_outcomes(spark):
+    assert one(spark, T.sentences, "Met Dr. Smith in June. Then work began today.") == ["Met dr. Smith in June", "Then work began today."]
+    score = lambda t: one(spark, lambda c: T.relevance(c, ("solar",)), t)
+    assert [score(t) for t in ("solar cells", "solar cells, $500 by much of us all day", "solar cells cut 30% by much of us all day")] == [0.34, 0.40, 0.40]
+
+
+def test_fine_thresholds(spark):
+    import random
+
+    from loomlens.operators import evaluation as E
+
+    rng, groups = random.Random(3), {}
+    for g in range(12):
+        groups[g] = [(y, min(1000, max(0, int(rng.gauss(400 + 60 * g * y / 4, 90))))) for y in (rng.randrange(2) for _ in range(300))]
+    groups[12] = [(0, 1000), (0, 1000), (1, 1000)]  # no threshold is within the rate
+
+    def at(rows, i):
+        tp, fp, fn, neg = (sum(y and m >= i for y, m in rows), sum(not y and m >= i for y, m in rows), sum(y and m < i for y, m in rows), sum(not y for y, m in rows))
+        return round(2 * tp / (2 * tp + fp + fn) if tp else 0, 6), i, fp / neg
+
+    def search(rows):
+        coarse = [x for x in (at(rows, i) for i in range(10, 1000, 10)) if x[2] <= 0.35]
+        if not coarse:
+            return 1000
+        center = max(coarse, key=lambda x: x[0])[1]
+        fine = sorted((x for x in (at(rows, i) for i in range(max(1, center - 50), min(1000, center + 50) + 1)) if x[2] <= 0.35), key=lambda x: -x[0])
+        best = fine[0]
+        for x in fine[1:]:
+            best = x if best[0] - x[0] < 0.005 and x[1] > best[1] else best
+        return best[1]
+
+    rows_ = spark.createDataFrame([(g, y, m) for g, r in groups.items() for y, m in r], "g int, y long, milli long")
+    got = {r.g: r.i for r in E.best_fine(rows_, ["g"]).collect()}
+    assert got == {g: search(r) for g, r in groups.items()}
+    # F1 .900 up to .420 and .897 from there to .900: the highest of those near.
+    tie = [(1, 900)] * 809 + [(1, 420)] * 5 + [(0, 410)] * 4 + [(1, 5)] * 180 + [(0, 395)] * 300 + [(0, 50)] * 2700
+    tied = spark.createDataFrame([(1, y, m) for y, m in tie], "g int, y long, milli long")
+    assert E.best_fine(tied, ["g"]).first().i == search(tie) == 470 and E.best(E.sweep(tied, ["g"]), ["g"]).first().i == 42
