@@ -120,6 +120,9 @@ facts_query("compare_notes", lambda f: R.compared(f, "state"), f", r AS (SELECT
 facts_query("goal_union_years", lambda f: f.where("is_aligned").groupBy("council").agg(F.array_join(F.array_sort(F.collect_set("goal")).cast("array<string>"), ",").alias("goals"), F.count_distinct("year").alias("years")), "SELECT council, string_agg(DISTINCT goal::VARCHAR, ',' ORDER BY goal::VARCHAR) AS goals, count(DISTINCT year) AS years FROM f WHERE is_aligned GROUP BY 1")
 facts_query("score_histogram", R.histogram, "SELECT floor(milli * 10 / 1000)::INTEGER AS bin, count(*) AS n FROM f GROUP BY 1")
 facts_query("run_diff", lambda f: R.changed(f.where("milli % 3 <> 0").select("activity_id", "milli"), f.where("milli % 5 <> 0").select("activity_id", (F.col("milli") + 1).alias("milli")), "activity_id", "milli"), "SELECT activity_id, n.milli AS new_value, o.milli AS old_value, CASE WHEN o.milli IS NULL THEN 'new' WHEN n.milli IS NULL THEN 'dropped' ELSE 'both' END AS state FROM (SELECT activity_id, milli FROM f WHERE milli % 3 <> 0) n FULL JOIN (SELECT activity_id, milli + 1 AS milli FROM f WHERE milli % 5 <> 0) o USING (activity_id)")
+# run_diff's SQL leaves out rows by modulo; here every fact is in one of two runs: a council's goals up to 1998 and since.
+_PERIOD = lambda f: f.groupBy(F.concat_ws(":", "council", F.col("goal").cast("string")).alias("council_goal")).agg(F.sum("milli").alias("milli"))
+facts_query("run_diff_periods", lambda f: R.changed(_PERIOD(f.where("year > 1998")), _PERIOD(f.where("year <= 1998")), "council_goal", "milli"), "SELECT council_goal, n.milli AS new_value, o.milli AS old_value, CASE WHEN o.milli IS NULL THEN 'new' WHEN n.milli IS NULL THEN 'dropped' ELSE 'both' END AS state FROM (SELECT council || ':' || goal AS council_goal, sum(milli)::BIGINT AS milli FROM f WHERE year > 1998 GROUP BY 1) n FULL JOIN (SELECT council || ':' || goal AS council_goal, sum(milli)::BIGINT AS milli FROM f WHERE year <= 1998 GROUP BY 1) o USING (council_goal)")
 facts_query("activities_page", lambda f: f.where("goal = 2 and is_aligned").orderBy("activity_id").offset(50).limit(50).select("activity_id", "council", "milli"), "SELECT activity_id, council, milli FROM f WHERE goal = 2 AND is_aligned ORDER BY activity_id LIMIT 50 OFFSET 50")
 facts_query("browse_councils", lambda f: f.groupBy("council", "state").agg(F.count_distinct("goal").alias("goals")).where(F.lower("council").contains("an")).withColumn("slug", T.slug(F.col("council"))), "SELECT council, state, count(DISTINCT goal) AS goals, trim(regexp_replace(lower(council), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM f WHERE contains(lower(council), 'an') GROUP BY 1, 2")
 facts_query("peers", lambda f: (lambda c: c.join(c.toDF("peer", "peer_state"), (F.col("state") == F.col("peer_state")) & (F.col("council") != F.col("peer"))).select("council", "peer"))(f.select("council", "state").distinct()), "SELECT DISTINCT a.council, b.council AS peer FROM f a JOIN (SELECT DISTINCT council, state FROM f) b ON a.state = b.state AND a.council <> b.council")

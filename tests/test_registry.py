@@ -177,3 +177,12 @@ def test_fine_thresholds(spark):
     tie = [(1, 900)] * 809 + [(1, 420)] * 5 + [(0, 410)] * 4 + [(1, 5)] * 180 + [(0, 395)] * 300 + [(0, 50)] * 2700
     tied = spark.createDataFrame([(1, y, m) for y, m in tie], "g int, y long, milli long")
     assert E.best_fine(tied, ["g"]).first().i == search(tie) == 470 and E.best(E.sweep(tied, ["g"]), ["g"]).first().i == 42
+
+
+def test_every_fact_is_in_a_run(spark):
+    from pyspark.sql import functions as F
+
+    got = registry.QUERIES["run_diff_periods"][0](spark, SF)
+    assert {r[0] for r in got.select("state").distinct().collect()} >= {"both"}
+    held = got.agg(F.sum(F.coalesce("new_value", F.lit(0)) + F.coalesce("old_value", F.lit(0)))).first()[0]
+    assert held == registry.order_facts(spark, SF).agg(F.sum("milli")).first()[0]
