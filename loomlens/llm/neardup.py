@@ -4,11 +4,12 @@ A document's set is that of its 5-word shingles. Documents with equal sets form
 one signature of 64 symbols of 16 bits, the low bits of 64 minima. Two signatures that differ in at most
 31 symbols agree, by pigeonhole, in all but one symbol of some of the 16 chunks of four; so a class
 stands in the index under each chunk with each of its symbols left out, and all such pairs meet. (Sets
-of similarity 0.75 differ in 16 symbols on average; the chance that a pair at just 0.75 shares no key is
-under one in a thousand million.) In a bucket every class meets the smallest one, and up to MOST_ALL
+of similarity 0.75 differ in 16 symbols on average; the chance that a pair at just 0.75 shares no key of
+the first index is under one in a thousand million.) In a bucket every class meets the smallest one, and up to MOST_ALL
 classes meet each other. In larger buckets whose classes aren't yet of one component, they go to an
-index of longer chunks, and after the last of these all pairs of different components are taken, so
-that no size of bucket loses a link. Candidates whose signatures differ too much are dropped; what is
+index of longer chunks, and after the last of these all pairs of different components are taken. In those
+indexes only pairs that differ in at most 19 and 15 symbols are sure to meet, so a link whose ends share no
+smaller bucket can be lost. Candidates whose signatures differ too much are dropped; what is
 left is confirmed on the full sets. The first to be confirmed is each class's nearest candidate; pairs
 already of one component need no confirmation. Components come from alternating stars.
 
