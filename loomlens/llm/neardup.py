@@ -2,23 +2,24 @@
 
 A document's set is that of its 5-word shingles. Documents with equal sets form a class; each class has
 one signature of 64 symbols of 16 bits, the low bits of 64 minima. Two signatures that differ in at most
-31 symbols agree, by pigeonhole, in all but one symbol of some of the 16 chunks of four; so a class
-stands in the index under each chunk with each of its symbols left out, and all such pairs meet. (Sets
-of similarity 0.75 differ in 16 symbols on average; the chance that a pair at just 0.75 shares no key of
-the first index is under one in a thousand million.) In a bucket every class meets the smallest one, and up to MOST_ALL
-classes meet each other. In larger buckets whose classes aren't yet of one component, they go to an
-index of longer chunks, and after the last of these all pairs of different components are taken. In those
-indexes only pairs that differ in at most 19 and 15 symbols are sure to meet, so a link whose ends share no
-smaller bucket can be lost. Candidates whose signatures differ too much are dropped; what is
-left is confirmed on the full sets. The first to be confirmed is each class's nearest candidate; pairs
-already of one component need no confirmation. Components come from alternating stars.
-
-Sets are held as 64-bit hashes of shingles.
+MOST_APART = 31 symbols agree, by pigeonhole, in all but one symbol of some of the 16 chunks of four; so a
+class stands in the index under each chunk with each of its symbols left out (64 picks), and all such
+pairs meet in a bucket, whatever its size. (Sets of similarity 0.75 differ in 16 symbols on average; a
+pair at just 0.75 is more than 31 apart about once in a hundred thousand.)
+
+In a bucket of up to MOST_ALL classes all meet each other. In a larger one each first meets a pivot, which
+settles what hangs together closely; the bucket is then split into blocks, and the classes outside its
+largest component are compared in them with all classes of other components. A pair is compared in its
+lowest common pick alone, and only links leave a block. Candidates are confirmed on the full sets.
+Components come from alternating stars.
+
+A key that holds a five-hundredth of all classes or more is found beforehand and isn't dealt out by key;
+the blocks of a large bucket are spread over tasks. Sets are held as 64-bit hashes of shingles.
 
 Nulls and edges: a null text is empty; a document without words has n_shingles 0 and is linked with
 nothing; one of fewer than five words has its whole sequence as its only shingle. A row with a null
 doc_id takes no part and is kept, its component_id null. Rows that share a doc_id count as one document with several
-texts. Repeated rows come back as often as they stand there. An empty table gives no row.
+texts. Repeated rows come back as often as they stand there. Very long texts are taken whole. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ from . import common as C
 from .packing import batches_of, sql_schema
 
 WIDTH = 5
-SYMBOLS, MOST_APART = 64, 36
-MOST_ALL = 32
-#: Length of the chunks and how many ways to cut the signature into them, from one index to the next.
-INDEXES = ((4, 1), (6, 3), (8, 8))
+#: Symbols of a signature, symbols of a chunk, and how far apart a pair may be so that it is sure to meet.
+SYMBOLS, CHUNK = 64, 4
+MOST_APART = 2 * (SYMBOLS // CHUNK) - 1
+#: Classes of a bucket that all meet each other; larger buckets go through blocks of so many classes and others.
+MOST_ALL, BLOCK, OTHERS = 32, 4096, 512
+#: Pairs of one class confirmed by a task at a time.
+STAR = 256
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -80,96 +84,178 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFFFF)).astype("<u2")
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("sig", pa.binary()), ("packed", pa.binary())])
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), class (digest of the set) and sig of every row."""
+    """doc_id, n (size of the set), class (digest of the set), sig and packed (the text, compressed) of every row."""
 
     def run(batches):
         from hashlib import blake2b
 
-        held = Hashes()
+        import zstandard
+
+        held, press = Hashes(), zstandard.ZstdCompressor(level=3)
 
         def rows():
             for doc_id, text in C.pairs(batches):
                 found = shingles(text, held)
-                yield (doc_id, len(found), blake2b(found.tobytes(), digest_size=16).digest(), signature(found).tobytes()) if len(found) else (doc_id, 0, None, None)
+                if len(found):
+                    yield doc_id, len(found), blake2b(found.tobytes(), digest_size=16).digest(), signature(found).tobytes(), press.compress(text)
+                else:
+                    yield doc_id, 0, None, None, None
 
-        yield from batches_of(rows(), _SIGNED, lambda r: 200)
+        yield from batches_of(rows(), _SIGNED, lambda r: 200 + len(r[4] or b""))
 
     return texts.mapInArrow(run, sql_schema(_SIGNED))
 
 
-def keyed(reps: DataFrame, level: int) -> DataFrame:
-    """(key, rep, n, sig): each representative under each of its chunks with one symbol left out."""
-    length, cuts = INDEXES[level]
-    orders = [np.arange(SYMBOLS)] + [np.random.default_rng((level, c)).permutation(SYMBOLS) for c in range(1, cuts)]
-    chunks = np.concatenate([o[: SYMBOLS // length * length].reshape(-1, length) for o in orders])
-    picked = np.concatenate([np.delete(chunks, k, axis=1) for k in range(length)])
-    salt = mixed(np.arange(1, len(picked) + 1, dtype=np.uint64))
+_PICKED = np.concatenate([np.delete(np.arange(SYMBOLS).reshape(-1, CHUNK), k, axis=1) for k in range(CHUNK)], axis=1).reshape(-1, CHUNK - 1)
+_LONG = pa.int64()
+
+
+def keys_of(sigs: np.ndarray) -> np.ndarray:
+    """The 64 keys of each signature: the number of the pick, then its three symbols."""
+    key = np.broadcast_to(np.arange(len(_PICKED), dtype=np.uint64), (len(sigs), len(_PICKED))).copy()
+    for k in range(CHUNK - 1):
+        key = (key << np.uint64(16)) | sigs[:, _PICKED[:, k]]
+    return key
+
+
+def lowest_pick(same: np.ndarray) -> np.ndarray:
+    """Of rows that say which symbols agree, the lowest pick that agrees; 64 if none does."""
+    agrees = same[:, _PICKED].all(axis=2)
+    return np.where(agrees.any(axis=1), agrees.argmax(axis=1), len(_PICKED))
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS)
+
+
+def hot_keys(reps: DataFrame, most_all: int = MOST_ALL) -> np.ndarray:
+    """The keys that hold a five-hundredth of all classes or more, and maybe some that hold a thousandth: 64,000 at most."""
 
     def run(batches):
         for b in batches:
-            names = b.column(0).to_numpy()
-            sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(len(names), SYMBOLS)
-            for a in range(0, len(names), 2000):
-                own = sigs[a : a + 2000]
-                key = np.broadcast_to(salt, (len(own), len(picked))).copy()
-                if length == 4:  # three symbols of 16 bits and the number of the pick: no hashing needed
-                    key = np.broadcast_to(np.arange(len(picked), dtype=np.uint64), key.shape).copy()
-                    for k in range(3):
-                        key = (key << np.uint64(16)) | own[:, picked[:, k]]
-                else:
-                    for k in range(length - 1):
-                        key = mixed(key + own[:, picked[:, k]])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(names[a : a + 2000], len(picked)))], names=["key", "rep"])
+            if b.num_rows:
+                found, often = np.unique(keys_of(_signatures(b.column(0))), return_counts=True)
+                some = often * 2000 >= max(b.num_rows, 4000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(found[some].view(np.int64), 0)), pa.array(np.append(often[some], 0)), pa.array(np.append(np.zeros(int(some.sum()), np.int64), b.num_rows))], names=["key", "often", "rows"])
+
+    counted = reps.select("sig").mapInArrow(run, "key long, often long, rows long").groupBy("key").agg(F.sum("often").alias("often"), F.sum("rows").alias("rows")).checkpoint()
+    rows = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return np.array(sorted(r["key"] for r in counted.where((F.col("often") > most_all) & (F.col("often") * 1000 >= rows)).select("key").collect()), dtype=np.int64)
+
+
+def keyed(reps: DataFrame, hot: np.ndarray, are_hot: bool) -> DataFrame:
+    """(key, rep): each class under its keys that are hot, or under all others."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                own = b.slice(at, 2000)
+                key = keys_of(_signatures(own.column(1))).ravel().view(np.int64)
+                rep = np.repeat(own.column(0).to_numpy(), len(_PICKED))
+                wanted = np.isin(key, hot) == are_hot if len(hot) else np.full(len(key), not are_hot)
+                yield pa.RecordBatch.from_arrays([pa.array(key[wanted]), pa.array(rep[wanted])], names=["key", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
+_MET = pa.schema([("pick", _LONG), ("x", _LONG), ("y", _LONG)])
+
+
+def _meeting(most_all: int):
+    """Rows (key, rep), sorted, to the pairs (-1, a, b) of small buckets and the members (0, key, rep) of large ones."""
+
+    def run(batches):
+        def out(pick, x, y):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), pick, np.int64)), pa.array(x), pa.array(y)], schema=_MET)
+
+        def small(key, rep):
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            for n in np.unique(size[size > 1]):
+                own = begin[size == n]
+                if n > most_all:
+                    at = (own[:, None] + np.arange(n)).ravel()
+                    yield out(0, key[at], rep[at])
+                else:
+                    i, j = np.triu_indices(n, 1)
+                    yield out(-1, rep[own[:, None] + i].ravel(), rep[own[:, None] + j].ravel())
+
+        held_key, held_rep, large = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for b in batches:
+            key, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if large is not None:  # the rest of a bucket known to be large
+                n = int(np.searchsorted(key, large, "right"))
+                yield out(0, key[:n], rep[:n])
+                key, rep = key[n:], rep[n:]
+                large = large if not len(key) else None
+            if not len(key):
+                continue
+            key, rep = np.concatenate([held_key, key]), np.concatenate([held_rep, rep])
+            last = int(np.searchsorted(key, key[-1], "left"))
+            yield from small(key[:last], rep[:last]) if last else ()
+            held_key, held_rep = key[last:], rep[last:]
+            if len(held_key) > most_all:
+                large = held_key[0]
+                yield out(0, held_key, held_rep)
+                held_key, held_rep = held_key[:0], held_rep[:0]
+        if len(held_key):
+            yield from small(held_key, held_rep)
+
+    return run
+
+
 def near(found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a, b), a < b, those whose set sizes allow a link and whose signatures are near; with their distance d."""
+    """Of pairs (a, b), a < b, those whose set sizes allow a link and whose signatures are near."""
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     joined = found.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "sa", "sb")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int64())])
 
     def run(batches):
         for x in batches:
-            if x.num_rows:
-                sa, sb = (np.frombuffer(b"".join(x.column(k).to_pylist()), "<u2").reshape(-1, SYMBOLS) for k in (2, 3))
-                d = (sa != sb).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(d)], schema=schema).filter(pa.array(d <= MOST_APART))
+            d = (_signatures(x.column(2)) != _signatures(x.column(3))).sum(axis=1)
+            yield x.select([0, 1]).filter(pa.array(d <= MOST_APART))
 
-    return joined.mapInArrow(run, sql_schema(schema))
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def confirmed(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) those that are links by their full sets."""
-    joined = found.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _unpacked(packed: bytes, held: Hashes) -> np.ndarray:
+    import zstandard
 
-    def run(batches):
-        for x in batches:
-            keep = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    return shingles(zstandard.decompress(packed), held)
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
 
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
 
-def sets_of(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, set as bytes) of the documents named."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
 
-    def run(batches):
-        held = Hashes()
-        yield from batches_of(((doc_id, shingles(text, held).tobytes()) for doc_id, text in C.pairs(batches)), schema, lambda r: len(r[1]))
+def confirmed(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that are links by their full sets. All pairs of one a are dealt out together, STAR at a time."""
+    often = found.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    dealt = found.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    needs = dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct().union(dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("doc_id")))
 
-    return texts.join(names, "doc_id", "left_semi").mapInArrow(run, sql_schema(schema))
+    def run(batches):
+        held, own, centres = Hashes(), None, []
+        for x in batches:
+            a_out, b_out = [], []
+            for a, part, role, doc_id, packed in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if (a, part) != own:
+                    own, centres = (a, part), []
+                q = _unpacked(packed, held)
+                if not role:
+                    centres.append(q)
+                elif any(linked(p, q) for p in centres):
+                    a_out.append(a)
+                    b_out.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, _LONG), pa.array(b_out, _LONG)], names=["a", "b"])
+
+    rows = needs.join(texts, "doc_id").select("a", "part", "role", "doc_id", "packed")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,61 +281,100 @@ def components(links: DataFrame) -> DataFrame:
     return own.union(own.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def apart(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are of different components."""
-    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    return found.join(a, "a", "left").join(b, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").drop("la", "lb")
-
-
-def buckets(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("least")).where("c > 1")
-
-
-def pairs_of(members: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of members (key, rep) of one bucket."""
-    return members.select("key", F.col("rep").alias("a")).join(members.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
-
-
-def links(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between representatives, enough to join all that are linked."""
-    done, labels, members = None, None, reps
-    for level in range(len(INDEXES)):
-        keys = keyed(members, level)
-        held = keys.join(buckets(keys), "key").checkpoint()  # without those that stand alone
-        stars = held.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-        found = stars.union(pairs_of(held.where(F.col("c").between(3, MOST_ALL)))).distinct()
-        if labels is not None:
-            found = apart(found, labels)
-        found = near(found, reps).checkpoint()
-        names = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = sets_of(texts, names).checkpoint()
-        first = found.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-        new = confirmed(first, sets).checkpoint()
-        done = new if done is None else done.union(new)
-        labels = components(done).checkpoint()
-        done = done.union(confirmed(apart(found.select("a", "b").exceptAll(first), labels), sets).checkpoint())
-        labels = components(done).checkpoint()
-        large = held.where(F.col("c") > MOST_ALL).select("key", "rep").join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed_keys = large.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        unsettled = large.join(mixed_keys, "key").checkpoint()
-        if unsettled.isEmpty():
-            return done
-        members = reps.join(unsettled.select("rep").distinct(), "rep", "left_semi")
-    rest = near(apart(pairs_of(unsettled).distinct(), labels), reps).checkpoint()
-    names = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return done.union(confirmed(rest.select("a", "b"), sets_of(texts, names)).checkpoint())
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _between(batches):
+    """Blocks, sorted so that those outside the largest component come first, to links between different components."""
+    names = ["a", "b"]
+    block, held = None, Hashes()
+    reps = labels = sizes = sigs = texts = sets = up = None
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for x in batches:
+        key, m, r, role, rep, label, n = (x.column(i).to_numpy() for i in range(7))
+        sig, packed = _signatures(x.column(7)) if x.num_rows else None, x.column(8)
+        turn = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (m[1:] != m[:-1]) | (r[1:] != r[:-1])])) if len(key) else []
+        out = []
+        for begin, end in zip(turn, [*turn[1:], len(key)], strict=True):
+            if (key[begin], m[begin], r[begin]) != block:
+                block = (key[begin], m[begin], r[begin])
+                reps, labels, sizes, sigs, texts, sets, up = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SYMBOLS), "<u2"), [], {}, {}
+            first = np.arange(begin, end)[role[begin:end] == 0]
+            if len(first):
+                reps, labels, sizes, sigs = np.concatenate([reps, rep[first]]), np.concatenate([labels, label[first]]), np.concatenate([sizes, n[first]]), np.concatenate([sigs, sig[first]])
+                texts += packed.take(pa.array(first)).to_pylist()
+            pick = int(np.int64(key[begin]).view(np.uint64) >> np.uint64(48))
+            for i in np.arange(begin, end)[role[begin:end] > 0]:
+                able = (labels != label[i]) & (100 * np.minimum(sizes, n[i]) >= PERCENT * np.maximum(sizes, n[i]))
+                if role[i] == 2:  # outside too: each such pair once
+                    able &= reps < rep[i]
+                at = np.flatnonzero(able)
+                same = sigs[at] == sig[i]
+                near_by = SYMBOLS - same.sum(axis=1) <= MOST_APART
+                at, same = at[near_by], same[near_by]
+                at = at[lowest_pick(same) == pick] if len(at) else at
+                own = None
+                for j in at:
+                    p, q = root(labels[j]), root(label[i])
+                    if p == q:
+                        continue
+                    if j not in sets:
+                        sets[j] = _unpacked(texts[j], held)
+                    if own is None:
+                        own = _unpacked(packed[int(i)].as_py(), held)
+                    if linked(sets[j], own):
+                        up[max(p, q)] = min(p, q)
+                        out.append((int(reps[j]), int(rep[i])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, _LONG), pa.array(b, _LONG)], names=names)
+
+
+def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
+    """Links (a, b) between members (key, rep, n, sig) of one large bucket that have different labels.
+
+    Those outside a bucket's largest component are dealt to parts of ``others``, all members to blocks of ``block``;
+    each part meets each block in a group of its own, so that a task holds one part and reads a block through.
+    """
+    named = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).checkpoint()
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("all"))
+    mixed_keys = counts.where("x.c < all").select("key", F.col("x.label").alias("most"), F.ceil(F.col("all") / block).cast("int").alias("ms"), F.ceil((F.col("all") - F.col("x.c")) / others).cast("int").alias("rs"))
+    rows = named.join(mixed_keys, "key").withColumn("outside", F.col("label") != F.col("most"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+    some = rows.where("outside").select("key", all_of("ms").alias("m"), own("rs", 1).alias("r"), F.lit(0).alias("role"), "rep", "label", "n", "sig")
+    every = rows.select("key", own("ms", 2).alias("m"), all_of("rs").alias("r"), F.when(F.col("outside"), 2).otherwise(1).alias("role"), "rep", "label", "n", "sig")
+    joined = some.union(every).join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("key", "m", "r", "role", "rep", "label", "n", "sig", "packed")
+    return joined.repartition("key", "m", "r").sortWithinPartitions("key", "m", "r", "role").mapInArrow(_between, "a long, b long")
+
+
+def links(reps: DataFrame, texts: DataFrame, most_all: int = MOST_ALL, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
+    """Confirmed links (a, b) between classes (rep, n, sig), enough to join all that are linked."""
+    hot = hot_keys(reps, most_all)
+    met = keyed(reps, hot, False).repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting(most_all), sql_schema(_MET)).checkpoint()
+    members = met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True))
+    members = members.join(reps, "rep").select("key", "rep", "n", "sig").checkpoint()
+    pivots = members.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("pivot"))
+    stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    found = met.where("pick < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).union(stars).distinct()
+    first = confirmed(near(found, reps).checkpoint(), texts).checkpoint()
+    if members.isEmpty():
+        return first
+    labels = components(first).checkpoint()
+    between = in_blocks(members, labels, texts, block, others).distinct().checkpoint()
+    return labels.toDF("a", "b").union(between)
+
+
+def classes(docs: DataFrame, **sizes: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document. ``sizes`` are those of ``links``; they change the work, not the result."""
     C.prepare(docs.sparkSession)
-    texts = C.text_bytes(docs)
-    rows = signed(texts).checkpoint()
+    rows = signed(C.text_bytes(docs)).checkpoint()
     able = rows.where("n > 0 and doc_id is not null")
     by_class = able.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).checkpoint()
-    labels = components(links(texts, by_class.select("rep", "n", "sig")))
+    labels = components(links(by_class.select("rep", "n", "sig"), able.select("doc_id", "packed"), **sizes))
     named = by_class.select("class", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("class", F.coalesce("label", "rep").alias("label"))
-    out = rows.join(named, "class", "left")
+    out = rows.select("doc_id", "n", "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

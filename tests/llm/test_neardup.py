@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from loomlens.llm import common as C
@@ -30,9 +31,9 @@ def brute(rows):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-def classes(spark, rows):
+def classes(spark, rows, **sizes):
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], SCHEMA).repartition(3)
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs, **sizes).collect()}
 
 
 def corpus(seed, n, groups):
@@ -54,10 +55,43 @@ def test_against_brute_force(spark):
     assert classes(spark, rows) == brute(rows)
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "MOST_ALL", 2)
+def test_large_buckets_lose_no_link(spark):
     shared = " ".join(f"p{i}" for i in range(60))
     rows = [*corpus(2, 60, 2), *((500 + i, shared + " " + " ".join(f"q{i // 2}x{k}" for k in range(12 + i % 3))) for i in range(30))]
+    want = brute(rows)
+    for sizes in ({"most_all": 2, "block": 3, "others": 2}, {"most_all": 2}, {}):
+        assert classes(spark, rows, **sizes) == want
+
+
+def test_many_near_copies_in_blocks(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(220):
+        copy = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            copy[rng.randrange(150)] = f"e{rng.randrange(9999)}"
+        rows.append((i, " ".join(copy)))
+    want = brute(rows)
+    assert 10 < sum(kept for _, _, kept in want.values()) < 200  # some hang together, some don't
+    assert classes(spark, rows, block=50, others=20) == want == classes(spark, rows)
+
+
+def test_lowest_pick_and_keys():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 4, (300, neardup.SYMBOLS)).astype("<u2")
+    ka, kb = neardup.keys_of(a[:150]), neardup.keys_of(a[150:])
+    want = [next((j for j in range(64) if x[j] == y[j]), 64) for x, y in zip(ka, kb, strict=True)]
+    assert neardup.lowest_pick(a[:150] == a[150:]).tolist() == want
+    same = np.ones((200, 64), bool)
+    for row in same:
+        row[rng.permutation(64)[: neardup.MOST_APART]] = False
+    assert (neardup.lowest_pick(same) < 64).all()  # the guarantee
+
+
+def test_very_long_texts(spark):
+    long = [f"w{i % 5000}x{i // 5000}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:50_000])), (3, " ".join(long[:30_000])), (4, "x" * 300_000)]
     assert classes(spark, rows) == brute(rows)
 
 
