@@ -12,7 +12,8 @@ candidates are read again for the comparison.
 
 Nulls and edges: a null text has no words; an item without words has no window; a window of an item whose id
 is null hits words but counts for no item. Equal items, and items given twice, each count by id once.
-Repeated documents come back as often as they stand there. Without items or documents nothing is hit.
+Repeated documents come back as often as they stand there; very long texts are taken whole. Only A to Z are lowered: the Kelvin
+sign is no k. Without items or documents nothing is hit.
 """
 
 from __future__ import annotations
@@ -74,9 +75,9 @@ def hits(docs: DataFrame, items: DataFrame, most_sent: int = MOST_SENT) -> tuple
     start, end = F.col("pos") - F.col("at"), F.col("pos") - F.col("at") + F.col("n")
     own = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ")
     if send:
-        # Compared in the text's own writing: words() and exact_words() cut alike.
+        # words() and exact_words() cut alike. For a window of ASCII this comparison is exact; others are compared again below.
         met = _met(rows, prefix, lengths, [*N.KEYS, "w"], True).withColumn("start", start).where((start >= 0) & (end <= F.size("w")))
-        near = met.where(own == F.lower("window")).select(*N.KEYS, "window", "n", "start").distinct()
+        near = met.where(own == N.lowered(F.col("window"))).select(*N.KEYS, "window", "n", "start").distinct()
     else:
         near = _met(rows, prefix, lengths, N.KEYS, False).where(start >= 0).select(*N.KEYS, "window", "n", start.alias("start")).distinct()
     near = near.checkpoint()
@@ -114,8 +115,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     _, got = hits(docs, items)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_k1": F.xxhash64(docs["doc_id"].cast("long"), text), "_k2": F.hash(text, docs["doc_id"].cast("long"))})
-    return keyed.join(got.select(*N.KEYS).distinct().toDF("_k1", "_k2"), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    k1, k2 = F.xxhash64(docs["doc_id"].cast("long"), text), F.hash(text, docs["doc_id"].cast("long"))
+    hit = got.select(*N.KEYS).distinct()
+    return docs.join(hit, (k1 == hit["k1"]) & (k2 == hit["k2"]), "left_anti")
 
 
 #: DuckDB: each run of words of a window's length against all windows.

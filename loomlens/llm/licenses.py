@@ -4,8 +4,10 @@ Every pair of neighbouring words of a document is joined by its hash to the plac
 in a template; where three words are left in the template, the third must agree too, and the words
 themselves are compared. A match votes for a diagonal, its place in the text less its place in the
 template. Votes are added up by document, template and diagonal; diagonals that lie near each other,
-as after a word put in or left out, are joined into one span. A short phrase must match in full; a
-notice counts if its span has votes for at least half of it and isn't spread over more than twice its length.
+as after a word put in or left out, are joined into one span. Then the span is verified. A base phrase, and any
+template of at most SHORT words, must match in full on one diagonal; a longer notice counts if its span has votes
+for at least half of its pairs and for all pairs with a deciding word (a number, or a word that tells it from another
+clause or licence of its family), and isn't spread over more than twice its length.
 
 Nulls and edges: a null text is empty; texts of fewer than two words match nothing. Repeated rows come back as
 often as they stand there. An empty table gives no row. Words are lower-cased as a whole; base phrases
@@ -45,18 +47,25 @@ NOTICES = [
 ]
 #: Diagonals as near as this belong together.
 DRIFT = 3
-LEAST_SHARE, MOST_SPREAD = 0.5, 2
+LEAST_SHARE, MOST_SPREAD, SHORT = 0.5, 2, 12
+#: Words, beside numbers, that tell a notice from the others of its family.
+DECIDING = {"by", "nc", "sa", "nd", "lesser", "affero", "later", "attribution", "noncommercial", "sharealike", "mozilla", "mit", "apache"}
 
 
 def templates(spark, phrases: dict[str, str] = PHRASES, notices=NOTICES) -> DataFrame:
-    """A row for each pair of neighbouring words of a template; as many as the parameters say, so small enough to send."""
+    """A row for each pair of neighbouring words of a template; as many as the parameters say, so small enough to send.
+
+    ``whole`` marks those that must match in full, ``decides`` the pairs that must be there, ``deciding`` says how many these are.
+    """
     rows = []
     for base, listed in ((True, phrases.items()), (False, ((t, label) for label, t in notices))):
         for text, label in listed:
             w = text.split()
-            rows += [(len(rows), base, label, text, len(w), i, " ".join(w[i : i + 2]), " ".join(w[i : i + 3]) if i + 3 <= len(w) else None) for i in range(len(w) - 1)]
-    made = spark.createDataFrame(rows, "id int, base boolean, label string, template string, size int, at int, two string, three string")
-    return made.withColumn("h", F.xxhash64("two")).drop("id")
+            tells = [x.isdigit() or x in DECIDING for x in w]
+            decides = [a or b for a, b in zip(tells, tells[1:], strict=False)]
+            rows += [(base, label, text, len(w), base or len(w) <= SHORT, sum(decides), decides[i], i, " ".join(w[i : i + 2]), " ".join(w[i : i + 3]) if i + 3 <= len(w) else None) for i in range(len(w) - 1)]
+    made = spark.createDataFrame(rows, "base boolean, label string, template string, size int, whole boolean, deciding int, decides boolean, at int, two string, three string")
+    return made.withColumn("h", F.xxhash64("two"))
 
 
 def spans(docs: DataFrame, **which) -> DataFrame:
@@ -65,13 +74,15 @@ def spans(docs: DataFrame, **which) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 3), " "))
     places = rows.select(*N.KEYS, F.posexplode(grams).alias("pos", "gram")).withColumn("pair", F.substring_index("gram", " ", 2)).withColumn("h", F.xxhash64("pair"))
     met = places.join(F.broadcast(templates(docs.sparkSession, **which)), "h").where("pair = two and (three is null or gram = three)")
-    votes = met.groupBy(*N.KEYS, "base", "label", "template", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("pos").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    of = ["base", "label", "template", "size", "whole", "deciding"]
+    diagonal = (F.col("pos") - F.col("at")).alias("diagonal")  # repeated rows have one key, so that places are counted, not rows
+    votes = met.groupBy(*N.KEYS, *of, diagonal).agg(F.count_distinct("pos").alias("votes"), F.count_distinct(F.when(F.col("decides"), F.col("pos"))).alias("decided"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     along = Window.partitionBy(*N.KEYS, "template", "base").orderBy("diagonal")
-    fresh = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT, F.lit(True))
+    fresh = F.col("whole") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT, F.lit(True))
     joined = votes.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(along))
-    merged = joined.groupBy(*N.KEYS, "base", "label", "template", "size", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + 1).alias("last"))
+    merged = joined.groupBy(*N.KEYS, *of, "run").agg(F.sum("votes").alias("votes"), F.sum("decided").alias("decided"), F.min("first").alias("first"), (F.max("last") + 1).alias("last"))
     share = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1))
-    ok = F.when(F.col("base"), F.col("votes") == F.col("size") - 1).otherwise((share >= LEAST_SHARE) & (F.col("last") - F.col("first") + 1 <= MOST_SPREAD * F.col("size")))
+    ok = F.when(F.col("whole"), F.col("votes") == F.col("size") - 1).otherwise((share >= LEAST_SHARE) & (F.col("decided") >= F.col("deciding")) & (F.col("last") - F.col("first") + 1 <= MOST_SPREAD * F.col("size")))
     return merged.where(ok).select(*N.KEYS, "base", "label", "first", "last", share.alias("share"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The Kelvin sign, the one letter beyond ASCII whose lower case is ASCII, and a letter without case that stands for it.
+KELVIN, KRA = "\u212a", "\u0138"
 #: What stands between words: all ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -15,10 +17,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def lowered(word: Column) -> Column:
+    """Lower case. Letters beyond ASCII are lowered too, but none becomes ASCII: words that are equal when only ASCII
+    is lowered stay equal, and an ASCII word has no equals but its own. Others that this makes equal are told apart when
+    a match is confirmed."""
+    return F.lower(F.replace(word, F.lit(KELVIN), F.lit(KRA)))
+
+
 def words(text: Column) -> Column:
-    """Words in lower case. The whole of a word is lowered, not ASCII alone: words that are equal when only
-    ASCII is lowered stay equal, and others that this makes equal are told apart when a match is confirmed."""
-    return F.transform(F.filter(F.split(text, BETWEEN), lambda w: w != ""), F.lower)
+    """Words in the lower case of ``lowered``."""
+    return F.transform(F.filter(F.split(F.replace(text, F.lit(KELVIN), F.lit(KRA)), BETWEEN), lambda w: w != ""), F.lower)
 
 
 def exact_words(text: Column) -> Column:

@@ -48,6 +48,8 @@ def test_windows_against_brute_force(spark, monkeypatch):
         for _ in range(rng.randrange(3)):
             w[rng.randrange(len(w) + 1) : 0] = (rng.choice(items)[1] or "").split()[rng.randrange(2) :]
         rows.append((i, rng.choice([" ", "\n", ", ", " - "]).join(w)))
+    items += [(60, "one two three four five six seven eight nine kite"), (61, "\u212aelvin \u212a k \u0138")]
+    rows += [(80, "One two three four five six seven eight nine \u212aite"), (81, "one two three four five six seven eight nine KITE"), (82, "\u212aelvin \u212a K \u0138"), (83, "kelvin k k \u0138"), (84, "\u0138elvin \u0138 k \u0138")]
     rows += [(90, None), (91, ""), (None, items[3][1]), (92, "école"), (92, "école"), (93, "nobody owns this item of ten words or so you")]
     benchmark = spark.createDataFrame([(k, t, "y") for k, t in items], "item_id long, text string, doc_id string")
     for most in (200_000, 0):
@@ -108,3 +110,45 @@ def test_notices(spark):
     assert got[1].labels == got[2].labels == "mit" and got[1].score == 1 and got[2].score > 0.85
     assert got[3].labels == got[5].labels == "" and got[4].labels.startswith("gpl,gpl-3.0") and got[4].base_labels == "gpl"
     assert [(s.first, s.last) for s in got[1].spans] == [(9, 8 + len(mit))] and "cc-by-nc-4.0" in got[6].labels.split(",")
+
+
+def test_versions_and_clauses_are_told_apart(spark):
+    later = next(t for label, t in licenses.NOTICES if label == "gpl-2.0-or-later")
+    work = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    want = {
+        "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0",
+        "licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl-2.1",
+        "Licensed under the Apache License, Version 2.0 (the": "apache-2.0",
+        "Licensed under the Apache License, Version 1.1": "",
+        "Released under the BSD license": "",
+        later: "gpl,gpl-2.0-or-later",
+        later.replace("version 2", "version 3"): "gpl",
+        later.replace("this program", "that useful program"): "gpl,gpl-2.0-or-later",
+        work.format(""): "cc-by-4.0",
+        work.format("-ShareAlike"): "",
+        work.format("").replace("4", "3"): "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, list(enumerate(want)))).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_short_templates_match_just_where_their_words_stand(spark):
+    rng = random.Random(9)
+    short = [(label, t.split()) for label, t in licenses.NOTICES if len(t.split()) <= licenses.SHORT] + [(label, p.split()) for p, label in licenses.PHRASES.items()]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            own = list(rng.choice(short)[1])
+            if rng.random() < 0.5:
+                own[rng.randrange(len(own))] = rng.choice(["x", "2", "by", "the"])
+            w += [*own, *(["and"] * rng.randrange(2))]
+        rows.append((i, " ".join(w)))
+    for r in licenses.scan(frame(spark, rows)).collect():
+        w = rows[r.doc_id][1].split()
+        want = {(k, k + len(t) - 1, label) for label, t in short for k in range(len(w)) if w[k : k + len(t)] == t}
+        assert {(s.first, s.last, s.label) for s in r.spans or ()} == want
