@@ -1,13 +1,15 @@
 """Toxicity: a second-order factorization machine over hashed terms.
 
 A text's terms are its words and their beginnings of four to six bytes, hashed. Of the terms seen in
-labelled rows, those that tell most about the label are kept, so that a long text isn't drowned by
-chance words. The machine has a weight for each kept term and a vector whose inner products weigh
-pairs of terms; a term counts once a text. It is fitted by Adam on a bounded sample of labelled rows
-and scores every whole text.
-
-Nulls: a null text is empty and has the score of no terms; a null label or doc_id is not learned from;
-a null doc_id is scored as it is. Labels given twice count twice. Without any labelled row, or with
+labelled rows two kinds are kept: those that tell most about the label on their own, so that a long text isn't drowned by
+chance words, and the most frequent others, so that a term which tells something only beside another, such as the mention of a
+group, has its vector too. The machine has a weight for each kept term and a vector whose inner products weigh
+pairs of terms; a term counts once a text. Terms are counted in Spark; the machine is fitted by Adam on the driver, on the kept
+terms of a bounded sample of labelled rows, in the order of their ids, so that partitions don't change it. It scores every whole text.
+
+Nulls and edges: a null or empty text has the score of no terms; very long texts are taken whole; a null label or doc_id is not
+learned from; a null doc_id is scored as it is. Labels given twice count twice, and so do repeated rows in learning; they are scored as
+often as they stand there. An empty table gives no row. Without any labelled row, or with
 labels of one kind only, every text scores that kind's share (0 without rows).
 """
 
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from .packing import batches_of, sql_schema
 
-#: Rows learned from at most, chosen by a hash of doc_id.
+#: Labels learned from at most: those with the smallest hashes of doc_id.
 MOST_LABELLED = 20_000
-BUCKETS, KEPT_TERMS, FACTORS, ROUNDS, LEAST_STEPS = 1 << 22, 8192, 8, 8, 400
-#: A kept term's likelihood ratio statistic at least: what chance gives one term in ten thousand.
+BUCKETS, FACTORS, ROUNDS, LEAST_STEPS = 1 << 22, 8, 8, 400
+#: Terms kept at most for what they tell on their own, and for being frequent.
+KEPT_TERMS, KEPT_FREQUENT = 8192, 4096
+#: Likelihood ratio statistic at least of a term that tells on its own: what chance gives one term in ten thousand.
 LEAST_TELLING = 15.0
 
 _WORDS = re.compile(rb"[^" + C.NOT_WORD + rb"]+").findall
@@ -109,51 +113,65 @@ class Machine:
                 self.vectors -= kinds[2]
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray, kept: int, least: float = LEAST_TELLING) -> dict[int, int]:
-    """The terms whose presence tells most about the label (likelihood ratio), to their places."""
-    n = np.zeros((2, BUCKETS), dtype=np.int32)
-    for x, y in zip(rows, labels, strict=True):
-        n[int(y), x] += 1  # a text has each of its terms once
-    names = np.flatnonzero(n.max(axis=0) >= 2)
-    n0, n1 = float((labels == 0).sum()), float((labels == 1).sum())
-    a, b = n[0, names].astype(float), n[1, names].astype(float)
-
-    def part(seen, wanted):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(wanted, 1e-12)), 0)
+def labelled(docs: DataFrame, labels: DataFrame, most: int, held_out: int | None) -> DataFrame:
+    """(y, doc_id, text) of the labels with the smallest hashes, whose crc32(doc_id) modulo ``held_out`` isn't 0."""
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("long").alias("y")).where("doc_id is not null and y in (0, 1)")
+    if held_out:
+        known = known.where(C.crc_bucket(F.col("doc_id"), held_out) != 0)
+    n, at = known.count(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # No more rows than needed reach the sort: six deviations over the expected number.
+    few = known if n <= most else known.where(at < int((1 << 40) * min(1.0, (most + 6 * most**0.5) / n))).orderBy(at, "doc_id", "y").limit(most)
+    return C.text_bytes(docs).join(F.broadcast(few), "doc_id").select("y", "doc_id", "text")  # at most ``most`` rows of 16 bytes are sent
 
-    share = (a + b) / (n0 + n1)
-    g = part(a, n0 * share) + part(b, n1 * share) + part(n0 - a, n0 * (1 - share)) + part(n1 - b, n1 * (1 - share))
-    names, g = names[2 * g >= least], g[2 * g >= least]
-    best = names[np.lexsort((names, -g))][:kept]
-    return {int(t): i for i, t in enumerate(best)}
 
+def kept_terms(rows: DataFrame, telling: int = KEPT_TERMS, frequent: int = KEPT_FREQUENT, least: float = LEAST_TELLING) -> tuple[list[int], list[float]]:
+    """The kept terms, and how many rows of each label there are. Counts are added up in the tasks, then by term."""
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_out: int | None = 5) -> Machine:
-    """Learn from labelled rows whose crc32(doc_id) modulo ``held_out`` isn't 0 (None: from all)."""
+    def count(batches):
+        held, n = Terms(), np.zeros((2, BUCKETS), np.int32)
+        rows = np.zeros(2, np.int64)
+        for b in batches:
+            for y, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                n[y, held.of(text)] += 1  # a text has each of its terms once
+                rows[y] += 1
+        at = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[0, at], rows[0]).astype(np.int64)), pa.array(np.append(n[1, at], rows[1]).astype(np.int64))], names=["term", "a", "b"])
+
+    counts = rows.mapInArrow(count, "term long, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).checkpoint()
+    total = counts.where("term < 0").first()
+    n0, n1 = (float(total["a"]), float(total["b"])) if total else (0.0, 0.0)
+    if not n0 or not n1:
+        return [], [n0, n1]
+    share = (F.col("a") + F.col("b")) / (n0 + n1)
+    part = lambda seen, wanted: F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(0.0)
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    g = F.round(2 * (part(a, n0 * share) + part(b, n1 * share) + part(n0 - a, n0 * (1 - share)) + part(n1 - b, n1 * (1 - share))), 9)
+    able = counts.where("term >= 0 and greatest(a, b) >= 2").select("term", (F.col("a") + F.col("b")).alias("n"), F.coalesce(g, F.lit(0.0)).alias("g"))
+    own = [r["term"] for r in able.where(F.col("g") >= least).orderBy(F.desc("g"), "term").limit(telling).select("term").collect()]
+    # Terms of nearly every row say nothing beside another either.
+    other = [r["term"] for r in able.where(~F.col("term").isin(own) & (F.col("n") < 0.9 * (n0 + n1))).orderBy(F.desc("n"), "term").limit(frequent).select("term").collect()] if frequent else []
+    return own + other, [n0, n1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_out: int | None = 5, **kept) -> Machine:
+    """Learn from at most ``most`` labels whose crc32(doc_id) modulo ``held_out`` isn't 0 (None: from all)."""
     C.prepare(docs.sparkSession)
-    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    if held_out:
-        known = known.where(C.crc_bucket(F.col("doc_id"), held_out) != 0)
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
-    known = known.limit(most)  # at most so many rows: small enough to broadcast and to gather
+    rows = labelled(docs, labels, most, held_out)
+    names, (n0, n1) = kept_terms(rows, **kept)
+    edge = min(max(n1 / (n0 + n1) if n0 + n1 else 0.0, 1e-9), 1 - 1e-9)
+    places = {int(t): i for i, t in enumerate(names)}
+    machine = Machine(places, float(np.log(edge / (1 - edge))))
+    if not places:
+        return machine
 
     def read(batches):
-        held = Terms()
-        schema = pa.schema([("y", pa.int64()), ("terms", pa.binary())])
-        yield from batches_of(((y, held.of(text).tobytes()) for b in batches for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), schema, lambda r: len(r[1]))
-
-    seen = C.text_bytes(docs).join(F.broadcast(known), "doc_id").select(F.col("y").cast("long").alias("y"), "text").mapInArrow(read, "y long, terms binary").collect()
-    y = np.array([r["y"] for r in seen], dtype=float)
-    rows = [np.frombuffer(r["terms"], np.int32) for r in seen]
-    del seen
-    share = float(y.mean()) if len(y) else 0.0
-    edge = min(max(share, 1e-9), 1 - 1e-9)
-    machine = Machine(_telling(rows, y, KEPT_TERMS) if 0 < share < 1 else {}, float(np.log(edge / (1 - edge))))
-    if machine.places:
-        places = machine.places
-        machine.fit([np.array(sorted(places[t] for t in x.tolist() if t in places), dtype=np.int32) for x in rows], y)
+        held = Terms(places)
+        schema = pa.schema([("y", pa.int64()), ("doc_id", pa.int64()), ("terms", pa.binary())])
+        yield from batches_of(((y, doc_id, np.sort(held.of(text)).astype("<u2").tobytes()) for b in batches for y, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True)), schema, lambda r: len(r[2]))
+
+    # Kept terms only, two bytes each: however long the texts are, a row holds no more than the kept terms.
+    seen = sorted((r["doc_id"], r["y"], bytes(r["terms"])) for r in rows.mapInArrow(read, "y long, doc_id long, terms binary").collect())
+    machine.fit([np.frombuffer(t, "<u2").astype(np.int32) for _, _, t in seen], np.array([y for _, y, _ in seen], dtype=float))
     return machine
 
 

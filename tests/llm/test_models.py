@@ -1,10 +1,12 @@
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomlens.llm import common as C
 from loomlens.llm import lm, quality, toxicity
@@ -96,9 +98,62 @@ def test_machine_learns_pairs_that_a_sum_misses():
     assert abs(machine.vectors[0] @ machine.vectors[1]) > 0.3
 
 
+def test_pairs_against_a_double_loop():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine({i: i for i in range(30)}, -0.3)
+    machine.weights, machine.vectors = rng.normal(0, 0.3, 30), rng.normal(0, 0.3, (30, toxicity.FACTORS))
+    rows = [rng.permutation(30)[: rng.integers(0, 12)].astype(np.int32) for _ in range(40)]
+    for x, got in zip(rows, machine.score(rows), strict=True):
+        raw = machine.bias + sum(machine.weights[i] for i in x) + sum(float(machine.vectors[i] @ machine.vectors[j]) for i, j in itertools.combinations(x, 2))
+        assert got == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
+def pair_corpus(n, seed=8):
+    """Toxic if both words stand there; each alone is as frequent among clean texts."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        kind = rng.choice(["both", "none", "insult", "group"] if i % 2 else ["both", "none"])
+        w = [f"w{rng.randrange(150)}" for _ in range(rng.randrange(5, 30))] + ["zarkish"] * (kind in ("both", "insult")) + ["blennian"] * (kind in ("both", "group"))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(kind == "both"), kind))
+    return rows
+
+
+def test_fit_learns_a_pair_of_words(spark):
+    rows = pair_corpus(3000)
+    docs = spark.createDataFrame([(i, t, 0.0, "x") for i, t, _, _ in rows], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    for kind in ("both", "none", "insult", "group"):
+        own = [got[i].predicted == y for i, _, y, k in rows if k == kind and got[i].held_out]
+        assert np.mean(own) > 0.9, kind
+
+
+def test_a_term_that_tells_nothing_alone_is_kept(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join([*(["zarkish"] if i & 1 else []), *(["blennian"] if i & 2 else []), *(f"w{rng.randrange(90)}" for _ in range(9))]), int((i & 3) in (0, 3))) for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, 0.0, "x") for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    word = toxicity.terms(b"zarkish")[0]
+    assert word in toxicity.fit(docs, labels).places and word not in toxicity.fit(docs, labels, frequent=0).places
+    got = [r.predicted == rows[r.doc_id][2] for r in toxicity.scored(docs, toxicity.fit(docs, labels)).where("held_out").collect()]
+    assert np.mean(got) > 0.9
+
+
+def test_partitions_and_repeats_do_not_change_the_machine(spark):
+    rows = pair_corpus(400, 2) + [(7, "given twice", 0, ""), (7, "given twice", 0, "")]
+    docs = spark.createDataFrame([(i, t, 0.0, "x") for i, t, _, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    scores = [sorted((r.doc_id, r.score) for r in toxicity.scored(docs, toxicity.fit(docs.repartition(k), labels.repartition(k))).collect()) for k in (1, 5)]
+    assert scores[0] == scores[1] and len(scores[0]) == 402
+
+
 def test_labels_learned_from_are_bounded(spark):
     docs, labels = C.table(spark, SF, "documents"), C.table(spark, SF, "labels")
-    assert len(toxicity.fit(docs, labels).places) > len(toxicity.fit(docs, labels, most=150).places)
+    known = labels.where("toxic is not null").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 40)).alias("h")).collect()
+    want = sorted(r.doc_id for r in sorted((r for r in known if fold(r.doc_id, 5)), key=lambda r: (r.h, r.doc_id))[:150])
+    assert sorted(r.doc_id for r in toxicity.labelled(docs, labels, 150, 5).collect()) == want
 
 
 def test_toxicity_edges(spark):
