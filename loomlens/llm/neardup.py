@@ -37,7 +37,7 @@ WIDTH = 5
 SYMBOLS, CHUNK = 64, 4
 MOST_APART = 2 * (SYMBOLS // CHUNK) - 1
 #: Classes of a bucket that all meet each other; larger buckets go through blocks of so many classes and others.
-MOST_ALL, BLOCK, OTHERS = 32, 4096, 512
+MOST_ALL, BLOCK, OTHERS = 32, 2048, 512
 #: Pairs of one class confirmed by a task at a time.
 STAR = 256
 #: A link: 100 * intersection >= PERCENT * union.
@@ -254,7 +254,7 @@ def confirmed(found: DataFrame, texts: DataFrame) -> DataFrame:
                     b_out.append(doc_id)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, _LONG), pa.array(b_out, _LONG)], names=["a", "b"])
 
-    rows = needs.join(texts, "doc_id").select("a", "part", "role", "doc_id", "packed")
+    rows = needs.join(texts.select("doc_id", "packed"), "doc_id").select("a", "part", "role", "doc_id", "packed")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
@@ -332,7 +332,7 @@ def _between(batches):
 
 
 def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
-    """Links (a, b) between members (key, rep, n, sig) of one large bucket that have different labels.
+    """Links (a, b) between members (key, rep) of one large bucket that have different labels.
 
     Those outside a bucket's largest component are dealt to parts of ``others``, all members to blocks of ``block``;
     each part meets each block in a group of its own, so that a task holds one part and reads a block through.
@@ -343,8 +343,8 @@ def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, block: in
     rows = named.join(mixed_keys, "key").withColumn("outside", F.col("label") != F.col("most"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    some = rows.where("outside").select("key", all_of("ms").alias("m"), own("rs", 1).alias("r"), F.lit(0).alias("role"), "rep", "label", "n", "sig")
-    every = rows.select("key", own("ms", 2).alias("m"), all_of("rs").alias("r"), F.when(F.col("outside"), 2).otherwise(1).alias("role"), "rep", "label", "n", "sig")
+    some = rows.where("outside").select("key", all_of("ms").alias("m"), own("rs", 1).alias("r"), F.lit(0).alias("role"), "rep", "label")
+    every = rows.select("key", own("ms", 2).alias("m"), all_of("rs").alias("r"), F.when(F.col("outside"), 2).otherwise(1).alias("role"), "rep", "label")
     joined = some.union(every).join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("key", "m", "r", "role", "rep", "label", "n", "sig", "packed")
     return joined.repartition("key", "m", "r").sortWithinPartitions("key", "m", "r", "role").mapInArrow(_between, "a long, b long")
 
@@ -354,7 +354,7 @@ def links(reps: DataFrame, texts: DataFrame, most_all: int = MOST_ALL, block: in
     hot = hot_keys(reps, most_all)
     met = keyed(reps, hot, False).repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting(most_all), sql_schema(_MET)).checkpoint()
     members = met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True))
-    members = members.join(reps, "rep").select("key", "rep", "n", "sig").checkpoint()
+    members = members.checkpoint()
     pivots = members.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("pivot"))
     stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     found = met.where("pick < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).union(stars).distinct()
@@ -372,7 +372,7 @@ def classes(docs: DataFrame, **sizes: int) -> DataFrame:
     rows = signed(C.text_bytes(docs)).checkpoint()
     able = rows.where("n > 0 and doc_id is not null")
     by_class = able.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).checkpoint()
-    labels = components(links(by_class.select("rep", "n", "sig"), able.select("doc_id", "packed"), **sizes))
+    labels = components(links(by_class.select("rep", "n", "sig"), able.select("doc_id", "n", "sig", "packed"), **sizes))
     named = by_class.select("class", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("class", F.coalesce("label", "rep").alias("label"))
     out = rows.select("doc_id", "n", "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
