@@ -106,14 +106,23 @@ def weight_grid(rows: DataFrame, by: list[str], truth: str, steps: int = 10) ->
     return top.groupBy("i").agg(F.count("*").alias("n"), F.sum((-F.col("x.g") == F.col("truth")).cast("long")).alias("hits"))
 
 
-def similar_pairs(docs: DataFrame, key: str, words: str, above: float = 0.9) -> DataFrame:
-    """Pairs whose word sets' Jaccard similarity is over a bound. Only the rarest words of each set that such a pair must share are joined."""
-    sets = docs.select(F.col(key).alias("k"), F.array_distinct(words).alias("w")).where("size(w) > 0")
-    df = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = sets.select("k", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    need = F.col("n") - F.ceil(F.col("n") * above) + 1
-    prefix = ranked.select("k", "n", F.explode(F.slice("w", F.lit(1), need.cast("int"))["word"]).alias("word"))
-    a, b = prefix.select(F.col("k").alias("a"), F.col("n").alias("na"), "word"), prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "word")
-    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= above * F.greatest("na", "nb"))).select("a", "b").distinct()
-    full = met.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
-    return full.withColumn("jaccard", F.round(F.col("both") / (F.size("wa") + F.size("wb") - F.col("both")), 6)).where(F.col("jaccard") > above).select("a", "b", "jaccard")
+def similar(docs: DataFrame, key: str, words: str, percent: int = 90) -> DataFrame:
+    """(key, class_id, links): rows with equal word sets are a class, named after its smallest key; links says how many other
+    rows have a set of a Jaccard similarity of over ``percent`` in a hundred, those of the class included. Rows without words are left out.
+
+    Classes are joined on the rarest words of each that such a pair must share, within the lengths it allows. Pairs are
+    made between classes only.
+    """
+    sets = docs.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(words)).alias("w")).where("size(w) > 0").withColumn("h", F.sha2(F.array_join("w", " "), 256))
+    classes = sets.groupBy("h").agg(F.min("k").alias("c"), F.count("*").alias("m"), F.first("w").alias("w"))
+    df = classes.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = classes.select("c", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ranked.select("c", "n", F.explode(F.slice("w", F.lit(1), need.cast("int"))["word"]).alias("word"))
+    a, b = prefix.select(F.col("c").alias("a"), F.col("n").alias("na"), "word"), prefix.select(F.col("c").alias("b"), F.col("n").alias("nb"), "word")
+    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") > percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    own = classes.select("c", "m", "w")
+    full = met.join(own.toDF("a", "ma", "wa"), "a").join(own.toDF("b", "mb", "wb"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
+    linked = full.where(100 * F.col("both") > percent * (F.size("wa") + F.size("wb") - F.col("both")))
+    counts = linked.select("a", "mb").union(linked.select("b", "ma")).toDF("c", "m").groupBy("c").agg(F.sum("m").alias("l"))
+    return sets.select("k", "h").join(classes.select("h", "c", "m"), "h").join(counts, "c", "left").select(F.col("k").alias(key), F.col("c").alias("class_id"), (F.col("m") - 1 + F.coalesce("l", F.lit(0))).alias("links"))

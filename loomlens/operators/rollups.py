@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def rounded(part, whole, scale: int):
+    """part / whole / scale to six digits, halves up, in whole numbers, so that every engine gives the same."""
+    unit = 1_000_000 // scale
+    return F.call_function("div", 2 * unit * part + whole, 2 * whole) / F.lit(1e6)
+
+
 def mean(milli: str = "milli"):
-    """Mean of thousandths, added up as whole numbers, so that any order gives the same."""
-    return F.round(F.sum(milli).cast("double") / F.count("*") / 1000, 6)
+    """Mean of thousandths, which are not negative."""
+    return rounded(F.sum(milli), F.count("*"), 1000)
 
 
 def share(flag):
-    return F.round(F.sum(flag.cast("long")).cast("double") / F.count("*"), 6)
+    return rounded(F.sum(flag.cast("long")), F.count("*"), 1)
 
 
 def alignment(facts: DataFrame, by: list[str]) -> DataFrame:
@@ -39,7 +45,7 @@ def grouped(facts: DataFrame, sets: list[list[str]]) -> DataFrame:
 def mean_of_means(facts: DataFrame, report: list[str], by: list[str]) -> DataFrame:
     """Unweighted mean over reports of each report's mean, against the mean over all activities."""
     per = facts.groupBy(*report, "goal").agg(F.sum("milli").alias("s"), F.count("*").alias("n"))
-    return per.groupBy(*by, "goal").agg(F.round(F.avg(F.col("s").cast("double") / F.col("n") / 1000), 12).alias("mean_of_means"), F.round(F.sum("s").cast("double") / F.sum("n") / 1000, 6).alias("pooled_mean"))
+    return per.groupBy(*by, "goal").agg(F.round(F.avg(F.col("s").cast("double") / F.col("n") / 1000), 12).alias("mean_of_means"), rounded(F.sum("s"), F.sum("n"), 1000).alias("pooled_mean"))
 
 
 def council_coverage(facts: DataFrame, by: list[str], council: str) -> DataFrame:
@@ -50,7 +56,7 @@ def council_coverage(facts: DataFrame, by: list[str], council: str) -> DataFrame
 
 def wide(facts: DataFrame, by: list[str], goals) -> DataFrame:
     """One row per group, one column per goal."""
-    cells = {f"goal_{g}": F.round(F.coalesce(F.sum(F.when((F.col("goal") == g) & F.col("is_aligned"), 1).otherwise(0)), F.lit(0)).cast("double") / F.count("*"), 6) for g in goals}
+    cells = {f"goal_{g}": rounded(F.coalesce(F.sum(F.when((F.col("goal") == g) & F.col("is_aligned"), 1).otherwise(0)), F.lit(0)), F.count("*"), 1) for g in goals}
     return facts.groupBy(*by).agg(F.count("*").alias("activities"), *(c.alias(k) for k, c in cells.items()))
 
 
@@ -59,7 +65,7 @@ def proportions(facts: DataFrame, by: list[str], goals: DataFrame) -> DataFrame:
     counts = facts.groupBy(*by, "goal").agg(F.count("*").alias("n"))
     grid = facts.select(*by).distinct().join(F.broadcast(goals), how="cross")
     total = F.sum("n").over(Window.partitionBy(*by))
-    return grid.join(counts, [*by, "goal"], "left").na.fill({"n": 0}).select(*by, "goal", F.round(F.col("n").cast("double") / total, 6).alias("proportion"))
+    return grid.join(counts, [*by, "goal"], "left").na.fill({"n": 0}).select(*by, "goal", rounded(F.col("n"), total, 1).alias("proportion"))
 
 
 def deviation(facts: DataFrame, region: str) -> DataFrame:

@@ -17,8 +17,13 @@ from .plans.facts import order_facts, table, vector_facts
 from .streaming import ingest as S
 
 QUERIES: dict = {}
-MEAN = "round(sum(milli)::DOUBLE / count(*) / 1000, 6)"
-SHARE = "round(sum(is_aligned::INT)::DOUBLE / count(*), 6)"
+def rounded(part: str, whole: str, scale: int) -> str:
+    """As in operators.rollups: halves up, in whole numbers."""
+    return f"((({2_000_000 // scale} * {part})::BIGINT + {whole}) // (2 * {whole}))::DOUBLE / 1e6"
+
+
+MEAN = rounded("sum(milli)", "count(*)", 1000)
+SHARE = rounded("sum(is_aligned::INT)", "count(*)", 1)
 #: Words that do on the driver's invented prose what domain words do on reports.
 PROSE = ("tion", "ther", "thon", "hely", "rewh", "orre")
 PROGRAM = ((1, ("tion",), ("thon",), 0.4, {2: 0.15}), (2, ("ther",), ("hely",), 0.35, {3: 0.1, 1: 0.15}), (3, ("rewh",), ("orre",), 0.3, {1: 0.2}))
@@ -41,13 +46,8 @@ def vector_query(name, f, sql):
 
 
 def docs_query(name, f, sql):
-    """Over all documents. Where the given SQL reads English ones only, the query of that name does too, and name_all reads all, held to the SQL without that filter."""
-    whole = lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
-    if sql is None:
-        QUERIES[name] = (whole, None)
-    else:
-        QUERIES[name] = (lambda spark, sf_dir: f(table(spark, sf_dir, "documents").where("lang = 'en'")), sql)
-        QUERIES[f"{name}_all"] = (whole, sql.replace(" WHERE lang = 'en'", ""))
+    """Over all documents."""
+    QUERIES[name] = (lambda spark, sf_dir: f(table(spark, sf_dir, "documents")), sql)
 
 
 # Similarity and alignment
@@ -88,7 +88,7 @@ _CW = "CASE " + " ".join(f"WHEN section = '{s}' AND goal = {g} THEN {w}::DOUBLE"
 vector_query("context_weighted", lambda f: A.context_weighted(f.select("vec_id", "goal", "score", F.element_at(F.array(*map(F.lit, _SECTIONS)), (F.col("vec_id") % 4 + 1).cast("int")).alias("section")), "section", digits=8), f", s AS (SELECT vec_id, goal, score, (['environment', 'community', 'economic', 'governance'])[vec_id % 4 + 1] AS section FROM f) SELECT vec_id, goal, section, round(least(1.0, score * (1 + ({_CW} - 1) * 0.3)), 8) AS score FROM s")
 vector_query("alignment_matrix", lambda f: f.groupBy("vec_id").pivot("goal", list(range(1, 11))).agg(F.max("score")).na.fill(0.0).select("vec_id", *(F.col(str(g)).alias(f"goal_{g}") for g in range(1, 11))), "SELECT vec_id, " + ", ".join(f"coalesce(max(CASE WHEN goal = {g} THEN score END), 0.0) AS goal_{g}" for g in range(1, 11)) + " FROM f GROUP BY 1")
 _TEXT_FACTS = lambda d: d.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("goal")).withColumn("score", ((F.col("doc_id") * 7 + F.col("goal") * 31) % 100) / 100.0)
-_TF = "WITH f AS (SELECT doc_id, lower(text) AS t, g::INTEGER AS goal, ((doc_id * 7 + g * 31) % 100) / 100.0::DOUBLE AS score FROM documents, (SELECT unnest([1, 2, 3]) AS g) WHERE lang = 'en')"
+_TF = "WITH f AS (SELECT doc_id, lower(text) AS t, g::INTEGER AS goal, ((doc_id * 7 + g * 31) % 100) / 100.0::DOUBLE AS score FROM documents, (SELECT unnest([1, 2, 3]) AS g))"
 
 
 def _program_sql():
@@ -104,12 +104,12 @@ docs_query("correction_program", lambda d: A.corrected(_TEXT_FACTS(d), "text", P
 docs_query("keyword_boost", lambda d: A.keyword_boost(_TEXT_FACTS(d), "text", {1: (("rewh", "orre"), 0.2), 2: (("hely",), 0.25)}).select("doc_id", "goal", "boosted", F.round("score", 6).alias("score")), _TF + ", b AS (SELECT *, CASE WHEN goal = 1 AND (contains(t, 'rewh') OR contains(t, 'orre')) THEN 0.2::DOUBLE WHEN goal = 2 AND contains(t, 'hely') THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS g FROM f) SELECT doc_id, goal, g > 0 AS boosted, round(least(1.0::DOUBLE, score + g), 6) AS score FROM b")
 
 # Rollups
-facts_query("coverage_summary_wide", lambda f: R.wide(f, ["council", "year"], range(1, 6)), "SELECT council, year, count(*) AS activities, " + ", ".join(f"round(sum((goal = {g} AND is_aligned)::INT)::DOUBLE / count(*), 6) AS goal_{g}" for g in range(1, 6)) + " FROM f GROUP BY 1, 2")
+facts_query("coverage_summary_wide", lambda f: R.wide(f, ["council", "year"], range(1, 6)), "SELECT council, year, count(*) AS activities, " + ", ".join(f"{rounded(f'sum((goal = {g} AND is_aligned)::INT)', 'count(*)', 1)} AS goal_{g}" for g in range(1, 6)) + " FROM f GROUP BY 1, 2")
 facts_query("rollup_grouping_sets", lambda f: R.grouped(f, [["state"], ["year"], ["setting"], ["state", "year", "setting"], []]), f"SELECT coalesce(setting, 'all') AS setting, coalesce(state, 'all') AS state, coalesce(year::VARCHAR, 'all') AS year, goal, count(*) AS n, {MEAN} AS mean_score, {SHARE} AS coverage FROM f GROUP BY GROUPING SETS ((state, goal), (year, goal), (setting, goal), (state, year, setting, goal), (goal))")
-facts_query("yearly_mean_of_means", lambda f: R.mean_of_means(f, ["council", "year"], ["year"]), "SELECT year, goal, round(avg(s::DOUBLE / n / 1000), 12) AS mean_of_means, round(sum(s)::DOUBLE / sum(n) / 1000, 6) AS pooled_mean FROM (SELECT council, year, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
+facts_query("yearly_mean_of_means", lambda f: R.mean_of_means(f, ["council", "year"], ["year"]), f"SELECT year, goal, round(avg(s::DOUBLE / n / 1000), 12) AS mean_of_means, {rounded('sum(s)', 'sum(n)', 1000)} AS pooled_mean FROM (SELECT council, year, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
 facts_query("council_coverage", lambda f: R.council_coverage(f, ["year"], "council"), "SELECT year, goal, round(100.0 * sum(h) / count(*), 2)::DOUBLE AS coverage_pct, coalesce(string_agg(council, ',' ORDER BY council) FILTER (WHERE h = 1), '') AS councils FROM (SELECT year, goal, council, max(is_aligned::INT) AS h FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2")
 facts_query("urban_rural_distribution", lambda f: R.distribution(f, ["setting", "goal"]), "SELECT setting, goal, min(milli) AS low, max(milli) AS high, round(quantile_cont(milli, 0.25), 4)::DOUBLE AS q25, round(quantile_cont(milli, 0.5), 4)::DOUBLE AS median, round(quantile_cont(milli, 0.75), 4)::DOUBLE AS q75 FROM f GROUP BY 1, 2")
-QUERIES["topgoal_proportions"] = (lambda s, d: R.proportions(order_facts(s, d), ["council", "year"], s.range(1, 6).select(F.col("id").cast("int").alias("goal"))), OF + ", c AS (SELECT council, year, goal, count(*) AS n FROM f GROUP BY 1, 2, 3), g AS (SELECT DISTINCT council, year, k::INTEGER AS goal FROM f, (SELECT unnest(range(1, 6)) AS k)) SELECT council, year, goal, round(coalesce(n, 0)::DOUBLE / sum(coalesce(n, 0)) OVER (PARTITION BY council, year), 6) AS proportion FROM g LEFT JOIN c USING (council, year, goal)")
+QUERIES["topgoal_proportions"] = (lambda s, d: R.proportions(order_facts(s, d), ["council", "year"], s.range(1, 6).select(F.col("id").cast("int").alias("goal"))), OF + f", c AS (SELECT council, year, goal, count(*) AS n FROM f GROUP BY 1, 2, 3), g AS (SELECT DISTINCT council, year, k::INTEGER AS goal FROM f, (SELECT unnest(range(1, 6)) AS k)), p AS (SELECT council, year, goal, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY council, year) AS t FROM g LEFT JOIN c USING (council, year, goal)) SELECT council, year, goal, {rounded('n', 't', 1)} AS proportion FROM p")
 facts_query("region_deviation", lambda f: R.deviation(f, "setting"), "SELECT setting, goal, round(s::DOUBLE / n / 1000 - (sum(s) OVER w)::DOUBLE / (sum(n) OVER w) / 1000, 6) AS deviation FROM (SELECT setting, goal, sum(milli) AS s, count(*) AS n FROM f GROUP BY 1, 2) WINDOW w AS (PARTITION BY goal)")
 facts_query("states_with_both", lambda f: f.groupBy("state").agg(F.count_distinct("setting").alias("settings"), F.count_distinct("council").alias("councils")).where("settings >= 2"), "SELECT state, count(DISTINCT setting) AS settings, count(DISTINCT council) AS councils FROM f GROUP BY 1 HAVING count(DISTINCT setting) >= 2")
 facts_query("sample_top3_per_goal", R.samples, "SELECT goal, row_number() OVER (PARTITION BY goal ORDER BY milli DESC, activity_id)::INTEGER AS rank, activity_id, milli FROM f QUALIFY rank <= 3")
@@ -119,12 +119,11 @@ facts_query("national_shares", lambda f: f.groupBy("goal").agg(R.share(F.col("is
 facts_query("compare_notes", lambda f: R.compared(f, "state"), f", r AS (SELECT state, goal, {MEAN} AS m FROM f GROUP BY 1, 2) SELECT goal, round(max(m) - min(m), 6) AS gap, arg_max(state, (m, state)) AS leader, min(m) AS least FROM r GROUP BY 1")
 facts_query("goal_union_years", lambda f: f.where("is_aligned").groupBy("council").agg(F.array_join(F.array_sort(F.collect_set("goal")).cast("array<string>"), ",").alias("goals"), F.count_distinct("year").alias("years")), "SELECT council, string_agg(DISTINCT goal::VARCHAR, ',' ORDER BY goal::VARCHAR) AS goals, count(DISTINCT year) AS years FROM f WHERE is_aligned GROUP BY 1")
 facts_query("score_histogram", R.histogram, "SELECT floor(milli * 10 / 1000)::INTEGER AS bin, count(*) AS n FROM f GROUP BY 1")
-facts_query("run_diff", lambda f: R.changed(f.where("milli % 3 <> 0").select("activity_id", "milli"), f.where("milli % 5 <> 0").select("activity_id", (F.col("milli") + 1).alias("milli")), "activity_id", "milli"), "SELECT activity_id, n.milli AS new_value, o.milli AS old_value, CASE WHEN o.milli IS NULL THEN 'new' WHEN n.milli IS NULL THEN 'dropped' ELSE 'both' END AS state FROM (SELECT activity_id, milli FROM f WHERE milli % 3 <> 0) n FULL JOIN (SELECT activity_id, milli + 1 AS milli FROM f WHERE milli % 5 <> 0) o USING (activity_id)")
-# run_diff's SQL leaves out rows by modulo; here every fact is in one of two runs: a council's goals up to 1998 and since.
+# Every fact is in one of two runs: a council's goals up to 1998 and since.
 _PERIOD = lambda f: f.groupBy(F.concat_ws(":", "council", F.col("goal").cast("string")).alias("council_goal")).agg(F.sum("milli").alias("milli"))
-facts_query("run_diff_periods", lambda f: R.changed(_PERIOD(f.where("year > 1998")), _PERIOD(f.where("year <= 1998")), "council_goal", "milli"), "SELECT council_goal, n.milli AS new_value, o.milli AS old_value, CASE WHEN o.milli IS NULL THEN 'new' WHEN n.milli IS NULL THEN 'dropped' ELSE 'both' END AS state FROM (SELECT council || ':' || goal AS council_goal, sum(milli)::BIGINT AS milli FROM f WHERE year > 1998 GROUP BY 1) n FULL JOIN (SELECT council || ':' || goal AS council_goal, sum(milli)::BIGINT AS milli FROM f WHERE year <= 1998 GROUP BY 1) o USING (council_goal)")
+facts_query("run_diff", lambda f: R.changed(_PERIOD(f.where("year > 1998")), _PERIOD(f.where("year <= 1998")), "council_goal", "milli"), "SELECT council_goal, n.milli AS new_value, o.milli AS old_value, CASE WHEN o.milli IS NULL THEN 'new' WHEN n.milli IS NULL THEN 'dropped' ELSE 'both' END AS state FROM (SELECT council || ':' || goal AS council_goal, sum(milli)::BIGINT AS milli FROM f WHERE year > 1998 GROUP BY 1) n FULL JOIN (SELECT council || ':' || goal AS council_goal, sum(milli)::BIGINT AS milli FROM f WHERE year <= 1998 GROUP BY 1) o USING (council_goal)")
 facts_query("activities_page", lambda f: f.where("goal = 2 and is_aligned").orderBy("activity_id").offset(50).limit(50).select("activity_id", "council", "milli"), "SELECT activity_id, council, milli FROM f WHERE goal = 2 AND is_aligned ORDER BY activity_id LIMIT 50 OFFSET 50")
-facts_query("browse_councils", lambda f: f.groupBy("council", "state").agg(F.count_distinct("goal").alias("goals")).where(F.lower("council").contains("an")).withColumn("slug", T.slug(F.col("council"))), "SELECT council, state, count(DISTINCT goal) AS goals, trim(regexp_replace(lower(council), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM f WHERE contains(lower(council), 'an') GROUP BY 1, 2")
+facts_query("browse_councils", lambda f: f.groupBy("council", "state").agg(F.count_distinct("goal").alias("goals")).where(F.lower("council").contains("on_1")).withColumn("slug", T.slug(F.col("council"))), "SELECT council, state, count(DISTINCT goal) AS goals, trim(regexp_replace(lower(council), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM f WHERE contains(lower(council), 'on_1') GROUP BY 1, 2")
 facts_query("peers", lambda f: (lambda c: c.join(c.toDF("peer", "peer_state"), (F.col("state") == F.col("peer_state")) & (F.col("council") != F.col("peer"))).select("council", "peer"))(f.select("council", "state").distinct()), "SELECT DISTINCT a.council, b.council AS peer FROM f a JOIN (SELECT DISTINCT council, state FROM f) b ON a.state = b.state AND a.council <> b.council")
 
 # Trends
@@ -136,13 +135,12 @@ facts_query("state_trend_rank", lambda f: TR.ranking(TR.trends(_YEARLY(f), ["sta
 facts_query("year_contiguity", lambda f: TR.contiguous(f, ["council"]), "SELECT council, min(year) AS first_year, max(year) AS last_year, max(year) - min(year) + 1 = count(DISTINCT year) AS contiguous FROM f GROUP BY 1")
 
 # Texts
-_EN = "(SELECT * FROM documents WHERE lang = 'en')"
-docs_query("split_sentences", lambda d: d.select("doc_id", F.posexplode(T.sentences(F.col("text"), abbreviations=())).alias("pos", "sentence")).select("doc_id", F.length("sentence").cast("long").alias("length"), "sentence"), f"SELECT doc_id, length(s)::BIGINT AS length, s AS sentence FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?]+\\s+')), ' ') AS s FROM {_EN}) WHERE length(s) > 10")
-docs_query("filter_flags", lambda d: d.select("doc_id", (F.regexp_count("text", F.lit(r"\|")) >= 2).alias("pipes"), (F.regexp_count("text", F.lit("%")) >= 2).alias("percents"), T.is_mostly_numbers(F.col("text")).alias("is_mostly_numbers"), T.is_fragmented_start(F.col("text")).alias("is_fragmented_start")), f"SELECT doc_id, length(text) - length(replace(text, '|', '')) >= 2 AS pipes, length(text) - length(replace(text, '%', '')) >= 2 AS percents, len(w) = 0 OR len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '[,.$%*|+\\-]', '', 'g'), '^[0-9]+$'))) / len(w) > 0.35 AS is_mostly_numbers, coalesce(lower(w[1]) IN ({', '.join(repr(x) for x in T.L.DEPENDENT_STARTERS)}) OR (lower(w[1]) IN ('this', 'these', 'those', 'such') AND lower(w[2]) IN ('includes', 'include', 'includes:', 'include:')), false) AS is_fragmented_start FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {_EN})")
+docs_query("split_sentences", lambda d: d.select("doc_id", F.posexplode(T.sentences(F.col("text"), abbreviations=())).alias("pos", "sentence")).select("doc_id", F.length("sentence").cast("long").alias("length"), "sentence"), f"SELECT doc_id, length(s)::BIGINT AS length, s AS sentence FROM (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?]+\\s+')), ' ') AS s FROM documents) WHERE length(s) > 10")
+docs_query("filter_flags", lambda d: d.select("doc_id", (F.regexp_count("text", F.lit(r"\|")) >= 2).alias("pipes"), (F.regexp_count("text", F.lit("%")) >= 2).alias("percents"), T.is_mostly_numbers(F.col("text")).alias("is_mostly_numbers"), T.is_fragmented_start(F.col("text")).alias("is_fragmented_start")), f"SELECT doc_id, length(text) - length(replace(text, '|', '')) >= 2 AS pipes, length(text) - length(replace(text, '%', '')) >= 2 AS percents, len(w) = 0 OR len(list_filter(w, lambda x: regexp_matches(regexp_replace(x, '[,.$%*|+\\-]', '', 'g'), '^[0-9]+$'))) / len(w) > 0.35 AS is_mostly_numbers, coalesce(lower(w[1]) IN ({', '.join(repr(x) for x in T.L.DEPENDENT_STARTERS)}) OR (lower(w[1]) IN ('this', 'these', 'those', 'such') AND lower(w[2]) IN ('includes', 'include', 'includes:', 'include:')), false) AS is_fragmented_start FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")
 docs_query("filter_report", lambda d: d.select("source", *(f(F.col("text")).cast("long").alias(k) for k, f in T.FILTERS.items()), T.passes(F.col("text")).cast("long").alias("passed")).groupBy("source").agg(*(F.sum(k).alias(k) for k in [*T.FILTERS, "passed"])), None)
-docs_query("section_type", lambda d: d.select("doc_id", T.section_type(F.col("text"), (("first", PROSE[:2]), ("second", PROSE[2:4]), ("third", PROSE[4:]))).alias("section")), f"SELECT doc_id, CASE WHEN contains(lower(text), 'tion') OR contains(lower(text), 'ther') THEN 'first' WHEN contains(lower(text), 'thon') OR contains(lower(text), 'hely') THEN 'second' WHEN contains(lower(text), 'rewh') OR contains(lower(text), 'orre') THEN 'third' ELSE 'general' END AS section FROM {_EN}")
+docs_query("section_type", lambda d: d.select("doc_id", T.section_type(F.col("text"), (("first", PROSE[:2]), ("second", PROSE[2:4]), ("third", PROSE[4:]))).alias("section")), f"SELECT doc_id, CASE WHEN contains(lower(text), 'tion') OR contains(lower(text), 'ther') THEN 'first' WHEN contains(lower(text), 'thon') OR contains(lower(text), 'hely') THEN 'second' WHEN contains(lower(text), 'rewh') OR contains(lower(text), 'orre') THEN 'third' ELSE 'general' END AS section FROM documents")
 _SPEC = " + ".join(f"contains(l, '{w}')::INT" for w in T.L.SPECIFICITY)
-docs_query("relevance_score", lambda d: d.select("doc_id", F.round(T.relevance(F.col("text"), PROSE, outcome=0), 3).alias("relevance")), f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE round(least((0.3::DOUBLE + least(({' + '.join(f'contains(l, {x!r})::INT' for x in PROSE)}) * 0.04::DOUBLE, 0.16::DOUBLE) + least(({_SPEC}) * 0.02::DOUBLE, 0.08::DOUBLE)) * CASE WHEN s > 0.25 THEN 0.6::DOUBLE WHEN s > 0.15 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 1.0), 4) END, 3) AS relevance FROM (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / nullif(len(w), 0) AS s FROM (SELECT doc_id, lower(text) AS l, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {_EN}))")
+docs_query("relevance_score", lambda d: d.select("doc_id", F.round(T.relevance(F.col("text"), PROSE, outcome=0), 3).alias("relevance")), f"SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE round(least((0.3::DOUBLE + least(({' + '.join(f'contains(l, {x!r})::INT' for x in PROSE)}) * 0.04::DOUBLE, 0.16::DOUBLE) + least(({_SPEC}) * 0.02::DOUBLE, 0.08::DOUBLE)) * CASE WHEN s > 0.25 THEN 0.6::DOUBLE WHEN s > 0.15 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 1.0), 4) END, 3) AS relevance FROM (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) / nullif(len(w), 0) AS s FROM (SELECT doc_id, lower(text) AS l, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents))")
 # The SQL of split_sentences and relevance_score knows neither abbreviations nor outcomes.
 docs_query("segment_sentences", lambda d: d.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")), None)
 docs_query("relevance_with_outcome", lambda d: d.select("doc_id", T.relevance(F.col("text"), PROSE).alias("relevance")), None)
@@ -150,14 +148,14 @@ docs_query("clean_text", lambda d: d.select("doc_id", T.clean_text(F.col("text")
 docs_query("smart_join", lambda d: d.select("doc_id", F.posexplode(T.joined_sentences(T.sentences(F.col("text")), ("the", "and", "of", "to"), 60)).alias("pos", "statement")), None)
 QUERIES["html_to_text"] = (lambda s, d: table(s, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
 _NAME = lambda d: d.select("doc_id", F.concat_ws("_", F.coalesce(F.upper("lang"), F.lit("")), F.col("source"), F.lit("Shire"), F.when(F.col("doc_id") % 2 == 0, "Urban").otherwise("Rural"), (2023 + F.col("doc_id") % 3).cast("string")).alias("n"))
-docs_query("report_identity", lambda d: _NAME(d).select("doc_id", *(F.nullif(c, F.lit("")).alias(k) for k, c in T.report_identity(F.concat(F.col("n"), F.lit(".csv"))).items())), f"SELECT doc_id, upper(lang) AS state, source || ' Shire' AS council, CASE WHEN doc_id % 2 = 0 THEN 'Urban' ELSE 'Rural' END AS setting, (2023 + doc_id % 3)::VARCHAR AS year FROM {_EN}")
+docs_query("report_identity", lambda d: _NAME(d).select("doc_id", *(F.nullif(c, F.lit("")).alias(k) for k, c in T.report_identity(F.concat(F.col("n"), F.lit(".csv"))).items())), f"SELECT doc_id, upper(lang) AS state, source || ' Shire' AS council, CASE WHEN doc_id % 2 = 0 THEN 'Urban' ELSE 'Rural' END AS setting, (2023 + doc_id % 3)::VARCHAR AS year FROM documents")
 
 # Keywords
-_WORDS = f"SELECT {{}}, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM {_EN}"
+_WORDS = f"SELECT {{}}, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents"
 docs_query("goal_keywords", lambda d: K.frequent(d, ["source"], 10), f"SELECT source, word, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word)::INTEGER AS rank FROM ({_WORDS.format('source')}) WHERE length(word) >= 4 GROUP BY 1, 2 QUALIFY rank <= 10")
-docs_query("tfidf_keywords", lambda d: K.tf_idf(d, "doc_id", 50), f"WITH t AS (SELECT doc_id, word, count(*) AS tf FROM ({_WORDS.format('doc_id')}) WHERE length(word) >= 4 GROUP BY 1, 2) SELECT word, count(*) AS df, round(sum(tf) * (ln((1 + (SELECT count(*) FROM {_EN})) / (1 + count(*))) + 1), 4) AS weight FROM t GROUP BY 1 ORDER BY weight DESC, word LIMIT 50")
+docs_query("tfidf_keywords", lambda d: K.tf_idf(d, "doc_id", 50), f"WITH t AS (SELECT doc_id, word, count(*) AS tf FROM ({_WORDS.format('doc_id')}) WHERE length(word) >= 4 GROUP BY 1, 2) SELECT word, count(*) AS df, round(sum(tf) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1), 4) AS weight FROM t GROUP BY 1 ORDER BY weight DESC, word LIMIT 50")
 docs_query("logodds_keywords", lambda d: K.log_odds(d, F.col("doc_id") % 2 == 0, 50), f"WITH w AS (SELECT word, sum(f::INT)::BIGINT AS t, sum((NOT f)::INT)::BIGINT AS c FROM ({_WORDS.format('doc_id % 2 = 0 AS f')}) WHERE length(word) >= 4 GROUP BY 1), s AS (SELECT sum(t) AS tt, sum(c) AS cc FROM w) SELECT word, t, c, round(ln((t + 0.5) / (tt + 0.5)) - ln((c + 0.5) / (cc + 0.5)), 6) AS log_odds FROM w, s WHERE t >= 3 ORDER BY log_odds DESC, word LIMIT 50")
-docs_query("bigrams", lambda d: K.pairs(d, 50), f"SELECT a || ' ' || b AS pair, count(*) AS n FROM (SELECT unnest(w) AS a, unnest(w[2:] || ['']) AS b FROM (SELECT regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM {_EN})) WHERE length(a) > 3 AND length(b) > 3 GROUP BY 1 ORDER BY n DESC, pair LIMIT 50")
+docs_query("bigrams", lambda d: K.pairs(d, 50), f"SELECT a || ' ' || b AS pair, count(*) AS n FROM (SELECT unnest(w) AS a, unnest(w[2:] || ['']) AS b FROM (SELECT regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents)) WHERE length(a) > 3 AND length(b) > 3 GROUP BY 1 ORDER BY n DESC, pair LIMIT 50")
 docs_query("keyword_overlap", lambda d: K.overlap(K.frequent(d, ["source"], 20), "source"), f"WITH k AS (SELECT source, word FROM ({_WORDS.format('source')}) WHERE length(word) >= 4 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, word) <= 20) SELECT x.source AS a, y.source AS b, count(*) AS shared FROM k x JOIN k y ON x.word = y.word AND x.source < y.source GROUP BY 1, 2")
 
 # Evaluation and sampling
@@ -172,7 +170,7 @@ vector_query("per_class_metrics", lambda f: E.per_class(_PRED(f)), _P + ", c AS
 vector_query("confusion_pairs", lambda f: E.confusion(_PRED(f)), _P + "SELECT truth, predicted, count(*) AS n FROM p WHERE truth <> predicted GROUP BY 1, 2 ORDER BY n DESC, truth, predicted LIMIT 10")
 vector_query("topn_accuracy", lambda f: A.top_goal(f, ["vec_id"], 3).groupBy("vec_id").agg(F.max((F.col("goal") == F.col("truth")).cast("int")).alias("hit")).agg(F.count("*").alias("n"), F.sum("hit").alias("hits")), ", t AS (SELECT vec_id, max((goal = truth)::INT) AS h FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, goal) <= 3) GROUP BY 1) SELECT count(*) AS n, sum(h)::BIGINT AS hits FROM t")
 QUERIES["label_stats"] = (lambda s, d: table(s, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")), "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
-_RANKED = f"(SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM {_EN})"
+_RANKED = f"(SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)"
 docs_query("stratified_sample", lambda d: E.stratified(d, ["source"], "doc_id", 0.1).select("doc_id", "source"), f"SELECT doc_id, source FROM {_RANKED} WHERE r <= greatest(1, floor(n * 0.1 + 0.5))")
 docs_query("kfold", lambda d: E.folds(d, ["source"], "doc_id").select("doc_id", "source", "fold"), f"SELECT doc_id, source, ((r - 1) % 5)::INTEGER AS fold FROM {_RANKED}")
 docs_query("doc_split", lambda d: E.split(d, ["source"], "doc_id").select("doc_id", "part"), f"SELECT doc_id, CASE WHEN r / n <= 0.7 THEN 'train' WHEN r / n <= 0.7::DOUBLE + 0.15::DOUBLE THEN 'validate' ELSE 'test' END AS part FROM {_RANKED}")
@@ -189,13 +187,11 @@ _TARGETS = lambda f: f.select("vec_id", "goal", F.explode(F.array(F.lit(1), F.li
 vector_query("target_boost", lambda f: A.target_boost(f.select("vec_id", "goal", "score"), _TARGETS(f), ["vec_id"]), ", t AS (SELECT vec_id, goal, max(round(score * (0.9::DOUBLE + k * 0.1::DOUBLE * (vec_id % 3)), 8)) AS m FROM f, (SELECT unnest([1, 2]) AS k) GROUP BY 1, 2) SELECT vec_id, goal, m > score AS boosted, greatest(score, m) AS score FROM f JOIN t USING (vec_id, goal)")
 vector_query("weight_grid_search", lambda f: E.weight_grid(_TWO(f).join(f.select("vec_id", "goal", "truth"), ["vec_id", "goal"]), ["vec_id"], "truth"), ", m AS (SELECT vec_id, goal, truth, score AS st, round(greatest(0.0, 1 - (1 - score) * 2), 6) AS bert FROM f), grid AS (SELECT i::INTEGER AS i, vec_id, truth, goal, round(i / 10 * bert + (1 - i / 10) * st, 8) AS s FROM m, (SELECT unnest(range(0, 11)) AS i)), t AS (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY i, vec_id ORDER BY s DESC, goal) = 1) SELECT i, count(*) AS n, sum((goal = truth)::INT)::BIGINT AS hits FROM t GROUP BY 1")
 vector_query("multilabel_metrics", lambda f: E.multi_label(f.select("vec_id", "goal", (F.col("goal") == F.col("truth")).cast("int").alias("y"), (F.col("score") >= 0.3).cast("int").alias("p")), "vec_id"), ", r AS (SELECT vec_id, count(*) AS n, sum((goal = truth)::INT) AS y, sum((score >= 0.3)::INT) AS p, sum((goal = truth AND score >= 0.3)::INT) AS b, sum(((goal = truth) <> (score >= 0.3))::INT) AS o FROM f GROUP BY 1) SELECT round(avg((o = 0)::INT), 6) AS exact, round(avg(o / n), 6) AS hamming, round(avg(CASE WHEN y + p - b = 0 THEN 1.0 ELSE b / (y + p - b) END), 6) AS jaccard, round(avg(CASE WHEN y + p = 0 THEN 1.0 ELSE 2 * b / (y + p) END), 6) AS sample_f1 FROM r")
-docs_query("mention_scan", lambda d: d.select("doc_id", T.mention(F.col("text"), "rewh").alias("mention")).where("mention is not null"), f"SELECT doc_id, trim(m) AS mention FROM (SELECT doc_id, regexp_extract(text, '(?i)[^.!?]*(?:rewh)[^.!?]*[.!?]') AS m FROM {_EN}) WHERE trim(m) <> ''")
+docs_query("mention_scan", lambda d: d.select("doc_id", T.mention(F.col("text"), "rewh").alias("mention")).where("mention is not null"), f"SELECT doc_id, trim(m) AS mention FROM (SELECT doc_id, regexp_extract(text, '(?i)[^.!?]*(?:rewh)[^.!?]*[.!?]') AS m FROM documents) WHERE trim(m) <> ''")
 docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text"), abbreviations=()), 1)).alias("context")).where("context is not null"), None)
 docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(F.col("text")), 6).alias("density")), None)
-_SIMILAR = lambda d: E.similar_pairs(d.select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 0.8)
-# The SQL compares all pairs, so it reads short English texts only; over all documents there is none.
-QUERIES["jaccard_pairs"] = (lambda s, d: _SIMILAR(table(s, d, "documents").where("lang = 'en' and n_chars < 2000")), f"WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {_EN} WHERE n_chars < 2000), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))) SELECT a, b, round(k / (x + y - k), 6) AS jaccard FROM p WHERE round(k / (x + y - k), 6) > 0.8")
-docs_query("jaccard_pairs_all", _SIMILAR, None)
+_SIMILAR = lambda d: E.similar(d.select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 80)
+docs_query("jaccard_pairs", _SIMILAR, "WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id, count(*) AS n FROM s WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.class_id AS a, b.n, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM c a JOIN c b ON a.class_id <> b.class_id AND least(len(a.w), len(b.w)) > 0.8 * greatest(len(a.w), len(b.w))), l AS (SELECT a, sum(n)::BIGINT AS n FROM p WHERE 10 * k > 8 * (x + y - k) GROUP BY 1) SELECT s.doc_id, c.class_id, (c.n - 1 + coalesce(l.n, 0))::BIGINT AS links FROM s JOIN c USING (w) LEFT JOIN l ON l.a = c.class_id")
 facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council", "goal").agg(F.max(F.struct("milli", (-F.col("activity_id")).alias("i"))).alias("x")).select("council", "goal", F.col("x.milli").alias("milli"), (-F.col("x.i")).alias("activity_id")), "SELECT council, goal, milli, activity_id FROM f WHERE NOT is_aligned QUALIFY row_number() OVER (PARTITION BY council, goal ORDER BY milli DESC, activity_id) = 1")
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
 QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)

@@ -94,7 +94,7 @@ def test_ingest_skips_what_is_there(spark, tmp_path):
 
 def test_every_language_is_read(spark, tmp_path):
     # The first rows of any language, as they are and all said to be English: what queries over all documents return may not differ by that.
-    names = [n for n, (f, sql) in registry.QUERIES.items() if n.endswith("_all") or n in ("filter_report", "clean_text", "smart_join", "source_context", "ocr_density", "lda_topics")]
+    names = [n for n, (f, sql) in registry.QUERIES.items() if "FROM documents" in (sql or "") or n in ("filter_report", "clean_text", "smart_join", "source_context", "ocr_density", "lda_topics")]
     assert len(names) > 20
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").selectExpr("doc_id", "text", "case when doc_id % 5 = 0 then null else lang end as lang", "source", "n_chars").orderBy("doc_id").limit(60)
     assert docs.where("lang = 'en'").count() < 60 > docs.where("lang is not null").count()
@@ -115,13 +115,21 @@ def test_similar_pairs_of_all_documents(spark, tmp_path):
     for i in range(40):
         w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 30, 700]))]
         docs.append((2 * i, " ".join(w), rng.choice(["en", "de", None])))
-        docs.append((2 * i + 1, " ".join([*w[: len(w) - rng.randrange(len(w) // 4 + 1)], "Extra"]), rng.choice(["en", "fr", None])))
+        w = w[::-1] if i % 5 else w
+        docs.append((2 * i + 1, " ".join([*w[: len(w) - rng.randrange(len(w) // 4 + 1)], *(["Extra"] if i % 4 else [])]), rng.choice(["en", "fr", None])))
     frame = spark.createDataFrame([(i, t, lang, "s", None if i % 3 == 0 else len(t)) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long")
     frame.write.parquet(str(tmp_path / "documents.parquet"))
-    sets = [(i, set(t.lower().split())) for i, t, _ in docs]
-    want = {(a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets for b, y in sets if a < b and round(len(x & y) / len(x | y), 6) > 0.8}
-    assert any(len(docs[a][1]) > 2000 for a, _, _ in want) and any(docs[a][2] is None for a, _, _ in want)
-    assert {tuple(r) for r in registry.QUERIES["jaccard_pairs_all"][0](spark, str(tmp_path)).collect()} == want
+    sets = {i: frozenset(t.lower().split()) for i, t, _ in docs}
+    linked = [(a, b) for a in sets for b in sets if a != b and 10 * len(sets[a] & sets[b]) > 8 * len(sets[a] | sets[b])]
+    want = {(i, min(j for j in sets if sets[j] == x), sum(a == i for a, _ in linked)) for i, x in sets.items()}
+    assert any(len(docs[a][1]) > 2000 for a, _ in linked) and any(docs[a][2] is None for a, _ in linked) and any(i != c for i, c, _ in want)
+    assert {tuple(r) for r in registry.QUERIES["jaccard_pairs"][0](spark, str(tmp_path)).collect()} == want
+
+
+def test_mentions_in_long_texts_without_marks(spark):
+    f = lambda t: one(spark, lambda c: T.mention(c, "goal 1[0-7]?"), t)
+    assert f("Nothing. We met Goal 12 here! Then goal 1.") == "We met Goal 12 here!" and f("goal 1 without an end") is None and f("") is None
+    assert f("word " * 200_000 + "goal 3") is None and f("word " * 200_000 + "goal 1.").endswith("goal 1.")
 
 
 def test_filters_of_structure_activity_and_generic_text(spark):
@@ -182,7 +190,7 @@ def test_fine_thresholds(spark):
 def test_every_fact_is_in_a_run(spark):
     from pyspark.sql import functions as F
 
-    got = registry.QUERIES["run_diff_periods"][0](spark, SF)
+    got = registry.QUERIES["run_diff"][0](spark, SF)
     assert {r[0] for r in got.select("state").distinct().collect()} >= {"both"}
     held = got.agg(F.sum(F.coalesce("new_value", F.lit(0)) + F.coalesce("old_value", F.lit(0)))).first()[0]
     assert held == registry.order_facts(spark, SF).agg(F.sum("milli")).first()[0]
