@@ -1,14 +1,16 @@
 """Language-model scoring with a hidden Markov model.
 
 Words are counted over all training documents. The most frequent ones (a bounded head, sent to the
-workers) are symbols of the model, all others share one symbol; a rare word's own probability within
-that symbol comes from its exact count, by a join. Baum-Welch: each partition adds up the expected
+workers) are symbols of the model; all others share symbols by hash, in classes whose number grows with the
+number of such words up to RARE_CLASSES; a rare word's own probability within
+its class comes from its exact count, by a join. Baum-Welch: each partition adds up the expected
 counts of transitions and emissions over its training texts, Spark adds up the partitions, and the
-driver normalizes them, an array of fixed size. Texts are cut into stretches for these counts; the
-scaled forward recursion that scores a text runs over the whole of it.
+driver normalizes them, an array of fixed size. Forward and backward recursions run over whole texts; the forward states
+are kept at the start of every SPAN tokens alone and computed again from there on the way back. Rounds end when the
+likelihood hardly rises any more, or after ROUNDS.
 
-Nulls: a null text is empty (its only token is the end); a null doc_id counts as the empty string in
-the fold's crc32. Repeated rows are scored and learned from as often as they stand there. An empty
+Nulls and edges: a null text is empty (its only token is the end); a null doc_id counts as the empty string in
+the fold's crc32. Repeated rows are scored and learned from as often as they stand there; very long texts are taken whole. An empty
 table gives no row; without training rows every count is 0, the base gives each token probability 1
 and the model spreads over its symbols evenly.
 """
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from .packing import batches_of, sql_schema
 
-#: Symbols: the end, the rare words, then the HEAD most frequent words.
-END, RARE, HEAD = 0, 1, (1 << 16) - 2
-STATES, ROUNDS, STRETCH = 8, 4, 256
+#: Symbols: the end, the classes of rare words, then the most frequent words, HEAD at most. RARE_CLASSES is a power of two.
+END, RARE_CLASSES = 0, 1 << 13
+HEAD = (1 << 16) - 1 - RARE_CLASSES
+#: Rare words that a class has on average before there are more classes.
+PER_CLASS = 64
+STATES, ROUNDS, SPAN, LEAST_GAIN = 8, 4, 256, 1e-4
 #: Tokens worked on at once, and the length from which texts are pooled apart.
 POOL, LONG = 600_000, 2048
 FOLDS = 10
@@ -54,13 +59,37 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def threshold(counts: DataFrame, head: int) -> int:
+    """The least count such that at most ``head`` words have it or more. Counts are told apart by their six leading bits, so that the table of how many words have each is small."""
+    floor = F.expr("shiftleft(shiftright(c, greatest(0, length(bin(c)) - 6)), greatest(0, length(bin(c)) - 6))")
+    rows = sorted(((r["f"], r["n"]) for r in counts.groupBy(floor.alias("f")).agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundreds
+    least, total = None, 0
+    for f, n in rows:
+        total += n
+        if total > head:
+            break
+        least = f
+    return least if least is not None else 1 << 62
+
+
+def rare_classes(kinds: int) -> int:
+    return min(RARE_CLASSES, 1 << max(0, (kinds // PER_CLASS).bit_length()))
+
+
 class Symbols:
-    def __init__(self, head: list[bytes]):
-        self.of = {w: i + 2 for i, w in enumerate(head)}
+    """Ids of words: 0 the end, then ``classes`` for rare words by hash, then the head."""
+
+    def __init__(self, head: list[bytes], classes: int):
+        self.of, self.classes = {w: i + 1 + classes for i, w in enumerate(head)}, classes
+
+    def rare(self, word: bytes) -> int:
+        from zlib import crc32
+
+        return 1 + crc32(word) % self.classes
 
     def ids(self, found: list[bytes]) -> np.ndarray:
         get = self.of.get
-        return np.array([get(w, RARE) for w in found] + [END], dtype=np.uint16)
+        return np.array([get(w) or self.rare(w) for w in found] + [END], dtype=np.uint16)
 
 
 def pooled(rows, size):
@@ -96,6 +125,7 @@ class Steps:
 class Model:
     def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.first, self.move, self.emit = first, move, emit  # emit: a row for each symbol, a column for each state
+        self.likelihoods: list[float] = []  # log10 of the training texts, before each round
 
     @classmethod
     def fresh(cls, shares: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
@@ -106,41 +136,59 @@ class Model:
         np.fill_diagonal(move, 0.8 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
+    def step(self, a, symbols: np.ndarray):
+        """The scaled forward states one token on, and the scales; ``a`` is None at the start."""
+        n = len(symbols)
+        a = (np.broadcast_to(self.first, (n, len(self.first))) if a is None else a[:n] @ self.move) * self.emit[symbols]
+        scale = a.sum(axis=1, keepdims=True)
+        return a / scale, scale
+
     def log10(self, rows: list[np.ndarray]) -> np.ndarray:
         """Of each whole sequence, by the scaled forward recursion."""
-        steps, out = Steps(rows), np.zeros(len(rows))
-        a = self.first
+        steps, out, a = Steps(rows), np.zeros(len(rows)), None
         for t, n in enumerate(steps.n):
-            a = (a[:n] @ self.move if t else np.broadcast_to(a, (n, len(a)))) * self.emit[steps.symbols(t)]
-            scale = a.sum(axis=1)
-            a = a / scale[:, None]
-            out[:n] += np.log10(scale)
+            a, scale = self.step(a, steps.symbols(t))
+            out[:n] += np.log10(scale[:, 0])
         back = np.empty(len(rows))
         back[steps.order] = out
         return back
 
-    def expected(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, transitions and emissions over the sequences."""
-        steps, alphas, scales = Steps(rows), [], []
-        a = self.first
-        for t, n in enumerate(steps.n):
-            a = (a[:n] @ self.move if t else np.broadcast_to(a, (n, len(a)))) * self.emit[steps.symbols(t)]
-            scale = a.sum(axis=1, keepdims=True)
-            a = a / scale
-            alphas.append(a)
-            scales.append(scale)
-        move, gammas = np.zeros_like(self.move), [None] * len(alphas)
-        b = np.empty((0, len(self.first)))
-        for t in range(len(alphas) - 1, -1, -1):
-            if t + 1 < len(alphas):
-                weighed = self.emit[steps.symbols(t + 1)] * b / scales[t + 1]
-                move += alphas[t][: len(weighed)].T @ weighed
-                b = weighed @ self.move.T
-            b = np.concatenate([b, np.ones((steps.n[t] - len(b), len(self.first)))])
-            gammas[t] = alphas[t] * b
-        gamma = np.concatenate(gammas)
-        emit = np.stack([np.bincount(steps.at, gamma[:, s], len(self.emit)) for s in range(len(self.first))], axis=1)
-        return gammas[0].sum(axis=0), move * self.move, emit
+    def expected(self, rows: list[np.ndarray], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of first states, transitions and emissions over the whole sequences, and their log10 likelihood."""
+        steps, marks, a, total = Steps(rows), [], None, 0.0
+        for t in range(len(steps.n)):
+            if t % span == 0:
+                marks.append(a)
+            a, scale = self.step(a, steps.symbols(t))
+            total += float(np.log10(scale).sum())
+        move, emit, weighed = np.zeros_like(self.move), np.zeros_like(self.emit), None
+        held, size, gamma = [], 0, None
+
+        def settle():
+            at, g = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            for s in range(len(self.first)):
+                emit[:, s] += np.bincount(at, g[:, s], len(emit))
+
+        for k in range(len(marks) - 1, -1, -1):
+            a, alphas, scales = marks.pop(), [], []
+            for t in range(k * span, min((k + 1) * span, len(steps.n))):
+                a, scale = self.step(a, steps.symbols(t))
+                alphas.append(a)
+                scales.append(scale)
+            for i in range(len(alphas) - 1, -1, -1):
+                t, b = k * span + i, np.empty((0, len(self.first)))
+                if weighed is not None:
+                    move += alphas[i][: len(weighed)].T @ weighed
+                    b = weighed @ self.move.T
+                b = np.concatenate([b, np.ones((steps.n[t] - len(b), len(self.first)))])
+                gamma = alphas[i] * b
+                held.append((steps.symbols(t), gamma))
+                size += len(gamma)
+                weighed = self.emit[steps.symbols(t)] * b / scales[i]
+            if size > POOL // 4 or not k:
+                settle()
+                held, size = [], 0
+        return gamma.sum(axis=0), move * self.move, emit, total
 
     @classmethod
     def of(cls, first: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Model:
@@ -150,41 +198,36 @@ class Model:
         return cls(first / first.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(tokens: DataFrame, shares: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """Baum-Welch over the rows of ``tokens`` (column ids)."""
-    model = Model.fresh(shares, states)
+def train(tokens: DataFrame, shares: np.ndarray, rounds: int = ROUNDS, states: int = STATES, least_gain: float = LEAST_GAIN) -> Model:
+    """Baum-Welch over the rows of ``tokens`` (column ids), until a round raises the likelihood by less than ``least_gain`` of it."""
+    model, likelihoods = Model.fresh(shares, states), []
     names = [f"s{i}" for i in range(states)]
     for _ in range(rounds):
 
         def run(batches, model=model):
-            first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(shares), states))
-
-            def stretches():
-                for b in batches:
-                    for held in b.column(0).to_pylist():
-                        ids = np.frombuffer(held, np.uint16)
-                        yield from (ids[a : a + STRETCH] for a in range(0, len(ids), STRETCH))
-
-            for pool in pooled(stretches(), len):
-                for total, got in zip((first, move, emit), model.expected(pool), strict=True):
-                    total += got
+            first, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros((len(shares), states)), 0.0
+            for pool in pooled((np.frombuffer(held, np.uint16) for b in batches for held in b.column(0).to_pylist()), len):
+                *got, more = model.expected(pool)
+                for own, x in zip((first, move, emit), got, strict=True):
+                    own += x
+                total += more
             at = np.flatnonzero(emit.sum(axis=1))
-            at_all = np.concatenate([at, -1 - np.arange(states + 1)])  # below 0: the transitions' rows, then the first states
-            rows = np.concatenate([emit[at], move, first[None]])
+            at_all = np.concatenate([at, -1 - np.arange(states + 2)])  # below 0: the transitions' rows, the first states, the likelihood
+            rows = np.concatenate([emit[at], move, first[None], np.full((1, states), total)])
             yield pa.RecordBatch.from_arrays([pa.array(at_all), *(pa.array(np.ascontiguousarray(rows[:, s])) for s in range(states))], names=["at", *names])
 
-        sums = tokens.select("ids").mapInArrow(run, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*(F.sum(x).alias(x) for x in names)).toPandas()
+        sums = tokens.select("ids").mapInArrow(run, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*(F.sum(x).alias(x) for x in names)).toPandas()  # as many rows as symbols
         if sums.empty:
             break
-        at, rows = sums["at"].to_numpy(), sums[names].to_numpy()
-        emit, move, first = np.zeros((len(shares), states)), np.zeros((states, states)), np.zeros(states)
-        emit[at[at >= 0]] = rows[at >= 0]
-        for k, row in zip(at, rows, strict=True):
-            if -states <= k < 0:
-                move[-1 - k] = row
-            elif k < 0:
-                first = row
-        model = Model.of(first, move, emit, shares)
+        by = dict(zip(sums["at"].to_numpy(), sums[names].to_numpy(), strict=True))
+        emit = np.zeros((len(shares), states))
+        at = np.array([k for k in by if k >= 0], dtype=np.int64)
+        emit[at] = np.array([by[k] for k in at]).reshape(len(at), states)
+        likelihoods.append(float(by[-2 - states][0]))
+        model = Model.of(by[-1 - states], np.array([by[-1 - k] for k in range(states)]), emit, shares)
+        model.likelihoods = likelihoods
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < least_gain * abs(likelihoods[-2]):
+            break
     return model
 
 
@@ -197,18 +240,22 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
     counts = counted(training.select("doc_id", "text")).checkpoint()
     n_docs = training.select("doc_id").count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).checkpoint()  # chosen on an executor, not among what all tasks send to the driver
-    top = [(bytes(r["word"]), r["c"]) for r in top.collect()]  # at most ``head`` rows
+    least = threshold(counts, head)
+    top = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))  # at most ``head`` rows
     n, v = n_words + n_docs, n_distinct + (n_docs > 0)
-    head_words = sum(c for _, c in top)
-    symbols = Symbols([w for w, _ in top])
-    seen = np.array([n_docs, n_words - head_words, *(c for _, c in top)], dtype=float)
+    classes = rare_classes(n_distinct - len(top))
+    symbols = Symbols([w for w, _ in top], classes)
+    class_of = lambda word: F.crc32(word) % classes + 1
+    in_class, kinds = np.zeros(classes + 1), np.zeros(classes + 1)
+    for r in counts.where(F.col("c") < least).groupBy(class_of(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # one row for each class
+        in_class[r["k"]], kinds[r["k"]] = r["c"], r["n"]
+    seen = np.concatenate([[n_docs], in_class[1:], np.array([c for _, c in top], dtype=float)])
     base = np.log10((seen + 0.1) / (n + 0.1 * (v + 1)))
     known = (seen > 0).astype(np.int64)
     shares = (seen + 0.1) / (seen + 0.1).sum()
-    rare_total, rare_kinds = n_words - head_words, n_distinct - len(top)
+    within = np.log10(in_class + 0.1 * (kinds + 1))
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("ids", pa.binary()), ("rare", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("within", pa.float64()), ("ids", pa.binary()), ("rare", pa.binary())])
 
     def encode(batches):
         def rows():
@@ -217,11 +264,13 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
                 for doc_id, text, held_out in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     found = words(text)
                     ids = symbols.ids(found)
-                    own = ids[ids != RARE]
-                    yield at, doc_id, held_out, len(ids), int(known[own].sum()), float(base[own].sum()), ids.tobytes(), b" ".join(w for w, i in zip(found, ids.tolist(), strict=False) if i == RARE)
+                    is_rare = (ids > END) & (ids <= classes)
+                    own = ids[~is_rare]
+                    # Rare words' shares of their classes: here what they are divided by, the counts by the join below.
+                    yield at, doc_id, held_out, len(ids), int(known[own].sum()), float(base[own].sum()), float(-within[ids[is_rare]].sum()), ids.tobytes(), b" ".join(found[i] for i in np.flatnonzero(is_rare))
                     at += 1
 
-        yield from batches_of(rows(), schema, lambda r: len(r[6]) + len(r[7]) + 80)
+        yield from batches_of(rows(), schema, lambda r: len(r[7]) + len(r[8]) + 88)
 
     tokens = texts.select("doc_id", "text", "held_out").mapInArrow(encode, sql_schema(schema).replace("held_out double", "held_out boolean")).checkpoint()
     model = train(tokens.where("not held_out"), shares, rounds, states)
@@ -238,12 +287,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
 
     rare = tokens.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word")).select("row", F.col("word").cast("binary").alias("word"))
     found = rare.join(counts, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
-    rare_sums = found.groupBy("row").agg(
-        F.sum((F.col("c") > 0).cast("long")).alias("known"),
-        F.sum(F.log10((F.col("c") + 0.1) / F.lit(n + 0.1 * (v + 1)))).alias("base"),
-        F.sum(F.log10((F.col("c") + 0.1) / F.lit(rare_total + 0.1 * (rare_kinds + 1)))).alias("within"),
-    )
-    own = tokens.select("row", "doc_id", "held_out", "n_tokens", F.col("n_known").alias("k"), F.col("base").alias("b"))
+    share = F.log10(F.col("c") + 0.1)
+    rare_sums = found.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(share - F.lit(float(np.log10(n + 0.1 * (v + 1))))).alias("base"), F.sum(share).alias("inside"))
+    own = tokens.select("row", "doc_id", "held_out", "n_tokens", F.col("n_known").alias("k"), F.col("base").alias("b"), "within")
     zero = lambda c: F.coalesce(c, F.lit(0))
     all_rows = own.join(tokens.select("row", "ids").mapInArrow(run, sql_schema(forward)), "row", "left").join(rare_sums, "row", "left")
-    return all_rows.select("doc_id", "held_out", "n_tokens", (F.col("k") + zero(F.col("known"))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("b") + zero(F.col("base"))).alias("base_score"), (F.col("forward") + zero(F.col("within"))).alias("score"))
+    return all_rows.select("doc_id", "held_out", "n_tokens", (F.col("k") + zero(F.col("known"))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("b") + zero(F.col("base"))).alias("base_score"), (F.col("forward") + F.col("within") + zero(F.col("inside"))).alias("score"))

@@ -40,14 +40,63 @@ def test_forward_and_counts_match_all_paths():
                 counts[1][a, b] += p / total
             for o, s in zip(x, z, strict=True):
                 counts[2][o, s] += p / total
-    for want, got in zip(counts, model.expected(rows), strict=True):
-        assert np.allclose(want, got)
-
-
-@pytest.mark.parametrize("head", [5, 1000])
-def test_scores_by_brute_force(spark, head):
-    rows = [(i, " ".join(f"W{(i * k) % (3 + k)}" for k in range(1, 1 + i % 23)), 0.5, "x") for i in range(60)] + [(100, None, None, None), (None, "never seen", 0.0, ""), (101, "a b\x0bc " * 3000, 0.0, "")]
-    got = lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), rounds=2, states=2, head=head).collect()
+    for span in (1, 2, 3, 256):
+        *found, total = model.expected(rows, span)
+        assert total == pytest.approx(model.log10(rows).sum())
+        for want, got in zip(counts, found, strict=True):
+            assert np.allclose(want, got)
+
+
+def naive(rows, head, rounds, states):
+    """(likelihoods before each round, score by doc_id), token by token, without pools, spans or scaling tricks."""
+    tokens = {i: (t or "").encode().lower().split() for i, t, *_ in rows}
+    train = [i for i in tokens if fold(i, 10)]
+    c = Counter(w for i in train for w in tokens[i])
+    floor = lambda x: x if x < 64 else x >> (x.bit_length() - 6) << (x.bit_length() - 6)
+    least = min((floor(x) for x in c.values() if sum(floor(y) >= floor(x) for y in c.values()) <= head), default=1 << 62)
+    top = sorted((w for w in c if c[w] >= least), key=lambda w: (-c[w], w))
+    classes = lm.rare_classes(len(c) - len(top))
+    sym = lambda w: top.index(w) + 1 + classes if w in top else 1 + zlib.crc32(w) % classes
+    ids = {i: [*map(sym, ws), 0] for i, ws in tokens.items()}
+    total, kinds = Counter(), Counter()
+    for w in c:
+        if c[w] < least:
+            total[sym(w)] += c[w]
+            kinds[sym(w)] += 1
+    seen = np.array([len(train), *(total[k] for k in range(1, classes + 1)), *(c[w] for w in top)], float)
+    shares = (seen + 0.1) / (seen + 0.1).sum()
+    model, history = lm.Model.fresh(shares, states), []
+
+    def forward(x):
+        out = [model.first * model.emit[x[0]]]
+        for o in x[1:]:
+            out.append((out[-1] @ model.move) * model.emit[o])
+        return out
+
+    for _ in range(rounds):
+        first, move, emit, like = np.zeros(states), np.zeros((states, states)), np.zeros((len(seen), states)), 0.0
+        for i in train:
+            x, a = ids[i], forward(ids[i])
+            p, b = a[-1].sum(), np.ones(states)
+            like += math.log10(p)
+            for t in range(len(x) - 1, -1, -1):
+                emit[x[t]] += a[t] * b / p
+                if t:
+                    move += a[t - 1][:, None] * model.move * (model.emit[x[t]] * b)[None] / p
+                    b = model.move @ (model.emit[x[t]] * b)
+                else:
+                    first += a[0] * b / p
+        history.append(like)
+        model = lm.Model.of(first, move, emit, shares)
+    inside = lambda w: math.log10((c[w] + 0.1) / (total[sym(w)] + 0.1 * (kinds[sym(w)] + 1))) if w not in top else 0.0
+    return history, {i: math.log10(forward(ids[i])[-1].sum()) + sum(map(inside, tokens[i])) for i in tokens}
+
+
+@pytest.mark.parametrize(("head", "rounds"), [(5, 2), (1000, 2), (0, 1), (5, 0)])
+def test_scores_by_brute_force(spark, head, rounds, monkeypatch):
+    monkeypatch.setattr(lm, "PER_CLASS", 4)
+    rows = [(i, " ".join(f"W{(i * k) % (3 + k)}" for k in range(1, 1 + i % 23)), 0.5, "x") for i in range(60)] + [(100, None, None, None), (None, "never seen", 0.0, "")]
+    got = lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), rounds=rounds, states=2, head=head).collect()
     c, n = Counter(), 0
     for i, t, *_ in rows:
         if fold(i, 10):
@@ -55,13 +104,28 @@ def test_scores_by_brute_force(spark, head):
             c[None] += 1
     n, v = sum(c.values()), len(c)
     by = {r.doc_id: r for r in got}
+    history, scores = naive(rows, head, rounds, 2)
     assert len(got) == len(rows)
     for i, t, *_ in rows:
         tokens = [*(t or "").encode().lower().split(), None]
         r = by[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(i, 10) == 0, len(tokens), sum(c[w] > 0 for w in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
-        assert r.score < 0
+        assert r.score == pytest.approx(scores[i])
+    assert all(b > a for a, b in itertools.pairwise(history))
+
+
+def test_very_long_texts_and_likelihood_by_round(spark):
+    long = " ".join(f"w{i * i % 97}" for i in range(30_000))
+    docs = spark.createDataFrame([(101, "a b\x0bc " * 3000, 0.0, ""), (102, long, 0.0, ""), (103, long, 0.0, "")], SCHEMA)
+    a = {r.doc_id: r for r in lm.score(docs, rounds=3, states=2).collect()}
+    assert [a[i].n_tokens for i in (101, 102, 103)] == [9001, 30_001, 30_001] and a[102].score == pytest.approx(a[103].score)
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 9, k).astype(np.uint16) for k in (700, 3, 1, 40)]
+    tokens = spark.createDataFrame([(bytearray(r.tobytes()),) for r in rows], "ids binary")
+    model = lm.train(tokens, np.full(9, 1 / 9), rounds=5, states=3, least_gain=-1.0)
+    assert len(model.likelihoods) == 5 and all(y >= x for x, y in itertools.pairwise(model.likelihoods))
+    assert len(lm.train(tokens, np.full(9, 1 / 9), rounds=5, states=3, least_gain=0.5).likelihoods) == 2
 
 
 def test_training_raises_likelihood_and_beats_the_base(spark):
