@@ -3,14 +3,16 @@
 Components are floor(1024 * x). A rotation found from the vectors' second moments (their singular
 vectors) moves most of a product into the first coordinates; rotating both sides changes no product. A
 candidate's bound is its partial product over those coordinates plus, by Cauchy and Schwarz, the product of the two
-residual lengths. Candidates stand in ranges of descending length. Each query's k-th best product among
-the longest vectors starts as its threshold; within a range, a block whose longest vector can't reach
+residual lengths. Candidates stand in ranges of descending length, of RANGE vectors at most. Each query's k-th best product among
+the longest vectors starts as its threshold, and it is sent only to those ranges whose longest vector can
+reach that. A task holds one range and reads its queries through; within a range, a block whose longest vector can't reach
 any threshold ends the work, and vectors whose bound can't reach a query's threshold are passed over. What is left is multiplied
-exactly in integers. Queries are worked on in blocks of a fixed size, and each range sends its k best on.
+exactly in integers. Each range sends its k best of each query on.
 
 Nulls and edges: vectors that are null, hold a null or a number that isn't finite, or have a null vec_id take no part; an
 empty vector is one of zeros, and a shorter one is filled up with zeros. Products beyond 64 bits are cut
-off at their bounds. Rows that share a vec_id are candidates each, but never for a query of that id. Empty tables give no row.
+off at their bounds. Rows that share a vec_id are candidates each, but never for a query of that id; each of their different
+vectors is a query, and the k best of all of them are returned. Ties go to the smaller vec_id. Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from . import common as C
 from .packing import sql_schema
 
 SCALE = 1024
-#: Queries sent to the tasks at once, longest vectors that start the thresholds, and candidates in a block.
-QUERY_BLOCK, HEAD, BLOCK = 4096, 2048, 2048
+#: Vectors in a range, longest vectors that start the thresholds, and candidates in a block.
+RANGE, HEAD, BLOCK = 1 << 17, 2048, 2048
 LEAD = 16
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -76,101 +78,115 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(x @ y.T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-class Best:
-    """The k best (score, vec_id) of each query so far."""
+class Ranged:
+    """One range of candidates, longest first, and the k best of the queries read through it."""
+
+    def __init__(self, names: np.ndarray, rows: np.ndarray, norms: np.ndarray, turn: np.ndarray, lead: int, k: int):
+        self.names, self.rows, self.norms, self.turn, self.lead, self.k = names, rows, norms, turn, lead, k
+        turned = rows @ turn
+        self.leads, self.rest = turned[:, :lead].copy(), np.linalg.norm(turned[:, lead:], axis=1)
+
+    def best(self, asked: np.ndarray, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vec_id, score) of the k best candidates of each query that reach its threshold."""
+        norms = np.linalg.norm(queries, axis=1)
+        turned = queries @ self.turn
+        rest, least = np.linalg.norm(turned[:, self.lead :], axis=1), least.copy()
+        found = tuple(np.empty(0, np.int64) for _ in range(3))
+        for at in range(0, len(self.names), BLOCK):
+            own = slice(at, at + BLOCK)
+            slack = 1e-9 * (1 + norms * self.norms[at])
+            open_ = np.flatnonzero(~(norms * self.norms[at] + slack < least))
+            if not len(open_):
+                break
+            bound = turned[open_, : self.lead] @ self.leads[own].T + rest[open_, None] * self.rest[own]
+            could = ~(bound + slack[open_, None] < least[open_, None]) & (self.names[own] != asked[open_, None])
+            some, near = np.flatnonzero(could.any(axis=1)), np.flatnonzero(could.any(axis=0))
+            if not len(some):
+                continue
+            got = exact(queries[open_[some]], self.rows[own][near])
+            q, c = np.nonzero(could[np.ix_(some, near)] & ~(got < least[open_[some], None]))
+            found = tuple(np.concatenate(x) for x in zip(found, (open_[some][q], self.names[own][near][c], got[q, c]), strict=True))
+            order = np.lexsort((found[1], ~found[2], found[0]))
+            found = tuple(x[order] for x in found)
+            rank = np.arange(len(order)) - np.searchsorted(found[0], found[0], "left")
+            last = rank == self.k - 1
+            least[found[0][last]] = np.maximum(least[found[0][last]], found[2][last].astype(float))
+            found = tuple(x[rank < self.k] for x in found)
+        return asked[found[0]], found[1], found[2]
+
+
+_ROW = "range long, query boolean, vec_id long, v array<double>, norm double, least double"
+
+
+def ranged(rows: DataFrame, size: int) -> DataFrame:
+    """Rows in order, with the number of their range; those of a partition are of consecutive ranges."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.rows = k, [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(n)]
-        self.least = np.full(n, -np.inf)
+    def run(batches):
+        at = 0
+        for b in batches:
+            number = (C.part_id() << 32) + (at + np.arange(b.num_rows)) // size
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(number), *b.columns], names=["range", "vec_id", "v", "norm"])
 
-    def add(self, q: int, scores: np.ndarray, names: np.ndarray) -> None:
-        s, i = np.concatenate([self.rows[q][0], scores]), np.concatenate([self.rows[q][1], names])
-        order = np.lexsort((i, -s.astype(np.float64), ~s))[: self.k]
-        self.rows[q] = s[order], i[order]
-        if len(order) == self.k:
-            self.least[q] = max(self.least[q], float(s[order[-1]]))
+    return rows.mapInArrow(run, "range long, vec_id long, v array<double>, norm double")
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, query_block: int = QUERY_BLOCK, head: int = HEAD) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, size: int = RANGE, head: int = HEAD) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     C.prepare(spark)
-    rows = scaled(vectors).orderBy(F.desc("norm"), "vec_id").checkpoint()
+    rows = ranged(scaled(vectors).orderBy(F.desc("norm"), "vec_id"), size).checkpoint()
     width = rows.agg(F.max(F.size("v"))).first()[0]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if width is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width, 1)
     _, turn = np.linalg.eigh(_moments(rows, width))
     turn = turn[:, ::-1].copy()
     lead = min(LEAD, width)
-    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(head).checkpoint().toPandas()  # a fixed number, chosen on an executor
-    head_names = longest["vec_id"].to_numpy(np.int64)
-    head_rows = _matrix(pa.array(longest["v"].tolist(), pa.list_(pa.float64())), width)
-
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").distinct()
-    n_blocks = -(-asked.count() // query_block)
-    parts = []
-    for block in range(n_blocks):
-        # A block of the stated query set: about query_block rows, by a hash of the id.
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toPandas()
-        if own.empty:
-            continue
-        names = own["vec_id"].to_numpy(np.int64)
-        queries = _matrix(pa.array(own["v"].tolist(), pa.list_(pa.float64())), width)
-        starts = np.full(len(names), -np.inf)
-        scores = exact(queries, head_rows)
-        for q in range(len(names)):
-            others = np.sort(scores[q][head_names != names[q]])
-            if len(others) >= k:
-                starts[q] = others[-k]
-        sent = spark.sparkContext.broadcast((names, queries, starts))
-
-        def run(batches, sent=sent):
-            names, queries, starts = sent.value
-            norms = np.linalg.norm(queries, axis=1)
-            turned = queries @ turn
-            rest_q = np.linalg.norm(turned[:, lead:], axis=1)
-            best = Best(len(names), k)
-            best.least = starts.copy()
-            done = False
-            for b in batches:
-                if done:
-                    continue  # the batches after are of shorter vectors yet
-                ids, all_norms, m = b.column(0).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(1), width)
-                for at in range(0, len(ids), BLOCK):
-                    own_ids, own_m, own_norms = ids[at : at + BLOCK], m[at : at + BLOCK], all_norms[at : at + BLOCK]
-                    slack = 1e-9 * (1 + norms * own_norms[0])
-                    open_ = np.flatnonzero(~(norms * own_norms[0] + slack < best.least))
-                    if not len(open_):
-                        done = True
-                        break
-                    turned_m = own_m @ turn
-                    rest = np.linalg.norm(turned_m[:, lead:], axis=1)
-                    bound = turned[open_, :lead] @ turned_m[:, :lead].T + rest_q[open_, None] * rest
-                    could = ~(bound + slack[open_, None] < best.least[open_, None])
-                    for row, q in enumerate(open_):
-                        near = np.flatnonzero(could[row] & (own_ids != names[q]))
-                        if len(near):
-                            got = exact(queries[q : q + 1], own_m[near])[0]
-                            keep = got >= best.least[q]
-                            if keep.any():
-                                best.add(q, got[keep], own_ids[near][keep])
-            s, i = (np.concatenate([r[x] for r in best.rows]) for x in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(r[0]) for r in best.rows])), pa.array(i), pa.array(s)], schema=_FOUND)
-
-        parts.append(rows.select("vec_id", "v", "norm").mapInArrow(run, sql_schema(_FOUND)))
-    if not parts:
-        return empty
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    # First the k best within each of some groups of ranges, so that no task holds all ranges' finds of a query.
-    order = [F.desc("score"), F.asc("vec_id")]
-    some = found.withColumn("part", F.spark_partition_id() % 64)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return some.select("query_id", "vec_id", "score", rank.alias("rank")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    tops = sorted((r["range"], r["top"]) for r in rows.groupBy("range").agg(F.max("norm").alias("top")).collect())  # one row for each range
+    ranges, longest = np.array([r for r, _ in tops]), np.array([t for _, t in tops])
+    first = rows.where(F.col("range") == int(ranges[0])).orderBy(F.desc("norm"), "vec_id").limit(head).select("vec_id", "v").toPandas()
+    head_names, head_rows = first["vec_id"].to_numpy(np.int64), _matrix(pa.array(first["v"].tolist(), pa.list_(pa.float64())), width)
+
+    def ask(batches):
+        """Each query, with its first threshold, to each range that can reach it."""
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                own = b.slice(at, 256)
+                names, m = own.column(0).to_numpy(), _matrix(own.column(1), width)
+                scores = exact(m, head_rows).astype(float)
+                scores[names[:, None] == head_names] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(head_names) >= k else np.full(len(names), -np.inf)
+                norms = np.linalg.norm(m, axis=1)
+                reach = norms[:, None] * longest
+                q, r = np.nonzero(~(reach + 1e-9 * (1 + reach) < least[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[r]), pa.array(np.ones(len(q), bool)), pa.array(names[q]), own.column(1).take(pa.array(q)), pa.array(norms[q]), pa.array(least[q])], names=["range", "query", "vec_id", "v", "norm", "least"])
+
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").distinct().mapInArrow(ask, _ROW)
+
+    def run(batches):
+        here, held, ready = None, [], None
+        for b in batches:
+            number, is_query, names = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            turns = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (is_query[1:] != is_query[:-1])])) if b.num_rows else np.empty(0, int)
+            for begin, end in zip(turns, np.append(turns[1:], b.num_rows), strict=True):
+                part = b.slice(begin, end - begin)
+                if number[begin] != here:
+                    here, held, ready = number[begin], [], None
+                m = _matrix(part.column(3), width)
+                if not is_query[begin]:
+                    held.append((names[begin:end], m, part.column(4).to_numpy()))
+                    continue
+                if ready is None:
+                    ready, held = Ranged(*(np.concatenate(x) for x in zip(*held, strict=True)), turn, lead, k), []
+                for at in range(0, len(m), BLOCK):
+                    own = slice(at, at + BLOCK)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ready.best(names[begin:end][own], m[own], part.column(5).to_numpy()[own])], schema=_FOUND)
+
+    both = rows.select("range", F.lit(False).alias("query"), "vec_id", "v", "norm", F.lit(0.0).alias("least")).union(asked)
+    found = both.repartition("range").sortWithinPartitions("range", "query", F.desc("norm"), "vec_id").mapInArrow(run, sql_schema(_FOUND))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", "vec_id", "score", rank.alias("rank")).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: DuckDB: all products of the queries with all other rows.
