@@ -4,9 +4,11 @@ The sort goes only as deep as the threshold of 200 bytes; suffixes that are equa
 repeated windows. The digits aren't of equal size. The first digit of a window is its sync gram, 32 of
 its bytes picked by content, so that one row stands for the run of windows that share it; rows whose
 first digit is met once drop out. The second digit is all bytes of the run: rows that agree in it are
-repeated throughout. What is left, runs with a repeated gram but bytes of their own, is sorted window by
+repeated throughout. What is left, runs with a repeated gram but bytes of their own, gets a third digit, SIDE bytes beside the
+gram: those before it for the windows that hold these, those after it for the others. Rows that agree in it are sorted window by
 window, to the full depth. A partition settles its own repeated runs before the shuffle and sends on one
-witness of each. A group of over HOT rows goes window by window through a counted, map-side
+witness of each. Grams found to be very frequent in a sample of the texts are dealt out with their second digit from the start;
+this changes where rows are sorted, not the result. A group of over HOT rows that agree in the third digit goes window by window through a counted, map-side
 combined shuffle. Texts are moved compressed. Digits are 64-bit hashes.
 
 Nulls and edges: a null text is empty; texts of under 200 bytes lose nothing; a null doc_id is carried as it is.
@@ -24,16 +26,22 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .packing import sql_schema
-from .spans import DEPTH, Rolled, mixed, sync_points
+from .spans import DEPTH, GRAM, Rolled, mixed, sync_points
 
 #: Rows of one gram sorted in a task at most; larger groups go through the shuffle window by window.
 HOT = 20_000
+#: Bytes of the third digit. A window has as many before its gram or after it.
+SIDE = (DEPTH - GRAM) // 2
+#: One text in so many is looked at for frequent grams: those of a five-hundredth of its rows or more.
+SAMPLED, FREQUENT = 64, 500
 #: Bytes of text whose sync points a task holds at once.
 CHUNK = 4 << 20
 
 _KEYS = ["k1", "k2"]
 _I = pa.int64()
 COVERED, RUN, WINDOW = 0, 1, 2
+#: Bits of many: a run met twice, and one of a frequent gram.
+TWICE, OFTEN = 1, 2
 _SYNC = pa.schema([(n, _I) for n in ("kind", "p", "g", "c", "many", "k1", "k2", "a", "z")])
 _SPANS = pa.schema([(n, _I) for n in ("kind", "g", "k1", "k2", "a", "z")])
 
@@ -51,7 +59,7 @@ def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x[1:] == y[:-1]
 
 
-def _settled(parts: list) -> pa.RecordBatch:
+def _settled(parts: list, often: np.ndarray) -> pa.RecordBatch:
     """Rows of a chunk: runs met twice in it, joined with their neighbours in the text, as COVERED; the others, and a witness of each such run, as RUN."""
     k1, k2, g, a, z, c = (np.concatenate(x) for x in zip(*parts, strict=True))
     _, first, inverse, counts = np.unique(c, return_index=True, return_inverse=True, return_counts=True)
@@ -65,13 +73,14 @@ def _settled(parts: list) -> pa.RecordBatch:
     np.maximum.at(end, group, z[twice])
     n, s = len(begin), int(sent.sum())
     zero = np.zeros(n, np.int64)
+    hot = np.isin(g[sent], often)
     return _batch(
         _SYNC,
         np.concatenate([zero + COVERED, np.full(s, RUN)]),
-        np.concatenate([k1[begin], g[sent].view(np.int64)]),
+        np.concatenate([k1[begin], np.where(hot, mixed(g[sent] + c[sent]), g[sent]).view(np.int64)]),
         np.concatenate([zero, g[sent].view(np.int64)]),
         np.concatenate([zero, c[sent].view(np.int64)]),
-        np.concatenate([zero, (counts[inverse] > 1)[sent]]),
+        np.concatenate([zero, twice[sent] * TWICE + hot * OFTEN]),
         np.concatenate([k1[begin], k1[sent]]),
         np.concatenate([k2[begin], k2[sent]]),
         np.concatenate([a[begin], a[sent]]),
@@ -79,18 +88,36 @@ def _settled(parts: list) -> pa.RecordBatch:
     )
 
 
-def _sync_rows(batches):
-    parts, size = [], 0
-    for b in batches:
-        for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            for g, _, a, z, c in sync_points(text):
-                parts.append((np.full(len(g), k1), np.full(len(g), k2), g, a, z, c))
-            size += len(text)
-            if size >= CHUNK and parts:
-                yield _settled(parts)
-                parts, size = [], 0
-    if parts:
-        yield _settled(parts)
+def _sync_rows(often: np.ndarray):
+    def run(batches):
+        parts, size = [], 0
+        for b in batches:
+            for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for g, _, a, z, c in sync_points(text):
+                    parts.append((np.full(len(g), k1), np.full(len(g), k2), g, a, z, c))
+                size += len(text)
+                if size >= CHUNK and parts:
+                    yield _settled(parts, often)
+                    parts, size = [], 0
+        if parts:
+            yield _settled(parts, often)
+
+    return run
+
+
+def frequent_grams(texts: DataFrame) -> np.ndarray:
+    """Grams that a sample of the texts shows to be frequent: FREQUENT of them at most."""
+
+    def run(batches):
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for g, *_ in sync_points(text):
+                    found, n = np.unique(g, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["g", "n"])
+
+    counts = texts.where(F.pmod("k1", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).checkpoint()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return np.array([r["g"] for r in counts.where(F.col("n") * FREQUENT >= max(total, 8 * FREQUENT)).select("g").collect()], dtype=np.int64).view(np.uint64)
 
 
 def _verdicts(batches):
@@ -112,8 +139,8 @@ def _judged(rows: dict, skip: int, last: bool):
     is_run = rows["kind"] == RUN
     same_g = np.concatenate([[False], _same(rows["g"], rows["g"]) & is_run[1:] & is_run[:-1], [False]])
     same_c = same_g & np.concatenate([[False], _same(rows["c"], rows["c"]), [False]])
-    repeated = same_c[:-1] | same_c[1:] | (rows["many"] > 0)
-    other = (same_g[:-1] & ~same_c[:-1]) | (same_g[1:] & ~same_c[1:])
+    repeated = same_c[:-1] | same_c[1:] | (rows["many"] & TWICE > 0)
+    other = (same_g[:-1] & ~same_c[:-1]) | (same_g[1:] & ~same_c[1:]) | (rows["many"] & OFTEN > 0)
     judge = np.ones(n, bool)
     if skip >= 0:
         judge[: max(0, (n if last else skip) - 1)] = False
@@ -128,6 +155,25 @@ def _judged(rows: dict, skip: int, last: bool):
 _BYTES = pa.schema([("g", _I), ("k1", _I), ("k2", _I), ("a", _I), ("data", pa.binary())])
 
 
+def _sides(g: np.ndarray, k1: np.ndarray, k2: np.ndarray, a: np.ndarray, data: list[bytes]):
+    """Runs, cut in two by where their windows have SIDE bytes beside the gram; g becomes the hash of gram and side."""
+    sizes = np.array([len(x) for x in data])
+    begin = np.cumsum(sizes) - sizes
+    rolled = Rolled(np.frombuffer(b"".join(data), np.uint8))
+    gram, side = mixed(rolled.of(GRAM)), rolled.of(SIDE)
+    row = np.repeat(np.arange(len(data)), sizes)[: len(gram)]
+    at = np.flatnonzero(gram == g[row])
+    _, first = np.unique(row[at], return_index=True)
+    m = at[first] - begin  # the first place of the gram: the sync point
+    last = sizes - DEPTH  # the last window's start, from the run's
+    for after in (False, True):
+        low, high = (np.maximum(0, m - SIDE + 1), last) if after else (np.zeros(len(m), np.int64), np.minimum(last, m - SIDE))
+        own = np.flatnonzero(low <= high)
+        where = begin[own] + m[own] + (GRAM if after else -SIDE)
+        key = mixed(g[own] + mixed(side[where] + np.uint64(after)))
+        yield from zip(key.view(np.int64).tolist(), k1[own].tolist(), k2[own].tolist(), (a[own] + low[own]).tolist(), [data[i][lo : hi + DEPTH] for i, lo, hi in zip(own, low[own], high[own], strict=True)], strict=True)
+
+
 def _cut(batches):
     """The bytes of the runs that are sorted further."""
     import zstandard
@@ -137,8 +183,10 @@ def _cut(batches):
         for k1, k2, packed, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
             text = zstandard.decompress(packed)
             rows += [(r["g"], k1, k2, r["a"], text[r["a"] : r["z"] + DEPTH]) for r in runs]
-        for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 20_000], strict=True), _BYTES.types, strict=True)], schema=_BYTES)
+        for at in range(0, len(rows), 10_000):
+            g, k1, k2, a, data = zip(*rows[at : at + 10_000], strict=True)
+            out = list(_sides(np.array(g, np.int64).view(np.uint64), np.array(k1), np.array(k2), np.array(a), list(data)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _BYTES.types, strict=True)], schema=_BYTES)
 
 
 def _windows(rows: list):
@@ -208,7 +256,8 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([press.compress(t) for t in b.column(3).to_pylist()], pa.binary())], names=["k1", "k2", "doc_id", "packed"])
 
     texts = rows.mapInArrow(pack, "k1 long, k2 long, doc_id long, packed binary")
-    synced = rows.where(F.length("text") >= DEPTH).select("k1", "k2", "text").mapInArrow(_sync_rows, sql_schema(_SYNC))
+    able = rows.where(F.length("text") >= DEPTH).select("k1", "k2", "text")
+    synced = able.mapInArrow(_sync_rows(frequent_grams(able)), sql_schema(_SYNC))
     judged = synced.repartition("p").sortWithinPartitions("kind", "g", "c").mapInArrow(_verdicts, run).checkpoint()
     further = judged.where(F.col("kind") == RUN).groupBy(*_KEYS).agg(F.collect_set(F.struct("g", "a", "z")).alias("runs"))
     cut = texts.join(further, _KEYS).select("k1", "k2", "packed", "runs").mapInArrow(_cut, "g long, k1 long, k2 long, a long, data binary")

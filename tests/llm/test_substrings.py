@@ -58,6 +58,17 @@ def test_against_brute_force(spark, monkeypatch, hot):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_frequent_grams(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = text(150), text(260)
+    rows = [(i, text(rng.randrange(250)) + (short if i % 2 else long[i % 40 :]) + text(rng.randrange(250))) for i in range(90)] + [(100 + i, text(190) + short + "same tail " * 9) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, 5, "x", 9) for i, t in rows], SCHEMA)
+    assert len(substrings.frequent_grams(substrings.keyed(docs).select("k1", "k2", "text"))) > 0
+    assert run(spark, rows) == brute(rows)
+
+
 def test_driver_s_documents(spark):
     rows = [(r.doc_id, r.text) for r in C.table(spark, "/root/testdata/sf0.001", "documents").collect()]
     assert run(spark, rows) == brute(rows)
