@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import corrections_queries as CQ
 from .functions import text as T
 from .operators import alignment as A
 from .operators import evaluation as E
@@ -195,3 +196,6 @@ docs_query("jaccard_pairs", _SIMILAR, "WITH s AS (SELECT doc_id, list_sort(list_
 facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council", "goal").agg(F.max(F.struct("milli", (-F.col("activity_id")).alias("i"))).alias("x")).select("council", "goal", F.col("x.milli").alias("milli"), (-F.col("x.i")).alias("activity_id")), "SELECT council, goal, milli, activity_id FROM f WHERE NOT is_aligned QUALIFY row_number() OVER (PARTITION BY council, goal ORDER BY milli DESC, activity_id) = 1")
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
 QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)
+
+# Corrections of scores
+QUERIES.update(CQ.QUERIES)
