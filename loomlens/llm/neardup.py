@@ -53,7 +53,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = got = xxh3_64_intdigest(word)
         return got
@@ -258,19 +258,42 @@ def confirmed(found: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
+def _forest(batches):
+    """Links (a, b) to as few as join what they join: each node of the task under the smallest it hangs together with."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for x in batches:
+        for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+            p, q = root(a), root(b)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+        if len(up) > 1_000_000:
+            yield from _edges(up, root)
+            up.clear()
+    yield from _edges(up, root)
+
+
+def _edges(up: dict, root):
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, _LONG), pa.array([root(x) for x in nodes], _LONG)], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the links (a, b) reaches. Alternating large and small stars."""
+    """(node, label): the smallest node that each node of the links (a, b) reaches. Each task first joins what hangs together in it; then alternating large and small stars."""
 
     def star(edges, large):
         both = edges.union(edges.select("b", "a"))
-        if not large:
-            both = both.where("b < a")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = both.join(least, "a")
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    edges, before = links.select("a", "b").where("a <> b").distinct().checkpoint(), None
+        least = (both if large else both.where("b < a")).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        joined = both.where("b > a" if large else "b < a").join(least, "a")
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return (out if large else out.union(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
+
+    edges, before = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct().checkpoint(), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
@@ -281,6 +304,15 @@ def components(links: DataFrame) -> DataFrame:
     return own.union(own.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links (a, b): only the labels that these join are worked on again."""
+    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    ends = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = components(ends).checkpoint()
+    moved = labels.join(over.toDF("label", "new"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return moved.union(over.toDF("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
+
+
 def _between(batches):
     """Blocks, sorted so that those outside the largest component come first, to links between different components."""
     names = ["a", "b"]
@@ -349,30 +381,27 @@ def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, block: in
     return joined.repartition("key", "m", "r").sortWithinPartitions("key", "m", "r", "role").mapInArrow(_between, "a long, b long")
 
 
-def links(reps: DataFrame, texts: DataFrame, most_all: int = MOST_ALL, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
-    """Confirmed links (a, b) between classes (rep, n, sig), enough to join all that are linked."""
+def labelled(reps: DataFrame, texts: DataFrame, most_all: int = MOST_ALL, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
+    """(node, label) of the classes (rep, n, sig) that are linked with others: the smallest class that each reaches."""
     hot = hot_keys(reps, most_all)
     met = keyed(reps, hot, False).repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting(most_all), sql_schema(_MET)).checkpoint()
-    members = met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True))
-    members = members.checkpoint()
+    members = met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True)).checkpoint()
     pivots = members.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("pivot"))
     stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     found = met.where("pick < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).union(stars).distinct()
-    first = confirmed(near(found, reps).checkpoint(), texts).checkpoint()
+    labels = components(confirmed(near(found, reps).checkpoint(), texts)).checkpoint()
     if members.isEmpty():
-        return first
-    labels = components(first).checkpoint()
-    between = in_blocks(members, labels, texts, block, others).distinct().checkpoint()
-    return labels.toDF("a", "b").union(between)
+        return labels
+    return joined(labels, in_blocks(members, labels, texts, block, others).distinct().checkpoint())
 
 
 def classes(docs: DataFrame, **sizes: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document. ``sizes`` are those of ``links``; they change the work, not the result."""
+    """doc_id, n_shingles, component_id and kept of every document. ``sizes`` are those of ``labelled``; they change the work, not the result."""
     C.prepare(docs.sparkSession)
     rows = signed(C.text_bytes(docs)).checkpoint()
     able = rows.where("n > 0 and doc_id is not null")
     by_class = able.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).checkpoint()
-    labels = components(links(by_class.select("rep", "n", "sig"), able.select("doc_id", "n", "sig", "packed"), **sizes))
+    labels = labelled(by_class.select("rep", "n", "sig"), able.select("doc_id", "n", "sig", "packed"), **sizes)
     named = by_class.select("class", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("class", F.coalesce("label", "rep").alias("label"))
     out = rows.select("doc_id", "n", "class").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))

@@ -50,7 +50,7 @@ class Terms(dict):
         self.places = places
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         got = terms(word)
         self[word] = got = tuple(got if self.places is None else (self.places[t] for t in got if t in self.places))

@@ -118,3 +118,11 @@ def test_components(spark, edges):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert got == up
+
+
+def test_labels_after_further_links(spark):
+    first, more = [(1, 2), (2, 3), (7, 8), (20, 21), (30, 31)], [(3, 8), (40, 21), (50, 51), (31, 8)]
+    labels = neardup.components(spark.createDataFrame(first, "a long, b long"))
+    got = {r.node: r.label for r in neardup.joined(labels, spark.createDataFrame(more, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 30: 1, 31: 1, 20: 20, 21: 20, 40: 20, 50: 50, 51: 50}
+    assert {r.node: r.label for r in neardup.joined(labels, spark.createDataFrame([], "a long, b long")).collect()} == {r.node: r.label for r in labels.collect()}
