@@ -100,7 +100,7 @@ def _holds(condition: str, goal: int) -> Column:
         return ~_holds(condition[1:], goal)
     if condition == "below":
         return F.col(f"s{goal}") < F.col("_began")
-    return F.col("_began") >= 0.2 if condition == "fair" else F.col(f"_flags.{condition}")
+    return F.col("_began") >= 0.2 if condition == "fair" else F.col(f"_flag_{condition}")
 
 
 def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules=tuple(MODULES), methods: dict[int, str] | None = None) -> DataFrame:
@@ -114,7 +114,8 @@ def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules
     for m, method in methods.items():
         if method not in known[m]:
             raise ValueError(f"unknown method {method} of goal {m}")
-    out = rows.withColumn("_flags", F.struct(*(c.alias(k) for k, c in flags(F.coalesce(F.col(text), F.lit(""))).items())))
+    found = flags(F.coalesce(F.col(text), F.lit("")))
+    out = rows.withColumns({f"_flag_{k}": c for k, c in found.items()})  # columns of their own: fields of a struct would be worked out again at each use
     out = out.withColumns({f"a{g}": F.col(f"s{g}") >= threshold(F.lit(g), mode) for g in GOALS} | {f"c{g}": F.lit(False) for g in GOALS})
     for m, rules in MODULES.items():
         if m not in modules:
@@ -134,7 +135,7 @@ def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules
             else:
                 new = {"add": lambda s, x: F.least(F.lit(1.0), s + x) if x > 0 else F.greatest(F.lit(0.0), s + x), "times": lambda s, x: F.greatest(F.lit(0.0), s * x), "restore": lambda s, x: F.col("_began")}[kind](score, amount)
                 out = out.withColumn(name, F.when(on & score.isNotNull(), new).otherwise(score))
-    return out.drop("_flags", "_began")
+    return out.drop(*(f"_flag_{k}" for k in found), "_began")
 
 
 def boosted(rows: DataFrame, text: str = "text", mode: str = "hybrid", boosts=L.BOOSTS) -> DataFrame:
