@@ -6,7 +6,7 @@ number of such words up to RARE_CLASSES; a rare word's own probability within
 its class comes from its exact count, by a join. Baum-Welch: each partition adds up the expected
 counts of transitions and emissions over its training texts, Spark adds up the partitions, and the
 driver normalizes them, an array of fixed size. Forward and backward recursions run over whole texts; the forward states
-are kept at the start of every SPAN tokens alone and computed again from there on the way back. Rounds end when the
+of many tokens are kept at the start of every SPAN alone and computed again from there on the way back. Rounds end when the
 likelihood hardly rises any more, or after ROUNDS.
 
 Nulls and edges: a null text is empty (its only token is the end); a null doc_id counts as the empty string in
@@ -33,8 +33,8 @@ HEAD = (1 << 16) - 1 - RARE_CLASSES
 #: Rare words that a class has on average before there are more classes.
 PER_CLASS = 64
 STATES, ROUNDS, SPAN, LEAST_GAIN = 8, 4, 256, 1e-4
-#: Tokens worked on at once, and the length from which texts are pooled apart.
-POOL, LONG = 600_000, 2048
+#: Tokens worked on at once, the length from which texts are pooled apart, and for how many tokens all forward states are kept.
+POOL, LONG, KEPT = 600_000, 2048, 1 << 20
 FOLDS = 10
 
 
@@ -153,14 +153,14 @@ class Model:
         back[steps.order] = out
         return back
 
-    def expected(self, rows: list[np.ndarray], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def expected(self, rows: list[np.ndarray], span: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, transitions and emissions over the whole sequences, and their log10 likelihood."""
-        steps, marks, a, total = Steps(rows), [], None, 0.0
-        for t in range(len(steps.n)):
-            if t % span == 0:
+        steps, marks, a, total = Steps(rows), [None], None, 0.0
+        span = span or (len(steps.n) if len(steps.at) <= KEPT else SPAN)
+        for t in range((len(steps.n) - 1) // span * span):  # what a single span holds is kept on the way back
+            a, _ = self.step(a, steps.symbols(t))
+            if (t + 1) % span == 0:
                 marks.append(a)
-            a, scale = self.step(a, steps.symbols(t))
-            total += float(np.log10(scale).sum())
         move, emit, weighed = np.zeros_like(self.move), np.zeros_like(self.emit), None
         held, size, gamma = [], 0, None
 
@@ -175,6 +175,7 @@ class Model:
                 a, scale = self.step(a, steps.symbols(t))
                 alphas.append(a)
                 scales.append(scale)
+                total += float(np.log10(scale).sum())
             for i in range(len(alphas) - 1, -1, -1):
                 t, b = k * span + i, np.empty((0, len(self.first)))
                 if weighed is not None:
