@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import corrections_queries as CQ
+from . import report_queries as RQ
 from .functions import text as T
 from .operators import alignment as A
 from .operators import evaluation as E
@@ -15,16 +16,10 @@ from .operators import trends as TR
 from .plans.facts import ORDER_FACTS as OF
 from .plans.facts import VECTOR_FACTS as VF
 from .plans.facts import order_facts, table, vector_facts
+from .plans.sql import MEAN, SHARE, rounded
 from .streaming import ingest as S
 
 QUERIES: dict = {}
-def rounded(part: str, whole: str, scale: int) -> str:
-    """As in operators.rollups: halves up, in whole numbers."""
-    return f"((({2_000_000 // scale} * {part})::BIGINT + {whole}) // (2 * {whole}))::DOUBLE / 1e6"
-
-
-MEAN = rounded("sum(milli)", "count(*)", 1000)
-SHARE = rounded("sum(is_aligned::INT)", "count(*)", 1)
 #: Words that do on the driver's invented prose what domain words do on reports.
 PROSE = ("tion", "ther", "thon", "hely", "rewh", "orre")
 PROGRAM = ((1, ("tion",), ("thon",), 0.4, {2: 0.15}), (2, ("ther",), ("hely",), 0.35, {3: 0.1, 1: 0.15}), (3, ("rewh",), ("orre",), 0.3, {1: 0.2}))
@@ -129,7 +124,7 @@ facts_query("peers", lambda f: (lambda c: c.join(c.toDF("peer", "peer_state"), (
 
 # Trends
 _YEARLY = lambda f: f.groupBy("state", "goal", "year").agg(R.mean().alias("score"))
-_Y = f", y AS (SELECT state, goal, year, {MEAN} AS score FROM f GROUP BY 1, 2, 3), s AS (SELECT state, goal, count(*) AS n, regr_slope(score, year) AS b, regr_r2(score, year) AS r, arg_min(score, year) AS a, arg_max(score, year) AS z FROM y GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT unnest([{', '.join(map(str, TR.T_05))}])::DOUBLE AS c, unnest(range(1, 31)) AS k), t AS (SELECT s.*, CASE WHEN n = 2 OR r >= 1 THEN true ELSE sqrt(r * (n - 2) / (1 - r)) > coalesce(c, 1.96) END AS sure FROM s LEFT JOIN c ON k = n - 2) "
+_Y = f", y AS (SELECT state, goal, year, {MEAN} AS score FROM f GROUP BY 1, 2, 3), s AS (SELECT state, goal, count(*) AS n, regr_slope(score, year) AS b, CASE WHEN regr_slope(score, year) = 0 THEN 0 ELSE regr_r2(score, year) END AS r, arg_min(score, year) AS a, arg_max(score, year) AS z FROM y GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT unnest([{', '.join(map(str, TR.T_05))}])::DOUBLE AS c, unnest(range(1, 31)) AS k), t AS (SELECT s.*, CASE WHEN b = 0 THEN false WHEN n = 2 OR r >= 1 THEN true ELSE sqrt(r * (n - 2) / (1 - r)) > coalesce(c, 1.96) END AS sure FROM s LEFT JOIN c ON k = n - 2) "
 _T = "SELECT state, goal, n, round(b, 8) AS slope, round(r, 6) AS r2, round(CASE WHEN a <> 0 THEN (z - a) / a * 100 ELSE 0 END, 4) AS percent_change, sure AS is_significant, CASE WHEN NOT sure THEN 'stable' WHEN b > 0.01 THEN 'increasing' WHEN b < -0.01 THEN 'decreasing' ELSE 'stable' END AS direction FROM t"
 facts_query("trend_ols", lambda f: TR.trends(_YEARLY(f), ["state", "goal"]), _Y + _T)
 facts_query("state_trend_rank", lambda f: TR.ranking(TR.trends(_YEARLY(f), ["state", "goal"]), "state"), _Y + f", q AS ({_T}) SELECT state, round(avg(slope), 5) AS mean_slope, rank() OVER (ORDER BY round(avg(slope), 5) DESC)::INTEGER AS rank FROM q GROUP BY 1")
@@ -197,5 +192,6 @@ facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council"
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
 QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)
 
-# Corrections of scores
+# Corrections of scores, reads over reports
 QUERIES.update(CQ.QUERIES)
+QUERIES.update(RQ.QUERIES)
