@@ -130,3 +130,42 @@ NON_ACTIVITY = (
 # Marks of tables of contents and of disclaimers.
 CONTENTS = ("contents", "table of contents", "page", "introduction", "section")
 DISCLAIMERS = ("disclaimer", "this report is provided for information", "does not purport to be complete")
+
+# Terms of the goals that raise a statement's relevance.
+GOAL_TERMS = (
+    "sustainable", "climate", "environment", "community", "health", "education", "infrastructure", "economic", "social", "partnership", "innovation", "biodiversity", "renewable",
+    "waste", "recycling", "wellbeing", "inclusion", "diversity", "accessibility", "conservation",
+)
+
+# Verbs of ordinary and of weak statements.
+STANDARD_VERBS = (
+    "improve", "enhance", "expand", "upgrade", "design", "plan", "strategize", "manage", "coordinate", "facilitate", "support", "provide", "engage", "collaborate", "partner",
+    "consult", "involve", "promote", "encourage", "enable", "empower", "strengthen", "maintain", "preserve", "protect", "conserve", "monitor", "evaluate", "assess", "prepare",
+    "produce", "publish", "release", "communicate", "update", "review", "adopt", "approve", "endorse",
+    "improved", "enhanced", "expanded", "designed", "planned", "strategized", "managed", "coordinated", "facilitated", "supported", "provided", "engaged", "collaborated",
+    "partnered", "consulted", "involved", "promoted", "encouraged", "enabled", "empowered", "strengthened", "maintained", "preserved", "protected", "conserved", "monitored",
+    "evaluated", "assessed", "prepared", "produced", "published", "released", "communicated", "updated", "reviewed", "adopted", "approved", "endorsed",
+)
+WEAK_VERBS = (
+    "was", "were", "is", "are", "been", "be", "being", "had", "has", "have", "consider", "considered", "review", "reviewed", "discuss", "discussed", "note", "noted",
+    "acknowledge", "acknowledged", "recognize", "recognized", "identify", "identified", "analyze", "analyzed", "examine", "examined", "reflect", "reflected", "appear",
+    "appeared", "seem", "seemed", "remain", "remained", "continue", "continued",
+)
+
+# First words that lean on the sentence before: references and continuations. Words that open a fragment lean on it too.
+LEANING = (
+    "this", "it", "the", "these", "those", "which", "that", "such", "and", "or", "but", "also", "additionally", "furthermore", "moreover", "therefore", "thus", "consequently",
+    "as", "with", "however", "further", "similarly", "likewise", "meanwhile", "subsequently", "alternatively", "nevertheless", "nonetheless", "otherwise", "instead", "besides",
+    "accordingly",
+)
+
+# Words of section titles.
+SECTION_TITLES = (
+    ("environment", ("environment", "sustainability", "climate", "carbon", "green", "conservation", "biodiversity", "ecosystem", "waste", "recycling")),
+    ("community", ("community", "social", "health", "wellbeing", "education", "culture", "recreation", "sport", "youth", "seniors", "disability", "indigenous", "aboriginal", "diversity")),
+    ("economic", ("economic", "business", "employment", "jobs", "tourism", "investment", "development", "growth", "enterprise", "commerce")),
+    ("infrastructure", ("infrastructure", "roads", "buildings", "facilities", "transport", "utilities", "maintenance", "construction", "engineering", "public works")),
+    ("planning", ("planning", "urban design", "zoning", "land use", "housing", "development applications", "building permits", "strategic planning")),
+    ("governance", ("governance", "council", "meeting", "policy", "strategy", "performance", "audit", "compliance", "risk", "transparency")),
+    ("finance", ("financial", "budget", "revenue", "expenditure", "audit", "accounting", "funding", "grants", "rates", "fees")),
+)

@@ -44,10 +44,63 @@ def clean_text(text: Column) -> Column:
 def sentences(text: Column, least: int = 10, abbreviations=L.ABBREVIATIONS) -> Column:
     """Split after closing marks; what is left, trimmed, must be longer than ``least``. Abbreviations don't end a sentence and come out in lower case."""
     held = reduce(lambda t, a: F.regexp_replace(t, rf"(?iU)\b{a}\.", f"{a}█"), abbreviations, text)
-    back = (lambda s: F.trim(F.replace(s, F.lit("█"), F.lit(".")))) if abbreviations else F.trim
+    back = (lambda s: F.trim(F.replace(s, F.lit("█"), F.lit(".")))) if abbreviations else (lambda s: F.trim(s))
     return F.filter(F.transform(F.split(held, r"[.!?]+\s+"), back), lambda s: F.length(s) > least)
 
 
+def paragraphs(text: Column) -> Column:
+    """Split at blank lines; trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def bullets(text: Column) -> Column:
+    """Split at bullets, dashes and stars that white space follows; trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"\s*[•·\-–—*]\s+"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def normalized(text: Column) -> Column:
+    """Lower case, without marks but hyphens, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s-]", " "), r"\s+", " "))
+
+
+def summary_stats(text: Column) -> dict[str, Column]:
+    """Words, sentences, paragraphs, mean length of words and of sentences (in words)."""
+    w, s = tokens(text), F.flatten(F.transform(bullets(text), lambda s: sentences(s)))
+    letters = F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
+    mean = lambda a, b: F.when(b > 0, F.round(a / b, 2)).otherwise(0.0)
+    return {"word_count": F.size(w), "sentence_count": F.size(s), "paragraph_count": F.size(paragraphs(text)), "avg_word_length": mean(letters, F.size(w)), "avg_sentence_length": mean(F.size(w), F.size(s))}
+
+
+def page_text(text: Column) -> Column:
+    """A page without form feeds, no-break and zero-width spaces, with single spaces and at most one blank line in a row."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, " ​\f", " "), "[ \t]+", " "), r"\n\s*\n+", "\n\n"))
+
+
+def has_action_verb(text: Column, verbs=L.PRIORITY_VERBS + L.STANDARD_VERBS) -> Column:
+    """Whether one of the verbs stands in the text as a word."""
+    return F.lower(text).rlike(r"(?U)\b(?:" + "|".join(verbs) + r")\b")
+
+
+def simple_confidence(text: Column) -> Column:
+    """Without a parse: .9 with a priority verb, .7 with an ordinary one, .3 with only a weak one, else .5. Verbs are found as substrings."""
+    low = F.lower(text)
+    return F.when(any_of(low, L.PRIORITY_VERBS), 0.9).when(any_of(low, L.STANDARD_VERBS), 0.7).when(any_of(low, L.WEAK_VERBS), 0.3).otherwise(0.5)
+
+
+def section_category(title: Column, titles=L.SECTION_TITLES) -> Column:
+    """The first family with a word in a section's title, or null."""
+    low, out = F.lower(title), F.lit(None).cast("string")
+    for name, words in reversed(titles):
+        out = F.when(any_of(low, words), name).otherwise(out)
+    return out
+
+
+def rating(is_activity: Column, is_council: Column) -> Column:
+    """high with both at .7 or more, medium with both at .5 or more, else low."""
+    least = F.least(is_activity, is_council)
+    return F.when(least >= 0.7, "high").when(least >= 0.5, "medium").otherwise("low")
+
+
 def joined_sentences(parts: Column, openers, most_words: int) -> Column:
     """A fold that joins a sentence to the one before if its first word leans on it, up to ``most_words`` words."""
     leans = lambda s: F.lower(F.get(F.split(s, " "), 0)).isin(*openers)

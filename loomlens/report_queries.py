@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import extraction as EX
 from .operators import reads as Q
 from .operators import trends as TR
 from .plans.facts import ORDER_FACTS as OF
 from .plans.facts import VECTOR_FACTS as VF
-from .plans.facts import order_facts, vector_facts
+from .plans.facts import order_facts, table, vector_facts
 from .plans.sql import MEAN, SHARE, rounded
 
 QUERIES: dict = {}
@@ -75,3 +77,20 @@ over_orders("overall_trends", lambda f: TR.with_p_value(f.groupBy("goal", "year"
 over_orders("urban_trends", lambda f: TR.with_p_value(f.where("setting = 'Urban'").groupBy("state", "goal", "year").agg(Q.mean().alias("score")), ["state", "goal"]), f", d AS (SELECT state, goal, year, {MEAN} AS score FROM f WHERE setting = 'Urban' GROUP BY 1, 2, 3)" + _FIT.format("state, goal", "d", "1, 2"))
 over_orders("trend_table", lambda f: f.groupBy("goal").agg(F.array_join(F.array_sort(F.collect_set("year")), ", ").alias("years"), F.count_distinct("year").alias("n")), "SELECT goal, string_agg(DISTINCT year::VARCHAR, ', ' ORDER BY year::VARCHAR) AS years, count(DISTINCT year) AS n FROM f GROUP BY 1")
 over_orders("strongest_trends", lambda f: TR.strongest(TR.trends(f.groupBy("council", "goal", "year").agg(Q.mean().alias("score")), ["council", "goal"]), ["council", "goal"]), f", d AS (SELECT council, goal, year, {MEAN} AS score FROM f GROUP BY 1, 2, 3) SELECT council, goal, round(regr_slope(score, year), 8) AS slope FROM d GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY abs(round(regr_slope(score, year), 8)) DESC, council, goal LIMIT 5")
+
+
+# Texts: pieces, counts and activities
+def over_docs(name, f, sql=None):
+    QUERIES[name] = (lambda spark, sf_dir: f(table(spark, sf_dir, "documents")), sql)
+
+
+over_docs("paragraphs", lambda d: d.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph")), "SELECT doc_id, i::INTEGER AS pos, p[i + 1] AS paragraph FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents))".replace("\\\\", "\\"))
+over_docs("bullets", lambda d: d.select("doc_id", F.size(T.bullets(F.col("text"))).alias("pieces")), r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\s*[•·\-–—*]\s+'), lambda x: trim(x)), lambda x: x <> ''))::INTEGER AS pieces FROM documents")
+over_docs("normalized", lambda d: d.select("doc_id", F.md5(T.normalized(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).alias("digest")), r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')), '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
+over_docs("action_verbs", lambda d: d.select("doc_id", T.has_action_verb(F.col("text"), ("tion", "rewh", "ther", "orre", "the", "and")).alias("has_verb"), T.simple_confidence(F.col("text")).alias("confidence")), r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(tion|rewh|ther|orre|the|and)($|[^\p{L}\p{N}_])') AS has_verb, CASE WHEN " + " OR ".join(f"contains(lower(text), '{v}')" for v in T.L.PRIORITY_VERBS) + " THEN 0.9::DOUBLE WHEN " + " OR ".join(f"contains(lower(text), '{v}')" for v in T.L.STANDARD_VERBS) + " THEN 0.7::DOUBLE WHEN " + " OR ".join(f"contains(lower(text), '{v}')" for v in T.L.WEAK_VERBS) + " THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM documents")
+over_docs("summary_stats", lambda d: d.select("doc_id", *(c.alias(k) for k, c in T.summary_stats(F.col("text")).items())))
+over_docs("candidates", lambda d: EX.candidates(d, "doc_id"))
+over_docs("extract_activities", lambda d: EX.extracted(d, "doc_id", 0.3))  # invented prose has few of the words that raise a score
+over_docs("activity_sections", lambda d: EX.by_section(EX.extracted(d, "doc_id", 0.3), "doc_id"))
+over_docs("filter_failures", lambda d: EX.failures(EX.candidates(d, "doc_id")))
+QUERIES["quality_tiers"] = (lambda spark, sf_dir: EX.tiers(table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 11 / 10.0).alias("is_activity"), (F.col("vec_id") % 7 / 6.0).alias("is_council")), "label"), "SELECT label, CASE WHEN least(vec_id % 11 / 10.0::DOUBLE, vec_id % 7 / 6.0::DOUBLE) >= 0.7::DOUBLE THEN 'high' WHEN least(vec_id % 11 / 10.0::DOUBLE, vec_id % 7 / 6.0::DOUBLE) >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS share FROM embeddings GROUP BY 1, 2")
