@@ -21,16 +21,26 @@ NOT_WORD = rb"\x00-\x2f\x3a-\x60\x7b-\x7f"
 def prepare(spark: SparkSession) -> None:
     """Give the session a checkpoint folder if it has none, and let Python workers import this package.
 
-    On a cluster ``spark.checkpoint.dir`` names the shared folder and is only read here.
+    On a cluster ``spark.checkpoint.dir`` names the shared folder and is only read here; without it a temporary folder
+    does for a master within one machine, and nothing else.
     """
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -319,9 +319,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """
     C.prepare(docs.sparkSession)
     _, found = spans(docs)
-    by_key = found.groupBy(*_KEYS).agg(F.collect_set(F.struct("a", "z")).alias("_spans")).toDF("_k1", "_k2", "_spans")
-    bare = docs.withColumns({"_k1": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b""))), "_k2": F.hash(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.col("doc_id").cast("long")).cast("long")})
-    joined = bare.join(by_key, ["_k1", "_k2"], "left")
+    marked = C.spare(docs.columns, "_spans")
+    by_key = found.groupBy(*_KEYS).agg(F.collect_set(F.struct("a", "z")).alias(marked)).toDF("k1", "k2", marked)
+    text, doc_id = F.coalesce(docs["text"].cast("binary"), F.lit(b"")), docs["doc_id"].cast("long")
+    joined = docs.join(by_key, (F.xxhash64(doc_id, text) == by_key["k1"]) & (F.hash(text, doc_id).cast("long") == by_key["k2"]), "left").select(*(docs[c] for c in docs.columns), by_key[marked])
     at, spans_at = docs.columns.index("text"), len(docs.columns)
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -334,4 +335,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 columns[count_at] = pa.array([None if t is None else len(t) for t in new], columns[count_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:spans_at])
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.schema)

@@ -84,3 +84,22 @@ def test_stages_on_nulls_and_nothing(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
         assert docs.count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    long, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [
+        (None, long, "n", None), (5, long, "x", 1), (5, other, "y", 2), (7, other + " c", "z", 3), (9, long, "w", 4),  # 5 stands for two texts
+        (None, "c d e f g h", "p", 5), (None, "c d e f g h", "q", 6), (11, "alone it stands here now", "r", 7), (12, None, "s", 8), (13, None, "s", 8), (-3, "minus three is an id too", "t", 9),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, n, 1) for i, t, s, n in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(3), SF)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text[:3] if r.text else None) for r in got.collect()), key=str)
+    assert kept == sorted([(5, "a0 "), (5, "b0 "), (None, "c d"), (11, "alo"), (12, None), (13, None), (-3, "min")], key=str)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    docs = spark.createDataFrame([(1, "a b " * 90, 3, 4, "x", "y", 9), (2, "a b " * 90 + "z", 3, 4, "x", "y", 9)], "doc_id long, text string, k1 int, k2 int, _spans string, window string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs, SF).count() == 2
