@@ -126,3 +126,122 @@ def similar(docs: DataFrame, key: str, words: str, percent: int = 90) -> DataFra
     linked = full.where(100 * F.col("both") > percent * (F.size("wa") + F.size("wb") - F.col("both")))
     counts = linked.select("a", "mb").union(linked.select("b", "ma")).toDF("c", "m").groupBy("c").agg(F.sum("m").alias("l"))
     return sets.select("k", "h").join(classes.select("h", "c", "m"), "h").join(counts, "c", "left").select(F.col("k").alias(key), F.col("c").alias("class_id"), (F.col("m") - 1 + F.coalesce("l", F.lit(0))).alias("links"))
+
+
+def forced(rows: DataFrame, by: str, threshold: float, score: str = "score") -> DataFrame:
+    """Adds p, the predictions at a threshold; where a sample has none, its best goal (the lower of equal ones) is taken."""
+    w = Window.partitionBy(by)
+    best = F.max(F.struct(score, (-F.col("goal")).alias("g"))).over(w)
+    return rows.withColumn("p", ((F.col(score) >= threshold) | ((F.max(score).over(w) < threshold) & (F.col("goal") == -best["g"]))).cast("int"))
+
+
+def per_goal(rows: DataFrame) -> DataFrame:
+    """tp, fp, fn, tn of each goal from long rows (goal, y, p) of 0 and 1."""
+    n = lambda c: F.sum(c.cast("long"))
+    y, p = F.col("y") == 1, F.col("p") == 1
+    return rows.groupBy("goal").agg(n(y & p).alias("tp"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"), n(~y & ~p).alias("tn"))
+
+
+def micro_macro(rows: DataFrame, by: str) -> DataFrame:
+    """Micro and macro precision, recall and F1 over goals, and the share of samples whose goals are all right."""
+    g, tp, fp, fn = per_goal(rows), F.col("tp"), F.col("fp"), F.col("fn")
+    s = lambda c: F.sum(c)
+    counts = g.agg(
+        F.round(ratio(s(tp), s(tp + fp)), 6).alias("micro_precision"), F.round(ratio(s(tp), s(tp + fn)), 6).alias("micro_recall"), F.round(ratio(2 * s(tp), s(2 * tp + fp + fn)), 6).alias("micro_f1"),
+        F.round(F.avg(ratio(tp, tp + fp)), 6).alias("macro_precision"), F.round(F.avg(ratio(tp, tp + fn)), 6).alias("macro_recall"), F.round(F.avg(ratio(2 * tp, 2 * tp + fp + fn)), 6).alias("macro_f1"),
+    )
+    subset = rows.groupBy(by).agg(F.min((F.col("y") == F.col("p")).cast("int")).alias("ok")).agg(F.round(F.avg("ok"), 6).alias("subset_accuracy"))
+    return counts.join(F.broadcast(subset), how="cross")  # one row each
+
+
+def single_label(rows: DataFrame) -> DataFrame:
+    """Accuracy, macro and weighted precision, recall, F1 and macro F2 from columns truth and predicted."""
+    per = per_class(rows)
+    f2 = ratio(5 * F.col("precision") * F.col("recall"), 4 * F.col("precision") + F.col("recall"))
+    known, n = per.where("support > 0"), F.sum("support")
+    mean = lambda c, k: F.round(F.avg(c), 5).alias(k)
+    weighed = lambda c, k: F.round(F.sum(F.col(c) * F.col("support")) / n, 5).alias(k)
+    out = known.agg(*(mean(F.col(c), f"macro_{c}") for c in ("precision", "recall", "f1")), mean(f2, "macro_f2"), *(weighed(c, f"weighted_{c}") for c in ("precision", "recall", "f1")))
+    return out.join(F.broadcast(rows.agg(F.round(F.avg((F.col("truth") == F.col("predicted")).cast("int")), 6).alias("accuracy"))), how="cross")
+
+
+def cardinality(rows: DataFrame, by: str) -> DataFrame:
+    """How many samples have 0 to 4 labels, or 5 and more; with the mean number of labels and its share of all goals."""
+    per = rows.groupBy(by).agg(F.sum("y").alias("k"), F.count("*").alias("goals"))
+    whole = per.agg(F.round(F.avg("k"), 6).alias("cardinality"), F.round(F.avg(F.col("k") / F.col("goals")), 6).alias("density"))
+    return per.groupBy(F.least("k", F.lit(5)).alias("labels")).agg(F.count("*").alias("n")).join(F.broadcast(whole), how="cross")
+
+
+def score_statistics(rows: DataFrame, by: list[str], score: str = "milli") -> DataFrame:
+    """Smallest, largest, mean, population deviation and median of whole-numbered scores."""
+    n, s, q = F.count("*"), F.sum(score), F.sum(F.col(score) * F.col(score))
+    return rows.groupBy(*by).agg(n.alias("n"), F.min(score).alias("low"), F.max(score).alias("high"), F.round(s / n, 4).alias("mean"), F.round(F.sqrt((n * q - s * s).cast("double")) / n, 4).alias("deviation"), F.median(score).alias("median"))
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Of columns truth, first and second: how often both models agree, each is right, and both are."""
+    n = lambda c: F.sum(c.cast("long"))
+    a, b = F.col("first") == F.col("truth"), F.col("second") == F.col("truth")
+    return rows.agg(F.count("*").alias("n"), n(F.col("first") == F.col("second")).alias("agree"), n(a).alias("first_right"), n(b).alias("second_right"), n(a & b).alias("both_right"))
+
+
+def cross_validated(rows: DataFrame, by: list[str], fold: str = "fold", steps: int = 100) -> DataFrame:
+    """For each group and fold: the threshold with the best F1 on the other folds (the higher of equal ones), its F1 there and on the fold, and whether it keeps nine tenths of it.
+
+    Counts are made once for each fold and step; those of the other folds are all less the fold's own.
+    """
+    counts = sweep(rows, [*by, fold], steps).select(*by, fold, "i", "tp", "fp", "fn")
+    w = Window.partitionBy(*by, "i")
+    f1 = lambda t, p, n: F.round(ratio(2 * t, 2 * t + p + n), 6)
+    rest = {c: F.sum(c).over(w) - F.col(c) for c in ("tp", "fp", "fn")}
+    both = counts.withColumns({"inside": f1(rest["tp"], rest["fp"], rest["fn"]), "outside": f1(F.col("tp"), F.col("fp"), F.col("fn"))})
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy(*by, fold).orderBy(F.desc("inside"), F.desc("i")))).where("r = 1")
+    return best.select(*by, fold, "i", "inside", "outside", (F.col("outside") >= 0.9 * F.col("inside")).alias("holds"))
+
+
+def boost_effects(rows: DataFrame) -> DataFrame:
+    """Of rows (goal, y, before, after: is aligned): what only the boost aligns, and how much of that is wrong, by goal."""
+    new = F.col("after") & ~F.col("before")
+    n = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("goal").agg(n(new).alias("new"), n(new & (F.col("y") == 1)).alias("right"), n(new & (F.col("y") != 1)).alias("wrong"))
+
+
+def by_signature(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """A share of the samples of each set of labels, one at least, from long rows (key, goal, y)."""
+    signature = F.array_join(F.array_sort(F.collect_list(F.when(F.col("y") == 1, F.col("goal")))).cast("array<string>"), ",")
+    return stratified(rows.groupBy(key).agg(signature.alias("signature")), ["signature"], key, share)
+
+
+def allocated(rows: DataFrame, tier: str, key: str, allocation: dict[str, int]) -> DataFrame:
+    """So many rows of each tier, in a fixed pseudo-random order."""
+    wanted = F.create_map(*(x for k, v in allocation.items() for x in (F.lit(k), F.lit(v))))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(tier).orderBy(order_key(key), key)))
+    return ranked.where(F.col("_r") <= F.coalesce(wanted[F.col(tier).cast("string")], F.lit(0))).drop("_r")
+
+
+def drawn(rows: DataFrame, key: str, n: int, without: DataFrame | None = None) -> DataFrame:
+    """n rows in a fixed pseudo-random order, none whose key is in ``without``."""
+    left = rows if without is None else rows.join(without.select(key), key, "left_anti")
+    return left.orderBy(order_key(key), key).limit(n)
+
+
+def test_split(rows: DataFrame, goal: str, key: str, share: float = 0.2) -> DataFrame:
+    """A share of each goal's rows, one at least, is for testing."""
+    w = Window.partitionBy(goal)
+    place, n = F.row_number().over(w.orderBy(order_key(key), key)), F.count("*").over(w)
+    return rows.withColumn("is_test", place <= F.greatest(F.lit(1), F.floor(n * share + 0.5)))
+
+
+def training_pairs(rows: DataFrame, goals: DataFrame, key: str) -> DataFrame:
+    """Each text with each variant of its goal's wording, and the batch that it goes to: no batch has a goal twice."""
+    pairs = rows.join(goals, "goal")
+    batch = F.row_number().over(Window.partitionBy("goal").orderBy(order_key(key), key, "variant")) - 1
+    return pairs.withColumn("batch", batch)
+
+
+def consensus(rows: DataFrame, item: str, rater: str, vote: str, score: str, raters: int, least: int = 3, first: str = "a", second: str = "b") -> DataFrame:
+    """Items that all raters have judged: the votes in raters' order, the consensus, and the mean score."""
+    n = lambda v: F.sum((F.col(vote) == v).cast("long"))
+    per = rows.groupBy(item).agg(F.count_distinct(rater).alias("n_raters"), n(first).alias("n_first"), n(second).alias("n_second"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rater, vote))), lambda x: x[vote]), "").alias("votes"), F.round(F.avg(score), 6).alias("mean_score"))
+    label = F.when(F.col("n_first") >= least, first).when(F.col("n_second") >= least, second).otherwise("neutral")
+    return per.where(F.col("n_raters") == raters).select(item, "votes", label.alias("consensus"), "mean_score")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import evaluation as E
 from .operators import extraction as EX
 from .operators import reads as Q
 from .operators import trends as TR
@@ -94,3 +95,37 @@ over_docs("extract_activities", lambda d: EX.extracted(d, "doc_id", 0.3))  # inv
 over_docs("activity_sections", lambda d: EX.by_section(EX.extracted(d, "doc_id", 0.3), "doc_id"))
 over_docs("filter_failures", lambda d: EX.failures(EX.candidates(d, "doc_id")))
 QUERIES["quality_tiers"] = (lambda spark, sf_dir: EX.tiers(table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 11 / 10.0).alias("is_activity"), (F.col("vec_id") % 7 / 6.0).alias("is_council")), "label"), "SELECT label, CASE WHEN least(vec_id % 11 / 10.0::DOUBLE, vec_id % 7 / 6.0::DOUBLE) >= 0.7::DOUBLE THEN 'high' WHEN least(vec_id % 11 / 10.0::DOUBLE, vec_id % 7 / 6.0::DOUBLE) >= 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 4) AS share FROM embeddings GROUP BY 1, 2")
+
+
+# Evaluation and sampling
+def over_labels(name, f, sql):
+    """Over vectors with labels of several goals: y is whether goal and truth are near, p and q two models' predictions."""
+    pre = VF + ", l AS (SELECT vec_id, goal, truth, score, (abs(goal - truth) <= vec_id % 3)::INT AS y, (score >= 0.1)::INT AS p, floor(greatest(0, least(0.999, score)) * 1000)::BIGINT AS milli, (vec_id % 4)::INTEGER AS fold FROM f) "
+    QUERIES[name] = (lambda spark, sf_dir: f(labelled(spark, sf_dir)), pre + sql)
+
+
+def labelled(spark, sf_dir):
+    c = F.col
+    return vector_facts(spark, sf_dir).select("vec_id", "goal", "truth", "score", (F.abs(c("goal") - c("truth")) <= c("vec_id") % 3).cast("int").alias("y"), (c("score") >= 0.1).cast("int").alias("p"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(0.999), c("score"))) * 1000).cast("long").alias("milli"), (c("vec_id") % 4).cast("int").alias("fold"))
+
+
+_PG = "pg AS (SELECT goal, sum((y = 1 AND p = 1)::INT)::BIGINT AS tp, sum((y = 0 AND p = 1)::INT)::BIGINT AS fp, sum((y = 1 AND p = 0)::INT)::BIGINT AS fn, sum((y = 0 AND p = 0)::INT)::BIGINT AS tn FROM {0} GROUP BY 1)"
+_R = lambda a, b: f"coalesce(({a})::DOUBLE / nullif({b}, 0), 0)"
+_MM = f"SELECT round({_R('sum(tp)', 'sum(tp + fp)')}, 6) AS micro_precision, round({_R('sum(tp)', 'sum(tp + fn)')}, 6) AS micro_recall, round({_R('2 * sum(tp)', 'sum(2 * tp + fp + fn)')}, 6) AS micro_f1, round(avg({_R('tp', 'tp + fp')}), 6) AS macro_precision, round(avg({_R('tp', 'tp + fn')}), 6) AS macro_recall, round(avg({_R('2 * tp', '2 * tp + fp + fn')}), 6) AS macro_f1, (SELECT round(avg(ok), 6) FROM (SELECT min((y = p)::INT) AS ok FROM {{0}} GROUP BY vec_id)) AS subset_accuracy FROM pg"
+_FORCED = "h AS (SELECT vec_id, goal, truth, y, (score >= 0.25 OR (max(score) OVER (PARTITION BY vec_id) < 0.25 AND row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, goal) = 1))::INT AS p FROM l)"
+over_labels("goal_confusion", E.per_goal, ", " + _PG.format("l") + " SELECT * FROM pg")
+over_labels("micro_macro", lambda f: E.micro_macro(f, "vec_id"), ", " + _PG.format("l") + " " + _MM.format("l"))
+over_labels("forced_micro_macro", lambda f: E.micro_macro(E.forced(f, "vec_id", 0.25), "vec_id"), ", " + _FORCED + ", " + _PG.format("h") + " " + _MM.format("h"))
+over_labels("label_cardinality", lambda f: E.cardinality(f, "vec_id"), ", k AS (SELECT vec_id, sum(y)::BIGINT AS k, count(*) AS n FROM l GROUP BY 1) SELECT least(k, 5) AS labels, count(*) AS n, (SELECT round(avg(k), 6) FROM k) AS cardinality, (SELECT round(avg(k / n), 6) FROM k) AS density FROM k GROUP BY 1")
+over_labels("score_statistics", lambda f: E.score_statistics(f, ["goal", "y"]), "SELECT goal, y, count(*) AS n, min(milli) AS low, max(milli) AS high, round(sum(milli)::DOUBLE / count(*), 4) AS mean, round(sqrt((count(*) * sum(milli * milli) - sum(milli) * sum(milli))::DOUBLE) / count(*), 4) AS deviation, median(milli)::DOUBLE AS median FROM l GROUP BY 1, 2")
+over_labels("model_compare", lambda f: E.compared(f.groupBy("vec_id").agg(F.first("truth").alias("truth"), (-F.max(F.struct("score", (-F.col("goal")).alias("g")))["g"]).alias("first"), F.min_by("goal", F.struct("score", "goal")).alias("second"))), ", c AS (SELECT vec_id, any_value(truth) AS truth, arg_min(goal, (-score, goal)) AS a, arg_min(goal, (score, goal)) AS b FROM l GROUP BY 1) SELECT count(*) AS n, sum((a = b)::INT)::BIGINT AS agree, sum((a = truth)::INT)::BIGINT AS first_right, sum((b = truth)::INT)::BIGINT AS second_right, sum((a = truth AND b = truth)::INT)::BIGINT AS both_right FROM c")
+over_labels("cv_thresholds", lambda f: E.cross_validated(f.select("goal", "fold", F.col("y").cast("long").alias("y"), "milli"), ["goal"]), f", s AS (SELECT goal, fold, i::INTEGER AS i, sum((y = 1 AND milli >= i * 10)::INT)::BIGINT AS tp, sum((y = 0 AND milli >= i * 10)::INT)::BIGINT AS fp, sum((y = 1 AND milli < i * 10)::INT)::BIGINT AS fn FROM l, (SELECT unnest(range(1, 100)) AS i) GROUP BY 1, 2, 3), r AS (SELECT *, sum(tp) OVER w - tp AS a, sum(fp) OVER w - fp AS b, sum(fn) OVER w - fn AS c FROM s WINDOW w AS (PARTITION BY goal, i)), q AS (SELECT goal, fold, i, round({_R('2 * a', '2 * a + b + c')}, 6) AS inside, round({_R('2 * tp', '2 * tp + fp + fn')}, 6) AS outside FROM r) SELECT *, outside >= 0.9::DOUBLE * inside AS holds FROM q QUALIFY row_number() OVER (PARTITION BY goal, fold ORDER BY inside DESC, i DESC) = 1")
+over_labels("boost_effects", lambda f: E.boost_effects(f.withColumns({"before": F.col("score") >= 0.2, "after": F.col("score") + (F.col("vec_id") % 3) * 0.1 >= 0.2})), "SELECT goal, sum((score + (vec_id % 3) * 0.1::DOUBLE >= 0.2::DOUBLE AND score < 0.2::DOUBLE)::INT)::BIGINT AS new, sum((y = 1 AND score + (vec_id % 3) * 0.1::DOUBLE >= 0.2::DOUBLE AND score < 0.2::DOUBLE)::INT)::BIGINT AS right, sum((y <> 1 AND score + (vec_id % 3) * 0.1::DOUBLE >= 0.2::DOUBLE AND score < 0.2::DOUBLE)::INT)::BIGINT AS wrong FROM l GROUP BY 1")
+_KEY = "md5('42:' || vec_id)"
+over_labels("signature_sample", lambda f: E.by_signature(f, "vec_id", 0.1), f", s AS (SELECT vec_id, coalesce(string_agg(goal::VARCHAR, ',' ORDER BY goal) FILTER (WHERE y = 1), '') AS signature FROM l GROUP BY 1) SELECT vec_id, signature FROM s QUALIFY row_number() OVER (PARTITION BY signature ORDER BY {_KEY}, vec_id) <= greatest(1, floor(count(*) OVER (PARTITION BY signature) * 0.1 + 0.5))")
+over_labels("tier_sample", lambda f: E.allocated(f.where("goal = 1").withColumn("tier", F.when(F.col("score") >= 0.1, "A").when(F.col("score") >= 0, "B").otherwise("C")), "tier", "vec_id", {"A": 5, "B": 20}).select("vec_id", "tier"), f", t AS (SELECT vec_id, CASE WHEN score >= 0.1 THEN 'A' WHEN score >= 0 THEN 'B' ELSE 'C' END AS tier FROM l WHERE goal = 1) SELECT vec_id, tier FROM t QUALIFY row_number() OVER (PARTITION BY tier ORDER BY {_KEY}, vec_id) <= CASE tier WHEN 'A' THEN 5 WHEN 'B' THEN 20 ELSE 0 END")
+over_labels("drawn_sample", lambda f: E.drawn(f.select("vec_id").distinct(), "vec_id", 40, f.where("score >= 0.3").select("vec_id").distinct()), f"SELECT vec_id FROM (SELECT DISTINCT vec_id FROM l WHERE vec_id NOT IN (SELECT vec_id FROM l WHERE score >= 0.3)) ORDER BY {_KEY}, vec_id LIMIT 40")
+over_labels("goal_split", lambda f: E.test_split(f.where("goal = truth").select("vec_id", "truth"), "truth", "vec_id"), f"SELECT vec_id, truth, row_number() OVER (PARTITION BY truth ORDER BY {_KEY}, vec_id) <= greatest(1, floor(count(*) OVER (PARTITION BY truth) * 0.2 + 0.5)) AS is_test FROM l WHERE goal = truth")
+over_labels("training_pairs", lambda f: E.training_pairs(f.where("goal = truth").select("vec_id", "goal"), f.select("goal").distinct().withColumn("variant", F.explode(F.array(F.lit("name"), F.lit("text")))), "vec_id").select("vec_id", "goal", "variant", "batch"), f"SELECT vec_id, goal, variant, (row_number() OVER (PARTITION BY goal ORDER BY {_KEY}, vec_id, variant) - 1)::INTEGER AS batch FROM l, (SELECT unnest(['name', 'text']) AS variant) WHERE goal = truth")
+over_labels("single_label_summary", lambda f: E.single_label(f.groupBy("vec_id").agg(F.first("truth").alias("truth"), (-F.max(F.struct("score", (-F.col("goal")).alias("g")))["g"]).alias("predicted"))), f", c AS (SELECT any_value(truth) AS truth, arg_min(goal, (-score, goal)) AS q FROM l GROUP BY vec_id), u AS (SELECT truth AS k, 1 AS t, 0 AS p, 0 AS h FROM c UNION ALL SELECT q, 0, 1, (truth = q)::INT FROM c), s AS (SELECT k, sum(t)::BIGINT AS support, round({_R('sum(h)', 'sum(p)')}, 6) AS precision, round({_R('sum(h)', 'sum(t)')}, 6) AS recall, round({_R('2 * sum(h)', 'sum(t) + sum(p)')}, 6) AS f1 FROM u GROUP BY 1 HAVING sum(t) > 0) SELECT round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1, round(avg({_R('5 * precision * recall', '4 * precision + recall')}), 5) AS macro_f2, round(sum(precision * support) / sum(support), 5) AS weighted_precision, round(sum(recall * support) / sum(support), 5) AS weighted_recall, round(sum(f1 * support) / sum(support), 5) AS weighted_f1, (SELECT round(avg((truth = q)::INT), 6) FROM c) AS accuracy FROM s")
+over_labels("consensus_labels", lambda f: E.consensus(f.withColumn("vote", F.when(F.col("score") >= 0, "a").otherwise("b")).where("goal <= 5 and (vec_id + goal) % 13 <> 0"), "vec_id", "goal", "vote", "milli", 5), ", v AS (SELECT vec_id, goal, milli, CASE WHEN score >= 0 THEN 'a' ELSE 'b' END AS vote FROM l WHERE goal <= 5 AND (vec_id + goal) % 13 <> 0) SELECT vec_id, string_agg(vote, '' ORDER BY goal) AS votes, CASE WHEN sum((vote = 'a')::INT) >= 3 THEN 'a' WHEN sum((vote = 'b')::INT) >= 3 THEN 'b' ELSE 'neutral' END AS consensus, round(avg(milli), 6) AS mean_score FROM v GROUP BY 1 HAVING count(DISTINCT goal) = 5")
