@@ -104,3 +104,54 @@ def model_weight(precision_first: Column, precision_second: Column) -> Column:
     """The first model's share of both precisions, a half if neither has any."""
     total = precision_first + precision_second
     return F.when(total > 0, F.round(precision_first / total, 3)).otherwise(0.5)
+
+
+def combined(variants: DataFrame, weights: dict[str, float], missing: float = 0.2) -> DataFrame:
+    """(goal, reference): each goal's variants (goal, variant, reference) added up by weight, renormalised over those there, and brought to length one.
+
+    Added up by dimension, so that no task holds a goal's vectors; a variant without a weight has ``missing``.
+    """
+    weight = reduce(lambda out, kv: F.when(F.col("variant") == kv[0], kv[1]).otherwise(out), weights.items(), F.lit(missing))
+    parts = variants.select("goal", weight.alias("w"), F.posexplode("reference").alias("i", "x"))
+    sums = parts.groupBy("goal", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    rows = sums.groupBy("goal").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    size = F.sqrt(dot(F.col("v"), F.col("v")))
+    return rows.select("goal", F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")).alias("reference"))
+
+
+def goals_compared(goals: DataFrame) -> DataFrame:
+    """Each goal with the others, the most similar first. A row for each goal is joined with as many."""
+    a, b = goals.toDF("goal", "a"), goals.toDF("other", "b")
+    rows = a.join(b, F.col("goal") != F.col("other")).select("goal", "other", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("score"), "other")))
+
+
+def top_target(targets: DataFrame, by: list[str]) -> DataFrame:
+    """The best target of each goal and activity; of equal ones the first by name."""
+    return targets.groupBy(*by, "goal").agg(F.min(F.struct((-F.col("score")).alias("s"), "target")).alias("x")).select(*by, "goal", F.col("x.target").alias("target"), (-F.col("x.s")).alias("score"))
+
+
+def weighed_variants(facts: DataFrame, by: list[str], weights: dict[str, float]) -> DataFrame:
+    """Scores of several variants (by..., goal, variant, score) as one: their mean by weight. Variants without a weight don't count."""
+    weight = reduce(lambda out, kv: F.when(F.col("variant") == kv[0], kv[1]).otherwise(out), weights.items(), F.lit(0.0))
+    rows = facts.withColumn("_w", weight).where("_w > 0")
+    return rows.groupBy(*by, "goal").agg((F.sum(F.col("_w") * F.col("score")) / F.sum("_w")).alias("score"))
+
+
+def logits(facts: DataFrame, logit: str = "logit") -> DataFrame:
+    """A second model's logits as scores."""
+    return facts.withColumn("score", 1 / (1 + F.exp(-F.col(logit))))
+
+
+def keyword_match(text: Column, keywords: Column) -> Column:
+    """Share of an array of keywords that a text has; 0 without any."""
+    low = F.lower(text)
+    return F.when(F.size(keywords) > 0, F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k)))) / F.size(keywords)).otherwise(0.0)
+
+
+def goal_variants(goals: DataFrame, most: int = 40) -> DataFrame:
+    """(goal, variant, text) of definitions (goal, name, description, local_keywords, indicators, keywords): what of them is there."""
+    join = lambda c, n=None: F.array_join(F.slice(c, 1, n) if n else F.col(c), " ")
+    pairs = {"core": F.concat_ws(". ", "name", "description"), "local": join("local_keywords"), "indicators": join("indicators"), "keywords": join("keywords", most)}
+    rows = goals.select("goal", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.trim(F.coalesce(v, F.lit(""))).alias("text")) for k, v in pairs.items()))).alias("x"))
+    return rows.select("goal", "x.variant", "x.text").where("text <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import alignment as A
 from .operators import evaluation as E
 from .operators import extraction as EX
 from .operators import reads as Q
@@ -129,3 +130,25 @@ over_labels("goal_split", lambda f: E.test_split(f.where("goal = truth").select(
 over_labels("training_pairs", lambda f: E.training_pairs(f.where("goal = truth").select("vec_id", "goal"), f.select("goal").distinct().withColumn("variant", F.explode(F.array(F.lit("name"), F.lit("text")))), "vec_id").select("vec_id", "goal", "variant", "batch"), f"SELECT vec_id, goal, variant, (row_number() OVER (PARTITION BY goal ORDER BY {_KEY}, vec_id, variant) - 1)::INTEGER AS batch FROM l, (SELECT unnest(['name', 'text']) AS variant) WHERE goal = truth")
 over_labels("single_label_summary", lambda f: E.single_label(f.groupBy("vec_id").agg(F.first("truth").alias("truth"), (-F.max(F.struct("score", (-F.col("goal")).alias("g")))["g"]).alias("predicted"))), f", c AS (SELECT any_value(truth) AS truth, arg_min(goal, (-score, goal)) AS q FROM l GROUP BY vec_id), u AS (SELECT truth AS k, 1 AS t, 0 AS p, 0 AS h FROM c UNION ALL SELECT q, 0, 1, (truth = q)::INT FROM c), s AS (SELECT k, sum(t)::BIGINT AS support, round({_R('sum(h)', 'sum(p)')}, 6) AS precision, round({_R('sum(h)', 'sum(t)')}, 6) AS recall, round({_R('2 * sum(h)', 'sum(t) + sum(p)')}, 6) AS f1 FROM u GROUP BY 1 HAVING sum(t) > 0) SELECT round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1, round(avg({_R('5 * precision * recall', '4 * precision + recall')}), 5) AS macro_f2, round(sum(precision * support) / sum(support), 5) AS weighted_precision, round(sum(recall * support) / sum(support), 5) AS weighted_recall, round(sum(f1 * support) / sum(support), 5) AS weighted_f1, (SELECT round(avg((truth = q)::INT), 6) FROM c) AS accuracy FROM s")
 over_labels("consensus_labels", lambda f: E.consensus(f.withColumn("vote", F.when(F.col("score") >= 0, "a").otherwise("b")).where("goal <= 5 and (vec_id + goal) % 13 <> 0"), "vec_id", "goal", "vote", "milli", 5), ", v AS (SELECT vec_id, goal, milli, CASE WHEN score >= 0 THEN 'a' ELSE 'b' END AS vote FROM l WHERE goal <= 5 AND (vec_id + goal) % 13 <> 0) SELECT vec_id, string_agg(vote, '' ORDER BY goal) AS votes, CASE WHEN sum((vote = 'a')::INT) >= 3 THEN 'a' WHEN sum((vote = 'b')::INT) >= 3 THEN 'b' ELSE 'neutral' END AS consensus, round(avg(milli), 6) AS mean_score FROM v GROUP BY 1 HAVING count(DISTINCT goal) = 5")
+
+
+# Similarity
+def over_variants(name, f, sql):
+    """Over the mean vectors of each goal's vectors with vec_id % 3 of 0, 1 and 2, as three variants."""
+    pre = "WITH x AS (SELECT label + 1 AS goal, 'v' || vec_id % 3 AS variant, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label IS NOT NULL), m AS (SELECT goal, variant, i, avg(x) AS x FROM x GROUP BY 1, 2, 3), w AS (SELECT *, CASE variant WHEN 'v0' THEN 0.5 WHEN 'v1' THEN 0.3 ELSE 0.2 END::DOUBLE AS w FROM m), s AS (SELECT goal, i, sum(w * x) / sum(w) AS x FROM w GROUP BY 1, 2), c AS (SELECT goal, i, x / sqrt(sum(x * x) OVER (PARTITION BY goal)) AS x FROM s)"
+    QUERIES[name] = (lambda spark, sf_dir: f(A.combined(variants(spark, sf_dir), {"v0": 0.5, "v1": 0.3})), pre + sql)
+
+
+def variants(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").where("label is not null")
+    parts = v.select((F.col("label") + 1).alias("goal"), F.concat(F.lit("v"), F.col("vec_id") % 3).alias("variant"), F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("goal", "variant", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("goal", "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("reference"))
+
+
+over_variants("combined_embeddings", lambda g: g.select("goal", F.posexplode("reference").alias("i", "x")).select("goal", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x")), " SELECT goal, i, round(x, 5) AS x FROM c")
+over_variants("goals_compared", lambda g: A.goals_compared(g).select("goal", "other", F.round("score", 4).alias("score")), " SELECT a.goal, b.goal AS other, round(sum(a.x * b.x), 4) AS score FROM c a JOIN c b ON a.i = b.i AND a.goal <> b.goal GROUP BY 1, 2")
+over_vectors("top_target", lambda f: A.top_target(f.select("vec_id", "goal", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("target"), "score").withColumn("score", F.round(F.col("score") * ((F.ascii("target") * 7 + F.col("vec_id")) % 5 + 1), 6)), ["vec_id"]), ", t AS (SELECT vec_id, goal, target, round(score * ((ascii(target) * 7 + vec_id) % 5 + 1), 6) AS score FROM f, (SELECT unnest(['a', 'b', 'c']) AS target)) SELECT vec_id, goal, target, score FROM t QUALIFY row_number() OVER (PARTITION BY vec_id, goal ORDER BY score DESC, target) = 1")
+over_vectors("weighed_variants", lambda f: A.weighed_variants(f.select("vec_id", "goal", F.explode(F.array(F.lit("core"), F.lit("local"), F.lit("none"))).alias("variant"), "score").withColumn("score", F.when(F.col("variant") == "core", F.col("score")).otherwise(1 - F.col("score"))), ["vec_id"], {"core": 0.75, "local": 0.25}).withColumn("score", F.round("score", 7)), ", w AS (SELECT vec_id, goal, (0.75::DOUBLE * score + 0.25::DOUBLE * (1 - score)) / 1.0::DOUBLE AS score FROM f) SELECT vec_id, goal, round(score, 7) AS score FROM w")
+over_vectors("second_model", lambda f: A.logits(f.select("vec_id", "goal", (F.col("score") * 8 - 1).alias("logit"))).select("vec_id", "goal", F.round("score", 6).alias("score")), " SELECT vec_id, goal, round(1 / (1 + exp(-(score * 8 - 1))), 6) AS score FROM f".lstrip())
+over_docs("keyword_match", lambda d: d.select("doc_id", F.round(A.keyword_match(F.col("text"), F.array(*map(F.lit, ("tion", "REWH", "ther", "zzzz")))), 4).alias("share")), "SELECT doc_id, round((contains(lower(text), 'tion')::INT + contains(lower(text), 'rewh')::INT + contains(lower(text), 'ther')::INT) / 4, 4) AS share FROM documents")

@@ -52,3 +52,40 @@ def test_sweep_and_multi_label(spark):
     assert E.best(E.sweep(rows, ["goal"], 10), ["goal"]).first()["i"] == 9
     long = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 0, 1), (2, 1, 0, 0), (2, 2, 0, 0)], "s int, goal int, y int, p int")
     assert tuple(E.multi_label(long, "s").first()) == (0.5, 0.25, 0.75, round((2 / 3 + 1) / 2, 6))
+
+
+def test_loaders(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from loomlens.operators import alignment as A
+    from loomlens.sources import loaders as L
+
+    (tmp_path / "r").mkdir()
+    for i, (c, s, y) in enumerate([("Byron Shire", "NSW", 2023), ("Hobart City", "TAS", 2024), ("Ballina Shire", "NSW", 2024)]):
+        (tmp_path / "r" / f"{i}.json").write_text(json.dumps({"council": c, "state": s, "year": y}))
+    path = str(tmp_path / "r")
+    assert L.results(spark, path).count() == 3 and L.results(spark, path, "shire", [2024], ["NSW"]).first().council == "Ballina Shire"
+    assert [r.state for r in L.distinct_values(L.results(spark, path), "state").collect()] == ["NSW", "TAS"]
+    (tmp_path / "c" / "2023").mkdir(parents=True)
+    (tmp_path / "c" / "2023" / "NSW_Byron_Urban_2023_alignment.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "c" / "other.csv").write_text("a,b\n3,z\n")
+    assert sorted((r.a, r.file_name) for r in L.csv_files(spark, str(tmp_path / "c")).collect()) == [("1", "NSW_Byron_Urban_2023_alignment.csv"), ("2", "NSW_Byron_Urban_2023_alignment.csv")]
+    (tmp_path / "o.tsv").write_text("text_id\ttext\tsdg\tagreement\n1\tgood \"one\t3\t0.9\n2\t \t3\t0.9\n3\tlow\t3\t0.5\n4\tgoal\t18\t0.9\n5\tgood two\t17\t0.7\n")
+    assert sorted(r.text_id for r in L.agreed_labels(spark, str(tmp_path / "o.tsv")).collect()) == ["1", "5"] and L.agreed_labels(spark, str(tmp_path / "o.tsv"), n=1).count() == 1
+    names = ", ".join(f"SDG{g} int" for g in range(1, 18))
+    wide = L.wide_labels(spark.createDataFrame([("two words", *([1] + [None] * 16)), (" ", *([1] * 17)), ("none", *([None] * 17)), (None, *([1] * 17))], "Description string, " + names))
+    assert [(r.text, r.SDG1, r.SDG2, r.words) for r in wide.collect()] == [("two words", 1, 0, 2)] and L.binary_labels(wide).first().labels == [1] + [0] * 16
+    long = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), ("a", 1)], "text string, sdg int")
+    assert {r.text: (r.sdg_1, r.sdg_2, r.sdg_3) for r in L.pivoted_labels(long).collect()} == {"a": (1, 0, 1), "b": (0, 1, 0)}
+    paths = spark.createDataFrame([("/x/2022/vic/Some_Council_Rural_2023.pdf",), ("/x/NSW_Byron_Bay_Urban_2021.pdf",), ("/x/plain.pdf",)], "p string")
+    got = [tuple(r) for r in paths.select(*(c.alias(k) for k, c in L.path_metadata(F.col("p")).items())).collect()]
+    assert got == [("2022", "VIC", "Rural", "Some Council"), ("2021", "NSW", "Urban", "Byron Bay"), (None, None, None, "plain")]
+    (tmp_path / "p" / "2024" / "QLD").mkdir(parents=True)
+    (tmp_path / "p" / "2024" / "QLD" / "a.pdf").write_bytes(b"x")
+    assert [(r.year, r.state) for r in L.discovered(spark, str(tmp_path / "p")).collect()] == [("2024", "QLD")]
+    score = lambda text, title: spark.createDataFrame([(text, title)], "t string, h string").select(L.annual_report(F.col("t"), F.col("h"), ("annual report", "council", "financial", "mayor"))).first()[0]
+    assert score("Council and mayor", "x") is True and score("council", "x") is False and score("council 2022-23", "x") is True and score("council", "Annual Report") is True
+    goals = spark.createDataFrame([(1, "No Poverty", "End it", ["rates relief"], [], ["poor", "income"])], "goal int, name string, description string, local_keywords array<string>, indicators array<string>, keywords array<string>")
+    assert {r.variant: r.text for r in A.goal_variants(goals).collect()} == {"core": "No Poverty. End it", "local": "rates relief", "keywords": "poor income"}
