@@ -18,6 +18,9 @@ ROOT = str(Path(__file__).resolve().parents[2])
 NOT_WORD = rb"\x00-\x2f\x3a-\x60\x7b-\x7f"
 
 
+_BYTES_A_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
     """Give the session a checkpoint folder if it has none, and let Python workers import this package.
 
@@ -29,6 +32,8 @@ def prepare(spark: SparkSession) -> None:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if not sc.getConf().contains(_BYTES_A_BATCH):
+        spark.conf.set(_BYTES_A_BATCH, "16MB")  # long texts: a batch is bounded by its bytes, not by its rows alone
     path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)

@@ -233,58 +233,61 @@ def linked(p: np.ndarray, q: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(p) + len(q) - both)
 
 
+class Forest:
+    """What hangs together, each node under the smallest."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        p, q = self.root(a), self.root(b)
+        if p != q:
+            self.up[max(p, q)] = min(p, q)
+
+    def edges(self) -> pa.RecordBatch:
+        nodes = list(self.up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, _LONG), pa.array([self.root(x) for x in nodes], _LONG)], names=["a", "b"])
+
+
 def confirmed(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are links by their full sets. All pairs of one a are dealt out together, STAR at a time."""
+    """Of pairs (a, b) those that are links by their full sets, as a forest: each node of a task under the smallest that it hangs together with there.
+
+    All pairs of one a are dealt out together, STAR at a time.
+    """
     often = found.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     dealt = found.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     needs = dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct().union(dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("doc_id")))
 
     def run(batches):
-        held, own, centres = Hashes(), None, []
+        held, own, centres, found = Hashes(), None, [], Forest()
         for x in batches:
-            a_out, b_out = [], []
             for a, part, role, doc_id, packed in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if (a, part) != own:
                     own, centres = (a, part), []
+                if role and found.root(a) == found.root(doc_id):
+                    continue
                 q = _unpacked(packed, held)
                 if not role:
                     centres.append(q)
                 elif any(linked(p, q) for p in centres):
-                    a_out.append(a)
-                    b_out.append(doc_id)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, _LONG), pa.array(b_out, _LONG)], names=["a", "b"])
+                    found.join(a, doc_id)
+            if len(found.up) > 500_000:
+                yield found.edges()
+                found = Forest()
+        yield found.edges()
 
     rows = needs.join(texts.select("doc_id", "packed"), "doc_id").select("a", "part", "role", "doc_id", "packed")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def _forest(batches):
-    """Links (a, b) to as few as join what they join: each node of the task under the smallest it hangs together with."""
-    up: dict[int, int] = {}
-
-    def root(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    for x in batches:
-        for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-            p, q = root(a), root(b)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-        if len(up) > 1_000_000:
-            yield from _edges(up, root)
-            up.clear()
-    yield from _edges(up, root)
-
-
-def _edges(up: dict, root):
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, _LONG), pa.array([root(x) for x in nodes], _LONG)], names=["a", "b"])
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the links (a, b) reaches. Each task first joins what hangs together in it; then alternating large and small stars."""
+    """(node, label): the smallest node that each node of the links (a, b) reaches. Alternating large and small stars."""
 
     def star(edges, large):
         both = edges.union(edges.select("b", "a"))
@@ -293,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
         return (out if large else out.union(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
 
-    edges, before = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct().checkpoint(), None
+    edges, before = links.select("a", "b").where("a <> b").distinct().checkpoint(), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
