@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: State codes that a file's name may hold.
 STATES = ("NSW", "VIC", "QLD", "WA", "SA", "TAS", "ACT", "NT")
 
+#: The order in which they are looked for in a file's name.
+FOUND_IN_ORDER = ("VIC", "NSW", "QLD", "WA", "SA", "TAS", "ACT", "NT")
+
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length, content of the files below a folder."""
@@ -15,10 +18,18 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame
 
 
 def file_metadata(name: Column) -> dict[str, Column]:
-    """The first year 20xx and the first state code in a file's name, or nulls."""
-    year = F.regexp_extract(name, r"20\d{2}", 0)
-    state = F.regexp_extract(F.upper(name), r"(?:^|[^A-Z])(" + "|".join(STATES) + r")(?:[^A-Z]|$)", 1)
-    return {"year": F.nullif(year, F.lit("")), "state": F.nullif(state, F.lit(""))}
+    """Year, state, council and setting that a file's name tells, or nulls.
+
+    The first year 20xx, the first state code that the name has anywhere, urban before rural; a name that begins
+    STATE_Council_Setting_YEAR is taken at its word instead.
+    """
+    some = lambda c: F.nullif(c, F.lit(""))
+    strict = lambda k: some(F.regexp_extract(name, r"(?i)^([A-Z]{2,3})_([^_]+)_(Urban|Rural|nan)_([0-9]{4})", k))
+    upper, state = F.upper(name), F.lit(None).cast("string")
+    for code in reversed(FOUND_IN_ORDER):
+        state = F.when(upper.contains(code), code).otherwise(state)
+    setting = F.when(upper.contains("URBAN"), "Urban").when(upper.contains("RURAL"), "Rural")
+    return {"year": F.coalesce(strict(4), some(F.regexp_extract(name, r"20\d{2}", 0))), "state": F.coalesce(F.upper(strict(1)), state), "council": strict(2), "setting": F.coalesce(strict(3), setting)}
 
 
 def better_extraction(first: Column, second: Column, pages: Column, thin: int = 200, gain: float = 1.5) -> Column:

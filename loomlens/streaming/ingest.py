@@ -15,18 +15,17 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     """Take in what has come to a folder since the last call; keys that are there already are skipped. Gives counts."""
     seen = {"total": 0, "done": 0}
 
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(target)  # so that there is a target to compare with
+
     def put(batch: DataFrame, epoch: int) -> None:
-        try:
-            old = spark.read.schema(schema).parquet(target)
-        except Exception as e:  # the first batch: there is no target yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = spark.createDataFrame([], schema)
+        batch = batch.persist()
+        old = spark.read.schema(schema).parquet(target)
         fresh = new_rows(batch, old, key).persist()
         seen["total"] += batch.count()
         seen["done"] += fresh.count()
         fresh.write.mode("append").parquet(target)
         fresh.unpersist()
+        batch.unpersist()
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

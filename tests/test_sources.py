@@ -11,9 +11,9 @@ from loomlens.sources import sinks
 
 
 def test_file_metadata(spark):
-    rows = spark.createDataFrame([("NSW_Some_Shire_2023.pdf",), ("report.pdf",), ("answer_2021-vic.pdf",)], "n string")
+    rows = spark.createDataFrame([("NSW_Some_Shire_2023.pdf",), ("report.pdf",), ("answer_2021-vic.pdf",), ("tas_Hobart_urban_1999_x.pdf",), ("rural wagga.pdf",)], "n string")
     got = [tuple(r) for r in rows.select(*(c.alias(k) for k, c in P.file_metadata(F.col("n")).items())).collect()]
-    assert got == [("2023", "NSW"), (None, None), ("2021", "VIC")]
+    assert got == [("2023", "NSW", None, None), (None, None, None, None), ("2021", "VIC", None, None), ("1999", "TAS", "Hobart", "urban"), (None, "WA", None, "Rural")]
 
 
 def test_extraction_and_ocr(spark):
