@@ -29,7 +29,7 @@ from .packing import sql_schema
 from .spans import DEPTH, GRAM, Rolled, mixed, sync_points
 
 #: Rows of one gram sorted in a task at most; larger groups go through the shuffle window by window.
-HOT = 2_000
+HOT = 20_000
 #: Bytes of the third digit. A window has as many before its gram or after it.
 SIDE = (DEPTH - GRAM) // 2
 #: One text in so many is looked at for frequent grams: those of a five-hundredth of its rows or more.
