@@ -147,7 +147,7 @@ def variants(spark, sf_dir):
 
 
 over_variants("combined_embeddings", lambda g: g.select("goal", F.posexplode("reference").alias("i", "x")).select("goal", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x")), " SELECT goal, i, round(x, 5) AS x FROM c")
-over_variants("goals_compared", lambda g: A.goals_compared(g).select("goal", "other", F.round("score", 4).alias("score")), " SELECT a.goal, b.goal AS other, round(sum(a.x * b.x), 4) AS score FROM c a JOIN c b ON a.i = b.i AND a.goal <> b.goal GROUP BY 1, 2")
+over_variants("goals_compared", lambda g: A.goals_compared(g).select("goal", "other", F.round("score", 4).alias("score")), " SELECT a.goal, b.goal AS other, round(round(sum(a.x * b.x), 6), 4) AS score FROM c a JOIN c b ON a.i = b.i AND a.goal <> b.goal GROUP BY 1, 2")
 over_vectors("top_target", lambda f: A.top_target(f.select("vec_id", "goal", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("target"), "score").withColumn("score", F.round(F.col("score") * ((F.ascii("target") * 7 + F.col("vec_id")) % 5 + 1), 6)), ["vec_id"]), ", t AS (SELECT vec_id, goal, target, round(score * ((ascii(target) * 7 + vec_id) % 5 + 1), 6) AS score FROM f, (SELECT unnest(['a', 'b', 'c']) AS target)) SELECT vec_id, goal, target, score FROM t QUALIFY row_number() OVER (PARTITION BY vec_id, goal ORDER BY score DESC, target) = 1")
 over_vectors("weighed_variants", lambda f: A.weighed_variants(f.select("vec_id", "goal", F.explode(F.array(F.lit("core"), F.lit("local"), F.lit("none"))).alias("variant"), "score").withColumn("score", F.when(F.col("variant") == "core", F.col("score")).otherwise(1 - F.col("score"))), ["vec_id"], {"core": 0.75, "local": 0.25}).withColumn("score", F.round("score", 7)), ", w AS (SELECT vec_id, goal, (0.75::DOUBLE * score + 0.25::DOUBLE * (1 - score)) / 1.0::DOUBLE AS score FROM f) SELECT vec_id, goal, round(score, 7) AS score FROM w")
 over_vectors("second_model", lambda f: A.logits(f.select("vec_id", "goal", (F.col("score") * 8 - 1).alias("logit"))).select("vec_id", "goal", F.round("score", 6).alias("score")), " SELECT vec_id, goal, round(1 / (1 + exp(-(score * 8 - 1))), 6) AS score FROM f".lstrip())
