@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import common as C
-from . import decontaminate, idfiles, licenses, lm, neardup, packing, quality, substrings, topk, toxicity
+from . import audit, codes, copies, decontaminate, idfiles, licenses, lm, neardup, packing, quality, substrings, topk, toxicity
 
 
 def op1_packing(spark, sf_dir):
@@ -47,6 +47,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels")))
 
 
+def op11_exact_copies(spark, sf_dir):
+    return copies.groups(C.table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return codes.digest(C.table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
@@ -60,5 +72,8 @@ QUERIES = {
         (op8_repeated_passages, None),
         (op9_language_model, None),
         (op10_toxicity, None),
+        (op11_exact_copies, copies.SQL),
+        (op12_vector_codes, codes.SQL),
+        (op13_filter_audit, audit.SQL),
     )
 }
