@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import corrections_queries as CQ
+from . import page_queries as PQ
 from . import report_queries as RQ
 from .functions import text as T
 from .operators import alignment as A
@@ -192,6 +193,7 @@ facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council"
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
 QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)
 
-# Corrections of scores, reads over reports
+# Corrections of scores, reads over reports, lines and pages
 QUERIES.update(CQ.QUERIES)
+QUERIES.update(PQ.QUERIES)
 QUERIES.update(RQ.QUERIES)
