@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from . import corrections_queries as CQ
 from . import page_queries as PQ
 from . import report_queries as RQ
+from . import sql_queries as SQ
+from . import stream_queries as STQ
 from .functions import text as T
 from .operators import alignment as A
 from .operators import evaluation as E
@@ -196,4 +198,6 @@ QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)
 # Corrections of scores, reads over reports, lines and pages
 QUERIES.update(CQ.QUERIES)
 QUERIES.update(PQ.QUERIES)
+QUERIES.update(SQ.QUERIES)
+QUERIES.update(STQ.QUERIES)
 QUERIES.update(RQ.QUERIES)

@@ -11,6 +11,14 @@ def new_rows(batch: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     return batch.dropDuplicates(key).join(target.select(*key), key, "left_anti")
 
 
+def first_of_each(events: DataFrame, keys: list[str], late: str, at: str = "ts") -> DataFrame:
+    """Of a stream's rows with equal keys one, so long as they come within ``late`` of each other; rows older than the watermark are dropped.
+
+    A key is forgotten once the watermark has passed it by, so that the state doesn't grow with the stream.
+    """
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema, key: list[str]) -> dict[str, int]:
     """Take in what has come to a folder since the last call; keys that are there already are skipped. Gives counts."""
     seen = {"total": 0, "done": 0}
