@@ -9,6 +9,7 @@ from . import page_queries as PQ
 from . import report_queries as RQ
 from . import sql_queries as SQ
 from . import stream_queries as STQ
+from . import workflow_queries as WQ
 from .functions import text as T
 from .operators import alignment as A
 from .operators import evaluation as E
@@ -200,4 +201,5 @@ QUERIES.update(CQ.QUERIES)
 QUERIES.update(PQ.QUERIES)
 QUERIES.update(SQ.QUERIES)
 QUERIES.update(STQ.QUERIES)
+QUERIES.update(WQ.QUERIES)
 QUERIES.update(RQ.QUERIES)
