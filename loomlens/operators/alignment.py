@@ -29,12 +29,12 @@ def centroids(vectors: DataFrame, goal: str, embedding: str) -> DataFrame:
 
 
 def scored(activities: DataFrame, goals: DataFrame, embedding: str, digits: int = 4) -> DataFrame:
-    """Long facts: each activity with each goal. Goals are a small dimension, one row each, sent to all tasks."""
+    """Long facts: each activity with each goal, its similarity as it is and rounded as the score. Goals are a small dimension, one row each, sent to all tasks."""
     length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     own, other = activities.withColumn("_own", length(embedding)), goals.withColumn("_other", length("reference"))  # once a row, not once a pair
     size = F.col("_own") * F.col("_other")
     score = F.when(size > 0, dot(F.col(embedding), F.col("reference")) / size).otherwise(0.0)
-    return own.join(F.broadcast(other), how="cross").withColumn("score", F.round(score, digits)).drop(embedding, "reference", "_own", "_other")
+    return own.join(F.broadcast(other), how="cross").withColumn("similarity", score).withColumn("score", F.round("similarity", digits)).drop(embedding, "reference", "_own", "_other")
 
 
 def threshold(goal: Column, mode: str, custom: dict[int, float] | None = None) -> Column:

@@ -58,10 +58,12 @@ def evidence(facts: DataFrame, by: list[str], activity: str, k: int = 3) -> Data
     return best.join(along, [*by, activity]).join(counted, [*by, "goal"]).select(*by, "goal", "aligned", "rank", activity, "milli", others.alias("also"))
 
 
-def national(facts: DataFrame, report: list[str]) -> DataFrame:
-    """Share of all activities that are aligned with each goal: the reports' coverages, weighed by their activities."""
-    per = facts.groupBy(*report, "goal").agg(F.sum(F.col("is_aligned").cast("long")).alias("a"), F.count("*").alias("n"))
-    return per.groupBy("goal").agg(rounded(F.sum("a"), F.sum("n"), 1).alias("share"), F.sum((F.col("a") > 0).cast("long")).alias("reports_with"))
+def national(facts: DataFrame, report: list[str], activity: str) -> DataFrame:
+    """Share of all activities that are aligned with each goal, whether or not they have a row for it: the reports' coverages, weighed by their activities. An activity belongs to one report."""
+    per = facts.groupBy(*report, "goal").agg(F.sum(F.col("is_aligned").cast("long")).alias("a"))
+    goals = per.groupBy("goal").agg(F.sum("a").alias("a"), F.sum((F.col("a") > 0).cast("long")).alias("reports_with"))
+    total = facts.agg(F.count_distinct(activity).alias("n"))  # one row
+    return goals.join(F.broadcast(total), how="cross").select("goal", rounded(F.col("a"), F.col("n"), 1).alias("share"), "reports_with")
 
 
 def median_goals(facts: DataFrame, council: str, year: str) -> DataFrame:

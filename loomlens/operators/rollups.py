@@ -115,3 +115,11 @@ def changed(new: DataFrame, old: DataFrame, key: str, value: str) -> DataFrame:
     """What is in both runs side by side, and what only one of them has."""
     both = new.select(key, F.col(value).alias("new_value")).join(old.select(key, F.col(value).alias("old_value")), key, "full")
     return both.withColumn("state", F.when(F.col("old_value").isNull(), "new").when(F.col("new_value").isNull(), "dropped").otherwise("both"))
+
+
+def nearest_to_gaps(facts: DataFrame, by: list[str], activity: str) -> DataFrame:
+    """Goals of a report with no aligned activity, ranked by their mean, and the activity that came nearest; null if none scored above 0. Of equal ones the smallest id."""
+    best = F.max_by(F.struct(activity, "milli"), F.struct(F.col("milli"), -F.col(activity)))
+    rows = facts.groupBy(*by, "goal").agg(F.max("is_aligned").alias("hit"), mean().alias("m"), best.alias("x")).where("not hit")
+    near = F.col("x.milli") > 0
+    return rows.select(*by, "goal", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("m"), "goal")).alias("rank"), F.when(near, F.col(f"x.{activity}")).alias(activity), F.when(near, F.col("x.milli")).alias("milli"))

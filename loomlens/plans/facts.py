@@ -32,7 +32,7 @@ ORDER_FACTS = """WITH f AS (
 
 
 def vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long facts: a vector is an activity of report vec_id % 20, each label's mean vector a goal (from 1); score is their cosine."""
+    """Long facts: a vector is an activity of report vec_id % 20, each label's mean vector a goal (from 1); score is their cosine in six digits, similarity as it is; whether a goal is aligned is judged on the latter."""
     v = table(spark, sf_dir, "embeddings")
     rows = v.select("vec_id", (F.col("vec_id") % 20).alias("report_id"), (F.col("label") + 1).alias("truth"), "embedding")
     goals = A.centroids(v.withColumn("label", F.col("label") + 1), "label", "embedding")
@@ -43,5 +43,5 @@ VECTOR_FACTS = """WITH x AS (SELECT vec_id, label + 1 AS goal, unnest(embedding)
 ), g AS (SELECT goal, i, avg(x) AS x FROM x WHERE goal IS NOT NULL GROUP BY 1, 2
 ), gn AS (SELECT goal, sqrt(sum(x * x)) AS n FROM g GROUP BY 1), vn AS (SELECT vec_id, any_value(goal) AS truth, sqrt(sum(x * x)) AS n FROM x GROUP BY 1
 ), d AS (SELECT x.vec_id, g.goal, sum(x.x * g.x) AS d FROM x JOIN g USING (i) GROUP BY 1, 2
-), f AS (SELECT d.vec_id, d.vec_id % 20 AS report_id, vn.truth, d.goal, round(coalesce(d.d / nullif(vn.n * gn.n, 0), 0), 6) AS score FROM d JOIN gn USING (goal) JOIN vn USING (vec_id))
+), f AS (SELECT d.vec_id, d.vec_id % 20 AS report_id, vn.truth, d.goal, round(coalesce(d.d / nullif(vn.n * gn.n, 0), 0), 6) AS score, coalesce(d.d / nullif(vn.n * gn.n, 0), 0) AS similarity FROM d JOIN gn USING (goal) JOIN vn USING (vec_id))
 """

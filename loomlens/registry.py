@@ -20,7 +20,7 @@ from .operators import trends as TR
 from .plans.facts import ORDER_FACTS as OF
 from .plans.facts import VECTOR_FACTS as VF
 from .plans.facts import order_facts, table, vector_facts
-from .plans.sql import MEAN, SHARE, rounded
+from .plans.sql import MEAN, SHARE, fitted, rounded, yearly
 from .streaming import ingest as S
 
 QUERIES: dict = {}
@@ -65,10 +65,10 @@ def topk_similar(spark, sf_dir):
 
 
 _MILLI = lambda: F.floor(F.col("score") * 1000).cast("long")
-_ALIGNED = lambda f: f.withColumns({"is_aligned": F.col("score") >= A.threshold(F.col("goal"), "sentence_transformer"), "milli": _MILLI()})
+_ALIGNED = lambda f: f.withColumns({"is_aligned": F.col("similarity") >= A.threshold(F.col("goal"), "sentence_transformer"), "milli": _MILLI()})
 _THR = "CASE goal " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(A.L.THRESHOLDS["sentence_transformer"][1], 1)) + " ELSE 0.52 END"
-_VA = f", a AS (SELECT *, score >= {_THR} AS is_aligned, floor(score * 1000)::BIGINT AS milli FROM f) "
-vector_query("goal_alignment_long", lambda f: _ALIGNED(f).drop("truth", "report_id"), _VA + "SELECT vec_id, goal, score, is_aligned, milli FROM a")
+_VA = f", a AS (SELECT *, similarity >= {_THR} AS is_aligned, floor(score * 1000)::BIGINT AS milli FROM f) "
+vector_query("goal_alignment_long", lambda f: _ALIGNED(f).drop("truth", "report_id", "similarity"), _VA + "SELECT vec_id, goal, score, is_aligned, milli FROM a")
 vector_query("cosine_top_goal", lambda f: A.top_goal(f, ["vec_id"]).select("vec_id", "goal", "score"), "SELECT vec_id, goal, score FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, goal) = 1")
 vector_query("report_alignment", lambda f: R.alignment(_ALIGNED(f), ["report_id"]), _VA + f"SELECT report_id, goal, count(*) AS n, {MEAN} AS mean_score, {SHARE} AS coverage FROM a GROUP BY 1, 2")
 _GAP = f", r AS (SELECT report_id, goal, {MEAN} AS mean_score, {SHARE} AS coverage FROM a GROUP BY 1, 2) SELECT report_id, goal, mean_score"
@@ -127,11 +127,11 @@ facts_query("browse_councils", lambda f: f.groupBy("council", "state").agg(F.cou
 facts_query("peers", lambda f: (lambda c: c.join(c.toDF("peer", "peer_state"), (F.col("state") == F.col("peer_state")) & (F.col("council") != F.col("peer"))).select("council", "peer"))(f.select("council", "state").distinct()), "SELECT DISTINCT a.council, b.council AS peer FROM f a JOIN (SELECT DISTINCT council, state FROM f) b ON a.state = b.state AND a.council <> b.council")
 
 # Trends
-_YEARLY = lambda f: f.groupBy("state", "goal", "year").agg(R.mean().alias("score"))
-_Y = f", y AS (SELECT state, goal, year, {MEAN} AS score FROM f GROUP BY 1, 2, 3), s AS (SELECT state, goal, count(*) AS n, regr_slope(score, year) AS b, CASE WHEN regr_slope(score, year) = 0 THEN 0 ELSE regr_r2(score, year) END AS r, arg_min(score, year) AS a, arg_max(score, year) AS z FROM y GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT unnest([{', '.join(map(str, TR.T_05))}])::DOUBLE AS c, unnest(range(1, 31)) AS k), t AS (SELECT s.*, CASE WHEN b = 0 THEN false WHEN n = 2 OR r >= 1 THEN true ELSE sqrt(r * (n - 2) / (1 - r)) > coalesce(c, 1.96) END AS sure FROM s LEFT JOIN c ON k = n - 2) "
-_T = "SELECT state, goal, n, round(b, 8) AS slope, round(r, 6) AS r2, round(CASE WHEN a <> 0 THEN (z - a) / a * 100 ELSE 0 END, 4) AS percent_change, sure AS is_significant, CASE WHEN NOT sure THEN 'stable' WHEN b > 0.01 THEN 'increasing' WHEN b < -0.01 THEN 'decreasing' ELSE 'stable' END AS direction FROM t"
+_YEARLY = lambda f: TR.yearly_means(f, ["council", "year"], ["state"])
+_Y = yearly("state", "f") + fitted("state, goal", "y") + ", tt AS (SELECT q.*, p_value < 0.05 AS sure, a, z, b FROM q JOIN (SELECT state, goal, regr_slope(score, year) AS b, arg_min(score, year) AS a, arg_max(score, year) AS z FROM y GROUP BY 1, 2) USING (state, goal)) "
+_T = "SELECT state, goal, n, slope, r2, round(CASE WHEN a <> 0 THEN (z - a) / a * 100 ELSE 0 END, 4) AS percent_change, sure AS is_significant, CASE WHEN NOT sure THEN 'stable' WHEN b > 0.01 THEN 'increasing' WHEN b < -0.01 THEN 'decreasing' ELSE 'stable' END AS direction FROM tt"
 facts_query("trend_ols", lambda f: TR.trends(_YEARLY(f), ["state", "goal"]), _Y + _T)
-facts_query("state_trend_rank", lambda f: TR.ranking(TR.trends(_YEARLY(f), ["state", "goal"]), "state"), _Y + f", q AS ({_T}) SELECT state, round(avg(slope), 5) AS mean_slope, rank() OVER (ORDER BY round(avg(slope), 5) DESC)::INTEGER AS rank FROM q GROUP BY 1")
+facts_query("state_trend_rank", lambda f: TR.ranking(TR.trends(_YEARLY(f), ["state", "goal"]), "state"), _Y + f", u AS ({_T}) SELECT state, round(avg(slope), 5) AS mean_slope, rank() OVER (ORDER BY round(avg(slope), 5) DESC)::INTEGER AS rank FROM u GROUP BY 1")
 facts_query("year_contiguity", lambda f: TR.contiguous(f, ["council"]), "SELECT council, min(year) AS first_year, max(year) AS last_year, max(year) - min(year) + 1 = count(DISTINCT year) AS contiguous FROM f GROUP BY 1")
 
 # Texts
@@ -192,7 +192,11 @@ docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"
 docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(F.col("text")), 6).alias("density")), None)
 _SIMILAR = lambda d: E.similar(d.select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 80)
 docs_query("jaccard_pairs", _SIMILAR, "WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id, count(*) AS n FROM s WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.class_id AS a, b.n, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM c a JOIN c b ON a.class_id <> b.class_id AND least(len(a.w), len(b.w)) > 0.8 * greatest(len(a.w), len(b.w))), l AS (SELECT a, sum(n)::BIGINT AS n FROM p WHERE 10 * k > 8 * (x + y - k) GROUP BY 1) SELECT s.doc_id, c.class_id, (c.n - 1 + coalesce(l.n, 0))::BIGINT AS links FROM s JOIN c USING (w) LEFT JOIN l ON l.a = c.class_id")
-facts_query("gap_nearest", lambda f: f.where("not is_aligned").groupBy("council", "goal").agg(F.max(F.struct("milli", (-F.col("activity_id")).alias("i"))).alias("x")).select("council", "goal", F.col("x.milli").alias("milli"), (-F.col("x.i")).alias("activity_id")), "SELECT council, goal, milli, activity_id FROM f WHERE NOT is_aligned QUALIFY row_number() OVER (PARTITION BY council, goal ORDER BY milli DESC, activity_id) = 1")
+vector_query(
+    "gap_nearest", lambda f: R.nearest_to_gaps(f.withColumns({"milli": _MILLI(), "is_aligned": F.col("similarity") >= 0.4}), ["report_id"], "vec_id"),
+    f", a AS (SELECT *, similarity >= 0.4 AS is_aligned, floor(score * 1000)::BIGINT AS milli FROM f), r AS (SELECT report_id, goal, ((2000 * sum(milli))::BIGINT + count(*)) // (2 * count(*)) AS m, arg_max(vec_id, (milli, -vec_id)) AS vec_id, max(milli) AS milli FROM a GROUP BY 1, 2 HAVING NOT bool_or(is_aligned)) "
+    "SELECT report_id, goal, row_number() OVER (PARTITION BY report_id ORDER BY m DESC, goal)::INTEGER AS rank, CASE WHEN milli > 0 THEN vec_id END AS vec_id, CASE WHEN milli > 0 THEN milli END AS milli FROM r",
+)
 QUERIES["kmeans_topics"] = (lambda s, d: TP.kmeans(table(s, d, "embeddings"), "vec_id", "embedding"), None)
 QUERIES["lda_topics"] = (lambda s, d: TP.lda(table(s, d, "documents")), None)
 

@@ -14,7 +14,7 @@ from .operators import trends as TR
 from .plans.facts import ORDER_FACTS as OF
 from .plans.facts import VECTOR_FACTS as VF
 from .plans.facts import order_facts, table, vector_facts
-from .plans.sql import MEAN, SHARE, rounded
+from .plans.sql import MEAN, SHARE, fitted, rounded, yearly
 
 QUERIES: dict = {}
 
@@ -40,7 +40,9 @@ over_orders("samples_of_top_goals", lambda f: f.join(F.broadcast(Q.top_goals(f,
 over_orders("top_goals", Q.top_goals, f"SELECT goal, {MEAN} AS mean_score, count(*) AS n, row_number() OVER (ORDER BY {MEAN} DESC, goal)::INTEGER AS rank FROM f GROUP BY 1 QUALIFY rank <= 5")
 over_orders("latest_year_shares", lambda f: f.join(F.broadcast(f.agg(F.max("year").alias("year"))), "year", "left_semi").groupBy("state", "setting", "goal").agg(F.count("*").alias("n"), Q.share(F.col("is_aligned")).alias("coverage")), f"SELECT state, setting, goal, count(*) AS n, {SHARE} AS coverage FROM f WHERE year = (SELECT max(year) FROM f) GROUP BY 1, 2, 3")
 over_vectors("council_detail", lambda f: Q.evidence(f, ["report_id"], "vec_id"), "SELECT report_id, goal, count(*) OVER (PARTITION BY report_id, goal) AS aligned, row_number() OVER (PARTITION BY report_id, goal ORDER BY milli DESC, vec_id)::INTEGER AS rank, vec_id, milli, coalesce((SELECT string_agg(o.goal::VARCHAR, ',' ORDER BY o.goal) FROM v o WHERE o.vec_id = v.vec_id AND o.is_aligned AND o.goal <> v.goal), '') AS also FROM v WHERE is_aligned QUALIFY rank <= 3")
-over_orders("national_coverage", lambda f: Q.national(f, Q.REPORT), f", p AS (SELECT council, year, goal, sum(is_aligned::INT)::BIGINT AS a, count(*) AS n FROM f GROUP BY 1, 2, 3) SELECT goal, {rounded('sum(a)', 'sum(n)', 1)} AS share, sum((a > 0)::INT)::BIGINT AS reports_with FROM p GROUP BY 1")
+_NATIONAL = f", p AS (SELECT {{0}}, goal, sum(is_aligned::INT)::BIGINT AS a FROM {{1}} GROUP BY {{0}}, goal), n AS (SELECT count(DISTINCT {{2}}) AS n FROM {{1}}) SELECT goal, {rounded('sum(a)', 'any_value(n)', 1)} AS share, sum((a > 0)::INT)::BIGINT AS reports_with FROM p, n GROUP BY 1"
+over_orders("national_coverage", lambda f: Q.national(f, Q.REPORT, "activity_id"), _NATIONAL.format("council, year", "f", "activity_id"))
+over_vectors("national_coverage_all_goals", lambda f: Q.national(f, ["report_id"], "vec_id"), _NATIONAL.format("report_id", "v", "vec_id"))
 over_orders("median_goals", lambda f: Q.median_goals(f, "council", "year"), ", p AS (SELECT council, year, count(DISTINCT CASE WHEN is_aligned THEN goal END) AS goals FROM f GROUP BY 1, 2), l AS (SELECT council, arg_max(goals, year) AS goals FROM p GROUP BY 1) SELECT count(*) AS councils, median(goals)::DOUBLE AS median_goals FROM l")
 _PAGES = lambda f: f.groupBy(*Q.REPORT).agg((F.count("*") * 3 % 7 * 30).alias("pages"))
 over_orders("report_summary", lambda f: Q.normalised(f, _PAGES(f), Q.REPORT), ", p AS (SELECT council, year, goal, count(*) AS n, sum(is_aligned::INT)::BIGINT AS a FROM f GROUP BY 1, 2, 3), r AS (SELECT council, year, sum(n)::BIGINT AS activities, sum(n)::BIGINT * 3 % 7 * 30 AS pages, sum(n - a)::BIGINT AS barren, coalesce(string_agg(goal::VARCHAR, ',' ORDER BY goal) FILTER (WHERE a = 0), '') AS gaps FROM p GROUP BY 1, 2) SELECT *, CASE WHEN pages > 0 THEN round(activities * 100.0::DOUBLE / pages, 1) END AS per_100_pages, CASE WHEN pages <= 0 THEN 'unknown' WHEN activities * 100.0::DOUBLE / pages >= 40 THEN 'rich' WHEN activities * 100.0::DOUBLE / pages >= 15 THEN 'moderate' ELSE 'thin' END AS extraction FROM r")
@@ -73,10 +75,9 @@ QUERIES["reference_goals"] = (lambda spark, sf_dir: Q.reference_goals(spark), "S
 _DENSE = ", y AS (SELECT council, year, goal, {0} AS score FROM f GROUP BY 1, 2, 3), g AS (SELECT DISTINCT council, year, k::INTEGER AS goal FROM f, (SELECT unnest(range(1, 8)) AS k)), d AS (SELECT council, goal, year, coalesce(score, 0) AS score FROM g LEFT JOIN y USING (council, year, goal))"
 _SCORES = lambda f: f.groupBy("council", "year", "goal").agg(Q.mean().alias("score"))
 over_orders("report_scores", lambda f: TR.dense(_SCORES(f), ["council", "year"], range(1, 8)), _DENSE.format(MEAN) + " SELECT council, year, goal, score FROM d")
-_FIT = ", s AS (SELECT {0}, count(*) AS n, regr_slope(score, year) AS b, regr_r2(score, year) AS r FROM {1} GROUP BY {2} HAVING count(*) > 1), t AS (SELECT {0}, n, round(b, 8) AS slope, CASE WHEN b = 0 THEN 0 ELSE r END AS r FROM s), p AS (SELECT {0}, n, slope, r, CASE WHEN n = 2 THEN NULL WHEN r <= 0 THEN 1.0 WHEN r >= 1 THEN 0.0 ELSE atan(sqrt(r / (1 - r))) END AS a FROM t) SELECT {0}, n, slope, round(r, 6) AS r2, round(CASE WHEN n = 2 THEN 0.0 WHEN r <= 0 THEN 1.0 WHEN r >= 1 THEN 0.0 WHEN (n - 2) % 2 = 1 THEN 1 - 2 / pi() * (a + CASE WHEN n = 3 THEN 0 ELSE sin(a) * list_sum(list_transform(range(1, (n - 1) // 2), lambda j: pow(cos(a), 2 * j - 1) * coalesce(list_product(list_transform(range(1, j), lambda i: 2.0 * i / (2 * i + 1))), 1))) END) ELSE 1 - sin(a) * list_sum(list_transform(range(0, (n - 2) // 2), lambda j: pow(cos(a), 2 * j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2.0 * i - 1) / (2 * i))), 1))) END, 6) AS p_value FROM p"
-over_orders("council_trends", lambda f: TR.with_p_value(TR.dense(_SCORES(f), ["council", "year"], range(1, 8)), ["council", "goal"]), _DENSE.format(MEAN) + _FIT.format("council, goal", "d", "1, 2"))
-over_orders("overall_trends", lambda f: TR.with_p_value(f.groupBy("goal", "year").agg(Q.mean().alias("score")), ["goal"]), f", d AS (SELECT goal, year, {MEAN} AS score FROM f GROUP BY 1, 2)" + _FIT.format("goal", "d", "1"))
-over_orders("urban_trends", lambda f: TR.with_p_value(f.where("setting = 'Urban'").groupBy("state", "goal", "year").agg(Q.mean().alias("score")), ["state", "goal"]), f", d AS (SELECT state, goal, year, {MEAN} AS score FROM f WHERE setting = 'Urban' GROUP BY 1, 2, 3)" + _FIT.format("state, goal", "d", "1, 2"))
+over_orders("council_trends", lambda f: TR.with_p_value(TR.dense(_SCORES(f), ["council", "year"], range(1, 8)), ["council", "goal"]), _DENSE.format(MEAN) + fitted("council, goal", "d") + " SELECT * FROM q")
+over_orders("overall_trends", lambda f: TR.with_p_value(TR.yearly_means(f, Q.REPORT, []), ["goal"]), yearly("", "f") + fitted("goal", "y") + " SELECT * FROM q")
+over_orders("urban_trends", lambda f: TR.with_p_value(TR.yearly_means(f.where("setting = 'Urban'"), Q.REPORT, ["state"]), ["state", "goal"]), ", e AS (SELECT * FROM f WHERE setting = 'Urban')" + yearly("state", "e") + fitted("state, goal", "y") + " SELECT * FROM q")
 over_orders("trend_table", lambda f: f.groupBy("goal").agg(F.array_join(F.array_sort(F.collect_set("year")), ", ").alias("years"), F.count_distinct("year").alias("n")), "SELECT goal, string_agg(DISTINCT year::VARCHAR, ', ' ORDER BY year::VARCHAR) AS years, count(DISTINCT year) AS n FROM f GROUP BY 1")
 over_orders("strongest_trends", lambda f: TR.strongest(TR.trends(f.groupBy("council", "goal", "year").agg(Q.mean().alias("score")), ["council", "goal"]), ["council", "goal"]), f", d AS (SELECT council, goal, year, {MEAN} AS score FROM f GROUP BY 1, 2, 3) SELECT council, goal, round(regr_slope(score, year), 8) AS slope FROM d GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY abs(round(regr_slope(score, year), 8)) DESC, council, goal LIMIT 5")
 
