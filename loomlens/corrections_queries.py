@@ -42,7 +42,7 @@ def _activities_sql() -> str:
     return f"WITH x AS (SELECT o_orderkey AS activity_id, lower({text}) AS t, {scores} FROM orders, (SELECT {listed} AS v))"
 
 
-def _flags_sql() -> str:
+def _flags_sql(judged: str = "s") -> str:
     one = ", ".join(f'{_any(v)} AS "{k}"' for k, v in C.ONE.items())
     two = ", ".join(f"{' + '.join(f'contains(t, {_q(w)})::INT' for w in v)} >= 2 AS \"{k}\"" for k, v in C.TWO.items())
     roads = "[" + ", ".join(map(_q, W.ROADS_14)) + "]"
@@ -50,7 +50,7 @@ def _flags_sql() -> str:
     road = f"regexp_matches(t, '(?:{'|'.join(W.COAST_14)}) (?:{'|'.join(W.ROADS_14)})') OR {near} OR ({_any(W.VERBS_14)} AND {_any(W.COAST_14)} AND {_any(W.ROADS_14)})"
     before, after = "coalesce(array_to_string(w[greatest(i - 2, 1):i], ' '), '')", "coalesce(array_to_string(w[i + 2:i + 4], ' '), '')"
     place = f"len(list_filter(range(len(w)), lambda i: regexp_matches(w[i + 1], {_regex([p for p in W.PLACES_14 if ' ' not in p])}) AND (regexp_matches({before}, {_regex(W.ROADS_14 + W.WHERE_14)}) OR regexp_matches({after}, {_regex(W.ROADS_14)})))) > 0"
-    aligned = ", ".join(f"s{g} >= {L.THRESHOLDS['hybrid'][1][g - 1]} AS a{g}, false AS c{g}" for g in C.GOALS)
+    aligned = ", ".join(f"{judged}{g} >= {L.THRESHOLDS['hybrid'][1][g - 1]} AS a{g}, false AS c{g}" for g in C.GOALS)
     return f", y AS (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda z: z <> '') AS w FROM x), r0 AS (SELECT *, {one}, {two}, ({road}) AS road14, ({place}) AS place14, {aligned}, NULL::DOUBLE AS began FROM y)"
 
 

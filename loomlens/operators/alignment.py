@@ -159,3 +159,14 @@ def goal_variants(goals: DataFrame, most: int = 40) -> DataFrame:
     pairs = {"core": F.concat_ws(". ", "name", "description"), "local": join("local_keywords"), "indicators": join("indicators"), "keywords": join("keywords", most)}
     rows = goals.select("goal", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.trim(F.coalesce(v, F.lit(""))).alias("text")) for k, v in pairs.items()))).alias("x"))
     return rows.select("goal", "x.variant", "x.text").where("text <> ''")
+
+
+def realigned(facts: DataFrame, by: list[str], mode: str, custom: dict[int, float] | None = None) -> DataFrame:
+    """Facts whose scores have changed, with is_aligned of the new ones, each activity's num_aligned, and an explanation: its best goal, how strong it is, and how many others are aligned."""
+    w = Window.partitionBy(*by)
+    rows = facts.withColumn("is_aligned", F.col("score") >= threshold(F.col("goal"), mode, custom))
+    best = F.max(F.struct("score", (-F.col("goal")).alias("g"), "is_aligned")).over(w)
+    rows = rows.withColumns({"num_aligned": F.sum(F.col("is_aligned").cast("int")).over(w).cast("int"), "_b": best})
+    strength = F.when(F.col("_b.score") >= 0.7, "strongly").when(F.col("_b.score") >= 0.5, "moderately").otherwise("weakly")
+    told = F.concat(F.lit("goal "), -F.col("_b.g"), F.lit(" "), strength, F.lit(", "), F.col("num_aligned"), F.lit(" aligned"))
+    return rows.withColumn("explanation", F.when(F.col("_b.score") > 0, told).otherwise("no goal")).drop("_b")

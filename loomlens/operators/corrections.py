@@ -103,11 +103,11 @@ def _holds(condition: str, goal: int) -> Column:
     return F.col("_began") >= 0.2 if condition == "fair" else F.col(f"_flag_{condition}")
 
 
-def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules=tuple(MODULES), methods: dict[int, str] | None = None) -> DataFrame:
+def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules=tuple(MODULES), methods: dict[int, str] | None = None, judged: str = "s") -> DataFrame:
     """s1 to s17 corrected, with a1 to a17 (is aligned) and c1 to c17 (a correction was applied).
 
     ``modules`` are those switched on, always run in the fixed order; ``methods`` names the one method of a module that is used ('all' by
-    default). Alignment is that of the scores as they came: corrections don't renew it, but for goal 17, which needs 0.85 before its last step.
+    default). Alignment is that of the scores as they came, or of columns with another prefix (``judged``), such as unrounded similarities: corrections don't renew it, but for goal 17, which needs 0.85 before its last step.
     """
     methods = methods or {}
     known = {m: {method for *_, method in rules} | {"all"} for m, rules in MODULES.items()}
@@ -116,7 +116,7 @@ def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules
             raise ValueError(f"unknown method {method} of goal {m}")
     found = flags(F.coalesce(F.col(text), F.lit("")))
     out = rows.withColumns({f"_flag_{k}": c for k, c in found.items()})  # columns of their own: fields of a struct would be worked out again at each use
-    out = out.withColumns({f"a{g}": F.col(f"s{g}") >= threshold(F.lit(g), mode) for g in GOALS} | {f"c{g}": F.lit(False) for g in GOALS})
+    out = out.withColumns({f"a{g}": F.col(f"{judged}{g}") >= threshold(F.lit(g), mode) for g in GOALS} | {f"c{g}": F.lit(False) for g in GOALS})
     for m, rules in MODULES.items():
         if m not in modules:
             continue
