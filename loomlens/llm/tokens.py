@@ -55,9 +55,16 @@ def _load(name: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True  # a control token's name in a text is ordinary text
-    return tokenizer
+    return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
+
+
+def _names(tokenizer) -> list[bytes]:
+    """Names of control tokens, at which the library cuts a text before anything else; a text that holds one goes to it as a whole."""
+    return [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def _whole(tokenizer, text: bytes) -> np.ndarray:
+    return np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
 
 
 def _merges(name: str):
@@ -97,9 +104,11 @@ class ByteLevel:
                 return [i for part in parts.groups() if part for i in np.frombuffer(self.units[part], "<u4")]
             return tokenizer.encode(unit.decode(), add_special_tokens=False).ids
 
-        self.units = Units(encode)
+        self.units, self.names, self.tokenizer = Units(encode), _names(tokenizer), tokenizer
 
     def __call__(self, text: bytes) -> np.ndarray:
+        if any(name in text for name in self.names):
+            return _whole(self.tokenizer, text)
         odd = len(text.translate(None, _ODD_LEADS)) < len(text) and _ODD_SPACE(text)
         units = [text] if odd else _GAP_WORDS(text)
         return np.frombuffer(b"".join(map(self.units.__getitem__, units)), dtype="<u4")
@@ -123,9 +132,11 @@ class WordLevel:
                 return [t.id for t in tokenizer.model.tokenize("".join(map(seen.__getitem__, unit.decode().lower().encode())))]
             return tokenizer.encode(unit.decode(), add_special_tokens=False).ids
 
-        self.units = Units(encode)
+        self.units, self.names, self.tokenizer = Units(encode), _names(tokenizer), tokenizer
 
     def __call__(self, text: bytes) -> np.ndarray:
+        if any(name in text for name in self.names):
+            return _whole(self.tokenizer, text)
         units = text.split() if _NOT_PLAIN(text) else _RUNS(text.lower())
         return np.frombuffer(b"".join(map(self.units.__getitem__, units)), dtype="<u4")
 

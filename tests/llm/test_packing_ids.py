@@ -14,7 +14,6 @@ ODD = ["", " ", "\n\n  a b  c\t\n", "it's l'été don't'x", "Ünïcödé ÉCOLE
 
 def reference(name, text):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
