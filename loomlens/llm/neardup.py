@@ -3,6 +3,8 @@
 A document's set is that of its 5-word shingles. Documents with equal sets form a class; each class has
 one signature of 64 symbols of 16 bits, the low bits of 64 minima. Two signatures that differ in at most
 MOST_APART = 31 symbols agree, by pigeonhole, in all but one symbol of some of the 16 chunks of four; so a
+#: So many orders of classes, from which a large bucket takes its pivot by its key.
+PIVOTS = 4
 class stands in the index under each chunk with each of its symbols left out (64 picks), and all such
 pairs meet in a bucket, whatever its size. (Sets of similarity 0.75 differ in 16 symbols on average; a
 pair at just 0.75 is more than 31 apart about once in a hundred thousand.)
@@ -38,6 +40,8 @@ SYMBOLS, CHUNK = 64, 4
 MOST_APART = 2 * (SYMBOLS // CHUNK) - 1
 #: Classes of a bucket that all meet each other; larger buckets go through blocks of so many classes and others.
 MOST_ALL, BLOCK, OTHERS = 32, 2048, 512
+#: So many orders of classes, from which a large bucket takes its pivot by its key.
+PIVOTS = 4
 #: Pairs of one class confirmed by a task at a time.
 STAR = 256
 #: A link: 100 * intersection >= PERCENT * union.
@@ -389,7 +393,8 @@ def labelled(reps: DataFrame, texts: DataFrame, most_all: int = MOST_ALL, block:
     hot = hot_keys(reps, most_all)
     met = keyed(reps, hot, False).repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting(most_all), sql_schema(_MET)).checkpoint()
     members = met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True)).checkpoint()
-    pivots = members.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("pivot"))
+    # Members of one group meet in many buckets. With a pivot of its own for each, every member would be paired with as many; by one of PIVOTS orders of classes they agree on few.
+    pivots = members.groupBy("key").agg(F.min_by("rep", F.xxhash64(F.pmod("key", F.lit(PIVOTS)), "rep")).alias("pivot"))
     stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     found = met.where("pick < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).union(stars).distinct()
     labels = components(confirmed(near(found, reps).checkpoint(), texts)).checkpoint()
