@@ -102,15 +102,31 @@ def rating(is_activity: Column, is_council: Column) -> Column:
 
 
 def joined_sentences(parts: Column, openers, most_words: int) -> Column:
-    """A fold that joins a sentence to the one before if its first word leans on it, up to ``most_words`` words."""
+    """Joins a sentence to the one before if its first word leans on it, up to ``most_words`` words.
+
+    Sentences that don't lean begin chains; these are cut out by their places, and a chain that fits as a whole is joined at once. Only
+    a chain with too many words is folded.
+    """
     leans = lambda s: F.lower(F.get(F.split(s, " "), 0)).isin(*openers)
+    count = lambda s: F.size(tokens(s))
 
     def step(done, s):
         last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & leans(s) & (F.size(tokens(last)) + F.size(tokens(s)) <= most_words)
+        fits = (F.size(done) > 0) & (count(last) + count(s) <= most_words)
         return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), s)))).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    def one(chain):
+        total = F.aggregate(chain, F.lit(0), lambda n, s: n + count(s))
+        return F.when((F.size(chain) == 1) | (total <= most_words), F.array(F.array_join(chain, " "))).otherwise(F.aggregate(chain, F.array().cast("array<string>"), step))
+
+    def chains(own):
+        n = F.size(own)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~leans(F.get(own, i)))
+        ends = lambda at: F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(n))
+        cut = F.get(F.transform(F.array(first), lambda at: F.zip_with(at, ends(at), lambda a, z: F.slice(own, a + 1, z - a))), 0)
+        return F.when(n > 0, F.flatten(F.transform(cut, one))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(parts), chains), 0)
 
 
 def looks_like_table(text: Column) -> Column:
