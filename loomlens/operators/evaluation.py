@@ -245,3 +245,17 @@ def consensus(rows: DataFrame, item: str, rater: str, vote: str, score: str, rat
     per = rows.groupBy(item).agg(F.count_distinct(rater).alias("n_raters"), n(first).alias("n_first"), n(second).alias("n_second"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rater, vote))), lambda x: x[vote]), "").alias("votes"), F.round(F.avg(score), 6).alias("mean_score"))
     label = F.when(F.col("n_first") >= least, first).when(F.col("n_second") >= least, second).otherwise("neutral")
     return per.where(F.col("n_raters") == raters).select(item, "votes", label.alias("consensus"), "mean_score")
+
+
+def missed(facts: DataFrame, targets: DataFrame, key: str, threshold, most: int = 200) -> DataFrame:
+    """Per goal what its misses look like: true labels (key, goal, score, y) under the threshold, and how their best target (key, goal, target, score) does.
+
+    Of a goal's misses ``most`` are looked at, in a fixed pseudo-random order: that is the feature's sample. Gives the goal's misses, those looked at, the share whose best target reaches the threshold, and both means.
+    """
+    misses = facts.where((F.col("y") == 1) & (F.col("score") < threshold))
+    w = Window.partitionBy("goal")
+    some = misses.withColumns({"_r": F.row_number().over(w.orderBy(order_key(key), key)), "misses": F.count("*").over(w)}).where(F.col("_r") <= most)
+    best = targets.groupBy(key, "goal").agg(F.max("score").alias("best"))
+    rows = some.join(best, [key, "goal"], "left").withColumn("reaches", F.coalesce(F.col("best") >= threshold, F.lit(False)).cast("int"))
+    mean = lambda c: F.round(F.avg(c), 5)
+    return rows.groupBy("goal").agg(F.first("misses").alias("misses"), F.count("*").alias("looked_at"), mean("reaches").alias("target_rate"), mean("score").alias("mean_score"), mean("best").alias("mean_target"))

@@ -44,3 +44,50 @@ def overlap(top: DataFrame, by: str) -> DataFrame:
     """How many of their top words two groups share."""
     a, b = top.select(F.col(by).alias("a"), "word"), top.select(F.col(by).alias("b"), "word")
     return a.join(b, "word").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+# Words that say nothing of a goal.
+STOP_WORDS = (
+    "and", "the", "for", "with", "from", "that", "this", "were", "been", "have", "has", "had", "will", "would", "could", "should", "may",
+    "might", "must", "shall", "can", "need", "also", "each", "other", "which", "their", "there", "where", "when", "than", "more", "most",
+    "some", "many", "such", "only", "over", "into", "through", "during", "before", "after", "above", "below", "between", "under", "again",
+    "further", "then", "once", "here", "how", "what", "who", "why", "all", "any", "both", "but", "nor", "not", "same", "so", "very",
+    "just", "now", "year", "council", "annual", "report", "including", "new", "one", "two", "first", "last", "part", "based", "within",
+    "per", "cent", "total", "number", "area", "table", "figure", "page", "section", "appendix", "reference", "note",
+)
+
+
+def aligned_words(facts: DataFrame, text: str, k: int = 50, least_score: float = 0.5, stop=STOP_WORDS) -> DataFrame:
+    """(goal, word, n, activities, rank): the k most frequent words of four letters and more in the activities aligned with each goal, with a score of ``least_score`` at least; of equal ones the first by name.
+
+    Words are whole ones of A to Z: a run of letters beside a digit, an underscore or a letter beyond ASCII is none. activities is how many such activities the goal has.
+    """
+    own = facts.where(F.col("is_aligned") & (F.col("score") >= least_score))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)(?<!\w)[a-z]{4,}(?!\w)"), F.lit(0))
+    counts = own.select("goal", F.explode(found).alias("word")).where(~F.col("word").isin(*stop)).groupBy("goal", "word").agg(F.count("*").alias("n"))
+    per = own.groupBy("goal").agg(F.count("*").alias("activities"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
+    return ranked.join(F.broadcast(per), "goal")  # one row a goal
+
+
+def grams(text, longest: int, least: int, stop):
+    """Array of a text's runs of one to ``longest`` neighbouring words, of words that have ``least`` letters and aren't stop words."""
+    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+    runs = lambda own, n: F.transform(F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(own, i, n), " "))
+    return F.get(F.transform(F.array(words), lambda own: F.concat(*(runs(own, n) for n in range(1, longest + 1)))), 0)
+
+
+def weighed_terms(docs: DataFrame, group: str, doc: str, k: int = 10, text: str = "text", vocabulary: int = 1000, most_df: float = 0.95, longest: int = 3, least: int = 4, stop=STOP_WORDS) -> DataFrame:
+    """(group, term, df, weight, rank): a group's k terms with the largest sums of TF-IDF, each document's vector brought to length one.
+
+    Terms are runs of up to ``longest`` words. Those in more than ``most_df`` of the group's documents are left out, and of the others the ``vocabulary`` most frequent make the vectors, of equal ones the first
+    by name; both limits are the feature's. idf is ln((1 + N) / (1 + df)) + 1.
+    """
+    tf = docs.select(group, doc, F.explode(grams(F.col(text), longest, least, stop)).alias("term")).groupBy(group, doc, "term").agg(F.count("*").alias("tf"))
+    sizes = docs.groupBy(group).agg(F.count("*").alias("docs"))
+    per = tf.groupBy(group, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).join(F.broadcast(sizes), group).where(F.col("df") <= most_df * F.col("docs"))
+    order = Window.partitionBy(group).orderBy(F.desc("total"), "term")
+    known = per.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= vocabulary).withColumn("idf", F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).select(group, "term", "df", "idf")
+    vectors = tf.join(known, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    lengths = vectors.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    sums = vectors.join(lengths, [group, doc]).groupBy(group, "term", "df").agg(F.round(F.sum(F.col("w") / F.col("length")), 4).alias("weight"))
+    return sums.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= k)

@@ -123,3 +123,25 @@ def nearest_to_gaps(facts: DataFrame, by: list[str], activity: str) -> DataFrame
     rows = facts.groupBy(*by, "goal").agg(F.max("is_aligned").alias("hit"), mean().alias("m"), best.alias("x")).where("not hit")
     near = F.col("x.milli") > 0
     return rows.select(*by, "goal", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("m"), "goal")).alias("rank"), F.when(near, F.col(f"x.{activity}")).alias(activity), F.when(near, F.col("x.milli")).alias("milli"))
+
+
+def group_alignment(facts: DataFrame, group: str, report: list[str], activity: str, traits: list[str], k: int = 10, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """What a group's reports say together: (group, goal, mean_score, coverage, is_gap), and (group, activities, reports, mean_top_score, one sorted list for each of ``traits``, best).
+
+    All activities of the group are pooled. mean_top_score is the mean of each activity's best score, best the k activities with the highest, as id:thousandths.
+    """
+    goals = alignment(facts, [group]).withColumn("is_gap", F.col("mean_score") < threshold).drop("n")
+    tops = facts.groupBy(group, *report, *traits, activity).agg(F.max("milli").alias("top"))
+    ranked = tops.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("top"), activity)))
+    best = F.array_sort(F.collect_list(F.when(F.col("_r") <= k, F.struct("_r", F.concat_ws(":", F.col(activity).cast("string"), "top").alias("x")))))
+    lists = (F.array_join(F.array_sort(F.collect_set(t)).cast("array<string>"), ",").alias(t) for t in traits)
+    wide = ranked.groupBy(group).agg(F.count("*").alias("activities"), F.count_distinct(F.struct(*report)).alias("reports"), mean("top").alias("mean_top_score"), *lists, F.array_join(F.transform(best, lambda b: b["x"]), ",").alias("best"))
+    return goals, wide
+
+
+def headlines(facts: DataFrame, by: list[str], activity: str) -> DataFrame:
+    """Per report: the leading goal (most aligned activities, then mean, then number), its share of the report's activities, and the strongest aligned activity of any goal. Null where nothing is aligned."""
+    lead = ledger(facts, by).where("place = 1").select(*by, F.when(F.col("aligned") > 0, F.col("goal")).alias("leading_goal"), "aligned")
+    strongest = F.max_by(F.when(F.col("is_aligned"), F.struct(activity, "goal", "milli")), F.when(F.col("is_aligned"), F.struct("milli", -F.col(activity), -F.col("goal"))))
+    rest = facts.groupBy(*by).agg(F.count_distinct(activity).alias("activities"), strongest.alias("x"))
+    return rest.join(lead, by).select(*by, "activities", "leading_goal", rounded(F.col("aligned"), F.col("activities"), 1).alias("leading_share"), F.col(f"x.{activity}").alias("strongest"), F.col("x.goal").alias("strongest_goal"), F.col("x.milli").alias("milli"))

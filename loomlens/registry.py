@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import chain_queries as CHQ
 from . import corrections_queries as CQ
+from . import group_queries as GQ
 from . import page_queries as PQ
 from . import report_queries as RQ
 from . import sql_queries as SQ
@@ -82,7 +84,13 @@ _ENS = lambda mode: lambda f: A.ensemble(_TWO(f), ["vec_id"], mode).select("vec_
 vector_query("ensemble_weighted", _ENS("weighted"), _M + f"SELECT vec_id, goal, round({_W} * bert + (1 - {_W}) * st, 10) AS score, 'ensemble' AS primary_model FROM m")
 vector_query("ensemble_fallback", _ENS("fallback"), _M + "SELECT vec_id, goal, round(CASE WHEN w THEN bert ELSE st END, 10) AS score, CASE WHEN w THEN 'bert' ELSE 'st' END AS primary_model FROM (SELECT *, max(st) OVER (PARTITION BY vec_id) < 0.5 AS w FROM m)")
 vector_query("ensemble_single", _ENS("single"), _M + "SELECT vec_id, goal, round(st, 10) AS score, 'st' AS primary_model FROM m")
-vector_query("model_agreement", lambda f: A.top_goal(f, ["vec_id"]).agg(F.count("*").alias("n"), F.sum((F.col("goal") == F.col("truth")).cast("long")).alias("agree")), "SELECT count(*) AS n, sum((goal = truth)::INT)::BIGINT AS agree FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, goal) = 1)")
+# Two models: the similarities, and the same weighed by the second model's share of each goal.
+vector_query(
+    "model_agreement", lambda f: (lambda a, b: a.join(b, "vec_id").groupBy("first").agg(F.count("*").alias("n"), F.sum((F.col("first") == F.col("second")).cast("long")).alias("agree"), F.sum((F.col("first") == F.col("truth")).cast("long")).alias("first_right"), F.sum((F.col("second") == F.col("truth")).cast("long")).alias("second_right")))(
+        A.top_goal(f, ["vec_id"]).select("vec_id", "truth", F.col("goal").alias("first")), A.top_goal(A.ensemble(_TWO(f), ["vec_id"], "weighted").withColumn("score", F.round("score", 10)), ["vec_id"]).select("vec_id", F.col("goal").alias("second"))),
+    _M + f", a AS (SELECT vec_id, truth, goal AS first FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, goal) = 1), b AS (SELECT vec_id, goal AS second FROM m QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round({_W} * bert + (1 - {_W}) * st, 10) DESC, goal) = 1) "
+    "SELECT first, count(*) AS n, sum((first = second)::INT)::BIGINT AS agree, sum((first = truth)::INT)::BIGINT AS first_right, sum((second = truth)::INT)::BIGINT AS second_right FROM a JOIN b USING (vec_id) GROUP BY 1",
+)
 _SECTIONS = ("environment", "community", "economic", "governance")
 _CW = "CASE " + " ".join(f"WHEN section = '{s}' AND goal = {g} THEN {w}::DOUBLE" for s in _SECTIONS for g, w in A.L.SECTION_WEIGHTS[s].items()) + " ELSE 1.0::DOUBLE END"
 vector_query("context_weighted", lambda f: A.context_weighted(f.select("vec_id", "goal", "score", F.element_at(F.array(*map(F.lit, _SECTIONS)), (F.col("vec_id") % 4 + 1).cast("int")).alias("section")), "section", digits=8), f", s AS (SELECT vec_id, goal, score, (['environment', 'community', 'economic', 'governance'])[vec_id % 4 + 1] AS section FROM f) SELECT vec_id, goal, section, round(least(1.0, score * (1 + ({_CW} - 1) * 0.3)), 8) AS score FROM s")
@@ -188,7 +196,7 @@ vector_query("target_boost", lambda f: A.target_boost(f.select("vec_id", "goal",
 vector_query("weight_grid_search", lambda f: E.weight_grid(_TWO(f).join(f.select("vec_id", "goal", "truth"), ["vec_id", "goal"]), ["vec_id"], "truth"), ", m AS (SELECT vec_id, goal, truth, score AS st, round(greatest(0.0, 1 - (1 - score) * 2), 6) AS bert FROM f), grid AS (SELECT i::INTEGER AS i, vec_id, truth, goal, round(i / 10 * bert + (1 - i / 10) * st, 8) AS s FROM m, (SELECT unnest(range(0, 11)) AS i)), t AS (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY i, vec_id ORDER BY s DESC, goal) = 1) SELECT i, count(*) AS n, sum((goal = truth)::INT)::BIGINT AS hits FROM t GROUP BY 1")
 vector_query("multilabel_metrics", lambda f: E.multi_label(f.select("vec_id", "goal", (F.col("goal") == F.col("truth")).cast("int").alias("y"), (F.col("score") >= 0.3).cast("int").alias("p")), "vec_id"), ", r AS (SELECT vec_id, count(*) AS n, sum((goal = truth)::INT) AS y, sum((score >= 0.3)::INT) AS p, sum((goal = truth AND score >= 0.3)::INT) AS b, sum(((goal = truth) <> (score >= 0.3))::INT) AS o FROM f GROUP BY 1) SELECT round(avg((o = 0)::INT), 6) AS exact, round(avg(o / n), 6) AS hamming, round(avg(CASE WHEN y + p - b = 0 THEN 1.0 ELSE b / (y + p - b) END), 6) AS jaccard, round(avg(CASE WHEN y + p = 0 THEN 1.0 ELSE 2 * b / (y + p) END), 6) AS sample_f1 FROM r")
 docs_query("mention_scan", lambda d: d.select("doc_id", T.mention(F.col("text"), "rewh").alias("mention")).where("mention is not null"), f"SELECT doc_id, trim(m) AS mention FROM (SELECT doc_id, regexp_extract(text, '(?i)[^.!?]*(?:rewh)[^.!?]*[.!?]') AS m FROM documents) WHERE trim(m) <> ''")
-docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text"), abbreviations=()), 1)).alias("context")).where("context is not null"), None)
+docs_query("source_context", lambda d: d.select("doc_id", T.context(F.col("text"), F.get(T.sentences(F.col("text"), abbreviations=()), 1)).alias("context")).where("context is not null"), "WITH s AS (SELECT doc_id, text, (list_filter(list_transform(regexp_split_to_array(text, '[.!?]+\\s+'), lambda x: trim(x, ' ')), lambda x: length(x) > 10))[2] AS s FROM documents), p AS (SELECT *, strpos(text, left(s, 50)) AS p FROM s WHERE s IS NOT NULL) SELECT doc_id, substr(text, greatest(1, p - 100), p - greatest(1, p - 100) + length(s) + 100) AS context FROM p WHERE p > 0")
 docs_query("ocr_density", lambda d: d.select("doc_id", F.round(T.broken_letters(F.col("text")), 6).alias("density")), None)
 _SIMILAR = lambda d: E.similar(d.select("doc_id", T.tokens(F.lower("text")).alias("w")), "doc_id", "w", 80)
 docs_query("jaccard_pairs", _SIMILAR, "WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents), c AS (SELECT w, min(doc_id) AS class_id, count(*) AS n FROM s WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.class_id AS a, b.n, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS x, len(b.w) AS y FROM c a JOIN c b ON a.class_id <> b.class_id AND least(len(a.w), len(b.w)) > 0.8 * greatest(len(a.w), len(b.w))), l AS (SELECT a, sum(n)::BIGINT AS n FROM p WHERE 10 * k > 8 * (x + y - k) GROUP BY 1) SELECT s.doc_id, c.class_id, (c.n - 1 + coalesce(l.n, 0))::BIGINT AS links FROM s JOIN c USING (w) LEFT JOIN l ON l.a = c.class_id")
@@ -206,4 +214,6 @@ QUERIES.update(PQ.QUERIES)
 QUERIES.update(SQ.QUERIES)
 QUERIES.update(STQ.QUERIES)
 QUERIES.update(WQ.QUERIES)
+QUERIES.update(CHQ.QUERIES)
+QUERIES.update(GQ.QUERIES)
 QUERIES.update(RQ.QUERIES)

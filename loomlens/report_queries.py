@@ -56,7 +56,7 @@ over_orders("missing_runs", lambda f: Q.by_ids(_RUNS(f).withColumn("id", F.conca
 over_orders("depth_ratio", lambda f: Q.depth(f.where("is_aligned").withColumn("group", F.concat_ws(":", "council", "goal")), "group"), ", n AS (SELECT council || ':' || goal AS g, count(*) AS n FROM f WHERE is_aligned GROUP BY 1) SELECT a.g AS deep, b.g AS shallow, round(a.n::DOUBLE / b.n, 4) AS ratio FROM n a JOIN n b ON a.n > 2 * b.n")
 over_orders("setting_spread", lambda f: f.where("is_aligned").groupBy("goal", "setting").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("goal").orderBy(F.desc("n"), "setting"))), "SELECT goal, setting, count(*) AS n, row_number() OVER (PARTITION BY goal ORDER BY count(*) DESC, setting)::INTEGER AS rank FROM f WHERE is_aligned GROUP BY 1, 2")
 over_orders("peer_means", lambda f: Q.peer_means(f, "state"), f", p AS (SELECT state, council, year, count(DISTINCT goal) AS goals FROM f WHERE is_aligned GROUP BY 1, 2, 3) SELECT state, year, {rounded('sum(goals)', 'count(*)', 1)} AS mean_goals FROM p GROUP BY 1, 2")
-over_orders("council_share", lambda f: Q.council_share(f.where("milli > 960 or not is_aligned")), f", g AS (SELECT * FROM f WHERE milli > 960 OR NOT is_aligned), p AS (SELECT council, goal, max(is_aligned::INT) AS hit FROM g GROUP BY 1, 2), n AS (SELECT count(DISTINCT council) AS c FROM g) SELECT goal, {rounded('sum(hit)', 'any_value(c)', 1)} AS share FROM p, n GROUP BY 1")
+over_orders("council_share", lambda f: Q.council_share(f), f", g AS (SELECT * FROM f), p AS (SELECT council, goal, max(is_aligned::INT) AS hit FROM g GROUP BY 1, 2), n AS (SELECT count(DISTINCT council) AS c FROM g) SELECT goal, {rounded('sum(hit)', 'any_value(c)', 1)} AS share FROM p, n GROUP BY 1")
 over_orders("two_reports", lambda f: Q.two_reports(f, F.col("year") == 1995, F.col("year") == 1997, 498), f", a AS (SELECT goal, {MEAN} AS m FROM f WHERE year = 1995 GROUP BY 1), b AS (SELECT goal, {MEAN} AS m FROM f WHERE year = 1997 GROUP BY 1), j AS (SELECT goal, coalesce(a.m, 0) AS first, coalesce(b.m, 0) AS second FROM a FULL JOIN b USING (goal)) SELECT goal, first, second, round(second - first, 6) AS difference, first > 0.498::DOUBLE AS first_covers, second > 0.498::DOUBLE AS second_covers FROM j")
 over_vectors("heatmap_top50", lambda f: f.groupBy("vec_id").agg(F.max("milli").alias("best"), *(F.max(F.when(F.col("goal") == g, F.col("milli"))).alias(f"goal_{g}") for g in range(1, 11))).orderBy(F.desc("best"), "vec_id").limit(50), "SELECT vec_id, max(milli) AS best, " + ", ".join(f"max(CASE WHEN goal = {g} THEN milli END) AS goal_{g}" for g in range(1, 11)) + " FROM v GROUP BY 1 ORDER BY best DESC, vec_id LIMIT 50")
 over_orders("score_diagnostics", lambda f: Q.diagnostics(f, "council"), f", r AS (SELECT 'all' AS of, milli FROM f UNION ALL SELECT 'best', max(milli) FROM f GROUP BY council) SELECT of, count(*) AS n, min(milli) AS low, max(milli) AS high, {MEAN} AS mean_score, median(milli)::DOUBLE AS median, round(sqrt((count(*) * sum(milli * milli) - sum(milli) * sum(milli))::DOUBLE) / count(*), 4) AS deviation FROM r GROUP BY 1")
@@ -67,9 +67,12 @@ over_orders("browse_filtered", lambda f: Q.browse(Q.councils(f), name="NATION_1"
 over_orders("council_by_slug", lambda f: Q.councils(f).where("slug = 'nation-7'").select("council", "state", "goals", F.size("years").cast("long").alias("years")), _CS + "SELECT council, state, goals, len(years)::BIGINT AS years FROM c WHERE slug = 'nation-7'")
 over_orders("search_box", lambda f: Q.search_box(Q.councils(f).withColumn("postcodes", F.array(F.concat(F.lit("2"), F.regexp_extract("council", "([0-9]+)$", 1)))), "21").select("council"), _CS + "SELECT council FROM c WHERE contains(lower(council), '21') OR starts_with('2' || regexp_extract(council, '([0-9]+)$', 1), '21') ORDER BY council LIMIT 7")
 over_orders("peers_of_state_or_setting", lambda f: Q.peers(f.groupBy("council", "state").agg(F.max("setting").alias("setting"))), ", p AS (SELECT council, state, max(setting) AS setting FROM f GROUP BY 1, 2) SELECT DISTINCT a.council, b.council AS peer FROM p a JOIN p b ON (a.state = b.state OR a.setting = b.setting) AND a.council <> b.council")
-over_orders("year_or_latest", lambda f: Q.year_or_latest(Q.councils(f.where("year <> 1996 or goal < 5")), 1996), ", c AS (SELECT council, list(DISTINCT year) AS y FROM f WHERE year <> 1996 OR goal < 5 GROUP BY 1) SELECT council, CASE WHEN list_contains(y, 1996) THEN 1996 ELSE list_max(y) END AS year FROM c")
+over_orders("year_or_latest", lambda f: Q.year_or_latest(Q.councils(f), 1996), ", c AS (SELECT council, list(DISTINCT year) AS y FROM f GROUP BY 1) SELECT council, CASE WHEN list_contains(y, 1996) THEN 1996 ELSE list_max(y) END AS year FROM c")
 over_orders("setting_sorted", lambda f: f.where("setting = 'Urban'").orderBy(F.desc("milli"), "activity_id").limit(100).select("activity_id", "setting", "milli"), "SELECT activity_id, setting, milli FROM f WHERE setting = 'Urban' ORDER BY milli DESC, activity_id LIMIT 100")
-QUERIES["reference_goals"] = (lambda spark, sf_dir: Q.reference_goals(spark), "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in Q.GOAL_NAMES.items()) + ") t(goal, name)")
+QUERIES["reference_goals"] = (
+    lambda spark, sf_dir: Q.reference_goals(spark).join(table(spark, sf_dir, "embeddings").groupBy((F.col("label") + 1).alias("goal")).agg(F.count("*").alias("vectors")), "goal", "left"),
+    "SELECT goal, name, vectors FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in Q.GOAL_NAMES.items()) + ") t(goal, name) LEFT JOIN (SELECT label + 1 AS goal, count(*) AS vectors FROM embeddings GROUP BY 1) USING (goal)",
+)
 
 # Trends
 _DENSE = ", y AS (SELECT council, year, goal, {0} AS score FROM f GROUP BY 1, 2, 3), g AS (SELECT DISTINCT council, year, k::INTEGER AS goal FROM f, (SELECT unnest(range(1, 8)) AS k)), d AS (SELECT council, goal, year, coalesce(score, 0) AS score FROM g LEFT JOIN y USING (council, year, goal))"
@@ -130,7 +133,7 @@ over_labels("drawn_sample", lambda f: E.drawn(f.select("vec_id").distinct(), "ve
 over_labels("goal_split", lambda f: E.test_split(f.where("goal = truth").select("vec_id", "truth"), "truth", "vec_id"), f"SELECT vec_id, truth, row_number() OVER (PARTITION BY truth ORDER BY {_KEY}, vec_id) <= greatest(1, floor(count(*) OVER (PARTITION BY truth) * 0.2 + 0.5)) AS is_test FROM l WHERE goal = truth")
 over_labels("training_pairs", lambda f: E.training_pairs(f.where("goal = truth").select("vec_id", "goal"), f.select("goal").distinct().withColumn("variant", F.explode(F.array(F.lit("name"), F.lit("text")))), "vec_id").select("vec_id", "goal", "variant", "batch"), f"SELECT vec_id, goal, variant, (row_number() OVER (PARTITION BY goal ORDER BY {_KEY}, vec_id, variant) - 1)::INTEGER AS batch FROM l, (SELECT unnest(['name', 'text']) AS variant) WHERE goal = truth")
 over_labels("single_label_summary", lambda f: E.single_label(f.groupBy("vec_id").agg(F.first("truth").alias("truth"), (-F.max(F.struct("score", (-F.col("goal")).alias("g")))["g"]).alias("predicted"))), f", c AS (SELECT any_value(truth) AS truth, arg_min(goal, (-score, goal)) AS q FROM l GROUP BY vec_id), u AS (SELECT truth AS k, 1 AS t, 0 AS p, 0 AS h FROM c UNION ALL SELECT q, 0, 1, (truth = q)::INT FROM c), s AS (SELECT k, sum(t)::BIGINT AS support, round({_R('sum(h)', 'sum(p)')}, 6) AS precision, round({_R('sum(h)', 'sum(t)')}, 6) AS recall, round({_R('2 * sum(h)', 'sum(t) + sum(p)')}, 6) AS f1 FROM u GROUP BY 1 HAVING sum(t) > 0) SELECT round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1, round(avg({_R('5 * precision * recall', '4 * precision + recall')}), 5) AS macro_f2, round(sum(precision * support) / sum(support), 5) AS weighted_precision, round(sum(recall * support) / sum(support), 5) AS weighted_recall, round(sum(f1 * support) / sum(support), 5) AS weighted_f1, (SELECT round(avg((truth = q)::INT), 6) FROM c) AS accuracy FROM s")
-over_labels("consensus_labels", lambda f: E.consensus(f.withColumn("vote", F.when(F.col("score") >= 0, "a").otherwise("b")).where("goal <= 5 and (vec_id + goal) % 13 <> 0"), "vec_id", "goal", "vote", "milli", 5), ", v AS (SELECT vec_id, goal, milli, CASE WHEN score >= 0 THEN 'a' ELSE 'b' END AS vote FROM l WHERE goal <= 5 AND (vec_id + goal) % 13 <> 0) SELECT vec_id, string_agg(vote, '' ORDER BY goal) AS votes, CASE WHEN sum((vote = 'a')::INT) >= 3 THEN 'a' WHEN sum((vote = 'b')::INT) >= 3 THEN 'b' ELSE 'neutral' END AS consensus, round(avg(milli), 6) AS mean_score FROM v GROUP BY 1 HAVING count(DISTINCT goal) = 5")
+over_labels("consensus_labels", lambda f: E.consensus(f.withColumn("vote", F.when(F.col("score") >= 0, "a").otherwise("b")).where("goal <= 5"), "vec_id", "goal", "vote", "milli", 5), ", v AS (SELECT vec_id, goal, milli, CASE WHEN score >= 0 THEN 'a' ELSE 'b' END AS vote FROM l WHERE goal <= 5) SELECT vec_id, string_agg(vote, '' ORDER BY goal) AS votes, CASE WHEN sum((vote = 'a')::INT) >= 3 THEN 'a' WHEN sum((vote = 'b')::INT) >= 3 THEN 'b' ELSE 'neutral' END AS consensus, round(avg(milli), 6) AS mean_score FROM v GROUP BY 1 HAVING count(DISTINCT goal) = 5")
 
 
 # Similarity
