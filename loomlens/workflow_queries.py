@@ -41,23 +41,23 @@ SELECT CASE WHEN status IN ('queued', 'processing') AND (run_id = 2 OR updated <
 
 
 def cached_results(spark, sf_dir):
-    """Texts of one language are cached, twice over in batches that share some; then all texts are asked for."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    """Short texts are cached, and longer ones in a batch that shares some with them; then all texts are asked for."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cache = ST.Cache(spark, shared_path(spark, "cache"), "array<double>")
     value = F.array(F.length("text").cast("double"), F.ascii("text").cast("double"))
     model = F.lit("lengths-1")
-    for batch, some, day in (("a", "lang = 'en'", "2024-01-01"), ("b", "lang in ('en', 'fr')", "2024-02-01"), ("b", "lang in ('en', 'fr')", "2024-03-01")):
+    for batch, some, day in (("a", "length(text) < 600", "2024-01-01"), ("b", "length(text) < 2500", "2024-02-01"), ("b", "length(text) < 2500", "2024-03-01")):
         missing = cache.misses(docs.where(some), "text", model)
         cache.put(missing.select("key", value.alias("value")) if batch == "a" else docs.where(some).select(ST.cache_key(F.col("text"), model).alias("key"), value.alias("value")), batch, model, F.lit(day))
     later = cache.clear(F.lit("2024-02-15").cast("timestamp"), shared_path(spark, "cache"))
-    both = cache.get(docs, "text", model).select("doc_id", "lang", "key", "value").join(later.rows().select("key", F.lit(True).alias("new")), "key", "left")
+    both = cache.get(docs, "text", model).select("doc_id", "key", "value").join(later.rows().select("key", F.lit(True).alias("new")), "key", "left")
     return both.select("doc_id", "key", F.col("value").isNotNull().alias("hit"), F.get("value", F.lit(0)).cast("long").alias("length"), F.coalesce("new", F.lit(False)).alias("recent"))
 
 
 QUERIES["cached_results"] = (
     cached_results,
-    """WITH d AS (SELECT doc_id, lang, left(sha256(coalesce(text, '') || ':lengths-1'), 32) AS key, length(coalesce(text, ''))::BIGINT AS length FROM documents),
-k AS (SELECT key, bool_or(lang = 'en') AS old, bool_or(lang IN ('en', 'fr')) AS hit FROM d GROUP BY 1)
+    """WITH d AS (SELECT doc_id, left(sha256(coalesce(text, '') || ':lengths-1'), 32) AS key, length(coalesce(text, ''))::BIGINT AS length FROM documents),
+k AS (SELECT key, bool_or(length < 600) AS old, bool_or(length < 2500) AS hit FROM d GROUP BY 1)
 SELECT doc_id, key, coalesce(hit, false) AS hit, CASE WHEN hit THEN length END AS length, coalesce(hit AND NOT coalesce(old, false), false) AS recent FROM d JOIN k USING (key)""",
 )
 
