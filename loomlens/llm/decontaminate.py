@@ -13,7 +13,8 @@ candidates are read again for the comparison.
 Nulls and edges: a null text has no words; an item without words has no window; a window of an item whose id
 is null hits words but counts for no item. Equal items, and items given twice, each count by id once.
 Repeated documents come back as often as they stand there; very long texts are taken whole. Only A to Z are lowered: the Kelvin
-sign is no k. Without items or documents nothing is hit.
+sign is no k. Without items or documents nothing is hit. Of equally rare shingles a window's
+first is its prefix. ``contaminated`` leaves other columns out, whatever their names; ``clean`` keeps them.
 """
 
 from __future__ import annotations

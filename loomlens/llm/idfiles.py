@@ -9,7 +9,7 @@ them into the shared folder, so that a lost executor's output is written again a
 and ``export`` saves them as plain files.
 
 Nulls: a null text is an empty document (one id, the end). Rows with a null doc_id come first. Equal
-doc_ids stand in the order of their texts. An empty table gives no block and no row.
+doc_ids stand in the order of their texts. An empty table gives no block and no row. Very long texts are taken whole. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations

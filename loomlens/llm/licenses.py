@@ -11,7 +11,7 @@ clause or licence of its family), and isn't spread over more than twice its leng
 
 Nulls and edges: a null text is empty; texts of fewer than two words match nothing. Repeated rows come back as
 often as they stand there. An empty table gives no row. Words are lower-cased as a whole; base phrases
-are ASCII, for which this is the same as lowering ASCII alone.
+are ASCII, for which this is the same as lowering ASCII alone. Very long texts are taken whole. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations

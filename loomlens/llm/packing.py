@@ -6,7 +6,7 @@ in the concatenation of all ids, and cuts that at every multiple of the sequence
 that crosses a cut has one boundary record on either side. Only the last sequence needs padding.
 
 Nulls: a null text is an empty document (one id, the end); a null doc_id is carried as it is. Repeated
-rows are packed as often as they stand there. An empty table gives no pieces.
+rows are packed as often as they stand there. An empty table gives no pieces. Very long texts are taken whole. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations

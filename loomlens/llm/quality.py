@@ -8,7 +8,7 @@ in proportion to their weights. k is a share of all documents; by default the sh
 
 Nulls: a null text is empty (log weight 0); null labels and doc_ids aren't learned from. Rows with equal
 keys rank by doc_id, then by text length. Repeated rows are candidates each. An empty table gives no row; without
-good labels every log weight is 0.
+good labels every log weight is 0. Very long texts are taken whole. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations

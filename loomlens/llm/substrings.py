@@ -12,7 +12,8 @@ this changes where rows are sorted, not the result. A group of over HOT rows tha
 combined shuffle. Texts are moved compressed. Digits are 64-bit hashes.
 
 Nulls and edges: a null text is empty; texts of under 200 bytes lose nothing; a null doc_id is carried as it is.
-Repeated rows of at least 200 bytes lose all they have, as each is the other's copy. An empty table gives no row.
+Repeated rows of at least 200 bytes lose all they have, as each is the other's copy. An empty table gives no row. Very long texts are taken whole. ``removed`` leaves columns other than doc_id and text out, whatever their names;
+``cleaned`` keeps them.
 """
 
 from __future__ import annotations
