@@ -15,7 +15,7 @@ import numpy as np
 
 #: Units kept in a worker's memory, in two generations of half as many: when the young one is full, it becomes the old one,
 #: and what was in the old one is forgotten unless it was met since. This costs time but changes no id.
-MOST_UNITS = 300_000
+MOST_UNITS = 800_000
 
 #: White space other than space, tab, LF and CR, as UTF-8. A text with any of it isn't cut into units by gaps.
 _ODD_LEADS = b"\x0b\x0c\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"
@@ -44,7 +44,7 @@ class Units(dict):
             self.old = dict(self)
             self.clear()
         got = self.old.get(unit)
-        self[unit] = got = array("I", self.encode(unit)).tobytes() if got is None else got
+        self[unit] = got = self.encode(unit) if got is None else got
         return got
 
 
@@ -97,12 +97,12 @@ class ByteLevel:
         tokenizer = _load(name)
         merged = _merges(name) or (lambda unit: tokenizer.encode(unit.decode(), add_special_tokens=False).ids)
 
-        def encode(unit: bytes) -> list[int]:
+        def encode(unit: bytes) -> bytes:
             if _LETTERS(unit):  # one word to the cutter
-                return merged(unit)
+                return array("I", merged(unit)).tobytes()
             if parts := _PARTS(unit):
-                return [i for part in parts.groups() if part for i in np.frombuffer(self.units[part], "<u4")]
-            return tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+                return b"".join([self.units[part] for part in parts.groups() if part])
+            return array("I", tokenizer.encode(unit.decode(), add_special_tokens=False).ids).tobytes()
 
         self.units, self.names, self.tokenizer = Units(encode), _names(tokenizer), tokenizer
 
@@ -127,10 +127,10 @@ class WordLevel:
         tokenizer = _load(name)
         seen = _visible()
 
-        def encode(unit: bytes) -> list[int]:
+        def encode(unit: bytes) -> bytes:
             if _LETTERS(unit):  # such a run is one word: it only needs lower-casing
-                return [t.id for t in tokenizer.model.tokenize("".join(map(seen.__getitem__, unit.decode().lower().encode())))]
-            return tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+                return array("I", [t.id for t in tokenizer.model.tokenize("".join(map(seen.__getitem__, unit.decode().lower().encode())))]).tobytes()
+            return array("I", tokenizer.encode(unit.decode(), add_special_tokens=False).ids).tobytes()
 
         self.units, self.names, self.tokenizer = Units(encode), _names(tokenizer), tokenizer
 
