@@ -3,8 +3,6 @@
 A document's set is that of its 5-word shingles. Documents with equal sets form a class; each class has
 one signature of 64 symbols of 16 bits, the low bits of 64 minima. Two signatures that differ in at most
 MOST_APART = 31 symbols agree, by pigeonhole, in all but one symbol of some of the 16 chunks of four; so a
-#: So many orders of classes, from which a large bucket takes its pivot by its key.
-PIVOTS = 4
 class stands in the index under each chunk with each of its symbols left out (64 picks), and all such
 pairs meet in a bucket, whatever its size. (Sets of similarity 0.75 differ in 16 symbols on average; a
 pair at just 0.75 is more than 31 apart about once in a hundred thousand.)
@@ -290,8 +288,8 @@ def confirmed(found: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the links (a, b) reaches. Alternating large and small stars."""
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, label): the smallest node that each node of the links (a, b) reaches; there are ``most`` at most, if that is known. Alternating large and small stars."""
 
     def star(edges, large):
         both = edges.union(edges.select("b", "a"))
@@ -300,22 +298,23 @@ def components(links: DataFrame) -> DataFrame:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
         return (out if large else out.union(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
 
-    edges, before = links.select("a", "b").where("a <> b").distinct().checkpoint(), None
+    edges, before = links.select("a", "b").where("a <> b").distinct(), None
+    edges = edges.checkpoint() if most is None else C.in_few_files(edges, most)
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
         before = now
-        edges = star(star(edges, True), False).checkpoint()
+        edges = C.in_few_files(star(star(edges, True), False), 2 * now[0])
     own = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return own.union(own.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
+    return C.in_few_files(own.union(own.select(F.col("label").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label")), 2 * now[0])
 
 
 def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     """Labels (node, label) after further links (a, b): only the labels that these join are worked on again."""
     a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
     ends = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    over = components(ends).checkpoint()
+    over = components(ends, more.count())
     moved = labels.join(over.toDF("label", "new"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     return moved.union(over.toDF("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
 
@@ -370,13 +369,13 @@ def _between(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, _LONG), pa.array(b, _LONG)], names=names)
 
 
-def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
-    """Links (a, b) between members (key, rep) of one large bucket that have different labels.
+def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, most: int, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
+    """Links (a, b) between members (key, rep), ``most`` at most, of one large bucket that have different labels.
 
     Those outside a bucket's largest component are dealt to parts of ``others``, all members to blocks of ``block``;
     each part meets each block in a group of its own, so that a task holds one part and reads a block through.
     """
-    named = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).checkpoint()
+    named = C.in_few_files(members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), most)
     counts = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("all"))
     mixed_keys = counts.where("x.c < all").select("key", F.col("x.label").alias("most"), F.ceil(F.col("all") / block).cast("int").alias("ms"), F.ceil((F.col("all") - F.col("x.c")) / others).cast("int").alias("rs"))
     rows = named.join(mixed_keys, "key").withColumn("outside", F.col("label") != F.col("most"))
@@ -390,17 +389,18 @@ def in_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, block: in
 
 def labelled(reps: DataFrame, texts: DataFrame, most_all: int = MOST_ALL, block: int = BLOCK, others: int = OTHERS) -> DataFrame:
     """(node, label) of the classes (rep, n, sig) that are linked with others: the smallest class that each reaches."""
-    hot = hot_keys(reps, most_all)
-    met = keyed(reps, hot, False).repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting(most_all), sql_schema(_MET)).checkpoint()
-    members = met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True)).checkpoint()
+    hot, most = hot_keys(reps, most_all), len(_PICKED) * reps.count()
+    met = C.in_few_files(keyed(reps, hot, False).repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting(most_all), sql_schema(_MET)), most)
+    members = C.in_few_files(met.where("pick = 0").select(F.col("x").alias("key"), F.col("y").alias("rep")).union(keyed(reps, hot, True)), most)
     # Members of one group meet in many buckets. With a pivot of its own for each, every member would be paired with as many; by one of PIVOTS orders of classes they agree on few.
     pivots = members.groupBy("key").agg(F.min_by("rep", F.xxhash64(F.pmod("key", F.lit(PIVOTS)), "rep")).alias("pivot"))
     stars = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     found = met.where("pick < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).union(stars).distinct()
-    labels = components(confirmed(near(found, reps).checkpoint(), texts)).checkpoint()
+    able = near(found, reps).checkpoint()
+    labels = components(confirmed(able, texts), able.count())
     if members.isEmpty():
         return labels
-    return joined(labels, in_blocks(members, labels, texts, block, others).distinct().checkpoint())
+    return joined(labels, in_blocks(members, labels, texts, most, block, others).distinct().checkpoint())
 
 
 def classes(docs: DataFrame, **sizes: int) -> DataFrame:

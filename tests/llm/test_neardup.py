@@ -126,3 +126,22 @@ def test_labels_after_further_links(spark):
     got = {r.node: r.label for r in neardup.joined(labels, spark.createDataFrame(more, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 30: 1, 31: 1, 20: 20, 21: 20, 40: 20, 50: 50, 51: 50}
     assert {r.node: r.label for r in neardup.joined(labels, spark.createDataFrame([], "a long, b long")).collect()} == {r.node: r.label for r in labels.collect()}
+
+
+def test_small_scratch_data_is_in_few_files(spark):
+    """Whatever the number of partitions in which it is dealt out; large scratch data stays as it is dealt."""
+    names = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = neardup.components(spark.createDataFrame([(i + 1, i) for i in range(9)], "a long, b long"))
+        assert got.rdd.getNumPartitions() <= cores < 30
+        assert {(r.node, r.label) for r in got.collect()} == {(i, 0) for i in range(10)}
+        rows = spark.range(0, 100, 1, 20)
+        assert neardup.C.in_few_files(rows, 20 * neardup.C.ROWS_A_FILE).rdd.getNumPartitions() == 20
+        assert neardup.C.in_few_files(rows, 7 * neardup.C.ROWS_A_FILE).rdd.getNumPartitions() == max(cores, 7)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
