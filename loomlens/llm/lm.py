@@ -18,6 +18,7 @@ and the model spreads over its symbols evenly.
 from __future__ import annotations
 
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +119,6 @@ class Steps:
         for place, i in enumerate(self.order):
             self.at[self.starts[: lengths[i]] + place] = rows[i]
 
-    def symbols(self, t: int) -> np.ndarray:
-        return self.at[self.starts[t] : self.starts[t + 1]]
-
 
 class Model:
     def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
@@ -136,60 +134,84 @@ class Model:
         np.fill_diagonal(move, 0.8 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
-    def step(self, a, symbols: np.ndarray):
-        """The scaled forward states one token on, and the scales; ``a`` is None at the start."""
-        n = len(symbols)
-        a = (np.broadcast_to(self.first, (n, len(self.first))) if a is None else a[:n] @ self.move) * self.emit[symbols]
-        scale = a.sum(axis=1, keepdims=True)
-        return a / scale, scale
+    @cached_property
+    def columns(self) -> np.ndarray:
+        """``emit`` with a row for each state, as a task needs it: what is done for all tokens of a step then runs along memory."""
+        return np.ascontiguousarray(self.emit.T)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "columns"}
+
+    def forward(self, steps: Steps, begin: int, end: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the steps from ``begin`` to ``end`` the scaled forward states, the emissions and the scales, a column for each token; ``a`` is the states before them, None at the start."""
+        low = steps.starts[begin]
+        given = self.columns.take(steps.at[low : steps.starts[end]], axis=1)
+        states, scales = np.empty_like(given), np.empty(given.shape[1])
+        for t in range(begin, end):
+            own = slice(steps.starts[t] - low, steps.starts[t + 1] - low)
+            now = states[:, own]
+            if a is None:
+                np.multiply(self.first[:, None], given[:, own], out=now)
+            else:
+                np.matmul(self.move.T, a[:, : now.shape[1]], out=now)
+                now *= given[:, own]
+            now /= now.sum(axis=0, out=scales[own])
+            a = now
+        return states, given, scales
 
     def log10(self, rows: list[np.ndarray]) -> np.ndarray:
         """Of each whole sequence, by the scaled forward recursion."""
         steps, out, a = Steps(rows), np.zeros(len(rows)), None
-        for t, n in enumerate(steps.n):
-            a, scale = self.step(a, steps.symbols(t))
-            out[:n] += np.log10(scale[:, 0])
+        for begin in range(0, len(steps.n), SPAN):
+            end = min(begin + SPAN, len(steps.n))
+            states, _, scales = self.forward(steps, begin, end, a)
+            a, scales = states[:, states.shape[1] - steps.n[end - 1] :].copy(), np.log10(scales)
+            for t in range(begin, end):
+                out[: steps.n[t]] += scales[steps.starts[t] - steps.starts[begin] : steps.starts[t + 1] - steps.starts[begin]]
         back = np.empty(len(rows))
         back[steps.order] = out
         return back
 
     def expected(self, rows: list[np.ndarray], span: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of first states, transitions and emissions over the whole sequences, and their log10 likelihood."""
-        steps, marks, a, total = Steps(rows), [None], None, 0.0
+        steps, marks, total = Steps(rows), [None], 0.0
         span = span or (len(steps.n) if len(steps.at) <= KEPT else SPAN)
-        for t in range((len(steps.n) - 1) // span * span):  # what a single span holds is kept on the way back
-            a, _ = self.step(a, steps.symbols(t))
-            if (t + 1) % span == 0:
-                marks.append(a)
-        move, emit, weighed = np.zeros_like(self.move), np.zeros_like(self.emit), None
+        for end in range(span, len(steps.n), span):  # what the last span holds is kept on the way back
+            states = self.forward(steps, end - span, end, marks[-1])[0]
+            marks.append(states[:, states.shape[1] - steps.n[end - 1] :].copy())
+        move, emit, weighed = np.zeros_like(self.move), np.zeros_like(self.columns), None
         held, size, gamma = [], 0, None
 
         def settle():
-            at, g = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            for s in range(len(self.first)):
-                emit[:, s] += np.bincount(at, g[:, s], len(emit))
+            at, g = (np.concatenate(x, axis=-1) if len(held) > 1 else x[0] for x in zip(*held, strict=True))
+            at = at.astype(np.intp)
+            for s in range(len(emit)):
+                emit[s] += np.bincount(at, g[s], emit.shape[1])
 
         for k in range(len(marks) - 1, -1, -1):
-            a, alphas, scales = marks.pop(), [], []
-            for t in range(k * span, min((k + 1) * span, len(steps.n))):
-                a, scale = self.step(a, steps.symbols(t))
-                alphas.append(a)
-                scales.append(scale)
-                total += float(np.log10(scale).sum())
-            for i in range(len(alphas) - 1, -1, -1):
-                t, b = k * span + i, np.empty((0, len(self.first)))
-                if weighed is not None:
-                    move += alphas[i][: len(weighed)].T @ weighed
-                    b = weighed @ self.move.T
-                b = np.concatenate([b, np.ones((steps.n[t] - len(b), len(self.first)))])
-                gamma = alphas[i] * b
-                held.append((steps.symbols(t), gamma))
-                size += len(gamma)
-                weighed = self.emit[steps.symbols(t)] * b / scales[i]
+            begin, end = k * span, min((k + 1) * span, len(steps.n))
+            states, given, scales = self.forward(steps, begin, end, marks.pop())
+            total += float(np.log10(scales).sum())
+            np.reciprocal(scales, out=scales)
+            low = steps.starts[begin]
+            for t in range(end - 1, begin - 1, -1):  # in place: states become their expected counts, emissions what goes on to the step before
+                own = slice(steps.starts[t] - low, steps.starts[t + 1] - low)
+                gamma, now = states[:, own], given[:, own]
+                if weighed is not None:  # sequences that end here go on with ones
+                    n = weighed.shape[1]
+                    move += gamma[:, :n] @ weighed.T
+                    b = self.move @ weighed
+                    gamma[:, :n] *= b
+                    now[:, :n] *= b
+                now *= scales[own]
+                weighed = now
+            weighed = weighed.copy()
+            held.append((steps.at[low : steps.starts[end]], states))
+            size += states.shape[1]
             if size > POOL // 4 or not k:
                 settle()
                 held, size = [], 0
-        return gamma.sum(axis=0), move * self.move, emit, total
+        return gamma.sum(axis=1), move * self.move, emit.T, total
 
     @classmethod
     def of(cls, first: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.ndarray) -> Model:

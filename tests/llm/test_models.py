@@ -1,5 +1,6 @@
 import itertools
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -47,6 +48,27 @@ def test_forward_and_counts_match_all_paths():
             assert np.allclose(want, got)
 
 
+@pytest.mark.parametrize("begin", [0, 1, 3])
+def test_steps_of_all_sequences_along_memory(begin):
+    """States, emissions and scales have a column for each token, from any step on, and are those of each sequence by itself."""
+    rng = np.random.default_rng(4)
+    model = lm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    rows = [rng.integers(0, 5, n).astype(np.uint16) for n in (2, 6, 4, 6, 1)]
+    steps, want = lm.Steps(rows), {}
+    for i, row in enumerate(rows):
+        a = None
+        for t, o in enumerate(row):
+            a = (model.first if a is None else a @ model.move) * model.emit[o]
+            want[i, t], a = (a / a.sum(), model.emit[o], a.sum()), a / a.sum()
+    before = None if not begin else np.stack([want[i, begin - 1][0] for i in steps.order[: steps.n[begin - 1]]], axis=1)
+    states, given, scales = model.forward(steps, begin, len(steps.n), before)
+    at = [(steps.order[k], t) for t in range(begin, len(steps.n)) for k in range(steps.n[t])]
+    assert states.flags.c_contiguous and given.flags.c_contiguous and states.shape == given.shape == (3, len(at))
+    for k, x in enumerate(at):
+        assert np.allclose(states[:, k], want[x][0]) and np.allclose(given[:, k], want[x][1]) and scales[k] == pytest.approx(want[x][2])
+    assert "columns" in model.__dict__ and "columns" not in pickle.loads(pickle.dumps(model)).__dict__
+
+
 def naive(rows, head, rounds, states):
     """(likelihoods before each round, score by doc_id), token by token, without pools, spans or scaling tricks."""
     tokens = {i: (t or "").encode().lower().split() for i, t, *_ in rows}
