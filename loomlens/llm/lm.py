@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import cached_property
+from itertools import compress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -77,20 +79,24 @@ def rare_classes(kinds: int) -> int:
     return min(RARE_CLASSES, 1 << max(0, (kinds // PER_CLASS).bit_length()))
 
 
-class Symbols:
-    """Ids of words: 0 the end, then ``classes`` for rare words by hash, then the head."""
+class Symbols(dict):
+    """Ids of words: 0 the end, then ``classes`` for rare words by hash, then the head. Rare words aren't kept."""
 
     def __init__(self, head: list[bytes], classes: int):
-        self.of, self.classes = {w: i + 1 + classes for i, w in enumerate(head)}, classes
-
-    def rare(self, word: bytes) -> int:
-        from zlib import crc32
+        super().__init__((w, i + 1 + classes) for i, w in enumerate(head))
+        self.classes = classes
 
+    def __missing__(self, word: bytes) -> int:
         return 1 + crc32(word) % self.classes
 
+    def __reduce__(self):
+        return Symbols, (list(self), self.classes)
+
     def ids(self, found: list[bytes]) -> np.ndarray:
-        get = self.of.get
-        return np.array([get(w) or self.rare(w) for w in found] + [END], dtype=np.uint16)
+        out = np.empty(len(found) + 1, np.uint16)
+        out[:-1] = np.fromiter(map(self.__getitem__, found), np.uint16, len(found))
+        out[-1] = END
+        return out
 
 
 def pooled(rows, size):
@@ -290,7 +296,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int
                     is_rare = (ids > END) & (ids <= classes)
                     own = ids[~is_rare]
                     # Rare words' shares of their classes: here what they are divided by, the counts by the join below.
-                    yield at, doc_id, held_out, len(ids), int(known[own].sum()), float(base[own].sum()), float(-within[ids[is_rare]].sum()), ids.tobytes(), b" ".join(found[i] for i in np.flatnonzero(is_rare))
+                    yield at, doc_id, held_out, len(ids), int(known[own].sum()), float(base[own].sum()), float(-within[ids[is_rare]].sum()), ids.tobytes(), b" ".join(compress(found, is_rare.tolist()))
                     at += 1
 
         yield from batches_of(rows(), schema, lambda r: len(r[7]) + len(r[8]) + 88)

@@ -69,6 +69,14 @@ def test_steps_of_all_sequences_along_memory(begin):
     assert "columns" in model.__dict__ and "columns" not in pickle.loads(pickle.dumps(model)).__dict__
 
 
+def test_symbols_of_rare_words_are_not_kept():
+    """Looked up word by word without a call each; in a task as on the driver."""
+    symbols = pickle.loads(pickle.dumps(lm.Symbols([b"the", b"of"], 4)))
+    words = [b"of", b"rare", b"the", b"rarer"]
+    assert symbols.ids(words).tolist() == [6, 1 + zlib.crc32(b"rare") % 4, 5, 1 + zlib.crc32(b"rarer") % 4, 0]
+    assert symbols.ids([]).tolist() == [0] and dict(symbols) == {b"the": 5, b"of": 6}
+
+
 def naive(rows, head, rounds, states):
     """(likelihoods before each round, score by doc_id), token by token, without pools, spans or scaling tricks."""
     tokens = {i: (t or "").encode().lower().split() for i, t, *_ in rows}
