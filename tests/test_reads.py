@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlens.operators import corrections as C
+from loomlens.operators import evaluation as E
 from loomlens.operators import reads as Q
 from loomlens.operators import trends as TR
 
@@ -97,3 +98,10 @@ def test_grades_and_pages(spark):
     assert Q.page(facts, "i", size=1000).count() == 200 and Q.page(facts, "i", 1, "TEXT 49", "t").first().total == 5
     with pytest.raises(ValueError):
         Q.browse(facts, order="other")
+
+
+def test_deviations_of_sums_beyond_a_long(spark):
+    # Two scores whose squares times the rows exceed a long, as the products of nine million rows of thousandths do.
+    facts = spark.createDataFrame([("a", 1_000_000_000), ("b", 2_000_000_000)], "council string, milli long")
+    assert {(r.of, r.n, r.deviation) for r in Q.diagnostics(facts, "council").collect()} == {("all", 2, 5e8), ("best", 2, 5e8)}
+    assert [r.deviation for r in E.score_statistics(facts.withColumn("of", F.lit(1)), ["of"]).collect()] == [5e8]
