@@ -194,3 +194,8 @@ def test_every_fact_is_in_a_run(spark):
     assert {r[0] for r in got.select("state").distinct().collect()} >= {"both"}
     held = got.agg(F.sum(F.coalesce("new_value", F.lit(0)) + F.coalesce("old_value", F.lit(0)))).first()[0]
     assert held == registry.order_facts(spark, SF).agg(F.sum("milli")).first()[0]
+
+
+def test_texts_without_words_have_no_broken_letters(spark, tmp_path):
+    spark.createDataFrame([(1, ""), (2, " \n\t"), (3, None), (4, "a b c word")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.density for r in registry.QUERIES["ocr_density"][0](spark, str(tmp_path)).collect()} == {1: 0.0, 2: 0.0, 3: None, 4: 0.25}
