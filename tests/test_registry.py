@@ -199,3 +199,30 @@ def test_every_fact_is_in_a_run(spark):
 def test_texts_without_words_have_no_broken_letters(spark, tmp_path):
     spark.createDataFrame([(1, ""), (2, " \n\t"), (3, None), (4, "a b c word")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.density for r in registry.QUERIES["ocr_density"][0](spark, str(tmp_path)).collect()} == {1: 0.0, 2: 0.0, 3: None, 4: 0.25}
+
+
+def test_filters_of_texts_without_words_and_of_many_years(spark, tmp_path):
+    texts = ["", " \n\t", None, "12 34", "2019 " * 5000, "In 2019 and 2020 it cost $5"]
+    spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source: r for r in registry.QUERIES["filter_report"][0](spark, str(tmp_path)).collect()}
+    assert [(got[s].looks_like_table, got[s].is_mostly_numbers, got[s].lacks_content, got[s].passed) for s in ("s0", "s1", "s3", "s4")] == [(0, 1, 1, 0), (0, 1, 1, 0), (1, 1, 1, 0), (1, 1, 1, 0)]
+    assert got["s2"].passed is None and got["s5"].looks_like_table == 1
+
+
+def test_patterns_are_tried_where_their_words_stand(spark):
+    import re
+
+    from loomlens.functions import lexicons as L
+
+    assert T.needed(r"\b(a|b)\s+(one|two)\s*$") == ("one", "two") and T.needed(r"\bgo(od)?\s+words?\b") == ("word",) and T.needed(r"\d+|x") == ()
+    assert T.needed(r"(a(b|c))+d?") == () and all(all(T.needed(p)) and T.needed(p) for p in L.NON_ACTIVITY)
+    texts = ["past service contributions are used", "manager of x strategic planning", "the shire is in", "there is no x which", "service cost $1,234.56", "director of assets a director", "accordance with planning", "so the shire is in"]
+    for t in texts:
+        assert one(spark, T.is_non_activity, t) is bool(re.search("|".join(L.NON_ACTIVITY), t)), t
+
+
+def test_abbreviations_in_any_case_beside_marks(spark):
+    t = "MET AL. and Et Al. of \u0130nc. No. 5 and mr.dr. Xst. of long. Then all the rest"
+    want = [("MET AL", "and et al. of inc. no. 5 and mr.dr. Xst", "of long", "Then all the rest")]
+    assert [tuple(one(spark, lambda c: T.sentences(c, 1), t))] == want
+    assert one(spark, lambda c: T.sentences(c, 1), "\ue000 No. 5 is here") == ["\ue000 no. 5 is here"]
