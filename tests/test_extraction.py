@@ -60,3 +60,19 @@ def test_pieces_and_counts(spark):
     assert one(EX.first_failure, "a | b | c") == "looks_like_table"
     # Digits at the ends of sentences stay, whatever the sentence's place.
     assert one(lambda t: T.sentences(t, 2, ()), "0abc0. 1abc1. 2abc2") == ["0abc0", "1abc1", "2abc2"]
+
+
+def test_scores_are_worked_out_once(spark):
+    docs = spark.createDataFrame([(1, "word " * 30)], "doc_id long, text string")
+    plan = EX.extracted(docs, "doc_id", 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:increased|decreased|reduced|improved)") == 1
+
+
+def test_words_present_in_a_text(spark):
+    terms = ("road", "road works", "roads", "works", "a.c", "ad", "pool", "car pool")
+    for text in ("the road works here", "broads", "abc a.c", "a car poo", "carpool", "", "car  pool road work"):
+        own = spark.createDataFrame([(text,)], "t string").select(T.present(F.col("t"), terms)).first()[0]
+        assert [x in own for x in terms] == [x in text for x in terms], text
+    assert T.tree(("road", "roads", "rope", "a.")) == "(?:a\\.|ro(?:ad(?:s)?|pe))"
+    got = spark.createDataFrame([("we implemented it",), ("it was REVIEWED",), ("it was",), ("none",), (None,)], "t string").select(T.simple_confidence(F.col("t"))).collect()
+    assert [r[0] for r in got] == [0.9, 0.7, 0.3, 0.5, 0.5]
