@@ -226,3 +226,20 @@ def test_abbreviations_in_any_case_beside_marks(spark):
     want = [("MET AL", "and et al. of inc. no. 5 and mr.dr. Xst", "of long", "Then all the rest")]
     assert [tuple(one(spark, lambda c: T.sentences(c, 1), t))] == want
     assert one(spark, lambda c: T.sentences(c, 1), "\ue000 No. 5 is here") == ["\ue000 no. 5 is here"]
+
+
+def test_similar_sets_are_compared_after_their_bounds(spark):
+    import random
+
+    from loomlens.operators import evaluation as E
+
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 14))] for _ in range(40)] + [[f"v{rng.randrange(900)}" for _ in range(400)] for _ in range(2)]
+    docs = [(i, w) for i, w in enumerate([*base, *(w[: len(w) - rng.randrange(3)] or w for w in base), []])]
+    frame = spark.createDataFrame(docs, "k long, w array<string>")
+    found = E.similar(frame, "k", "w", 60)
+    sets = {i: frozenset(w) for i, w in docs if w}
+    want = {(i, min(j for j in sets if sets[j] == x), sum(100 * len(x & y) > 60 * len(x | y) for j, y in sets.items() if j != i)) for i, x in sets.items()}
+    assert {tuple(r) for r in found.collect()} == want and any(n > 1 for *_, n in want)
+    join = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "bit_count" in x]
+    assert join and all("word" in x for x in join)
