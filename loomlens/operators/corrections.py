@@ -60,31 +60,37 @@ MODULES = {
 }
 
 
+#: All words that flags look for.
+_ALL = tuple(dict.fromkeys(w for words in (*ONE.values(), W.COAST_14, W.ROADS_14, W.VERBS_14, W.PLACES_14) for w in words))
+
+
 def _some(words) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
 
 
-def road_by_the_sea(low: Column) -> Column:
-    """A word of the coast before one of roads, or within five words of one, or with a verb of works anywhere."""
+def road_by_the_sea(low: Column, known: Column) -> Column:
+    """A word of the coast before one of roads, or within five words of one, or with a verb of works anywhere. ``known`` has the listed words of the text; only texts with both kinds are cut into words."""
     w, roads = T.tokens(low), F.array(*map(F.lit, W.ROADS_14))
     near = F.exists(F.transform(w, lambda x, i: x.rlike(_some(W.COAST_14)) & F.arrays_overlap(F.slice(w, F.greatest(i - 4, F.lit(1)), i + 6 - F.greatest(i - 5, F.lit(0))), roads)), lambda hit: hit)
-    return low.rlike(f"(?:{_some(W.COAST_14)}) (?:{_some(W.ROADS_14)})") | near | (T.any_of(low, W.VERBS_14) & T.any_of(low, W.COAST_14) & T.any_of(low, W.ROADS_14))
+    both = T.any_of(known, W.COAST_14) & T.any_of(known, W.ROADS_14)
+    return F.when(both, T.any_of(known, W.VERBS_14) | low.rlike(f"(?:{_some(W.COAST_14)}) (?:{_some(W.ROADS_14)})") | near).otherwise(False)
 
 
-def place_by_the_sea(low: Column) -> Column:
-    """A word with a place's name: beside a road within three words, or after a mark of a location."""
+def place_by_the_sea(low: Column, known: Column) -> Column:
+    """A word with a place's name: beside a road within three words, or after a mark of a location. Only texts with such a name are cut into words."""
     w, single = T.tokens(low), [p for p in W.PLACES_14 if " " not in p]
 
     def at(x, i):
         before, after = F.array_join(F.slice(w, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " "), F.array_join(F.slice(w, i + 2, F.lit(3)), " ")
         return x.rlike(_some(single)) & (before.rlike(_some(W.ROADS_14 + W.WHERE_14)) | after.rlike(_some(W.ROADS_14)))
 
-    return F.exists(F.transform(w, at), lambda hit: hit)
+    return F.when(T.any_of(known, single), F.exists(F.transform(w, at), lambda hit: hit)).otherwise(False)
 
 
-def flags(text: Column) -> dict[str, Column]:
+def flags(text: Column, known: Column) -> dict[str, Column]:
+    """``known`` is what ``T.present`` finds of all listed words."""
     low = F.lower(text)
-    return {k: T.any_of(low, v) for k, v in ONE.items()} | {k: T.count_of(low, v) >= 2 for k, v in TWO.items()} | {"road14": road_by_the_sea(low), "place14": place_by_the_sea(low)}
+    return {k: T.any_of(known, v) for k, v in ONE.items()} | {k: T.count_of(known, v) >= 2 for k, v in TWO.items()} | {"road14": road_by_the_sea(low, known), "place14": place_by_the_sea(low, known)}
 
 
 def wide(facts: DataFrame, by: list[str], goal: str = "goal", score: str = "score") -> DataFrame:
@@ -114,8 +120,10 @@ def corrected(rows: DataFrame, text: str = "text", mode: str = "hybrid", modules
     for m, method in methods.items():
         if method not in known[m]:
             raise ValueError(f"unknown method {method} of goal {m}")
-    found = flags(F.coalesce(F.col(text), F.lit("")))
-    out = rows.withColumns({f"_flag_{k}": c for k, c in found.items()})  # columns of their own: fields of a struct would be worked out again at each use
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = flags(whole, F.col("_known"))
+    out = rows.withColumn("_known", T.present(F.lower(whole), _ALL))
+    out = out.withColumns({f"_flag_{k}": c for k, c in found.items()}).drop("_known")  # columns of their own: fields of a struct would be worked out again at each use
     out = out.withColumns({f"a{g}": F.col(f"{judged}{g}") >= threshold(F.lit(g), mode) for g in GOALS} | {f"c{g}": F.lit(False) for g in GOALS})
     for m, rules in MODULES.items():
         if m not in modules:

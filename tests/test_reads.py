@@ -105,3 +105,9 @@ def test_deviations_of_sums_beyond_a_long(spark):
     facts = spark.createDataFrame([("a", 1_000_000_000), ("b", 2_000_000_000)], "council string, milli long")
     assert {(r.of, r.n, r.deviation) for r in Q.diagnostics(facts, "council").collect()} == {("all", 2, 5e8), ("best", 2, 5e8)}
     assert [r.deviation for r in E.score_statistics(facts.withColumn("of", F.lit(1)), ["of"]).collect()] == [5e8]
+
+
+def test_words_of_corrections_are_found_in_one_pass(spark):
+    rows = spark.createDataFrame([("A road upgrade by Byron Road in partnership with the shire",)], "text string").withColumns({f"s{g}": F.lit(0.5) for g in C.GOALS})
+    plan = C.corrected(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
