@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,25 @@ def aligned_words(facts: DataFrame, text: str, k: int = 50, least_score: float =
     return ranked.join(F.broadcast(per), "goal")  # one row a goal
 
 
-def grams(text, longest: int, least: int, stop):
-    """Array of a text's runs of one to ``longest`` neighbouring words, of words that have ``least`` letters and aren't stop words."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
-    runs = lambda own, n: F.transform(F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(own, i, n), " "))
-    return F.get(F.transform(F.array(words), lambda own: F.concat(*(runs(own, n) for n in range(1, longest + 1)))), 0)
+#: So many rows at most are sent to all tasks; more are joined by shuffling.
+MOST_SENT = 500_000
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Written once; sent to all tasks if there are few."""
+    rows = rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) or rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
+def own_words(text, least: int, stop):
+    """Array of a text's words that have ``least`` letters and aren't stop words."""
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+
+
+def runs(words, n: int):
+    """Array of the runs of ``n`` neighbouring words."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
 def weighed_terms(docs: DataFrame, group: str, doc: str, k: int = 10, text: str = "text", vocabulary: int = 1000, most_df: float = 0.95, longest: int = 3, least: int = 4, stop=STOP_WORDS) -> DataFrame:
@@ -81,13 +97,33 @@ def weighed_terms(docs: DataFrame, group: str, doc: str, k: int = 10, text: str
 
     Terms are runs of up to ``longest`` words. Those in more than ``most_df`` of the group's documents are left out, and of the others the ``vocabulary`` most frequent make the vectors, of equal ones the first
     by name; both limits are the feature's. idf is ln((1 + N) / (1 + df)) + 1.
+
+    Most runs stand in a text or two, so that they are not all counted. The ``vocabulary`` most frequent words that are in few enough rows set a floor: a term under it can't be among the most frequent, nor can a run
+    that holds a run under it. Runs of n words are counted only where both of their runs of n - 1 words reach the floor, and what reaches it goes with its document.
     """
-    tf = docs.select(group, doc, F.explode(grams(F.col(text), longest, least, stop)).alias("term")).groupBy(group, doc, "term").agg(F.count("*").alias("tf"))
-    sizes = docs.groupBy(group).agg(F.count("*").alias("docs"))
-    per = tf.groupBy(group, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).join(F.broadcast(sizes), group).where(F.col("df") <= most_df * F.col("docs"))
-    order = Window.partitionBy(group).orderBy(F.desc("total"), "term")
-    known = per.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= vocabulary).withColumn("idf", F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).select(group, "term", "df", "idf")
-    vectors = tf.join(known, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = vectors.groupBy(group, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    sums = vectors.join(lengths, [group, doc]).groupBy(group, "term", "df").agg(F.round(F.sum(F.col("w") / F.col("length")), 4).alias("weight"))
-    return sums.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= k)
+    words = docs.select(F.col(group).alias("g"), F.col(doc).alias("d"), own_words(F.col(text), least, stop).alias("w"))
+    sizes = docs.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("docs"))
+    each = lambda of, new: F.transform(of, lambda w: F.struct(w.alias("term"), F.lit(1 - new).alias("tf"), F.lit(new).alias("row")))
+    single = words.select("g", F.explode(F.concat(each(F.col("w"), 0), each(F.array_distinct("w"), 1))).alias("x")).groupBy("g", "x.term").agg(F.sum("x.tf").alias("total"), F.sum("x.row").alias("rows"))
+    sure = single.join(F.broadcast(sizes), "g").where(F.col("rows") <= most_df * F.col("docs"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("total"), "term"))
+    floor = F.broadcast(sure.withColumn("_r", place).where(F.col("_r") == vocabulary).select("g", F.col("total").alias("floor")))  # a row a group
+    high = lambda counts: counts.join(floor, "g", "left").where(F.col("total") >= F.coalesce("floor", F.lit(0))).select("g", "term")
+    levels = [_sent(high(single))]
+    for n in range(2, longest + 1):
+        run = words.select("g", F.explode(runs(F.col("w"), n)).alias("term"))
+        head, tail = F.regexp_replace("term", " [a-z]+$", ""), F.substring_index("term", " ", 1 - n)
+        known = levels[-1].withColumnRenamed("term", "part")
+        both = run.withColumn("part", head).join(known, ["g", "part"], "left_semi").withColumn("part", tail).join(known, ["g", "part"], "left_semi")
+        levels.append(_sent(high(both.groupBy("g", "term").agg(F.count("*").alias("total")))))
+    # From here on a number stands for a group's term.
+    terms = _sent(reduce(DataFrame.union, (level.select("g", "term") for level in levels)).withColumn("id", F.monotonically_increasing_id()))
+    found = words.select("g", "d", F.explode(F.concat(*(runs(F.col("w"), n) for n in range(1, longest + 1)))).alias("term")).join(terms, ["g", "term"]).select("d", "id")
+    tf = found.groupBy("d", "id").agg(F.count("*").alias("tf"))
+    per = tf.groupBy("id").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).join(terms, "id").join(F.broadcast(sizes), "g").where(F.col("df") <= most_df * F.col("docs"))
+    known = _sent(per.withColumn("_r", place).where(F.col("_r") <= vocabulary).withColumn("idf", F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).select("id", "g", "term", "df", "idf"))
+    vectors = tf.where("d is not null").join(known.select("id", "g", "idf"), "id").select("g", "d", "id", (F.col("tf") * F.col("idf")).alias("w"))
+    scaled = vectors.withColumn("length", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("g", "d"))))
+    sums = scaled.groupBy("id").agg(F.round(F.sum(F.col("w") / F.col("length")), 4).alias("weight")).join(known, "id")
+    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("g").alias(group), "term", "df", "weight", "rank")

@@ -126,3 +126,13 @@ def test_what_was_missed(spark):
     row = E.missed(facts, targets, "k", F.lit(0.35)).collect()
     assert len(row) == 1 and (row[0].misses, row[0].looked_at, row[0].target_rate, row[0].mean_score, row[0].mean_target) == (4, 4, 0.25, 0.15, 0.5)
     assert E.missed(facts, targets, "k", F.lit(0.35), most=2).first().looked_at == 2
+
+
+def test_weighed_terms_count_frequent_runs_only(spark):
+    # Of 400 runs of two words one reaches the floor that the words set; the others aren't counted, and the result is that of all.
+    rows = [("s", i, f"road works w{chr(97 + i % 20)}word x{chr(97 + i // 20)}word") for i in range(60)] + [("s", 100 + i, "other things") for i in range(30)] + [("s", None, "road works road works")]
+    docs = spark.createDataFrame(rows, "source string, doc long, text string")
+    few, lots = ({(r.term, r.df, r.weight) for r in K.weighed_terms(docs, "source", "doc", k=3, vocabulary=v, most_df=0.9, longest=2, stop=()).collect()} for v in (3, 4))
+    assert {(t, df) for t, df, _ in few} == {("road", 61), ("works", 61), ("road works", 61)}
+    assert {t for t, *_ in lots} <= {"road", "works", "road works", "other", "things", "other things"}
+    assert len(K.weighed_terms(docs, "source", "doc", k=50, vocabulary=1000, most_df=1.0, longest=1).collect()) == 20 + 3 + 3
